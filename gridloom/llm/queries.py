@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .histogram_shards import histogram_shards
+from .packing import pack
+from .simhash_trie import simhash_groups
+from .tokens import vocabulary
+from .wavelet import token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,5 +24,22 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op10_histogram_shards,)}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    out = pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, read back from the wavelet-matrix shards."""
+    out = token_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_best_fit_packing, op7_wavelet_tokens, op9_simhash_trie, op10_histogram_shards)}
 SQL: dict[str, str] = {}
