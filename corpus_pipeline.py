@@ -1,18 +1,75 @@
-"""A corpus pipeline of five stages over documents (part of gridloom.llm)."""
+"""A corpus pipeline of five stages over documents (part of gridloom.llm).
+
+quality rules -> line dedup -> SimHash near-dedup -> decontamination -> packing.
+Every stage reads all that the one before kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridloom.llm import quality_crf
+from gridloom.llm.common import materialise, table
+from gridloom.llm.line_chunks import line_dedup
+from gridloom.llm.packing import pack
+from gridloom.llm.simhash_trie import simhash_groups
+from gridloom.llm.spaced_seeds import decontaminate
+from gridloom.llm.tokens import vocabulary
+
+HAS_WORD = r"[^\x20\x09-\x0D]"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the line CRF accept."""
+    chain = quality_crf.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality_crf.quality(docs.withColumn("__body", F.col("text")), chain, keep_columns=docs.columns, text_col="__body")
+    return judged.where("kept").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated line chunks; those that lose every word go."""
+    out = line_dedup(docs)
+    text = F.when(F.col("n_removed_lines") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")
+    return out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(HAS_WORD)).withColumn("n_chars", text).select(*docs.columns)
+
 
-STAGES: list = []
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash class: the one whose id names the class."""
+    chosen = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = chosen.groupBy("doc_id").agg(F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__id")
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")))
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    again = kept.where("__rows > 1").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+    return kept.where("__rows = 1").select(*docs.columns).union(again.select(*docs.columns))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with the benchmark."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    out = pack(docs, vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", drop_repeated_lines),
+    ("near-dedup", drop_near_copies),
+    ("decontamination", drop_benchmark),
+    ("packing", pack_sequences),
+]
+
+#: No stage after the base rules can be said in SQL (trained model, content-defined chunks, fingerprints, tokenizer).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written and read again."""
-    from gridloom.llm.common import materialise
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number + 1 < len(STAGES):

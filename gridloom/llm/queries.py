@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .histogram_shards import histogram_shards
+from .line_chunks import line_dedup
 from .packing import pack
+from . import quality_crf
 from .simhash_trie import simhash_groups
+from .spaced_seeds import find_passages
 from .tokens import vocabulary
+from .warc import archive_round_trip
 from .wavelet import token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,22 +28,55 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark in all documents, a row for each document and benchmark text."""
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     out = pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, found by the capture index and read from the archives."""
+    out = archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=1000)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.quality(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, read back from the wavelet-matrix shards."""
     out = token_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines after the removal of repeated chunks."""
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_best_fit_packing, op7_wavelet_tokens, op9_simhash_trie, op10_histogram_shards)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spaced_seeds, op4_best_fit_packing, op5_warc_index, op6_line_crf, op7_wavelet_tokens, op8_line_chunks, op9_simhash_trie, op10_histogram_shards)}
+#: What SQL can express whole. The texts' own bytes, words and payloads are counted there by other means.
+SQL: dict[str, str] = {
+    "op5_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top, payload_bytes >= 1000 AS long FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN long AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN long AND page_id <> top THEN top END AS refers_to
+        FROM g""",
+}
