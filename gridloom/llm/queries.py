@@ -12,8 +12,10 @@ from .histogram_shards import histogram_shards
 from .line_chunks import line_dedup
 from .packing import pack
 from . import quality_crf
+from .recompression import repeated_windows
 from .simhash_trie import simhash_groups
 from .spaced_seeds import find_passages
+from .suffix_dedup import repeated_bytes
 from .tokens import vocabulary
 from .warc import archive_round_trip
 from .wavelet import token_shards
@@ -33,6 +35,17 @@ def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes that no 50-byte string of an earlier document covers."""
+    return repeated_bytes(table(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that no repeated 35-word window covers."""
+    out = repeated_windows(table(spark, sf_dir, "documents"), width=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     out = pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
@@ -68,7 +81,7 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spaced_seeds, op4_best_fit_packing, op5_warc_index, op6_line_crf, op7_wavelet_tokens, op8_line_chunks, op9_simhash_trie, op10_histogram_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spaced_seeds, op2_suffix_array, op3_recompression, op4_best_fit_packing, op5_warc_index, op6_line_crf, op7_wavelet_tokens, op8_line_chunks, op9_simhash_trie, op10_histogram_shards)}
 #: What SQL can express whole. The texts' own bytes, words and payloads are counted there by other means.
 SQL: dict[str, str] = {
     "op5_warc_index": """
