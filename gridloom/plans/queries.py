@@ -1,6 +1,734 @@
-"""The registered queries of the library and their DuckDB SQL."""
+"""The registered queries of the library and their DuckDB SQL.
+
+Each query runs an operator of the library over a projection of the test tables;
+where SQL can say the same, it stands beside it.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import grids, validation
+from ..operators import baseline, cluster, evidence, overlap, resources, scoring, splits, stats
+from .projections import GRID_SQL, flat_cells, order_grids, order_tasks, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+# ---- scoring
+
+
+def _order_answers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    answers = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.pmod(F.floor("o_totalprice"), F.lit(10)).alias("expected"))
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    place = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return answers, line.select("o_orderkey", place.alias("attempt_no"), F.pmod(F.floor("l_quantity"), F.lit(10)).alias("value"))
+
+
+def _order_scores(spark: SparkSession, sf: str) -> DataFrame:
+    answers, attempts = _order_answers(spark, sf)
+    scored = scoring.best_of_k(answers, attempts, 2, F.col("value") == F.col("expected"), F.lit(10) - F.abs(F.col("value") - F.col("expected")), ["o_orderkey"])
+    return scored.join(answers.select("o_orderkey", "o_custkey"), "o_orderkey").withColumn("cells", F.lit(10))
+
+
+ORDER_SCORES = """a AS (SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) % 10 AS expected FROM orders),
+t AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, CAST(floor(l_quantity) AS BIGINT) % 10 AS v FROM lineitem),
+s AS (SELECT a.o_orderkey, a.o_custkey, coalesce(bool_or(v = expected), false) AS exact, coalesce(max(10 - abs(v - expected)), 0) AS matches
+      FROM a LEFT JOIN t ON t.l_orderkey = a.o_orderkey AND t.n <= 2 GROUP BY 1, 2)"""
+
+
+@query(
+    "score_topk",
+    f"""WITH {ORDER_SCORES}
+    SELECT count(*) AS outputs_total, count(*) FILTER (WHERE exact) AS outputs_exact, CAST(count(*) FILTER (WHERE exact) AS DOUBLE) / count(*) AS output_exact_accuracy,
+           CAST(sum(matches) AS BIGINT) AS cells_correct, count(*) * 10 AS cells_total FROM s""",
+)
+def score_topk(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _order_scores(spark, sf)
+    out = rows.agg(F.count("*").alias("outputs_total"), F.count_if("exact").alias("outputs_exact"), F.sum("matches").alias("cells_correct"), F.sum("cells").cast("long").alias("cells_total"))
+    return out.withColumn("output_exact_accuracy", scoring.ratio(F.col("outputs_exact"), F.col("outputs_total")))
+
+
+@query(
+    "score_task_strict",
+    f"""WITH {ORDER_SCORES}
+    SELECT o_custkey, bool_and(exact) AS exact, count(*) AS outputs, count(*) FILTER (WHERE exact) AS outputs_exact, CAST(sum(matches) AS BIGINT) AS matches FROM s GROUP BY 1""",
+)
+def score_task_strict(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.task_scores(_order_scores(spark, sf), "o_custkey").drop("cells")
+
+
+@query("unknown_predictions", "SELECT DISTINCT doc_id AS task_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en') AND doc_id IS NOT NULL")
+def unknown_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("task_id"))
+    return scoring.unknown_predictions(table(spark, sf, "labels").select(F.col("doc_id").alias("task_id")), docs)
+
+
+@query(
+    "candidate_topk",
+    """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS rank FROM c)
+    SELECT user_id, event_type, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 2""",
+)
+def candidate_topk(spark: SparkSession, sf: str) -> DataFrame:
+    counts = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    ranked = baseline.first_k_distinct(counts, ["user_id"], F.col("event_type"), F.struct(-F.col("n"), "event_type"), 2)
+    return _long(ranked.select("user_id", "event_type", "rank"), "rank")
+
+
+@query("baseline_predictions")
+def baseline_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = baseline.rank_candidates(order_tasks(spark, sf), 2)
+    return ranked.select("task_id", "output_index", "rank", "solver", F.to_json("grid").alias("grid"))
+
+
+@query("baseline_score")
+def baseline_score(spark: SparkSession, sf: str) -> DataFrame:
+    return baseline.run(order_tasks(spark, sf), 2)[2]
+
+
+@query("baseline_solver_counts")
+def baseline_solver_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return baseline.solver_counts(baseline.rank_candidates(order_tasks(spark, sf), 2))
+
+
+@query("score_cross_check")
+def score_cross_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Both scorers over the same predictions: one row of differences, all zero."""
+    tasks = order_tasks(spark, sf)
+    ranked = baseline.rank_candidates(tasks, 2)
+    attempts = ranked.select("task_id", "output_index", F.col("rank").alias("attempt_no"), "grid")
+    a, b = scoring.score(scoring.explode_answers(tasks), attempts, 2), scoring.reference_score(tasks, baseline.predictions(ranked), 2)
+    both = a.crossJoin(b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns]))  # one row each
+    return both.select(*[(F.col(c) - F.col(f"r_{c}")).alias(c) for c in b.columns])
+
+
+# ---- grid algebra
+
+PLACES = {
+    "identity": ("i", "j"), "rotate_90": ("j", "h - 1 - i"), "rotate_180": ("h - 1 - i", "3 - j"), "rotate_270": ("3 - j", "i"),
+    "flip_horizontal": ("i", "3 - j"), "flip_vertical": ("h - 1 - i", "j"), "transpose": ("j", "i"), "anti_transpose": ("3 - j", "h - 1 - i"),
+}
+
+
+def _d4(name: str) -> Query:
+    return lambda spark, sf: flat_cells(order_grids(spark, sf).select("k", grids.D4[name](F.col("g")).alias("g")))
+
+
+for _name, (_i, _j) in PLACES.items():
+    query(f"grid_d4_{_name}", f"WITH {GRID_SQL} SELECT k, {_i} AS i, {_j} AS j, cell FROM cells")(_d4(_name))
+
+PERMUTATION = {0: 0, 1: 7, 7: 1, 2: 9, 9: 2}
+_CASES = " ".join(f"WHEN {a} THEN {b}" for a, b in PERMUTATION.items())
+
+
+@query("grid_color_perm", f"WITH {GRID_SQL} SELECT k, i, j, CAST(CASE cell {_CASES} ELSE cell END AS BIGINT) AS cell FROM cells")
+def grid_color_perm(spark: SparkSession, sf: str) -> DataFrame:
+    mapping = grids.literal_map(PERMUTATION)
+    return flat_cells(order_grids(spark, sf).select("k", grids.recolor(mapping)(F.col("g")).alias("g")))
+
+
+@query("grid_round_trip", f"WITH {GRID_SQL} SELECT k, true AS same FROM cells GROUP BY k")
+def grid_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every D4 transform with a recolouring, then both inverses."""
+    g, mapping = F.col("g"), grids.literal_map(PERMUTATION)
+    same = F.lit(True)
+    for name, turn in grids.D4.items():
+        there = grids.compose(turn, grids.recolor(mapping))
+        back = grids.compose(grids.recolor(grids.inverse_map(mapping)), grids.D4[grids.INVERSE_D4[name]])
+        same = same & (back(there(g)) == g)
+    return order_grids(spark, sf).select("k", same.alias("same"))
+
+
+@query(
+    "dominant_color",
+    f"""WITH {GRID_SQL}, n AS (SELECT k, cell, count(*) AS n FROM cells GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, cell) AS r FROM n)
+    SELECT k, cell AS color FROM r WHERE r = 1""",
+)
+def dominant_color(spark: SparkSession, sf: str) -> DataFrame:
+    return order_grids(spark, sf).select("k", grids.dominant_color(F.col("g")).cast("long").alias("color"))
+
+
+@query(
+    "grid_cell_matches",
+    f"""WITH {GRID_SQL} SELECT a.k, CAST(sum(CASE WHEN a.cell = b.cell THEN 1 ELSE 0 END) AS BIGINT) AS matches, count(*) AS cells
+    FROM cells a JOIN cells b ON a.k = b.k AND a.i = b.i AND b.j = 3 - a.j GROUP BY 1""",
+)
+def grid_cell_matches(spark: SparkSession, sf: str) -> DataFrame:
+    g = F.col("g")
+    return _long(order_grids(spark, sf).select("k", grids.cell_matches(grids.flip_horizontal(g), g).alias("matches"), grids.cell_count(g).alias("cells")), "matches", "cells")
+
+
+@query("grid_shape_mismatch", f"WITH {GRID_SQL} SELECT k, CAST(0 AS BIGINT) AS matches FROM cells GROUP BY k HAVING max(h) <> 4")
+def grid_shape_mismatch(spark: SparkSession, sf: str) -> DataFrame:
+    g = F.col("g")
+    return _long(order_grids(spark, sf).where(F.size("g") != 4).select("k", grids.cell_matches(grids.transpose(g), g).alias("matches")), "matches")
+
+
+@query("mutation_impact", f"WITH {GRID_SQL} SELECT k, count(*) AS changed, CAST(sum((cell + 3) % 10) AS BIGINT) AS total FROM cells GROUP BY 1")
+def mutation_impact(spark: SparkSession, sf: str) -> DataFrame:
+    g, m = F.col("g"), grids.mutate(F.col("g"), 3)
+    total = F.aggregate(F.flatten(m), F.lit(0), lambda a, x: a + x)
+    return _long(order_grids(spark, sf).select("k", (grids.cell_count(g) - grids.cell_matches(m, g)).alias("changed"), total.alias("total")), "changed", "total")
+
+
+@query(
+    "color_multiplicities",
+    f"""WITH {GRID_SQL}, n AS (SELECT k, cell, count(*) AS n FROM cells GROUP BY 1, 2)
+    SELECT n.k, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS counts, least(max(h), 4) AS short_side, greatest(max(h), 4) AS long_side
+    FROM n JOIN (SELECT DISTINCT k, h FROM ln) s ON n.k = s.k GROUP BY n.k""",
+)
+def color_multiplicities(spark: SparkSession, sf: str) -> DataFrame:
+    g = F.col("g")
+    counts = F.array_join(F.transform(grids.color_multiplicities(g), lambda n: n.cast("string")), ",")
+    return _long(order_grids(spark, sf).select("k", counts.alias("counts"), F.least(grids.height(g), grids.width(g)).alias("short_side"), F.greatest(grids.height(g), grids.width(g)).alias("long_side")), "short_side", "long_side")
+
+
+@query("example_order", f"WITH {GRID_SQL} SELECT k, (i + 1) % h AS i, j, cell FROM cells")
+def example_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows reordered by a cyclic order and restored, then turned by it once."""
+    order = grids.cyclic_left(F.sequence(F.lit(0), F.size("g") - 1))
+    moved = order_grids(spark, sf).select("k", grids.permute(F.col("g"), order).alias("m"), order.alias("o"))
+    restored = moved.select("k", grids.restore_order(F.col("m"), F.col("o")).alias("g"), "o")
+    return flat_cells(restored.select("k", grids.restore_order(F.col("g"), F.col("o")).alias("g")))
+
+
+@query(
+    "color_map_learn",
+    """WITH p AS (SELECT l_suppkey, l_returnflag, count(DISTINCT l_linestatus) AS t, min(l_linestatus) AS l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    g AS (SELECT l_suppkey FROM p GROUP BY 1 HAVING max(t) = 1) SELECT l_suppkey, l_returnflag, l_linestatus, n FROM p WHERE l_suppkey IN (SELECT l_suppkey FROM g)""",
+)
+def color_map_learn(spark: SparkSession, sf: str) -> DataFrame:
+    return baseline.learn_functional_dependency(table(spark, sf, "lineitem"), ["l_suppkey"], "l_returnflag", "l_linestatus")
+
+
+# ---- overlap, digests, inventories
+
+
+@query("overlap_exact", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON d.text = b.text")
+def overlap_exact(spark: SparkSession, sf: str) -> DataFrame:
+    left = table(spark, sf, "documents").select("doc_id", overlap.fingerprint(F.col("text")).alias("f"))
+    return left.join(table(spark, sf, "benchmark").select("item_id", overlap.fingerprint(F.col("text")).alias("f")), "f").select("doc_id", "item_id")
+
+
+@query("content_fingerprint", "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS representative FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def content_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", overlap.fingerprint(F.col("text")).alias("digest"))
+    return docs.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("representative")).where("n > 1")
+
+
+@query("task_overlap_summary")
+def task_overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' tasks against the same tasks with their examples in reverse order."""
+    tasks = order_tasks(spark, sf)
+    t = F.col("task")
+    other = tasks.where("cast(task_id as long) % 3 = 0").select("task_id", F.struct(t["name"].alias("name"), F.reverse(t["train"]).alias("train"), t["test"].alias("test")).alias("task"))
+    out = overlap.overlap_summary(tasks, other)
+    return out.select("left_task_count", "right_task_count", "id_overlap_count", *[f"{v}_count" for v in overlap.VARIANTS])
+
+
+@query(
+    "inventory_digest",
+    """WITH b AS (SELECT source, doc_id // 256 AS block, count(*) AS n, sha256('[' || string_agg('"' || CAST(doc_id AS VARCHAR) || ':' || sha256(text) || '"', ',' ORDER BY doc_id) || ']') AS d FROM documents GROUP BY 1, 2)
+    SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256('[' || string_agg('"' || d || '"', ',' ORDER BY block) || ']') AS digest FROM b GROUP BY 1""",
+)
+def inventory_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of each source's ordered (id, digest) list, in two levels: blocks of 256 ids, then the blocks' digests."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.expr("doc_id div 256").alias("block"), F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("t"))
+    blocks = evidence.ordered_digest(docs, ["source", "block"], F.col("doc_id"), F.col("t"))
+    sizes = blocks.groupBy("source").agg(F.sum("n").alias("total"))
+    return evidence.ordered_digest(blocks, ["source"], F.col("block"), F.col("digest")).drop("n").join(sizes, "source").select("source", F.col("total").alias("n"), "digest")
+
+
+# ---- clusters, splits, selection
+
+
+@query(
+    "cluster_blocks",
+    """SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""",
+)
+def cluster_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), F.struct("p_brand", "p_type", "p_size").alias("signature"))
+    return cluster.blocked_pairs(parts, "signature")
+
+
+def _clusters(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), "source", F.sha2("text", 256).alias("content"))
+    return cluster.exact_groups(docs, "content").withColumnRenamed("representative", "cluster_id").join(docs.select("record_id", "source", "content"), "record_id")
+
+
+@query("components_min_label", "SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY sha256(text)) AS label FROM documents")
+def components_min_label(spark: SparkSession, sf: str) -> DataFrame:
+    groups = _clusters(spark, sf)
+    edges = groups.where("record_id <> cluster_id").select(F.col("record_id").alias("u"), F.col("cluster_id").alias("v"))
+    return cluster.min_label_components(groups.select(F.col("record_id").alias("node")), edges)
+
+
+@query("isomorphism_clusters")
+def isomorphism_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks of small orders and their turned, recoloured copies: each pair is one cluster."""
+    tasks = order_tasks(spark, sf).where("size(task.train) <= 3")
+    turned = tasks.select(F.concat(F.lit("copy:"), "task_id").alias("record_id"), grids.transform_task(F.col("task"), grids.compose(grids.rotate_90, grids.recolor(grids.literal_map(PERMUTATION)))).alias("task"))
+    records = tasks.select(F.concat(F.lit("base:"), "task_id").alias("record_id"), "task").union(turned)
+    clusters, _ = cluster.cluster_tasks(records)
+    return clusters
+
+
+@query("cluster_descriptor", "SELECT sha256(text) AS content, min(doc_id) AS representative, count(*) AS members, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
+def cluster_descriptor(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _clusters(spark, sf)
+    out = cluster.describe_clusters(rows.select("record_id", "cluster_id"), rows.select("record_id", "source", "content"))
+    names = rows.where("record_id = cluster_id").select("cluster_id", "content")
+    return out.join(names, "cluster_id").select("content", "representative", "members", F.size("source_counts").cast("long").alias("sources"))
+
+
+WEIGHTS = [("train", 70), ("validation", 15), ("audit", 15)]
+SPLIT_SQL = """cl AS (SELECT DISTINCT min(doc_id) OVER (PARTITION BY sha256(text)) AS cluster_id FROM documents),
+rk AS (SELECT cluster_id, row_number() OVER (ORDER BY sha256('20260806' || chr(0) || CAST(cluster_id AS VARCHAR)), cluster_id) AS rank, count(*) OVER () AS total FROM cl),
+w(position, split, weight) AS (VALUES (0, 'train', 70), (1, 'validation', 15), (2, 'audit', 15)),
+q0 AS (SELECT position, split, total * weight // 100 AS base, total * weight % 100 AS rest, total FROM w, (SELECT count(*) AS total FROM cl)),
+q1 AS (SELECT *, total - sum(base) OVER () AS spare, row_number() OVER (ORDER BY rest DESC, split) AS place FROM q0),
+q2 AS (SELECT position, split, base + CASE WHEN place <= spare THEN 1 ELSE 0 END AS quota FROM q1),
+q AS (SELECT split, quota, sum(quota) OVER (ORDER BY position) AS high FROM q2),
+sp AS (SELECT rk.cluster_id, CAST(rk.rank AS BIGINT) AS rank, q.split FROM rk JOIN q ON rk.rank > q.high - q.quota AND rk.rank <= q.high)"""
+
+
+def _assigned(spark: SparkSession, sf: str) -> DataFrame:
+    clusters = _clusters(spark, sf)
+    items = clusters.select("cluster_id").distinct()
+    return splits.assign_splits(items, "cluster_id", "20260806", WEIGHTS).select("cluster_id", "rank", "split")
+
+
+@query("split_quota_70_15_15", f"WITH {SPLIT_SQL} SELECT cluster_id, rank, split FROM sp")
+def split_quota(spark: SparkSession, sf: str) -> DataFrame:
+    return _assigned(spark, sf)
+
+
+RECORD_SQL = f"""{SPLIT_SQL}, rc AS (SELECT d.doc_id AS record_id, d.source, min(d.doc_id) OVER (PARTITION BY sha256(d.text)) AS cluster_id FROM documents d),
+ra AS (SELECT rc.*, sp.split FROM rc JOIN sp ON rc.cluster_id = sp.cluster_id), fl AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)"""
+
+
+def _records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = _clusters(spark, sf).join(_assigned(spark, sf), "cluster_id")
+    return rows, table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("record_id"))
+
+
+@query("split_manifest", f"WITH {RECORD_SQL} SELECT split, source, count(*) AS records, count(DISTINCT cluster_id) AS clusters FROM ra GROUP BY 1, 2")
+def split_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.split_manifest(_records(spark, sf)[0])
+
+
+@query("split_crossing", f"WITH {RECORD_SQL} SELECT cluster_id, count(DISTINCT split) AS splits FROM ra GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def split_crossing(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.crossing(_records(spark, sf)[0])
+
+
+@query(
+    "contamination_by_split",
+    f"""WITH {RECORD_SQL}, c AS (SELECT split, cluster_id, bool_or(record_id IN (SELECT doc_id FROM fl)) AS flag, count(*) AS n FROM ra GROUP BY 1, 2)
+    SELECT split, count(*) AS clusters, count(*) FILTER (WHERE flag) AS flagged_clusters, CAST(sum(n) AS BIGINT) AS records, CAST(coalesce(sum(n) FILTER (WHERE flag), 0) AS BIGINT) AS flagged_records FROM c GROUP BY 1""",
+)
+def contamination_by_split(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.contamination(*_records(spark, sf))
+
+
+@query(
+    "clean_view",
+    f"""WITH {RECORD_SQL}, bad AS (SELECT DISTINCT cluster_id FROM ra WHERE record_id IN (SELECT doc_id FROM fl)), kept AS (SELECT * FROM ra WHERE cluster_id NOT IN (SELECT cluster_id FROM bad))
+    SELECT split, count(*) AS records, count(DISTINCT cluster_id) AS clusters, count(*) FILTER (WHERE record_id <> cluster_id) AS edges FROM kept GROUP BY 1""",
+)
+def clean_view(spark: SparkSession, sf: str) -> DataFrame:
+    rows, flagged = _records(spark, sf)
+    edges = rows.where("record_id <> cluster_id").select(F.col("cluster_id").alias("left_id"), F.col("record_id").alias("right_id"))
+    kept, ends = splits.clean_view(rows, edges, flagged)
+    per = kept.groupBy("split").agg(F.count("*").alias("records"), F.count_distinct("cluster_id").alias("clusters"))
+    own = ends.join(kept.select(F.col("record_id").alias("right_id"), "split"), "right_id").groupBy("split").agg(F.count("*").alias("edges"))
+    return per.join(own, "split", "left").select("split", "records", "clusters", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
+STRATUM_SQL = """it AS (SELECT doc_id, lang || '|' || CASE WHEN n_chars <= 1000 THEN 'short' WHEN n_chars <= 4000 THEN 'middle' ELSE 'long' END AS stratum FROM documents),
+pop AS (SELECT stratum, count(*) AS population FROM it GROUP BY 1), tot AS (SELECT count(*) AS n FROM it),
+b AS (SELECT stratum, population, 32 * population // n AS base, 32 * population % n AS rest FROM pop, tot),
+r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, sha256('gridloom' || chr(0) || '7' || chr(0) || 'quota' || chr(0) || 'documents' || chr(0) || stratum), stratum) AS place, 32 - sum(base) OVER () AS spare FROM b),
+qu AS (SELECT stratum, population, CAST(base + CASE WHEN place <= spare THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r)"""
+
+
+def _strata(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.when(F.col("n_chars") <= 1000, "short").when(F.col("n_chars") <= 4000, "middle").otherwise("long")
+    return table(spark, sf, "documents").select("doc_id", F.concat_ws("|", "lang", size).alias("stratum"))
+
+
+@query(
+    "stratified_quota",
+    f"""WITH {STRATUM_SQL}, k AS (SELECT it.doc_id, it.stratum, sha256('gridloom' || chr(0) || '7' || chr(0) || 'rank' || chr(0) || 'documents' || chr(0) || CAST(it.doc_id AS VARCHAR)) AS rank_sha256 FROM it),
+    z AS (SELECT k.*, qu.quota, row_number() OVER (PARTITION BY k.stratum ORDER BY rank_sha256, doc_id) AS stratum_rank FROM k JOIN qu ON k.stratum = qu.stratum)
+    SELECT doc_id, stratum, quota, CAST(stratum_rank AS BIGINT) AS stratum_rank, rank_sha256 FROM z WHERE stratum_rank <= quota""",
+)
+def stratified_quota(spark: SparkSession, sf: str) -> DataFrame:
+    rows = splits.stratified_quota(_strata(spark, sf), "doc_id", "stratum", 32, "gridloom", 7, "documents").where("selected")
+    return _long(rows.select("doc_id", "stratum", "quota", "stratum_rank", "rank_sha256"), "quota", "stratum_rank")
+
+
+@query("stratum_quotas", f"WITH {STRATUM_SQL} SELECT stratum, population, quota FROM qu")
+def stratum_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    strata = _strata(spark, sf).groupBy("stratum").agg(F.count("*").alias("population"))
+    tie = [splits.domain_hash("gridloom", 7, "quota", "documents", F.col("stratum")), F.col("stratum")]
+    return splits.largest_remainder(strata, F.lit(32).cast("long"), "population", tie)
+
+
+@query(
+    "task_order",
+    """WITH s(seed) AS (VALUES (11), (22), (33))
+    SELECT 'bench' AS benchmark, CAST(seed AS BIGINT) AS seed, item_id,
+           CAST(row_number() OVER (PARTITION BY seed ORDER BY sha256('order' || chr(0) || 'bench' || chr(0) || CAST(seed AS VARCHAR) || chr(0) || CAST(item_id AS VARCHAR)), item_id) AS BIGINT) AS place FROM benchmark, s""",
+)
+def task_order(spark: SparkSession, sf: str) -> DataFrame:
+    return _long(splits.task_orders(table(spark, sf, "benchmark"), "item_id", F.lit("bench"), "order", [11, 22, 33]), "seed", "place")
+
+
+@query(
+    "latin_rows",
+    """SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) % 4 AS BIGINT) AS latin_row, CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS idx FROM benchmark""",
+)
+def latin_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Index and Latin row of each benchmark item (the items are the design's base tasks: a short list)."""
+    idx = F.row_number().over(Window.orderBy("item_id")) - 1
+    return _long(table(spark, sf, "benchmark").select("item_id", idx.alias("idx"), F.pmod(idx, F.lit(4)).alias("latin_row")), "idx", "latin_row")
+
+
+FEATURE_SQL = """f AS (SELECT doc_id, lang, CASE WHEN n_chars <= 100 THEN '1-100' WHEN n_chars <= 400 THEN '101-400' ELSE '401-900' END AS size_bin, CASE WHEN doc_id % 7 <= 4 THEN CAST(doc_id % 7 AS VARCHAR) ELSE '5+' END AS demo_bin,
+CASE WHEN doc_id % 2 = 1 THEN '1' ELSE '2+' END AS test_bin, CASE WHEN doc_id % 11 <= 3 THEN '1-3' WHEN doc_id % 11 <= 6 THEN '4-6' ELSE '7-10' END AS color_bin, CASE WHEN doc_id % 3 = 0 THEN 'True' ELSE 'False' END AS change FROM documents)"""
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    return table(spark, sf, "documents").select(
+        "doc_id", splits.demo_bin(d % 7).alias("demo_bin"), splits.test_bin(F.when(d % 2 == 1, 1).otherwise(2)).alias("test_bin"), splits.area_bin(F.col("n_chars")).alias("size_bin"),
+        splits.color_bin(d % 11).alias("color_bin"), F.initcap((d % 3 == 0).cast("string")).alias("change"),
+    )
+
+
+@query(
+    "feature_distribution",
+    f"""WITH {FEATURE_SQL}, u AS (SELECT 'demo_bin' AS feature, demo_bin AS value FROM f UNION ALL SELECT 'test_bin', test_bin FROM f UNION ALL SELECT 'size_bin', size_bin FROM f UNION ALL SELECT 'color_bin', color_bin FROM f UNION ALL SELECT 'change', change FROM f)
+    SELECT feature, value, count(*) AS n FROM u GROUP BY 1, 2""",
+)
+def feature_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["demo_bin", "test_bin", "size_bin", "color_bin", "change"]
+    rows = _features(spark, sf).unpivot([], names, "feature", "value")
+    return rows.groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+
+@query("stratum_keys", f"WITH {FEATURE_SQL} SELECT demo_bin || '|' || test_bin || '|' || size_bin || '|' || color_bin || '|' || change AS stratum_key, count(*) AS n FROM f GROUP BY 1")
+def stratum_keys(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    key = splits.stratum_key(d % 7, F.when(d % 2 == 1, 1).otherwise(2), F.col("n_chars"), d % 11, d % 3 == 0)
+    return table(spark, sf, "documents").groupBy(key.alias("stratum_key")).agg(F.count("*").alias("n"))
+
+
+@query("task_features")
+def task_features(spark: SparkSession, sf: str) -> DataFrame:
+    return order_tasks(spark, sf).select("task_id", *[c.alias(n) for n, c in splits.features(F.col("task")).items() if n != "input_colors"])
+
+
+# ---- audits (J11, A19-A27, W06, X*)
+
+RULES = [
+    {"glob": "https://*.example.org/*", "tier": "organisation", "reason": "host"},
+    {"glob": "*page=[0-9]*", "tier": "paged", "reason": "query"},
+    {"glob": "http://*", "tier": "plain", "reason": "scheme"},
+    {"glob": "*", "tier": "other", "reason": "default"},
+]
+
+
+@query(
+    "rule_classify",
+    """SELECT CASE WHEN regexp_matches(url, '^https://.*\\.example\\.org/.*$') THEN 'organisation' WHEN regexp_matches(url, '^.*page=[0-9].*$') THEN 'paged' WHEN regexp_matches(url, '^http://.*$') THEN 'plain' ELSE 'other' END AS tier, count(*) AS n FROM pages GROUP BY 1""",
+)
+def rule_classify(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.histogram(table(spark, sf, "pages").select(evidence.first_rule(F.col("url"), RULES, "tier").alias("tier")), "tier")
+
+
+TYPES = ["click", "purchase", "refund", "signup", "view", "never-seen"]
+
+
+@query(
+    "zero_filled_counts",
+    "WITH v(event_type) AS (VALUES " + ", ".join(f"('{t}')" for t in TYPES) + ") SELECT v.event_type, count(e.event_id) AS n FROM v LEFT JOIN events e ON e.event_type = v.event_type GROUP BY 1",
+)
+def zero_filled_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.zero_filled(table(spark, sf, "events"), "event_type", TYPES)
+
+
+@query(
+    "latest_attempt",
+    """SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""",
+)
+def latest_attempt(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    return evidence.latest(rows, ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type", "value")
+
+
+@query(
+    "set_reconcile",
+    """WITH d AS (SELECT DISTINCT doc_id FROM documents), l AS (SELECT DISTINCT doc_id FROM labels)
+    SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'extra' WHEN l.doc_id IS NULL THEN 'missing' ELSE 'both' END AS state FROM d FULL JOIN l ON d.doc_id = l.doc_id""",
+)
+def set_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.reconcile(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.duplicates(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query(
+    "set_operations",
+    """SELECT 'intersect' AS op, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+    UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+    UNION ALL SELECT 'union', count(*) FROM (SELECT doc_id FROM documents UNION SELECT item_id FROM benchmark)
+    UNION ALL SELECT 'union_all', count(*) FROM (SELECT doc_id FROM documents UNION ALL SELECT item_id FROM benchmark)""",
+)
+def set_operations(spark: SparkSession, sf: str) -> DataFrame:
+    d, lb = (table(spark, sf, t).select("doc_id") for t in ("documents", "labels"))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"))
+    out = None
+    for name, rows in (("intersect", d.intersect(lb)), ("except", d.subtract(lb)), ("union", d.unionByName(b).distinct()), ("union_all", d.unionByName(b))):
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(
+    "macro_micro_accuracy",
+    """WITH s AS (SELECT d.source, avg(CAST(l.quality AS DOUBLE)) AS acc, count(*) AS n, sum(l.quality) AS good FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY 1)
+    SELECT round(avg(acc), 9) AS macro, round(CAST(sum(good) AS DOUBLE) / sum(n), 9) AS micro, count(*) AS sources FROM s""",
+)
+def macro_micro_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    per = rows.groupBy("source").agg(F.avg(F.col("quality").cast("double")).alias("acc"), F.count("*").alias("n"), F.sum("quality").alias("good"))
+    return per.agg(F.round(F.avg("acc"), 9).alias("macro"), F.round(F.try_divide(F.sum("good").cast("double"), F.sum("n")), 9).alias("micro"), F.count("*").alias("sources"))
+
+
+@query(
+    "cost_audit",
+    """SELECT event_type, round(sum(coalesce(value, 0)), 4) AS total, count(*) FILTER (WHERE value > 0) AS positive, count(*) AS n, round(avg(value), 6) AS mean, count(DISTINCT user_id) AS users FROM events GROUP BY 1""",
+)
+def cost_audit(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    return table(spark, sf, "events").groupBy("event_type").agg(
+        F.round(F.sum(F.coalesce(v, F.lit(0.0))), 4).alias("total"), F.count_if(v > 0).alias("positive"), F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.count_distinct("user_id").alias("users")
+    )
+
+
+@query(
+    "funnel_summary",
+    """SELECT count(*) AS discovered, count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) AS terminal, count(*) FILTER (WHERE o_orderstatus = 'F') AS passed,
+    count(*) FILTER (WHERE o_orderstatus = 'F' AND o_totalprice > 100000) AS admitted FROM orders""",
+)
+def funnel_summary(spark: SparkSession, sf: str) -> DataFrame:
+    s, p = F.col("o_orderstatus"), F.col("o_totalprice")
+    return evidence.funnel(table(spark, sf, "orders"), {"discovered": F.lit(True), "terminal": s.isin("F", "O"), "passed": s == "F", "admitted": (s == "F") & (p > 100000)})
+
+
+@query(
+    "roster_agreement",
+    """WITH u AS (SELECT DISTINCT c_nationkey AS key, 0 AS pos FROM customer UNION SELECT DISTINCT s_nationkey, 1 FROM supplier UNION SELECT n_nationkey, 2 FROM nation WHERE n_nationkey < 20)
+    SELECT key, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS present FROM u GROUP BY 1 HAVING count(*) < 3""",
+)
+def roster_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    tables = [table(spark, sf, "customer").select(F.col("c_nationkey").alias("key")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("key")), table(spark, sf, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("key"))]
+    return evidence.roster_agreement(tables, "key").select("key", F.array_join(F.transform("present", lambda x: x.cast("string")), ",").alias("present"))
+
+
+@query(
+    "rollup_inventory",
+    """SELECT r_name, n_name, count(*) AS customers, CAST(sum(length(c_name)) AS BIGINT) AS bytes FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""",
+)
+def rollup_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.rollup("r_name", "n_name").agg(F.count("*").alias("customers"), F.sum(F.length("c_name")).alias("bytes"))
+
+
+@query("split_counts", "SELECT coalesce(lang, 'total') AS split, count(*) AS n FROM documents GROUP BY ROLLUP (lang)")
+def split_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").rollup("lang").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("total")).alias("split"), "n")
+
+
+@query(
+    "source_pivot",
+    """SELECT lang, count(*) FILTER (WHERE source = 'src0') AS src0, count(*) FILTER (WHERE source = 'src1') AS src1, count(*) FILTER (WHERE source = 'src2') AS src2 FROM documents GROUP BY 1""",
+)
+def source_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+# ---- validation
+
+
+@query(
+    "schema_errors",
+    """SELECT conv_id, turn, concat_ws(',', CASE WHEN NOT coalesce(role IN ('user', 'assistant', 'system'), false) THEN 'role' END, CASE WHEN NOT coalesce(length(trim(text)) > 0, false) THEN 'text' END, CASE WHEN NOT coalesce(turn >= 0, false) THEN 'turn' END) AS errors
+    FROM conversations""",
+)
+def schema_errors(spark: SparkSession, sf: str) -> DataFrame:
+    checks = {"role": F.col("role").isin("user", "assistant", "system"), "text": F.length(F.trim("text")) > 0, "turn": F.col("turn") >= 0}
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(validation.codes(checks), ",").alias("errors"))
+
+
+@query("attempt_contiguity", "SELECT conv_id, count(*) AS n, (min(turn) = 0 AND max(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*)) AS contiguous FROM conversations GROUP BY 1")
+def attempt_contiguity(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), ((F.min("turn") == 0) & (F.max("turn") + 1 == F.count("*")) & (F.count_distinct("turn") == F.count("*"))).alias("contiguous"))
+
+
+def _re2(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+@query("secret_scan", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '{_re2(p)}')" for p in validation.SECRET_VALUES))
+def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where(validation.looks_secret(F.col("text"))).select("doc_id")
+
+
+@query(
+    "path_safety",
+    """WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*/', '') AS path FROM pages)
+    SELECT page_id, CASE WHEN path IS NULL OR path = '' THEN 'empty' WHEN contains(path, '\\') THEN 'separator' WHEN starts_with(path, '/') THEN 'absolute' WHEN regexp_matches(path, '^[A-Za-z]:') THEN 'drive' WHEN path = '.' THEN 'root'
+    WHEN regexp_matches('/' || path || '/', '/(\\.|\\.\\.|)/') THEN 'component' END AS error FROM p""",
+)
+def path_safety(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.regexp_replace("url", r"^https?://[^/]*/", "")
+    return table(spark, sf, "pages").select("page_id", validation.repo_path_error(path).alias("error"))
+
+
+@query(
+    "metric_consistency",
+    """SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE abs(l_discount - l_discount * l_quantity / l_quantity) <= greatest(1e-12 * greatest(abs(l_discount), abs(l_discount * l_quantity / l_quantity)), 1e-12)) AS close FROM lineitem GROUP BY 1""",
+)
+def metric_consistency(spark: SparkSession, sf: str) -> DataFrame:
+    ok = validation.is_close(F.col("l_discount"), F.try_divide(F.col("l_discount") * F.col("l_quantity"), F.col("l_quantity")))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(ok).alias("close"))
+
+
+# ---- statistics (T01-T08) and resources
+
+
+@query(
+    "holm_adjust",
+    """WITH p AS (SELECT event_type, 1.0 / (1 + count(*) % 37) AS p FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, event_type) AS rank, count(*) OVER () AS m FROM p)
+    SELECT event_type, round(CAST(p AS DOUBLE), 9) AS p, round(CAST(max(least(1.0, (m - rank + 1) * p)) OVER (ORDER BY p, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE), 9) AS adjusted FROM r""",
+)
+def holm_adjust(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").groupBy("event_type").agg((F.lit(1.0) / (1 + F.pmod(F.count("*"), F.lit(37)))).alias("p"))
+    return stats.holm(rows, "p", "event_type").select("event_type", F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"))
+
+
+@query(
+    "paired_discordance",
+    """SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS both, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS first_only, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS second_only, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS neither FROM labels""",
+)
+def paired_discordance(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").agg(*stats.discordance(F.col("quality"), 1 - F.col("toxic")))
+
+
+@query(
+    "paired_exact_p",
+    """WITH t AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 1) % 12 AS a, count(*) FILTER (WHERE quality = 0 AND toxic = 0) % 12 AS b FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+    k AS (SELECT lang, a, b, i, factorial(CAST(a + b AS INTEGER)) / (factorial(CAST(i AS INTEGER)) * factorial(CAST(a + b - i AS INTEGER))) AS c FROM t, range(12) AS r(i) WHERE i <= least(a, b))
+    SELECT lang, a AS first_only, b AS second_only, round(CASE WHEN a + b = 0 THEN 1.0 ELSE least(1.0, 2 * sum(CAST(c AS DOUBLE)) / pow(2, a + b)) END, 9) AS p_value FROM k GROUP BY lang, a, b""",
+)
+def paired_exact_p(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    both = rows.groupBy("lang").agg(F.pmod(F.count_if(F.expr("quality = 1 and toxic = 1")), F.lit(12)).alias("first_only"), F.pmod(F.count_if(F.expr("quality = 0 and toxic = 0")), F.lit(12)).alias("second_only"))
+    return _long(stats.paired_exact(both).withColumn("p_value", F.round("p_value", 9)), "first_only", "second_only")
+
+
+def _user_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """(grp, cluster, effect): a user's mean value, less the rounded constant 50; users are the clusters."""
+    per = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg("value") - 50, 3).alias("effect"))
+    return per.select(F.pmod("user_id", F.lit(5)).cast("long").alias("grp"), F.col("user_id").alias("cluster"), "effect")
+
+
+@query("randomization_test")
+def randomization_test(spark: SparkSession, sf: str) -> DataFrame:
+    names = ("method", "clusters", "nonzero", "statistic", "p_value", "resamples")
+    f = lambda d: dict(zip(names, stats.sign_flip(d["effect"].tolist(), 20260806, 2000), strict=True))
+    return stats.by_group(_user_effects(spark, sf), "grp", "method string, clusters int, nonzero int, statistic double, p_value double, resamples int", f)
+
+
+@query("bootstrap_interval")
+def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
+    names = ("clusters", "resamples", "estimate", "lower", "upper")
+    f = lambda d: dict(zip(names, stats.bootstrap_mean(d["effect"].tolist(), 20260806, 1000), strict=True))
+    return stats.by_group(_user_effects(spark, sf), "grp", "clusters int, resamples int, estimate double, lower double, upper double", f)
+
+
+@query("robust_logistic")
+def robust_logistic(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of labelled documents against toxicity and length, by source as cluster, for each language."""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    rows = rows.select("lang", "doc_id", "source", F.col("quality").cast("double").alias("y"), F.col("toxic").cast("double").alias("x1"), F.log1p("n_chars").alias("x2"))
+
+    def f(d: pd.DataFrame) -> dict:
+        x = d[["x1", "x2"]].to_numpy()
+        got = stats.logistic_gee(pd.concat([pd.Series(1.0, index=d.index), d[["x1", "x2"]]], axis=1).to_numpy(), d["y"].to_numpy(), d["source"].to_numpy())
+        wald = stats.wald_block(got["coefficients"], got["covariance"], [1, 2]) if got["coefficients"] else (None, None, None)
+        return {"status": got["status"], "iterations": got["iterations"], "observations": len(x), "clusters": got["clusters"], "statistic": wald[0], "p_value": wald[2]}
+
+    return stats.by_group(rows, "lang", "status string, iterations int, observations int, clusters int, statistic double, p_value double", f)
+
+
+@query("power_grid")
+def power_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.minimum_effects(stats.power_grid(spark, [64, 120], [0.05, 0.1, 0.2], 0.5, 0.3, 200, 0.05, 20260806), 0.8)
+
+
+@query(
+    "resource_summary",
+    """SELECT user_id AS run_id, count(*) AS samples, CAST(greatest(floor(epoch(max(ts))) - floor(epoch(min(ts))), 0) AS BIGINT) AS wall_time_seconds, max(value) AS peak, arg_max(value, (ts, event_id)) AS last FROM events GROUP BY 1""",
+)
+def resource_summary(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    samples = e.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("sample_no"), F.unix_timestamp(F.date_trunc("second", "ts")).alias("monotonic_seconds"), F.lit(0.0).alias("process_cpu_seconds"),
+        F.col("value").alias("current_rss_bytes"), F.col("value").alias("process_peak_rss_bytes"), F.col("value").alias("gpu_memory_bytes"), "ts",
+    )
+    span = samples.groupBy("run_id").agg(resources.delta("monotonic_seconds", F.struct("ts", "sample_no")).alias("wall_time_seconds"))
+    use = resources.usage(samples.withColumn("monotonic_seconds", F.unix_micros(F.col("ts").cast("timestamp"))))
+    return use.select("run_id", "samples", F.col("sampled_peak_current_rss_bytes").alias("peak"), F.col("current_rss_bytes").alias("last")).join(span, "run_id")
+
+
+@query("calibration_median", "SELECT event_type, median(value) AS median, count(value) AS trials FROM events GROUP BY 1")
+def calibration_median(spark: SparkSession, sf: str) -> DataFrame:
+    return resources.calibrated(table(spark, sf, "events"), "event_type", "value")
+
+
+@query(
+    "cumulative_share",
+    """WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type, n, CAST(sum(n) OVER (ORDER BY event_type) AS BIGINT) AS upto FROM c""",
+)
+def cumulative_share(spark: SparkSession, sf: str) -> DataFrame:
+    counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.withColumn("upto", F.sum("n").over(Window.orderBy("event_type").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
