@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
-from .tokens import encoder
+from .common import materialise, slices, spread
+from .tokens import encoder, with_end
 
 SMALL = 0.25
 GROUPS = 72
@@ -196,18 +196,22 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary_path)
-        tail = np.array([] if end_id is None else [end_id], np.uint32)
         for b in batches:
-            for first, stop in slices(b.column(1)):
-                rows: list[tuple[int, int, int, int, int, bytes]] = []
-                for k in range(first, stop):
-                    ids = np.concatenate([encode(b.column(1)[k].as_py() or ""), tail]).astype("<u4")
-                    for number, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity].tobytes()
-                        rows.append((k, number, at, len(part) // 4, zlib.crc32(part), part if with_ids else b""))
-                at, number, start, length, crc, part = zip(*rows, strict=True) if rows else ((),) * 6
+            for first, stop in slices(b.column(1), 1 << 20):
+                ids, lengths = with_end(*encode([x or "" for x in b.column(1).slice(first, stop - first).to_pylist()]), end_id)
+                ids = ids.astype("<u4")
+                ends = np.cumsum(lengths)
+                n = -(-lengths // capacity)
+                at = np.repeat(np.arange(first, stop), n)
+                number = spread(n)
+                start = number * capacity
+                length = np.minimum(capacity, np.repeat(lengths, n) - start)
+                begin = np.repeat(ends - lengths, n) + start
+                view = memoryview(ids).cast("B")
+                part = [view[4 * x : 4 * (x + m)] for x, m in zip(begin.tolist(), length.tolist(), strict=True)]
+                crc = [zlib.crc32(x) for x in part]
                 columns = [b.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(part, pa.binary())] * with_ids, names=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays(columns + [pa.array([bytes(x) for x in part], pa.binary())] * with_ids, names=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     schema = f"`{id_col}` {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -15,6 +15,9 @@ import numpy as np
 from .common import quiet_threads, spread
 
 
+MARK = "\x02"  # a control character: no vocabulary joins it to what stands before or after it
+
+
 class _Codes(dict):
     """Piece -> code; unknown pieces get the next code and wait to be encoded."""
 
@@ -29,15 +32,27 @@ class _Codes(dict):
 
 
 class PieceEncoder:
-    """encode(texts) -> (flat uint32 ids, number of ids of each text)."""
+    """encode(texts) -> (flat uint32 ids, number of ids of each text).
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    At most `limit` pieces are remembered; then those that were met once only
+    are forgotten.
+    """
+
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = limit
+        # the mark serves where it never changes the ids of the pieces (with their space) before and after it
+        self.joint, self.mark = "", np.zeros(0, np.uint32)
+        for joint in (MARK, f" {MARK}"):
+            mark, seen = self._whole(joint), self._whole(f" ab.{joint} cd{joint} .e")
+            parts = [self._whole(x) for x in (" ab.", " cd", " .e")]
+            if len(mark) and np.array_equal(seen, np.concatenate([parts[0], mark, parts[1], mark, parts[2]])):
+                self.joint, self.mark = joint, mark
+                break
         self._reset()
 
     def _reset(self) -> None:
@@ -45,46 +60,102 @@ class PieceEncoder:
         self.first, self.later = _Codes(self, ""), _Codes(self, " ")
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin, self.length, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.hits = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met again since the last time, at most half of the limit."""
+        hits = self.hits
+        keep = np.flatnonzero(hits > max(1, np.partition(hits, -self.limit // 2)[-self.limit // 2]))
+        new = np.full(self.size, -1)
+        new[keep] = np.arange(len(keep))
+        n = self.length[keep]
+        flat = self.flat[np.repeat(self.begin[keep], n) + spread(n)]
+        to = new.tolist()
+        for codes in (self.first, self.later):
+            kept = [(piece, to[code]) for piece, code in codes.items() if to[code] >= 0]
+            codes.clear()
+            codes.update(kept)
+        self.size, self.used, self.hits = len(keep), len(flat), hits[keep] // 2
+        self.flat[: len(flat)], self.begin[: len(keep)], self.length[: len(keep)] = flat, np.cumsum(n) - n, n
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _batch(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces that begin with a space: one call, where the mark's ids show the ends of pieces."""
+        if self.joint and MARK not in "".join(pieces):
+            ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark[0])
+            if len(at) == len(pieces) - 1:
+                inner = np.ones(len(ids), bool)
+                inner[(at[:, None] + np.arange(len(self.mark))).ravel()] = False
+                return ids[inner], np.concatenate([at, [len(ids)]]) - np.concatenate([[0], at + len(self.mark)])
+        return self._each(pieces)
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for e in each for i in e], np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
     def _learn(self) -> None:
         if not self.waiting:
             return
-        batch = self.tokenizer.encode_batch_fast(self.waiting, add_special_tokens=False)
-        ids = [e.ids for e in batch]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for e in ids for i in e), np.uint32, int(lengths.sum()))
+        flat, lengths = self._batch(self.waiting) if self.waiting[0][:1] == " " else self._each(self.waiting)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.size + len(ids) > len(self.begin):
+        while self.size + len(lengths) > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
         self.flat[self.used : self.used + len(flat)] = flat
-        at = slice(self.size, self.size + len(ids))
+        at = slice(self.size, self.size + len(lengths))
         self.begin[at], self.length[at] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.used, self.size, self.waiting = self.used + len(flat), self.size + len(ids), []
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        pieces = text.split(" ")
-        if len(pieces) > 1 and "" in pieces or any(s in text for s in self.special):
-            return self._whole(text)
+        self.used, self.size, self.waiting = self.used + len(flat), self.size + len(lengths), []
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.size > self.limit:
-            self._reset()
-        codes = np.empty(len(pieces), np.int64)
-        codes[0] = self.first[pieces[0]]
-        codes[1:] = np.fromiter(map(self.later.__getitem__, pieces[1:]), np.int64, len(pieces) - 1)
+            self._forget()
+        pieces: list[str] = []
+        firsts: list[str] = []
+        counts = np.zeros(len(batch), np.int64)
+        whole: dict[int, np.ndarray] = {}
+        for k, text in enumerate(batch):
+            own = text.split(" ")
+            if text and ("" in own or any(s in text for s in self.special)):
+                whole[k] = self._whole(text)
+            elif text and own[0]:
+                firsts.append(own[0])
+                counts[k] = len(own)
+                pieces += own[1:]
+        starts = (np.cumsum(counts) - counts)[counts > 0]
+        codes = np.empty(int(counts.sum()), np.int64)
+        at_first = np.zeros(len(codes), bool)
+        at_first[starts] = True
+        codes[at_first] = np.fromiter(map(self.first.__getitem__, firsts), np.int64, len(firsts))
+        self._learn()
+        codes[~at_first] = np.fromiter(map(self.later.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
+        seen = np.bincount(codes, minlength=self.size)
+        seen[: len(self.hits)] += self.hits
+        self.hits = seen
         n = self.length[codes]
-        return self.flat[np.repeat(self.begin[codes], n) + spread(n)]
+        ids = self.flat[np.repeat(self.begin[codes], n) + spread(n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
+        lengths = np.diff(np.concatenate([[0], ends]))
+        if whole:
+            parts = np.split(ids, ends[:-1])
+            for k, own in whole.items():
+                parts[k], lengths[k] = own, len(own)
+            ids = np.concatenate(parts)
+        return ids, lengths
+
+
+def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Append the end id to each text's ids."""
+    return (ids, lengths) if end_id is None else (np.insert(ids, np.cumsum(lengths), np.uint32(end_id)), lengths + 1)
 
 
 _KEPT: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> Callable[[str], np.ndarray]:
+def encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """One encoder for each vocabulary and Python worker."""
     if path not in _KEPT:
         _KEPT[path] = PieceEncoder(path)

@@ -27,8 +27,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
-from .tokens import encoder
+from .common import materialise, shared_dir, slices
+from .tokens import encoder, with_end
 
 MAGIC = b"GLWM0001"
 BLOCK = 1 << 16
@@ -193,19 +193,20 @@ def write_shards(docs: DataFrame, path: str, vocabulary_path: str, end_id: int |
         shard = TaskContext.get().partitionId()
         encode = encoder(vocabulary_path)
         ids: list[np.ndarray] = []
-        lengths: list[int] = []
+        lengths: list[np.ndarray] = []
         doc_ids: list[np.ndarray] = []
-        tail = np.array([] if end_id is None else [end_id], np.uint32)
         for b in batches:
             doc_ids.append(b.column(0).to_numpy())
-            for k in range(b.num_rows):
-                found = encode(b.column(1)[k].as_py())
-                ids += [found.astype(np.uint16) if not len(found) or found.max() < 1 << 16 else found, tail.astype(np.uint16) if end_id is None or end_id < 1 << 16 else tail]
-                lengths.append(len(found) + len(tail))
+            for first, stop in slices(b.column(1), 1 << 20):
+                found, n = with_end(*encode(b.column(1).slice(first, stop - first).to_pylist()), end_id)
+                ids.append(found.astype(np.uint16) if not len(found) or found.max() < 1 << 16 else found)
+                lengths.append(n)
         if not lengths:
             return
         whole = np.concatenate(ids)
-        blob = WaveletMatrix.encode(whole, np.concatenate(doc_ids), np.array(lengths, np.int64))
+        ids.clear()
+        counts = np.concatenate(lengths)
+        blob = WaveletMatrix.encode(whole, np.concatenate(doc_ids), counts)
         fs, base = pafs.FileSystem.from_uri(path)
         fs.create_dir(base, recursive=True)
         name = f"shard-{shard:06d}.wvm"
@@ -213,7 +214,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary_path: str, end_id: int |
         with fs.open_output_stream(temporary) as out:
             out.write(blob)
         fs.move(temporary, f"{base}/{name}")
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (name, pa.string()), (len(lengths), pa.int64()), (len(whole), pa.int64()))], names=["shard", "file", "n_docs", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (name, pa.string()), (len(counts), pa.int64()), (len(whole), pa.int64()))], names=["shard", "file", "n_docs", "n_tokens"])
 
     return materialise(dealt.mapInArrow(run, "shard int, file string, n_docs long, n_tokens long"))
 
