@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, texts
-from .repeats import SLICE, buckets_for, gathered, mix, range_hashes, repeated_keys, unpack, words_of
+from .repeats import NARROW, body_slices, buckets_for, exact_copies, gathered, held_texts, low, mix, range_hashes, repeated_keys, unpack, words_of
 
 ROUNDS = 5
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -103,7 +102,7 @@ def _windows(per: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[text] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), text
 
 
-def candidates(batch: list[bytes], names: list[list[bytes] | None], width: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(batch: list[bytes], names: list[bytes | None], width: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, words of each text, first words, texts) of the windows that can be repeated.
 
     names: the repeated symbols of each text. A window stays when all symbols of
@@ -117,9 +116,9 @@ def candidates(batch: list[bytes], names: list[list[bytes] | None], width: int,
     p, q = inner(history, first, first + width)
     symbols = np.bincount(np.repeat(np.arange(len(per)), per)[at], minlength=len(per))
     single, lo = np.ones(len(s), bool), 0
-    for blobs, n in zip(names, symbols.tolist(), strict=True):
-        if blobs and n:
-            single[lo : lo + n] = ~np.isin(s[lo : lo + n], unpack(blobs))
+    for blob, n in zip(names, symbols.tolist(), strict=True):
+        if blob and n:
+            single[lo : lo + n] = ~np.isin(low(s[lo : lo + n], NARROW), unpack(blob, NARROW))
         lo += n
     unlike = np.concatenate([[0], np.cumsum(single)])
     maybe = (p >= q) | (unlike[np.maximum(q, p)] == unlike[p])
@@ -127,7 +126,7 @@ def candidates(batch: list[bytes], names: list[list[bytes] | None], width: int,
 
 
 def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """Per row: id, n_words, n_removed, kept (the words that stay, joined by a space) and its sha256.
+    """Per row: id, n_words, n_removed, kept (the words that stay, joined by a space).
 
     A word goes when a window of `width` words over it starts anywhere else too, in
     the same text or another. Null texts have no words; a repeated row is a
@@ -137,81 +136,55 @@ def repeated_windows(docs: DataFrame, width: int = 35, id_col: str = "doc_id", t
     Exact copies are grouped first: one copy stands for all, and counts twice.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    base = base.withColumn("row_key", F.xxhash64("id", "text"))
-    buckets = buckets_for(base, "text")
+    held = held_texts(docs, id_col, text_col)
+    buckets = buckets_for(held)
 
-    def names(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def names(_: dict[str, pa.Array], batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words, per = words_of(batch)
         s, at, _ = compress(words, _begins(per, len(words)), rounds)
         text = np.repeat(np.arange(len(per)), per)
         long = (per >= width)[text[at]]
         return text[at][long], s[long], np.zeros(int(long.sum()), bool)
 
-    flagged = gathered(repeated_keys(base.select("row_key", "text"), [], names, buckets), "names")
-    content = base.where(F.length("text") > 0).select("row_key", F.md5("text").alias("digest"))
-    same = content.groupBy("digest").agg(F.count("*").alias("copies"), F.min("row_key").alias("chosen")).where("copies > 1")
-    copies = content.join(same, "digest").groupBy("row_key").agg(F.max((F.col("row_key") == F.col("chosen")).cast("int")).alias("chosen"))
-    plan = flagged.join(copies, "row_key", "full")
-    joined = base.join(plan, "row_key", "left")
+    def window_keys(columns: dict[str, pa.Array], batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words, _, first, text = candidates(batch, columns["names"].to_pylist(), width, rounds)
+        least, own = columns["least"].to_pylist(), columns["row_key"].to_pylist()
+        tells = np.array([a is None or a == b for a, b in zip(least, own, strict=True)], bool)
+        many = np.array([a is not None for a in least], bool)
+        first, text = first[tells[text]], text[tells[text]]
+        return text, range_hashes(words, first, first + width), many[text]
 
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Settle texts without candidate windows; keep the others' text."""
-        for b in batches:
-            get = {f.name: b.column(k) for k, f in enumerate(b.schema)}
-            for start, stop in slices(get["text"], SLICE):
-                batch = texts(get["text"], start, stop)
-                _, per, _, text = candidates(batch, get["names"].slice(start, stop - start).to_pylist(), width, rounds)
-                hopeful = np.bincount(text, minlength=len(per)) > 0
-                copy = get["chosen"].slice(start, stop - start).to_pylist()
-                rows = []
-                for k, t in enumerate(batch):
-                    whole = copy[k] is not None and per[k] >= width
-                    # a copy that isn't its group's representative has nothing to tell the others
-                    open_ = bool(hopeful[k]) and (copy[k] is None or copy[k] == 1)
-                    kept = None if open_ and not whole else b"" if whole else b" ".join(t.split())
-                    rows.append((int(per[k]), bool(whole), t.decode() if open_ else None, kept.decode() if kept is not None else None))
-                n_words, whole, text_, kept = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [get["id"].slice(start, stop - start), get["row_key"].slice(start, stop - start), pa.array(n_words, pa.int64()), pa.array(whole, pa.bool_()), pa.array(text_, pa.string()), pa.array(kept, pa.string()), get["names"].slice(start, stop - start)],
-                    names=["id", "row_key", "n_words", "whole", "text", "kept", "names"],
-                )
-
-    found = materialise(joined.select("id", "row_key", "text", "names", "chosen").mapInArrow(narrow, f"id {kind}, row_key long, n_words long, whole boolean, text string, kept string, names array<binary>"))
-
-    def window_keys(batch: list[bytes], whole: pa.Array, names: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words, _, first, text = candidates(batch, names.to_pylist(), width, rounds)
-        return text, range_hashes(words, first, first + width), whole.to_numpy(zero_copy_only=False)[text]
-
-    open_ = found.where("text is not null")
-    windows = gathered(repeated_keys(open_.select("row_key", "text", "whole", "names"), ["whole", "names"], window_keys, buckets), "windows")
-    ready = open_.where("not whole").select("id", "row_key", "n_words", "text").join(windows, "row_key", "left")
+    copies = exact_copies(held).select("row_key", "least")
+    flagged = gathered(repeated_keys(held, names, buckets, width=NARROW), "names", NARROW)
+    planned = held.join(flagged, "row_key", "left").join(copies, "row_key", "left")
+    windows = gathered(repeated_keys(planned, window_keys, buckets), "windows", 8)
+    ready = held.join(windows, "row_key", "left").join(copies, "row_key", "left").select("id", "size", "body", "windows", F.col("least").isNotNull().alias("whole"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            get = {f.name: b.column(k) for k, f in enumerate(b.schema)}
-            for start, stop in slices(get["text"], SLICE):
-                batch = texts(get["text"], start, stop)
+            for columns, batch in body_slices(b):
                 words, per = words_of(batch)
+                blobs, whole = columns["windows"].to_pylist(), columns["whole"].to_pylist()
                 first, text = _windows(per, width)
+                asked = np.array([x is not None and not w for x, w in zip(blobs, whole, strict=True)], bool)
+                first, text = first[asked[text]], text[asked[text]]
                 h = range_hashes(words, first, first + width)
                 starts, bounds = np.cumsum(per) - per, np.searchsorted(text, np.arange(len(per) + 1))
-                removed, kept = [], []
-                for k, blobs in enumerate(get["windows"].slice(start, stop - start).to_pylist()):
-                    own = slice(bounds[k], bounds[k + 1])
-                    hit = np.isin(h[own], unpack(blobs))
-                    edge = np.zeros(int(per[k]) + 1, np.int64)
-                    at = first[own][hit] - starts[k]
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + width, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    own_words = batch[k].split()
-                    kept.append(b" ".join([w for w, g in zip(own_words, gone.tolist(), strict=True) if not g]).decode())
-                    removed.append(int(gone.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [get["id"].slice(start, stop - start), get["n_words"].slice(start, stop - start), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"]
-                )
-
-    cut_rows = ready.select("id", "n_words", "text", "windows").mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept string")
-    settled = found.where("kept is not null").select("id", "n_words", F.when(F.col("whole"), F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), "kept")
-    return settled.union(cut_rows).withColumnRenamed("id", id_col)
+                removed, kept = np.zeros(len(per), np.int64), []
+                for k, t in enumerate(batch):
+                    own_words = t.split()
+                    if whole[k] and per[k] >= width:
+                        removed[k], own_words = per[k], []
+                    elif asked[k]:
+                        own = slice(bounds[k], bounds[k + 1])
+                        at = first[own][np.isin(h[own], unpack(blobs[k]))] - starts[k]
+                        edge = np.zeros(int(per[k]) + 1, np.int64)
+                        np.add.at(edge, at, 1)
+                        np.add.at(edge, at + width, -1)
+                        gone = np.cumsum(edge[:-1]) > 0
+                        removed[k] = gone.sum()
+                        own_words = [w for w, g in zip(own_words, gone.tolist(), strict=True) if not g]
+                    kept.append(b" ".join(own_words))
+                yield pa.RecordBatch.from_arrays([columns["id"], pa.array(per.astype(np.int64)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
+
+    return ready.mapInArrow(cut, f"`{id_col}` {kind}, n_words long, n_removed long, kept string")

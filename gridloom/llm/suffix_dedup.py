@@ -6,7 +6,7 @@ Only anchors whose GRAM bytes occur in two documents matter; each sends the byte
 around it (its context: all that a string over it can reach) to a bucket.
 
 In a bucket the contexts of an anchor, to its right and, reversed, to its left,
-are strings over eight-byte symbols in byte order. One suffix array over all of
+are strings over symbols of SYMBOL bytes in byte order. One suffix array over all of
 them, built by linear grouping, puts them in order; common prefixes of
 neighbours then say which strings of `length` bytes are equal: those whose
 right parts and left parts fall into one interval each. The least document of
@@ -25,11 +25,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, spread, texts
+from .common import spread
 from .gsaca import suffix_array
-from .repeats import SLICE, buckets_for, gathered, mix, repeated_keys, unpack
+from .repeats import NARROW, REPLY, REPLY_SCHEMA, body_slices, buckets_for, exact_copies, gathered, held_texts, low, mix, repeated_keys, replies, reply_table, unpack
 
 GRAM = 16
+SYMBOL = 12
+CONTEXT_BYTES = 6 << 20  # bytes of text for each bucket of contexts: a suffix array in Python lists is large
 BASE = 0x5851F42D4C957F2D
 PAD = 0xFF  # never a byte of UTF-8
 
@@ -85,41 +87,49 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+def _names(rows: np.ndarray, group: np.ndarray | None) -> np.ndarray:
+    """Rank of each row of bytes among all of them, within its group if there is one."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    lanes = list(wide.view(">u8").astype(np.uint64).T)
+    keys = ([] if group is None else [group]) + lanes
+    order = np.lexsort(keys[::-1])
+    fresh = np.zeros(len(rows), bool)
+    for key in keys:
+        fresh[1:] |= key[order][1:] != key[order][:-1]
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
 def _ranked(strings: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each (group, rows of bytes): the rank of each row, and the common prefix of each rank with the one before.
 
     Ranks are by group and then by bytes; the common prefix is -1 at a group's
-    first rank. One suffix array serves all sets.
+    first rank. A row is a string of symbols of SYMBOL bytes; its first symbol
+    also holds its group, so strings of a group are neighbours. All strings of
+    all sets are joined and share one suffix array.
     """
-    symbols, sets, parts, begins, at = [], [], [], [], 0
+    sets, parts, at, base = [], [], 0, 0
     for group, rows in strings:
         _, chosen, inverse = np.unique(mix(group) ^ _row_hash(rows), return_index=True, return_inverse=True)
-        own, width = rows[chosen], -(-rows.shape[1] // 8)
-        wide = np.zeros((len(own), 8 * width), np.uint8)
-        wide[:, : rows.shape[1]] = own
-        symbols.append(wide.view(">u8").astype(np.uint64))
-        sets.append((group[chosen], own, inverse.ravel()))
-    values = np.unique(np.concatenate([x.ravel() for x in symbols]))
-    n_groups, names = 0, []
-    for group, _, _ in sets:
-        kinds, name = np.unique(group, return_inverse=True)
-        names.append(name.ravel() + n_groups)
-        n_groups += len(kinds)
-    for x, name in zip(symbols, names, strict=True):
-        # separator, group, symbols: the group comes first, as all strings of a group are to be neighbours
-        string = np.concatenate([1 + len(values) + name[:, None], 1 + np.searchsorted(values, x), np.zeros((len(x), 1), np.int64)], axis=1).astype(np.int64)
-        begins.append(at + np.arange(len(string)) * string.shape[1])
+        own = rows[chosen]
+        columns = [own[:, k : k + SYMBOL] for k in range(0, own.shape[1], SYMBOL)]
+        later = _names(np.concatenate([np.pad(c, ((0, 0), (0, SYMBOL - c.shape[1]))) for c in columns[1:]]), None).reshape(len(columns) - 1, -1) if len(columns) > 1 else np.zeros((0, len(own)), np.int64)
+        first = _names(columns[0], group[chosen])
+        string = np.concatenate([first[None], later]).T + base
+        base = int(string.max(initial=base)) + 1
+        sets.append((group[chosen], own, inverse.ravel(), at + np.arange(len(string)) * string.shape[1]))
         at += string.size
         parts.append(string.ravel())
     order = suffix_array(np.concatenate(parts))
     rank_of = np.empty(len(order), np.int64)
     rank_of[order] = np.arange(len(order))
     out = []
-    for (group, own, inverse), begin in zip(sets, begins, strict=True):
-        ranks = rank_of[begin]
-        by_rank = np.argsort(ranks)
-        place = np.empty(len(ranks), np.int64)
-        place[by_rank] = np.arange(len(ranks))
+    for group, own, inverse, begin in sets:
+        by_rank = np.argsort(rank_of[begin])
+        place = np.empty(len(begin), np.int64)
+        place[by_rank] = np.arange(len(begin))
         rows, groups = own[by_rank], group[by_rank]
         common = np.full(len(rows), -1, np.int64)
         if len(rows) > 1:
@@ -129,6 +139,11 @@ def _ranked(strings: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarr
     return out
 
 
+def _pairs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Ranges as rows of eight bytes."""
+    return np.ascontiguousarray(np.stack([lo, hi], axis=1).astype("<u4")).view(np.uint8).reshape(-1, 8)
+
+
 def covered_ranges(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each entry (document order `doc`, context number `which`): the covered range, relative to its anchor.
 
@@ -180,59 +195,38 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         raise ValueError(f"length must exceed {GRAM}")
     reach = length - GRAM
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    base = base.withColumns({"row_key": F.xxhash64("id", "text"), "place": F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))})
-    buckets = buckets_for(base, "text")
+    held = held_texts(docs, id_col, text_col)
+    buckets, context_buckets = buckets_for(held), buckets_for(held, CONTEXT_BYTES)
 
-    def grams(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def grams(_: dict[str, pa.Array], batch: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         buf, begin, sizes = joined(batch, reach)
         at, h = anchors(buf, begin, sizes, length)
         return np.searchsorted(begin, at, "right") - 1, h, np.zeros(len(at), bool)
 
-    flagged = gathered(repeated_keys(base.select("row_key", "text"), [], grams, buckets, across_rows=True), "grams")
-    content = base.where(F.length("text") > 0).select("row_key", "place", F.md5("text").alias("digest"))
-    same = content.groupBy("digest").agg(F.count("*").alias("copies"), F.min("place").alias("first")).where("copies > 1")
-    copies = content.join(same, "digest").where(F.col("place") > F.col("first")).select("row_key", F.lit(True).alias("copy")).distinct()
-    plan = flagged.join(copies, "row_key", "full")
-    planned = base.join(plan, "row_key", "left")
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Settle copies and texts without shared anchors; keep the others' text and the anchors' places."""
-        for b in batches:
-            get = {f.name: b.column(k) for k, f in enumerate(b.schema)}
-            for start, stop in slices(get["text"], SLICE):
-                batch = texts(get["text"], start, stop)
-                copy = get["copy"].slice(start, stop - start).fill_null(False).to_pylist()
-                buf, begin, sizes = joined(batch, reach)
-                at, h = anchors(buf, begin, sizes, length)
-                bounds = np.searchsorted(at, np.concatenate([begin, [len(buf)]]))
-                open_, rows = [], []
-                for k, blobs in enumerate(get["grams"].slice(start, stop - start).to_pylist()):
-                    whole = copy[k] and sizes[k] >= length
-                    own = at[bounds[k] : bounds[k + 1]][np.isin(h[bounds[k] : bounds[k + 1]], unpack(blobs))] - begin[k] if blobs and not whole and not copy[k] else at[:0]
-                    open_.append(own.astype("<u4").tobytes() if len(own) else None)
-                    kept = b"" if whole else batch[k]
-                    rows.append((int(sizes[k]), int(sizes[k]) if whole else 0, int(whole), hashlib.sha256(kept).hexdigest(), batch[k] if len(own) else None, None if len(own) else kept))
-                columns = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
-                out = [get[c].slice(start, stop - start) for c in ("id", "row_key", "place")]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)] + [pa.array(open_, pa.binary())], names=["id", "row_key", "place", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "kept", "anchors"])
-
-    schema = f"id {kind}, row_key long, place long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text binary, kept binary, anchors binary"
-    found = materialise(planned.select("id", "row_key", "place", "text", "grams", "copy").mapInArrow(narrow, schema))
-    open_rows = found.where("text is not null")
-    names = ["bucket", "row_key", "ranges", "grams", "contexts", "rows", "places", "entries"]
+    flagged = gathered(repeated_keys(held, grams, buckets, across_rows=True, width=NARROW), "grams", NARROW)
+    copies = exact_copies(held).join(held.select("row_key", "place").distinct(), "row_key").where("place > first").select("row_key", F.lit(True).alias("copy"))
+    planned = held.join(flagged, "row_key", "left").join(copies, "row_key", "left").where("copy is null and grams is not null")
+    names = ["bucket", *REPLY, "grams", "contexts", "rows", "places", "asks"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts of a slice's anchors by bucket; of equal contexts only the slice's first document asks."""
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for b in batches:
-            for start, stop in slices(b.column(2), SLICE):
-                batch = texts(b.column(2), start, stop)
-                keys, place = (b.column(c).slice(start, stop - start).to_numpy() for c in (0, 1))
-                buf, begin, _ = joined(batch, reach)
-                each = [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column(3).slice(start, stop - start).to_pylist()]
-                n = np.fromiter(map(len, each), np.int64, len(each))
-                doc, at = np.repeat(np.arange(len(each)), n), np.concatenate(each)
+            for columns, batch in body_slices(b):
+                keys, place = (columns[c].to_numpy() for c in ("row_key", "place"))
+                buf, begin, sizes = joined(batch, reach)
+                found, hashes = anchors(buf, begin, sizes, length)
+                bounds = np.searchsorted(found, np.concatenate([begin, [len(buf)]]))
+                shared = np.zeros(len(found), bool)
+                for k, blob in enumerate(columns["grams"].to_pylist()):
+                    own = slice(bounds[k], bounds[k + 1])
+                    shared[own] = np.isin(low(hashes[own], NARROW), unpack(blob, NARROW))
+                if not shared.any():
+                    continue
+                doc = np.repeat(np.arange(len(batch)), np.diff(bounds))[shared]
+                at = found[shared] - begin[doc]
                 view = sliding_window_view(buf, 2 * reach + GRAM)
                 context = view[at + begin[doc] - reach]
                 h = _row_hash(context[:, reach : reach + GRAM])
@@ -250,39 +244,38 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 # the others' contexts are whole in an earlier document
                 size = np.fromiter(map(len, batch), np.int64, len(batch))
                 lo, hi = np.maximum(at - reach, 0)[~asks], np.minimum(at + GRAM + reach, size[doc])[~asks]
-                settled = doc[~asks]
-                cuts = np.searchsorted(settled, np.arange(len(batch) + 1))
-                for k in np.unique(settled).tolist():
-                    own = slice(cuts[k], cuts[k + 1])
-                    put(bucket=int(keys[k]) % buckets, row_key=int(keys[k]), ranges=np.stack([lo[own], hi[own]], axis=1).astype("<u4").tobytes())
-                bucket = (mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(buckets)).astype(np.int64)
+                for part, *rest in replies(keys[doc[~asks]], _pairs(lo, hi), context_buckets):
+                    put(bucket=part, part=part, **dict(zip(REPLY[1:], rest, strict=True)))
+                bucket = (mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(context_buckets)).astype(np.int64)
                 order = np.argsort(bucket[first], kind="stable")
                 number = np.empty(len(first), np.int64)
                 number[order] = np.arange(len(first))
-                edges = np.searchsorted(bucket[first][order], np.arange(buckets + 1))
+                edges = np.searchsorted(bucket[first][order], np.arange(context_buckets + 1))
                 entry = np.flatnonzero(asks)
                 entry = entry[np.argsort(bucket[entry], kind="stable")]
-                splits = np.searchsorted(bucket[entry], np.arange(buckets + 1))
-                for k in range(buckets):
+                splits = np.searchsorted(bucket[entry], np.arange(context_buckets + 1))
+                for k in range(context_buckets):
                     chosen = first[order[edges[k] : edges[k + 1]]]
                     if len(chosen):
                         own = entry[splits[k] : splits[k + 1]]
                         used, code = np.unique(doc[own], return_inverse=True)
                         triple = np.stack([number[inverse[own]] - edges[k], code.ravel(), at[own]], axis=1)
-                        put(bucket=k, grams=h[chosen].tobytes(), contexts=context[chosen].tobytes(), rows=keys[used].tobytes(), places=place[used].tobytes(), entries=triple.astype("<u4").tobytes())
-                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
+                        put(bucket=k, grams=h[chosen].tobytes(), contexts=squeeze(context[chosen].tobytes()), rows=keys[used].tobytes(), places=place[used].tobytes(), asks=triple.astype("<u4").tobytes())
+                kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 8)
                 yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in zip(names, kinds, strict=True)], names=names)
 
     def answer(group: pa.Table) -> pa.Table:
-        done = group.filter(pc.is_valid(group["row_key"]))
-        sent = group.filter(pc.is_null(group["row_key"]))
-        keys, ranges = done["row_key"].to_pylist(), done["ranges"].to_pylist()
+        done, sent = group.filter(pc.is_valid(group["part"])), group.filter(pc.is_null(group["part"]))
+        out = [tuple(r.values()) for r in done.select(REPLY).to_pylist()]
         if len(sent):
+            import zstandard
+
+            expand = zstandard.ZstdDecompressor().decompress
             gram, context, row, place, which, at, shift = [], [], [], [], [], [], 0
-            for g, c, r, p, e in zip(*(sent[x].to_pylist() for x in names[3:]), strict=True):
+            for g, c, r, p, e in zip(*(sent[x].to_pylist() for x in names[5:]), strict=True):
                 e = np.frombuffer(e, "<u4").reshape(-1, 3).astype(np.int64)
                 gram.append(np.frombuffer(g, np.uint64))
-                context.append(np.frombuffer(c, np.uint8).reshape(len(gram[-1]), -1))
+                context.append(np.frombuffer(expand(c), np.uint8).reshape(len(gram[-1]), -1))
                 which.append(e[:, 0] + shift)
                 row.append(np.frombuffer(r, np.int64)[e[:, 1]])
                 place.append(np.frombuffer(p, np.int64)[e[:, 1]])
@@ -293,35 +286,31 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             _, first, inverse = np.unique(_row_hash(context), return_index=True, return_inverse=True)
             low, high = covered_ranges(gram[first], context[first], place, inverse.ravel()[which], length)
             some = high > low
-            row, lo, hi = row[some], (at + low)[some], (at + high)[some]
-            order = np.argsort(row, kind="stable")
-            row, pair = row[order], np.stack([lo, hi], axis=1)[order].astype("<u4")
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1, [len(row)]]) if len(row) else np.zeros(1, np.int64)
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                keys.append(int(row[a]))
-                ranges.append(pair[a:z].tobytes())
-        return pa.table({"row_key": pa.array(keys, pa.int64()), "keys": pa.array(ranges, pa.binary())})
-
-    sent = open_rows.select("row_key", "place", "text", "anchors").mapInArrow(send, "bucket int, row_key long, ranges binary, grams binary, contexts binary, rows binary, places binary, entries binary")
-    replies = gathered(sent.groupBy("bucket").applyInArrow(answer, "row_key long, keys binary"), "ranges")
-    ready = open_rows.select("id", "row_key", "n_bytes", "text").join(replies, "row_key", "left")
+            out += replies(row[some], _pairs((at + low)[some], (at + high)[some]), context_buckets)
+        return reply_table(out)
+
+    sent = planned.select("row_key", "place", "size", "body", "grams").mapInArrow(send, "bucket int, " + REPLY_SCHEMA + ", grams binary, contexts binary, rows binary, places binary, asks binary")
+    ranges = gathered(sent.groupBy("bucket").applyInArrow(answer, REPLY_SCHEMA), "ranges", 8)
+    ready = held.join(ranges, "row_key", "left").join(copies, "row_key", "left").select("id", "size", "body", "ranges", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text, blobs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                edge = np.zeros(len(text) + 1, np.int64)
-                for blob in blobs or ():
-                    pair = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
-                    np.add.at(edge, pair[:, 0], 1)
-                    np.add.at(edge, pair[:, 1], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                spans = int((np.diff(np.concatenate([[False], gone]).view(np.int8)) == 1).sum())
-                rows.append((int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    cut_rows = ready.select("id", "n_bytes", "text", "ranges").mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    settled = found.where("text is null").select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    return settled.union(cut_rows).withColumnRenamed("id", id_col)
+            for columns, batch in body_slices(b):
+                rows = []
+                for text, blob, copy in zip(batch, columns["ranges"].to_pylist(), columns["copy"].to_pylist(), strict=True):
+                    removed, spans, kept = 0, 0, text
+                    if copy and len(text) >= length:
+                        removed, spans, kept = len(text), 1, b""
+                    elif blob:
+                        edge = np.zeros(len(text) + 1, np.int64)
+                        pair = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
+                        np.add.at(edge, pair[:, 0], 1)
+                        np.add.at(edge, pair[:, 1], -1)
+                        gone = np.cumsum(edge[:-1]) > 0
+                        kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                        removed, spans = int(gone.sum()), int((np.diff(np.concatenate([[False], gone]).view(np.int8)) == 1).sum())
+                    rows.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
+                values = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([columns["id"], *values], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return ready.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
