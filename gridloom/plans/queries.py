@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grids, validation
-from ..operators import baseline, cluster, evidence, overlap, resources, scoring, splits, stats
+from ..operators import baseline, cluster, evidence, manifests, overlap, resources, runs, scoring, splits, stats, variants
 from .projections import GRID_SQL, flat_cells, order_grids, order_tasks, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -732,3 +732,87 @@ def calibration_median(spark: SparkSession, sf: str) -> DataFrame:
 def cumulative_share(spark: SparkSession, sf: str) -> DataFrame:
     counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     return counts.withColumn("upto", F.sum("n").over(Window.orderBy("event_type").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+# ---- variants, manifests, documents
+
+
+@query(
+    "variant_categories",
+    f"""WITH {GRID_SQL}, o AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey), t AS (SELECT o_custkey, count(*) AS n FROM o GROUP BY 1 HAVING count(*) >= 2),
+    d AS (SELECT n - 1 AS demos FROM t WHERE o_custkey % 10 = 1)
+    SELECT category, n, true AS round_trips FROM (
+      SELECT 'd4_only' AS category, count(*) * 8 AS n FROM d UNION ALL SELECT 'color_only', count(*) * 4 FROM d UNION ALL SELECT 'd4_plus_color', count(*) * 4 FROM d
+      UNION ALL SELECT 'demonstration_order', count(*) * 2 FROM d WHERE demos >= 3) WHERE n > 0""",
+)
+def variant_categories(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = order_tasks(spark, sf).where("cast(task_id as long) % 10 = 1").withColumn("idx", F.col("task_id").cast("long") % 97)
+    return variants.categories(variants.design(tasks, splits.color_maps("gridloom", [1, 2, 3, 4])))
+
+
+@query("variant_latin_balance")
+def variant_latin_balance(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = order_tasks(spark, sf).where("cast(task_id as long) % 10 = 1").withColumn("idx", F.col("task_id").cast("long") % 97)
+    return variants.latin_balance(variants.design(tasks, splits.color_maps("gridloom", [1, 2, 3, 4])))
+
+
+@query("label_mutation_audit")
+def label_mutation_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.mutation_audit(order_tasks(spark, sf).where("cast(task_id as long) % 5 = 1"))
+
+
+@query("json_keys", "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1")
+def json_keys(spark: SparkSession, sf: str) -> DataFrame:
+    keys = table(spark, sf, "events").select(F.explode(F.json_object_keys("props")).alias("key"))
+    return evidence.histogram(keys, "key")
+
+
+@query("reproduction_funnel", """WITH l AS (SELECT user_id % 7 AS m, event_type, CASE WHEN value > 50 THEN 'passed' ELSE 'failed' END AS status, row_number() OVER (PARTITION BY user_id % 7, event_type ORDER BY CAST(value AS VARCHAR) DESC, CAST(event_id AS VARCHAR) DESC) AS r FROM events),
+    g AS (SELECT m, t FROM (SELECT DISTINCT user_id % 7 AS m FROM events), (VALUES ('click'), ('view'), ('audit')) AS v(t))
+    SELECT CAST(g.m AS VARCHAR) AS method_id, g.t AS layer, CASE WHEN g.t = 'view' THEN 'passed' END AS declared, l.status AS observed, (CASE WHEN g.t = 'view' THEN 'passed' END) IS NOT DISTINCT FROM l.status AS agrees
+    FROM g LEFT JOIN l ON l.m = g.m AND l.event_type = g.t AND l.r = 1""")
+def reproduction_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    method = F.pmod("user_id", F.lit(7)).cast("string").alias("method_id")
+    records = e.select(method, F.col("event_type").alias("layer"), F.when(F.col("value") > 50, "passed").otherwise("failed").alias("status"), F.lit(None).cast("string").alias("started"), F.col("value").cast("string").alias("ended"), F.col("event_id").cast("string").alias("path"))
+    declared = e.select(method).distinct().select("method_id", F.lit("view").alias("layer"), F.lit("passed").alias("status"))
+    return manifests.reproduction_funnel(records, declared, ["click", "view", "audit"])
+
+
+@query("benchmark_totals", """WITH t AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT o_orderkey) >= 2),
+    r AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS benchmark, CASE WHEN o_custkey % 3 = 0 THEN 'evaluation' ELSE 'training' END AS split, n FROM t)
+    SELECT benchmark, split, count(*) AS tasks, CAST(sum(n - 1) AS BIGINT) AS train_pairs, count(*) AS test_pairs, CAST(sum(n) AS BIGINT) AS bytes FROM r GROUP BY ROLLUP (benchmark, split)""")
+def benchmark_totals(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("task_id").cast("long")
+    tasks = order_tasks(spark, sf).select(F.when(key % 2 == 0, "a").otherwise("b").alias("benchmark"), F.when(key % 3 == 0, "evaluation").otherwise("training").alias("split"), "task", (F.size("task.train") + F.size("task.test")).alias("bytes"))
+    return manifests.benchmark_totals(tasks)
+
+
+@query("input_verification", """WITH d AS (SELECT doc_id % 200 AS path, min(sha256(text)) AS sha FROM documents GROUP BY 1), o AS (SELECT doc_id AS path, sha256(text) AS sha FROM documents WHERE doc_id < 150)
+    SELECT CAST(d.path AS VARCHAR) AS path, CASE WHEN o.sha IS NULL THEN 'missing' WHEN o.sha <> d.sha THEN 'mismatch' END AS error FROM d LEFT JOIN o ON o.path = d.path""")
+def input_verification(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    declared = docs.groupBy(F.pmod("doc_id", F.lit(200)).cast("string").alias("path")).agg(F.min("sha256").alias("sha256")).select(F.lit("input").alias("role"), "path", "sha256")
+    observed = docs.where("doc_id < 150").select(F.col("doc_id").cast("string").alias("path"), "sha256", F.lit(0).alias("bytes"))
+    return evidence.verify_inputs(declared, observed).select("path", "error")
+
+
+EVENT_SCHEMA = {
+    "type": "object", "required": ["k"], "additionalProperties": True,
+    "properties": {"k": {"type": ["integer", "string", "null"]}},
+}
+
+
+@query("json_schema_issues")
+def json_schema_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Issues of every event's properties under a small schema."""
+    rows = table(spark, sf, "events").select(runs.document_issues(EVENT_SCHEMA)("props").alias("issues"))
+    return rows.select(F.explode_outer("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@query("json_pointer_assertions")
+def json_pointer_assertions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event's properties as evidence: its first key must exist and equal itself."""
+    docs = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.col("props").alias("text"), F.get(F.json_object_keys("props"), F.lit(0)).alias("key"))
+    asked = docs.select(F.lit("gate").alias("gate_id"), "path", F.concat(F.lit("/"), "key").alias("pointer"), F.lit("null").alias("equals"))
+    return evidence.evaluate_assertions(asked, docs).groupBy("gate_id", "passed").agg(F.count("*").alias("n"))
