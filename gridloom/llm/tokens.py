@@ -17,6 +17,8 @@ from .common import quiet_threads, spread
 
 MARK = "\x02"  # a control character: no vocabulary joins it to what stands before or after it
 
+UNSURE = ("\u03a3", "\u0130")  # capital sigma, dotted capital I
+
 
 class _Codes(dict):
     """Piece -> code; unknown pieces get the next code and wait to be encoded."""
@@ -38,13 +40,15 @@ class PieceEncoder:
     are forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000) -> None:
         quiet_threads()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = limit
+        # a vocabulary that lower-cases: pieces are remembered in lower case, but for the letters whose lower case depends on the library
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
         # the mark serves where it never changes the ids of the pieces (with their space) before and after it
         self.joint, self.mark = "", np.zeros(0, np.uint32)
         for joint in (MARK, f" {MARK}"):
@@ -117,9 +121,11 @@ class PieceEncoder:
         counts = np.zeros(len(batch), np.int64)
         whole: dict[int, np.ndarray] = {}
         for k, text in enumerate(batch):
+            if self.lower and not any(s in text for s in UNSURE):
+                text = text.lower()
             own = text.split(" ")
-            if text and ("" in own or any(s in text for s in self.special)):
-                whole[k] = self._whole(text)
+            if text and ("" in own or any(s in batch[k] for s in self.special)):
+                whole[k] = self._whole(batch[k])
             elif text and own[0]:
                 firsts.append(own[0])
                 counts[k] = len(own)
