@@ -68,15 +68,19 @@ class WaveletMatrix:
             return [at - len(squeezed), len(squeezed)]
 
         for k in range(bits - 1, -1, -1):
-            one = (seq >> k) & 1 == 1
+            one = (seq & seq.dtype.type(1 << k)) != 0
             plane = np.packbits(one, bitorder="little")
             padded = np.concatenate([plane, np.zeros(-len(plane) % 64, np.uint8)]).view(np.uint64)
             ones = np.bitwise_count(padded).reshape(-1, RANK_BITS // 64).sum(axis=1, dtype=np.int64)
             head["planes"].append([put(plane[i : i + BLOCK].tobytes()) for i in range(0, len(plane), BLOCK)])
             head["ranks"].append(put(np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes()))
-            zero = seq[~one]
+            # places and take: several times faster than a boolean index
+            zero = np.flatnonzero(~one)
             head["zeros"].append(len(zero))
-            seq = np.concatenate([zero, seq[one]])
+            after = np.empty_like(seq)
+            np.take(seq, zero, out=after[: len(zero)], mode="clip")
+            np.take(seq, np.flatnonzero(one), out=after[len(zero) :], mode="clip")
+            seq = after
         head["docs"] = put(np.stack([doc_ids.astype("<i8"), lengths.astype("<i8")]).tobytes())
         text = json.dumps(head, separators=(",", ":")).encode()
         return b"".join([MAGIC, struct.pack("<I", len(text)), text, *parts])
@@ -161,8 +165,8 @@ class WaveletMatrix:
             one = np.unpackbits(plane, bitorder="little")[: self.n].view(bool)
             before = np.empty_like(value)
             z = self.zeros[level]
-            before[~one] = value[:z]
-            before[one] = value[z:] | value.dtype.type(1 << (self.bits - 1 - level))
+            before[np.flatnonzero(~one)] = value[:z]
+            before[np.flatnonzero(one)] = value[z:] | value.dtype.type(1 << (self.bits - 1 - level))
             value = before
         return value.astype(np.uint32)
 
