@@ -242,7 +242,7 @@ def task_overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Customers' tasks against the same tasks with their examples in reverse order."""
     tasks = order_tasks(spark, sf)
     t = F.col("task")
-    other = tasks.where("cast(task_id as long) % 3 = 0").select("task_id", F.struct(t["name"].alias("name"), F.reverse(t["train"]).alias("train"), t["test"].alias("test")).alias("task"))
+    other = tasks.select("task_id", F.struct(t["name"].alias("name"), F.reverse(t["train"]).alias("train"), t["test"].alias("test")).alias("task"))
     out = overlap.overlap_summary(tasks, other)
     return out.select("left_task_count", "right_task_count", "id_overlap_count", *[f"{v}_count" for v in overlap.VARIANTS])
 
@@ -286,8 +286,8 @@ def components_min_label(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("isomorphism_clusters")
 def isomorphism_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Tasks of small orders and their turned, recoloured copies: each pair is one cluster."""
-    tasks = order_tasks(spark, sf).where("size(task.train) <= 3")
+    """All tasks and their turned, recoloured copies: each pair is one cluster."""
+    tasks = order_tasks(spark, sf)
     turned = tasks.select(F.concat(F.lit("copy:"), "task_id").alias("record_id"), grids.transform_task(F.col("task"), grids.compose(grids.rotate_90, grids.recolor(grids.literal_map(PERMUTATION)))).alias("task"))
     records = tasks.select(F.concat(F.lit("base:"), "task_id").alias("record_id"), "task").union(turned)
     clusters, _ = cluster.cluster_tasks(records)
@@ -554,11 +554,11 @@ def funnel_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "roster_agreement",
-    """WITH u AS (SELECT DISTINCT c_nationkey AS key, 0 AS pos FROM customer UNION SELECT DISTINCT s_nationkey, 1 FROM supplier UNION SELECT n_nationkey, 2 FROM nation WHERE n_nationkey < 20)
+    """WITH u AS (SELECT DISTINCT c_nationkey AS key, 0 AS pos FROM customer UNION SELECT DISTINCT s_nationkey, 1 FROM supplier UNION SELECT r_regionkey, 2 FROM region)
     SELECT key, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS present FROM u GROUP BY 1 HAVING count(*) < 3""",
 )
 def roster_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    tables = [table(spark, sf, "customer").select(F.col("c_nationkey").alias("key")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("key")), table(spark, sf, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("key"))]
+    tables = [table(spark, sf, "customer").select(F.col("c_nationkey").alias("key")), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("key")), table(spark, sf, "region").select(F.col("r_regionkey").alias("key"))]
     return evidence.roster_agreement(tables, "key").select("key", F.array_join(F.transform("present", lambda x: x.cast("string")), ",").alias("present"))
 
 
@@ -740,25 +740,25 @@ def cumulative_share(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "variant_categories",
     f"""WITH {GRID_SQL}, o AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey), t AS (SELECT o_custkey, count(*) AS n FROM o GROUP BY 1 HAVING count(*) >= 2),
-    d AS (SELECT n - 1 AS demos FROM t WHERE o_custkey % 10 = 1)
+    d AS (SELECT n - 1 AS demos FROM t)
     SELECT category, n, true AS round_trips FROM (
       SELECT 'd4_only' AS category, count(*) * 8 AS n FROM d UNION ALL SELECT 'color_only', count(*) * 4 FROM d UNION ALL SELECT 'd4_plus_color', count(*) * 4 FROM d
       UNION ALL SELECT 'demonstration_order', count(*) * 2 FROM d WHERE demos >= 3) WHERE n > 0""",
 )
 def variant_categories(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = order_tasks(spark, sf).where("cast(task_id as long) % 10 = 1").withColumn("idx", F.col("task_id").cast("long") % 97)
+    tasks = order_tasks(spark, sf).withColumn("idx", F.col("task_id").cast("long") % 97)
     return variants.categories(variants.design(tasks, splits.color_maps("gridloom", [1, 2, 3, 4])))
 
 
 @query("variant_latin_balance")
 def variant_latin_balance(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = order_tasks(spark, sf).where("cast(task_id as long) % 10 = 1").withColumn("idx", F.col("task_id").cast("long") % 97)
+    tasks = order_tasks(spark, sf).withColumn("idx", F.col("task_id").cast("long") % 97)
     return variants.latin_balance(variants.design(tasks, splits.color_maps("gridloom", [1, 2, 3, 4])))
 
 
 @query("label_mutation_audit")
 def label_mutation_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return variants.mutation_audit(order_tasks(spark, sf).where("cast(task_id as long) % 5 = 1"))
+    return variants.mutation_audit(order_tasks(spark, sf))
 
 
 @query("json_keys", "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1")
@@ -788,12 +788,18 @@ def benchmark_totals(spark: SparkSession, sf: str) -> DataFrame:
     return manifests.benchmark_totals(tasks)
 
 
-@query("input_verification", """WITH d AS (SELECT doc_id % 200 AS path, min(sha256(text)) AS sha FROM documents GROUP BY 1), o AS (SELECT doc_id AS path, sha256(text) AS sha FROM documents WHERE doc_id < 150)
-    SELECT CAST(d.path AS VARCHAR) AS path, CASE WHEN o.sha IS NULL THEN 'missing' WHEN o.sha <> d.sha THEN 'mismatch' END AS error FROM d LEFT JOIN o ON o.path = d.path""")
+@query(
+    "input_verification",
+    """WITH d AS (SELECT doc_id, sha256(text) AS sha FROM documents), o AS (SELECT DISTINCT d.doc_id, sha256(replace(d.text, 'the', 'THE')) AS sha FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
+    SELECT CAST(d.doc_id AS VARCHAR) AS path, CASE WHEN o.sha IS NULL THEN 'missing' WHEN o.sha <> d.sha THEN 'mismatch' END AS error FROM d LEFT JOIN o ON o.doc_id = d.doc_id""",
+)
 def input_verification(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    declared = docs.groupBy(F.pmod("doc_id", F.lit(200)).cast("string").alias("path")).agg(F.min("sha256").alias("sha256")).select(F.lit("input").alias("role"), "path", "sha256")
-    observed = docs.where("doc_id < 150").select(F.col("doc_id").cast("string").alias("path"), "sha256", F.lit(0).alias("bytes"))
+    """All documents as declared inputs; the labelled ones, slightly changed, as the observed files."""
+    docs = table(spark, sf, "documents")
+    path = F.col("doc_id").cast("string").alias("path")
+    declared = docs.select(F.lit("input").alias("role"), path, F.sha2("text", 256).alias("sha256"))
+    labelled = docs.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    observed = labelled.select(path, F.sha2(F.replace("text", F.lit("the"), F.lit("THE")), 256).alias("sha256"), F.octet_length("text").alias("bytes"))
     return evidence.verify_inputs(declared, observed).select("path", "error")
 
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def inventory(spark: SparkSession, *paths: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """(path, sha256, bytes) of the files at the given places; a file that several of them name is one row."""
+    """(path, sha256, bytes) of the files at the given places; a file that several of them name is one row.
+
+    Files whose names begin with a dot or an underscore are hidden from Spark's readers and so from the inventory.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)

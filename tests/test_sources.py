@@ -98,11 +98,12 @@ def test_training_source(spark, tmp_path):
 def test_inventory_and_documents(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one")
     (tmp_path / "b").mkdir()
-    (tmp_path / "b" / ".dot").write_text("two")
+    (tmp_path / "b" / "none").write_text("two")
+    (tmp_path / "b" / ".dot").write_text("hidden")
     rows = inventory.relative(inventory.inventory(spark, str(tmp_path)), str(tmp_path))
-    assert {r["path"]: r["bytes"] for r in rows.collect()} == {"a.txt": 3, "b/.dot": 3}
+    assert {r["path"]: r["bytes"] for r in rows.collect()} == {"a.txt": 3, "b/none": 3}
     assert inventory.tree_digest(rows).first()["files"] == 2
-    assert {r["extension"]: r["n"] for r in inventory.extensions(rows).collect()} == {".txt": 1, ".dot": 1}
+    assert {r["extension"]: r["n"] for r in inventory.extensions(rows).collect()} == {".txt": 1, "<none>": 1}
     target = str(tmp_path / "doc.json")
     sinks.write_document(target, {"b": 1, "a": "é"})
     assert open(target, encoding="utf-8").read() == '{\n  "a": "é",\n  "b": 1\n}\n'
