@@ -12,7 +12,9 @@ All decisions are made on the histogram of piece lengths, which has at most
 3. each configuration's rounded items are replaced by actual lengths of their
    groups;
 4. small lengths go, largest first, into the sequence with the least room that
-   still holds them; new sequences are opened when none does.
+   still holds them; new sequences are opened when none does;
+5. sequences that the rounding has left loose are dissolved and their lengths
+   best-fitted, where that takes fewer sequences.
 
 The plan is a list of segments: the k-th to l-th pieces of a length go to a run
 of sequences at an offset. Pieces find their segment by their rank among the
@@ -35,6 +37,7 @@ from .tokens import encoder, with_end
 
 SMALL = 0.25
 GROUPS = 72
+LOOSE = 512  # sequences with more than this part of the capacity open are fitted anew
 BUCKET_ROWS = 50_000
 
 
@@ -113,55 +116,26 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
     return out
 
 
-def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Sequences as (lengths in order, how many such sequences) for a histogram length -> count."""
-    out: list[tuple[list[int], int]] = []
-    if counts.get(capacity):
-        out.append(([capacity], counts[capacity]))
-    large = {x: n for x, n in counts.items() if capacity * SMALL < x < capacity and n}
-    small = {x: n for x, n in counts.items() if 0 < x <= capacity * SMALL and n}
-    open_bins: dict[int, list[tuple[list[int], int]]] = {}
+Bins = dict[int, list[tuple[list[int], int]]]
+
+
+def best_fit(counts: dict[int, int], bins: Bins, capacity: int) -> None:
+    """Put lengths, largest first, where the least room still holds them; open new sequences when none does.
+
+    bins: room left -> (items, how many such sequences); it is changed in place.
+    """
 
     def put(room: int, items: list[int], n: int) -> None:
         if n:
-            open_bins.setdefault(room, []).append((items, n))
+            bins.setdefault(room, []).append((items, n))
 
-    if large:
-        groups = linear_groups(large, GROUPS)
-        sizes = np.array([g[0][0] for g in groups], np.int64)
-        kinds, inverse = np.unique(sizes, return_inverse=True)
-        merged: list[list[list[int]]] = [[] for _ in kinds]
-        for g, k in zip(groups, inverse, strict=True):
-            merged[k] += g
-        demand = np.array([sum(n for _, n in g) for g in merged], np.int64)
-        for config, times in configurations(kinds, demand, capacity):
-            slots = np.repeat(np.arange(len(kinds)), config)[::-1]
-            while times:
-                # each slot reads on in its group's runs; the chunk ends with the first run that ends
-                need = {int(k): int(m) for k, m in zip(*np.unique(slots, return_counts=True), strict=True)}
-                chunk = times
-                for k, m in need.items():
-                    chunk = min(chunk, max(1, merged[k][0][1] // m))
-                items = []
-                for k in slots:
-                    want = chunk
-                    run = merged[k][0]
-                    if run[1] < want:  # only with chunk 1 can a run end between two slots
-                        raise AssertionError("runs hold a chunk for each slot")
-                    items.append(run[0])
-                    run[1] -= want
-                    if not run[1]:
-                        merged[k].pop(0)
-                put(capacity - sum(items), items, chunk)
-                times -= chunk
-    for s in sorted(small, reverse=True):
-        left = small[s]
-        rooms = sorted(r for r in open_bins if r >= s)
-        for room in rooms:
+    for s in sorted(counts, reverse=True):
+        left = counts[s]
+        for room in sorted(r for r in bins if r >= s):
             if not left:
                 break
             per = room // s
-            for items, n in open_bins.pop(room):
+            for items, n in bins.pop(room):
                 full = min(n, left // per)
                 put(room - per * s, items + [s] * per, full)
                 left, n = left - full * per, n - full
@@ -173,7 +147,50 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[list[int
         put(capacity - per * s, [s] * per, left // per)
         if left % per:
             put(capacity - left % per * s, [s] * (left % per), 1)
-    return out + [x for room in sorted(open_bins) for x in open_bins[room]]
+
+
+def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Sequences as (lengths in order, how many such sequences) for a histogram length -> count."""
+    whole = [([capacity], counts[capacity])] if counts.get(capacity) else []
+    large = {x: n for x, n in counts.items() if capacity * SMALL < x < capacity and n}
+    small = {x: n for x, n in counts.items() if 0 < x <= capacity * SMALL and n}
+    bins: Bins = {}
+    if large:
+        merged: dict[int, list[list[int]]] = {}
+        for group in linear_groups(large, GROUPS):
+            merged.setdefault(group[0][0], []).extend(group)
+        kinds = np.array(sorted(merged), np.int64)
+        demand = np.array([sum(n for _, n in merged[int(k)]) for k in kinds], np.int64)
+        for config, times in configurations(kinds, demand, capacity):
+            slots = [int(k) for k in np.repeat(kinds, config)[::-1]]
+            uses = {k: slots.count(k) for k in slots}
+            while times:
+                # each slot reads on in its group's runs; a chunk ends with the first run that ends
+                chunk = min([times, *(max(1, merged[k][0][1] // m) for k, m in uses.items())])
+                items = []
+                for k in slots:
+                    run = merged[k][0]
+                    items.append(run[0])
+                    run[1] -= chunk
+                    if not run[1]:
+                        merged[k].pop(0)
+                bins.setdefault(capacity - sum(items), []).append((items, chunk))
+                times -= chunk
+    best_fit(small, bins, capacity)
+    # what rounding up has left open: such sequences are dissolved and their lengths fitted anew, if that takes fewer
+    kept: Bins = {room: found for room, found in bins.items() if room <= capacity // LOOSE}
+    loose = [x for room, found in bins.items() if room > capacity // LOOSE for x in found]
+    pool: dict[int, int] = {}
+    for items, n in loose:
+        for x in items:
+            pool[x] = pool.get(x, 0) + n
+    again: Bins = {}
+    best_fit(pool, again, capacity)
+    if sum(n for found in again.values() for _, n in found) < sum(n for _, n in loose):
+        bins = kept
+        for room, found in again.items():
+            bins.setdefault(room, []).extend(found)
+    return whole + [x for room in sorted(bins) for x in bins[room]]
 
 
 def segments(plan: list[tuple[list[int], int]]) -> np.ndarray:

@@ -85,16 +85,33 @@ class PieceEncoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of many pieces by one call, where the mark's ids show the ends of pieces; None if they don't."""
+        ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(ids == self.mark[0])
+        if len(at) != len(pieces) - 1:
+            return None
+        inner = np.ones(len(ids), bool)
+        inner[(at[:, None] + np.arange(len(self.mark))).ravel()] = False
+        return ids[inner], np.concatenate([at, [len(ids)]]) - np.concatenate([[0], at + len(self.mark)])
+
     def _batch(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many pieces that begin with a space: one call, where the mark's ids show the ends of pieces."""
-        if self.joint and MARK not in "".join(pieces):
-            ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(ids == self.mark[0])
-            if len(at) == len(pieces) - 1:
-                inner = np.ones(len(ids), bool)
-                inner[(at[:, None] + np.arange(len(self.mark))).ravel()] = False
-                return ids[inner], np.concatenate([at, [len(ids)]]) - np.concatenate([[0], at + len(self.mark)])
-        return self._each(pieces)
+        """Ids of many pieces. Those that end in white space, hold the mark or lack the space before them are encoded alone."""
+        alone = np.fromiter((p[:1] != " " or p[-1:].isspace() or MARK in p for p in pieces), bool, len(pieces))
+        joined = None
+        if self.joint and not alone.all():
+            joined = self._joined([p for p, a in zip(pieces, alone.tolist(), strict=True) if not a])
+        if joined is None:
+            return self._each(pieces)
+        if not alone.any():
+            return joined
+        other = self._each([p for p, a in zip(pieces, alone.tolist(), strict=True) if a])
+        n = np.zeros(len(pieces), np.int64)
+        n[~alone], n[alone] = joined[1], other[1]
+        begin = np.zeros(len(pieces), np.int64)
+        begin[~alone] = np.cumsum(joined[1]) - joined[1]
+        begin[alone] = len(joined[0]) + np.cumsum(other[1]) - other[1]
+        return np.concatenate([joined[0], other[0]])[np.repeat(begin, n) + spread(n)], n
 
     def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         each = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -103,7 +120,7 @@ class PieceEncoder:
     def _learn(self) -> None:
         if not self.waiting:
             return
-        flat, lengths = self._batch(self.waiting) if self.waiting[0][:1] == " " else self._each(self.waiting)
+        flat, lengths = self._batch(self.waiting)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.size + len(lengths) > len(self.begin):

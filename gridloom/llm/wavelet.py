@@ -143,7 +143,8 @@ class WaveletMatrix:
 
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """How often the token occurs at places lo..hi-1."""
-        a, b = self._range(token, lo, self.n if hi is None else hi)
+        hi = self.n if hi is None else min(hi, self.n)
+        a, b = self._range(token, min(lo, hi), hi)
         return b - a
 
     def select(self, token: int, k: int) -> int:
