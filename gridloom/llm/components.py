@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges are written to the shared folder, so lineage stays short. Self-loops
     give their node as its own root; an empty table gives no rows.
     """
-    pairs = edges.select("u", "v")
+    pairs = materialise(edges.select("u", "v"))  # it is read three times
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     current = materialise(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
