@@ -247,7 +247,7 @@ def look_up(keys: DataFrame, index: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "file", "offset", "length"])
 
     routed = keys.select("key").distinct().mapInArrow(route, "key string, index_file string")
-    return routed.repartition("index_file").sortWithinPartitions("index_file", "key").mapInArrow(search, "key string, file string, offset long, length long")
+    return routed.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "index_file").sortWithinPartitions("index_file", "key").mapInArrow(search, "key string, file string, offset long, length long")
 
 
 def read_records(places: DataFrame, path: str) -> DataFrame:
@@ -273,7 +273,7 @@ def read_records(places: DataFrame, path: str) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    ordered = places.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    ordered = places.select("file", "offset", "length").repartitionByRange(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
