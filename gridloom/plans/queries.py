@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grids, validation
-from ..operators import baseline, cluster, evidence, manifests, overlap, resources, runs, scoring, splits, stats, variants
+from ..operators import baseline, cluster, evidence, ledgers, manifests, overlap, resources, runs, scoring, splits, stats, variants
+from . import development
 from .projections import GRID_SQL, flat_cells, order_grids, order_tasks, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -822,3 +823,48 @@ def json_pointer_assertions(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.col("props").alias("text"), F.get(F.json_object_keys("props"), F.lit(0)).alias("key"))
     asked = docs.select(F.lit("gate").alias("gate_id"), "path", F.concat(F.lit("/"), "key").alias("pointer"), F.lit("null").alias("equals"))
     return evidence.evaluate_assertions(asked, docs).groupBy("gate_id", "passed").agg(F.count("*").alias("n"))
+
+
+@query(
+    "lookup_mismatches",
+    """SELECT l.l_partkey, l.l_suppkey, CASE WHEN p.p_partkey IS NULL THEN 'missing' ELSE 'different' END AS error FROM lineitem l LEFT JOIN part p ON p.p_partkey = l.l_partkey
+    WHERE p.p_partkey IS NULL OR CAST(floor(l.l_quantity) AS BIGINT) IS DISTINCT FROM CAST(p.p_size AS BIGINT)""",
+)
+def lookup_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", F.floor("l_quantity").alias("size"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("size"))
+    return ledgers.lookup_mismatches(items, parts, ["l_partkey"], ["size"], keep=["l_suppkey"])
+
+
+@query(
+    "challenge_summary",
+    """WITH t AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT o_orderkey) >= 2)
+    SELECT count(*) AS task_count, CAST(sum(n - 1) AS BIGINT) AS train_pair_count, count(*) AS test_pair_count, CAST(sum(n - 1) AS BIGINT) AS train_output_key_count, count(*) AS test_output_key_count, CAST(sum(2 * n) AS BIGINT) AS validated_grid_count FROM t""",
+)
+def challenge_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return ledgers.challenge_summary(order_tasks(spark, sf))
+
+
+@query("forbidden_fields", "SELECT count(*) AS n, count(*) FILTER (WHERE len(list_filter(json_keys(props), lambda k: k IN ('password', 'secret', 'api_key'))) > 0) AS forbidden FROM events")
+def forbidden_fields(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").select(ledgers.forbidden_paths("props").alias("paths"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.size("paths") > 0).alias("forbidden"))
+
+
+@query("development_build")
+def development_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Records, clusters and flagged counts by split of the whole build over all customers' tasks."""
+    tasks = order_tasks(spark, sf)
+    records = tasks.select(F.concat(F.lit("s:"), "task_id").alias("record_id"), F.lit("s").alias("source"), "task_id", "task")
+    flagged = table(spark, sf, "customer").where("c_acctbal < 0").select(F.concat(F.lit("s:"), F.col("c_custkey").cast("string")).alias("record_id"))
+    return development.build(records, "20260806", WEIGHTS, flagged).contamination
+
+
+@query("runtime_checks")
+def runtime_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return development.runtime_checks(order_tasks(spark, sf))
+
+
+@query("metric_contract")
+def metric_contract(spark: SparkSession, sf: str) -> DataFrame:
+    return ledgers.metric_contract(baseline.run(order_tasks(spark, sf), 2)[2])
