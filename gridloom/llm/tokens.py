@@ -8,6 +8,7 @@ texts with empty pieces or special-token strings are encoded as a whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -57,6 +58,7 @@ class PieceEncoder:
             if len(mark) and np.array_equal(seen, np.concatenate([parts[0], mark, parts[1], mark, parts[2]])):
                 self.joint, self.mark = joint, mark
                 break
+        self.spaced = re.compile(r"\s" + re.escape(self.joint or MARK))
         self._reset()
 
     def _reset(self) -> None:
@@ -97,6 +99,12 @@ class PieceEncoder:
 
     def _batch(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces. Those that end in white space, hold the mark or lack the space before them are encoded alone."""
+        if self.joint and pieces[0][:1] == " " and not pieces[-1][-1:].isspace():
+            text = self.joint.join(pieces)
+            if text.count(MARK) == len(pieces) - 1 and not self.spaced.search(text):
+                joined = self._joined(pieces)
+                if joined is not None:
+                    return joined
         alone = np.fromiter((p[:1] != " " or p[-1:].isspace() or MARK in p for p in pieces), bool, len(pieces))
         joined = None
         if self.joint and not alone.all():
