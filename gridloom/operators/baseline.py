@@ -9,13 +9,14 @@ from ..functions import grids
 from . import scoring
 
 
-def fitting_transforms(train: Column, names: list[str] | None = None) -> Column:
-    """Names of the D4 transforms that map every training input to its output, in D4 order."""
+def fits(train: Column, turn: grids.Transform) -> Column:
+    """Whether a transform maps every training input to its output."""
+    return F.forall(train, lambda p: F.coalesce(turn(p["input"]) == p["output"], F.lit(False)))
 
-    def fits(turn: grids.Transform) -> Column:
-        return F.forall(train, lambda p: F.coalesce(turn(p["input"]) == p["output"], F.lit(False)))
 
-    return F.array_compact(F.array(*[F.when(fits(grids.D4[n]), F.lit(n)) for n in names or grids.D4]))
+def fitting_transforms(train: Column) -> Column:
+    """Names of the D4 transforms that fit, in D4 order."""
+    return F.array_compact(F.array(*[F.when(fits(train, turn), F.lit(name)) for name, turn in grids.D4.items()]))
 
 
 def cell_pairs(train: Column) -> Column:
@@ -44,20 +45,23 @@ def learn_functional_dependency(rows: DataFrame, group: list[str], source: str,
     return per_source.join(good, group, "left_semi").select(*group, source, target, "n")
 
 
-def candidates(task: Column, grid: Column) -> Column:
-    """All candidates (solver, grid) for one test input, in rank order, repeats included."""
+def candidates(task: Column, grid: Column, mapping: Column, top_k: int) -> Column:
+    """Candidates (solver, grid) for one test input, in rank order, repeats included.
+
+    The constants differ from each other, so K of them are enough for K distinct
+    candidates, if there are so many colours. `mapping` is the task's colour
+    mapping as a column of its own: an expression would be worked out for every cell.
+    """
 
     def one(solver: Column | str, g: Column) -> Column:
         return F.struct((F.lit(solver) if isinstance(solver, str) else solver).alias("solver"), g.alias("grid"))
 
     train = task["train"]
-    geometric = F.array_compact(
-        F.array(*[F.when(F.array_contains(fitting_transforms(train), name), one(name, t(grid))) for name, t in grids.D4.items()])
-    )
-    mapping = color_mapping(train)
+    geometric = F.array_compact(F.array(*[F.when(fits(train, turn), one(name, turn(grid))) for name, turn in grids.D4.items()]))
     mapped = F.array_compact(F.array(F.when(mapping.isNotNull(), one("color_mapping", grids.recolor(mapping)(grid)))))
-    fixed = F.array(one("copy_input", grid), one("dominant_color", grids.constant(grid, grids.dominant_color(grid))))
-    constants = F.transform(grids.colors_by_frequency(grid), lambda c: one(F.concat(F.lit("constant_color:"), c.cast("string")), grids.constant(grid, c)))
+    colors = grids.colors_by_frequency(grid)
+    fixed = F.array(one("copy_input", grid), one("dominant_color", grids.constant(grid, F.element_at(colors, 1))))
+    constants = F.transform(F.slice(colors, 1, min(top_k, grids.CELLS)), lambda c: one(F.concat(F.lit("constant_color:"), c.cast("string")), grids.constant(grid, c)))
     return F.concat(geometric, mapped, fixed, constants)
 
 
@@ -74,11 +78,13 @@ def rank_candidates(tasks: DataFrame, top_k: int = 2) -> DataFrame:
     if top_k < 1:
         raise ValueError("top_k must be a positive integer")
     seen = tasks.select("task_id", grids.challenge_only(F.col("task")).alias("task"))
-    inputs = seen.select("task_id", "task", F.posexplode("task.test").alias("output_index", "pair"))
-    rows = inputs.select("task_id", "output_index", F.posexplode(candidates(F.col("task"), F.col("pair.input"))).alias("place", "candidate"))
-    rows = rows.select("task_id", "output_index", "place", "candidate.solver", "candidate.grid")
-    ranked = first_k_distinct(rows, ["task_id", "output_index"], F.to_json("grid"), F.col("place"), top_k)
-    return ranked.select("task_id", "output_index", "rank", "solver", "grid")
+    seen = seen.withColumn("mapping", color_mapping(F.col("task.train")))
+    inputs = seen.select("task_id", "task", "mapping", F.posexplode("task.test").alias("output_index", "pair"))
+    made = inputs.select("task_id", "output_index", candidates(F.col("task"), F.col("pair.input"), F.col("mapping"), top_k).alias("c"))
+    made = made.withColumn("t", F.transform("c", lambda x: F.to_json(x["grid"])))
+    # an input's candidates are one short array: the first of each grid is kept in place, without a shuffle
+    once = F.filter("c", lambda x, i: F.array_position("t", F.get(F.col("t"), i)) == i + 1)
+    return made.select("task_id", "output_index", F.posexplode(F.slice(once, 1, top_k)).alias("place", "x")).select("task_id", "output_index", (F.col("place") + 1).alias("rank"), "x.solver", "x.grid")
 
 
 def short_outputs(tasks: DataFrame, ranked: DataFrame, top_k: int) -> DataFrame:
