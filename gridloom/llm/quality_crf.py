@@ -26,7 +26,8 @@ from .common import slices, texts
 
 SAMPLE_DOCS = 3000
 SHARE = 0.5
-CHAIN = 64  # lines of a training chain; longer texts give several chains
+CHAIN = 24  # lines of a training chain; longer texts give several chains
+SAMPLE_LINES = 256  # lines of a text that the training reads
 FEATURES = 9
 
 
@@ -223,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> C
             for start, stop in slices(b.column(1)):
                 found = lines_of(texts(b.column(1), start, stop))
                 per = np.split(found.x[:, 1:].astype(np.float32), np.flatnonzero(np.diff(found.text)) + 1)
-                keep = pa.array([x[: 4 * CHAIN].tobytes() for x in per], pa.binary())
+                keep = pa.array([x[:SAMPLE_LINES].tobytes() for x in per], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), b.column(2).slice(start, stop - start), keep], names=["doc_id", "quality", "x"])
 
     got = rows.mapInArrow(run, "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(sample_docs).toArrow().to_pylist()
