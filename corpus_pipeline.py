@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated line chunks; those that lose every word go."""
-    out = line_dedup(docs)
+    """Documents without repeated runs of lines; those that lose every word go."""
+    out = line_dedup(docs, runs=True)
     text = F.when(F.col("n_removed_lines") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")
     return out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(HAS_WORD)).withColumn("n_chars", text).select(*docs.columns)
 

@@ -6,6 +6,11 @@ them and a run of lines that several texts share is cut alike in each. Chunks
 of two or more lines are counted over the corpus by a 128-bit hash. All but
 the first occurrence (least id, then earliest in the text) are removed, after
 their bytes have been compared with the first one's.
+
+Boundaries only meet from the third line of a shared run on, so chunks alone
+miss most short runs. With runs=True every two worded lines that follow each
+other are a piece of their own and are counted and compared likewise: a repeat
+is found wherever it begins, and a run is removed to both of its ends.
 """
 
 from __future__ import annotations
@@ -48,9 +53,35 @@ def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(lines: list[bytes], runs: bool) -> list[tuple[int, int]]:
+    """(first line, number of lines) of what is counted, in order of the first line.
+
+    Chunks of two or more worded lines; with `runs` all pairs of worded lines,
+    with the wordless ones between, and those chunks that reach beyond their
+    pairs (they begin or end with a wordless line).
+    """
+    worded = [k for k, line in enumerate(lines) if line.strip()]
+    if len(worded) < LEAST_LINES:
+        return []
+    out = [(a, b + 1 - a) for a, b in zip(worded, worded[1:], strict=False)] if runs else []
+    if runs and len(worded) == len(lines):
+        return out
+    has, start = set(worded), 0
+    for end in chunk_ends(lines):
+        if sum(k in has for k in range(start, end)) >= LEAST_LINES and not (runs and start in has and end - 1 in has):
+            out.append((start, end - start))
+        start = end
+    return sorted(out)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """docs with `text_col` rid of repeated chunks, and n_lines, n_removed_lines, n_removed_chunks.
 
+    With `runs` all repeated runs of two or more worded lines go, and
+    n_removed_chunks counts the stretches of removed lines. A pair that overlaps
+    its own first occurrence stays; each removed line is still there at an
+    earlier place. Without it only whole chunks go.
+
     Chunks of one line, or with fewer than two lines that hold a word, are never
     removed, nor is any text's first occurrence. Null and empty texts stay as
     they are. Rows that repeat an id and its text are one document and keep the
@@ -72,11 +103,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 at, numbers, hashes = [], [], []
                 for k, t in enumerate(texts(b.column(1), start, stop), start):
                     if b"\n" in t:
-                        for number, (_, n, body) in enumerate(chunks(t)):
-                            if n >= LEAST_LINES and sum(map(bool, map(bytes.strip, body.split(b"\n")))) >= LEAST_LINES:
-                                at.append(k)
-                                numbers.append(number)
-                                hashes.append(xxh3_128_digest(body))
+                        lines = t.split(b"\n")
+                        for number, (first, n) in enumerate(pieces(lines, runs)):
+                            at.append(k)
+                            numbers.append(number)
+                            hashes.append(xxh3_128_digest(b"\n".join(lines[first : first + n])))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary())], names=["id", "number", "hash"])
 
     found = materialise(docs.select(key, text).mapInArrow(cut, f"id {kind}, number int, hash binary"))
@@ -91,10 +122,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for start, stop in slices(b.column(1)):
                 at, out = [], []
                 for k, (t, plan) in enumerate(zip(texts(b.column(1), start, stop), b.column(2).slice(start, stop - start).to_pylist(), strict=True), start):
-                    cuts = chunks(t)
+                    lines = t.split(b"\n")
+                    cuts = pieces(lines, runs)
                     for p in plan:
+                        first, n = cuts[p["number"]]
                         at.append(k)
-                        out.append((p["number"], p["hash"], p["first"], cuts[p["number"]][2]))
+                        out.append((p["number"], p["hash"], p["first"], b"\n".join(lines[first : first + n])))
                 number, digest, first, body = zip(*out, strict=True) if out else ((),) * 4
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(digest, pa.binary()), pa.array(first, pa.bool_()), pa.array(body, pa.binary())], names=["id", "number", "hash", "first", "body"])
 
@@ -105,7 +138,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     unlike = materialise(unlike.withColumnRenamed("id", "__id"))  # 128-bit collisions: hardly ever a row, so the join below is a broadcast by size
     ready = joined.join(unlike, key.eqNullSafe(F.col("__id")), "left").drop("__id")
     numbers: Column = F.transform(F.filter("__plan", lambda p: ~p["first"]), lambda p: p["number"])
-    ready = ready.withColumn("__gone", F.array_except(numbers, F.coalesce("__unlike", F.array().cast("array<int>")))).drop("__plan", "__unlike")
+    ready = ready.withColumn("__gone", F.array_except(numbers, F.coalesce("__unlike", F.array().cast("array<int>"))))
+    ready = ready.withColumn("__firsts", F.transform(F.filter("__plan", lambda p: p["first"]), lambda p: p["number"])).drop("__plan", "__unlike")
     names = docs.columns
     at_text = names.index(text_col)
 
@@ -120,13 +154,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     if t is not None:
                         counts[0, k] = t.count("\n") + 1
                         if gone:
-                            gone = set(gone)
-                            cuts = chunks(t.encode())
-                            counts[1, k], counts[2, k] = sum(cuts[g][1] for g in gone), len(gone)
-                            t = b"\n".join(body for number, (_, _, body) in enumerate(cuts) if number not in gone).decode()
+                            lines = t.encode().split(b"\n")
+                            cuts = pieces(lines, runs)
+                            body = lambda p: b"\n".join(lines[p[0] : p[0] + p[1]])  # noqa: B023, E731
+                            until = {body(cuts[g]): sum(cuts[g]) for g in b.column(len(names) + 1)[start + k].as_py()}
+                            keep = np.ones(len(lines) + 1, bool)
+                            for g in gone:
+                                if cuts[g][0] >= until.get(body(cuts[g]), 0):
+                                    keep[cuts[g][0] : sum(cuts[g])] = False
+                            counts[1, k] = (~keep).sum()
+                            counts[2, k] = (keep[1:] & ~keep[:-1]).sum() if runs else len(set(gone))
+                            t = b"\n".join(line for line, kept in zip(lines, keep, strict=False) if kept).decode()
                     out.append(t)
                 columns = [pa.array(out, pa.string()) if c == at_text else b.column(c).slice(start, n) for c in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(c) for c in counts], names=[*names, "n_lines", "n_removed_lines", "n_removed_chunks"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return ready.select(*[F.col(f"`{c}`") for c in names], "__gone").mapInArrow(drop, f"{kinds}, n_lines long, n_removed_lines long, n_removed_chunks long")
+    return ready.select(*[F.col(f"`{c}`") for c in names], "__gone", "__firsts").mapInArrow(drop, f"{kinds}, n_lines long, n_removed_lines long, n_removed_chunks long")

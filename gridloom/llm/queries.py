@@ -71,8 +71,8 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's lines after the removal of repeated chunks."""
-    out = line_dedup(table(spark, sf_dir, "documents"))
+    """Every document's lines after the removal of repeated runs of lines."""
+    out = line_dedup(table(spark, sf_dir, "documents"), runs=True)
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 

@@ -92,3 +92,35 @@ def test_a_copied_text_loses_all_its_repeated_chunks(spark):
     text = "\n".join(f"line {k} of a longer text" for k in range(40))
     got = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame([(1, text), (2, text)], SCHEMA)).collect()}
     assert got[1]["text"] == text and got[2]["n_removed_lines"] >= 30
+
+
+def plain_runs(rows):
+    """(id, text) without the lines of worded pairs that an earlier row or line has; rows in order of their id."""
+    seen, out = {}, []
+    for place, (d, t) in enumerate(rows):
+        lines = (t or "").split("\n")
+        worded = [k for k, line in enumerate(lines) if line.strip()]
+        gone = set()
+        for a, b in zip(worded, worded[1:]):
+            row, until = seen.setdefault(tuple(lines[a : b + 1]), (place, b + 1))
+            if row < place or a >= until:
+                gone |= set(range(a, b + 1))
+        out.append((d, t if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out
+
+
+def test_short_runs_in_unlike_texts_are_removed_whole(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice("abcdefgh") * 4 for _ in range(6))
+    shared = [[line() for _ in range(n)] for n in (2, 3, 4, 5, 8)]
+    rows = [(d, "\n".join([line() for _ in range(1 + d % 3)] + shared[d % 5] + [line() for _ in range(2)])) for d in range(40)]
+    rows += [(50, "x y\n" * 5 + "z"), (51, "p q\nx y\nx y\nr s"), (52, None), (53, ""), (54, "one line")]
+    got = line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), runs=True).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=lambda r: r[0]) == plain_runs(rows)
+    assert sum(r["n_removed_lines"] for r in got if r["doc_id"] < 40) == 7 * 22
+    assert all(r["n_removed_chunks"] == (r["doc_id"] >= 5) for r in got if r["doc_id"] < 40)
+    chunked = line_dedup(spark.createDataFrame(rows, SCHEMA)).agg({"n_removed_lines": "sum"}).first()[0]
+    assert chunked < 7 * 22
+    blank = [(1, "\n\na b\nc d\n\n"), (2, "e f\n\na b\nc d\n\ng h"), (3, "\n\na b\nc d\n\n")]
+    short = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(blank, SCHEMA), runs=True).collect()}
+    assert all("a b" not in short[d] and "c d" not in short[d] for d in (2, 3)) and short[1] == blank[0][1]
