@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages over documents (part of gridloom.llm).
 
-quality rules -> line dedup -> SimHash near-dedup -> decontamination -> packing.
+quality rules -> line dedup -> near-dedup (SimHash, verified shingles) -> decontamination -> packing.
 Every stage reads all that the one before kept.
 """
 
@@ -13,6 +13,7 @@ from gridloom.llm import quality_crf
 from gridloom.llm.common import materialise, table
 from gridloom.llm.line_chunks import line_dedup
 from gridloom.llm.packing import pack
+from gridloom.llm.shingle_links import shingle_links
 from gridloom.llm.simhash_trie import simhash_groups
 from gridloom.llm.spaced_seeds import decontaminate
 from gridloom.llm.tokens import vocabulary
@@ -35,8 +36,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class: the one whose id names the class."""
-    chosen = simhash_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """One document of each class of near copies: the one whose id names the class.
+
+    Links are op9's (four-word fingerprints within 4 bits) and all pairs whose
+    five-word shingles have a verified Jaccard similarity of 0.8 or more.
+    """
+    chosen = simhash_groups(docs, links=shingle_links(docs)).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = chosen.groupBy("doc_id").agg(F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__id")
     kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")))
     order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])

@@ -180,17 +180,19 @@ def trie_self_join(fps: DataFrame, budget: int = 4) -> DataFrame:
     return distinct.mapInArrow(deal, "pair long, side boolean, fps binary").groupBy("pair").applyInArrow(walk, "u long, v long")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4, links: DataFrame | None = None) -> DataFrame:
     """(id, fingerprint hex, component_id) for every row; component_id is the least id reachable.
 
-    Documents link when their fingerprints differ in at most `budget` bits.
+    Documents link when their fingerprints differ in at most `budget` bits, or
+    are a pair (u, v) of `links`.
     Texts that are null, empty or without words have fingerprint zero and link
     like any other. Rows with a null id keep a null id and count for their
     class only if no other id is there.
     """
     rows = materialise(fingerprints(docs, id_col, text_col))
     least = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = components(trie_self_join(rows, budget))
+    edges = trie_self_join(rows, budget)
+    roots = components(edges if links is None else edges.union(links.select("u", "v")))
     labelled = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     classes = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = labelled.join(classes, "root").select("fp", "component_id")

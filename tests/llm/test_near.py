@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from gridloom.llm import components, simhash_trie, spaced_seeds
+import corpus_pipeline
+from gridloom.llm import components, shingle_links, simhash_trie, spaced_seeds
 
 from . import brute
 
@@ -111,3 +112,32 @@ def test_passages(spark):
     assert spaced_seeds.find_passages(docs, bench.limit(0)).count() == 0
     clean = {r["doc_id"] for r in spaced_seeds.decontaminate(docs, bench).collect()}
     assert clean == {d for d, t in rows if not any(plain_hit(t, b) for _, b in items)}
+
+
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_at_shingle_similarity_are_dropped(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=6)) for _ in range(n)]
+    rows = []
+    for d in range(0, 120, 3):
+        base = words(120 + d)
+        for k, changes in enumerate((0, 2, 6)):
+            other = list(base)
+            for at in rng.sample(range(5, len(base) - 5), changes):
+                other[at] = words(1)[0]
+            rows.append((d + k, " ".join(other).upper() if k == 1 else " ".join(other)))
+    hot = words(200)
+    rows += [(200 + k, " ".join([*hot[:-1], f"end{k}"])) for k in range(40)] + [(300, None), (301, "one two")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA + ", lang string, source string, n_chars long").repartition(3)
+    prints = [plain_fingerprint(t) for _, t in rows]
+    sets = [five_words(t or "") for _, t in rows]
+    far = {(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and (prints[i] ^ prints[j]).bit_count() > 4}
+    alike = {(i, j) for i, j in far if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0}
+    assert len(alike) > 40
+    label = brute.least_reachable(len(rows), lambda i, j: (i, j) not in far or (i, j) in alike)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {rows[c][0] for c in label}
