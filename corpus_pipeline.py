@@ -36,15 +36,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one whose id names the class.
+    """One document of each class of near copies: the one whose id and text name the class.
 
     Links are op9's (four-word fingerprints within 4 bits) and all pairs whose
     five-word shingles have a verified Jaccard similarity of 0.8 or more.
     """
-    chosen = simhash_groups(docs, links=shingle_links(docs)).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = chosen.groupBy("doc_id").agg(F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__id")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")))
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    keyed = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text")))
+    chosen = simhash_groups(keyed, "__row", links=shingle_links(docs)).where(F.col("__row") == F.col("component_id"))
+    chosen = chosen.groupBy(F.col("__row").alias("__id")).agg(F.count("*").alias("__rows"))
+    kept = keyed.join(chosen, F.col("__row") == F.col("__id"))
+    order = Window.partitionBy("__row").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
     again = kept.where("__rows > 1").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
     return kept.where("__rows = 1").select(*docs.columns).union(again.select(*docs.columns))
 

@@ -94,8 +94,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from xxhash import xxh3_128_digest
 
     docs = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
-    kind = docs.schema[id_col].dataType.simpleString()
-    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    text = F.col(f"`{text_col}`")
+    docs_key = F.struct(F.col(f"`{id_col}`").isNotNull().alias("named"), F.col(f"`{id_col}`").alias("id"), F.md5(text.cast("binary")).alias("text"))
+    columns = docs.columns
+    docs = docs.withColumn("__key", docs_key)
+    kind = docs.schema["__key"].dataType.simpleString()
+    key = F.col("__key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,11 +115,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary())], names=["id", "number", "hash"])
 
     found = materialise(docs.select(key, text).mapInArrow(cut, f"id {kind}, number int, hash binary"))
-    place = F.struct(F.col("id").isNotNull().alias("named"), "id", "number")
+    place = F.struct("id", "number")
     firsts = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
     marked = found.join(firsts, "hash").select("id", "number", "hash", (F.col("first") == place).alias("first"))
     plan = marked.groupBy("id").agg(F.array_distinct(F.collect_list(F.struct("number", "hash", "first"))).alias("__plan"))
-    joined = materialise(docs.join(plan.withColumnRenamed("id", "__id"), key.eqNullSafe(F.col("__id")), "left").drop("__id"))
+    joined = materialise(docs.join(plan.withColumnRenamed("id", "__id"), key == F.col("__id"), "left").drop("__id"))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,11 +140,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = occurrences.where("first").groupBy("hash").agg(F.min("body").alias("kept"))
     unlike = occurrences.where("not first").join(kept, "hash").where("body <> kept").groupBy("id").agg(F.collect_set("number").alias("__unlike"))
     unlike = materialise(unlike.withColumnRenamed("id", "__id"))  # 128-bit collisions: hardly ever a row, so the join below is a broadcast by size
-    ready = joined.join(unlike, key.eqNullSafe(F.col("__id")), "left").drop("__id")
+    ready = joined.join(unlike, key == F.col("__id"), "left").drop("__id")
     numbers: Column = F.transform(F.filter("__plan", lambda p: ~p["first"]), lambda p: p["number"])
     ready = ready.withColumn("__gone", F.array_except(numbers, F.coalesce("__unlike", F.array().cast("array<int>"))))
     ready = ready.withColumn("__firsts", F.transform(F.filter("__plan", lambda p: p["first"]), lambda p: p["number"])).drop("__plan", "__unlike")
-    names = docs.columns
+    names = columns
     at_text = names.index(text_col)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,5 +173,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = [pa.array(out, pa.string()) if c == at_text else b.column(c).slice(start, n) for c in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(c) for c in counts], names=[*names, "n_lines", "n_removed_lines", "n_removed_chunks"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__key")
     return ready.select(*[F.col(f"`{c}`") for c in names], "__gone", "__firsts").mapInArrow(drop, f"{kinds}, n_lines long, n_removed_lines long, n_removed_chunks long")

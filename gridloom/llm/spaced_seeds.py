@@ -166,5 +166,6 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that share no passage with the benchmark."""
-    hit = materialise(find_passages(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__hit")).distinct())  # so that its size decides on the join
-    return docs.join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col("__hit")), "left_anti")
+    keyed = docs.withColumn("__row", F.struct(F.col(f"`{id_col}`").alias("id"), F.md5(F.col(f"`{text_col}`").cast("binary")).alias("text")))
+    hit = materialise(find_passages(keyed, benchmark, "__row", text_col).select(F.col("__row").alias("__hit")).distinct())  # so that its size decides on the join
+    return keyed.join(hit, F.col("__row") == F.col("__hit"), "left_anti").drop("__row")

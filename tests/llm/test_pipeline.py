@@ -88,3 +88,21 @@ def test_queries_cover_their_tables(spark, name):
     whole = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(F.col(f"{'page' if table == 'pages' else 'doc'}_id")).collect()}
     got = {r[0] for r in found.select("page_id" if table == "pages" else "doc_id").collect()}
     assert got <= whole if name.startswith("op1_") else got == whole
+
+
+def test_rows_with_null_ids_are_texts_of_their_own(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = lambda c: " ".join(f"{c}{k}" for k in range(80))
+    lines = "\n".join(f"line {k} of a text" for k in range(40))
+    rows = [(None, long("a"), "en", "s", 1), (None, long("b"), "en", "s", 1), (None, None, "en", "s", 0), (4, long("c"), "en", "s", 1), (4, long("d"), "en", "s", 1), (4, long("d"), "en", "s", 1)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((r["text"] or "") for r in kept) == sorted({t or "" for _, t, *_ in rows})
+    docs = spark.createDataFrame([(None, lines), (None, "x\n" + lines), (None, None), (None, "one"), (5, lines), (5, "p q\nr s")], "doc_id long, text string")
+    for runs in (False, True):
+        got = corpus_pipeline.line_dedup(docs, runs=runs).collect()
+        assert len(got) == 6 and {r["text"] for r in got} >= {None, "one", "p q\nr s"}
+        assert sum(r["n_removed_lines"] for r in got if r["doc_id"] == 5) >= 30
+        assert sum(r["n_removed_lines"] for r in got if r["doc_id"] is None) >= 30
+    bench = spark.createDataFrame([(1, long("a"))], "item_id long, text string")
+    clean = corpus_pipeline.decontaminate(spark.createDataFrame(rows, schema), bench).collect()
+    assert sorted((r["text"] or "") for r in clean) == sorted((t or "") for _, t, *_ in rows[1:])
