@@ -27,7 +27,7 @@ from .common import slices, texts
 SAMPLE_DOCS = 3000
 SHARE = 0.5
 CHAIN = 24  # lines of a training chain; longer texts give several chains
-SAMPLE_LINES = 256  # lines of a text that the training reads
+SAMPLE_LINES = 256  # lines of a longer text that the training uses, in chains from the whole text
 FEATURES = 9
 
 
@@ -210,10 +210,21 @@ def train(x: np.ndarray, quality: np.ndarray, text: np.ndarray, steps: int = 120
     return Chain(emit, move)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Chain | None:
+def sampled(x: np.ndarray, name: object, most: int) -> np.ndarray:
+    """Rows of x in order: all up to `most`, else those of the chains whose hashes with `name` are least."""
+    from xxhash import xxh64_intdigest
+
+    if len(x) <= most:
+        return x
+    order = sorted(range(-(-len(x) // CHAIN)), key=lambda k: xxh64_intdigest(f"{name} {k}"))
+    return np.concatenate([x[k * CHAIN : (k + 1) * CHAIN] for k in sorted(order[: max(1, most // CHAIN)])])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Chain | None:
     """Train on at most `sample_docs` labelled documents, the first by a hash of their id.
 
-    The bound is on the training rows only. Returns None unless both labels
+    Of a text longer than `sample_lines` lines, chains chosen by hash from its
+    whole length are used. The bounds are on the training rows only. Returns None unless both labels
     occur; then no text is rejected for its lines.
     """
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -224,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> C
             for start, stop in slices(b.column(1)):
                 found = lines_of(texts(b.column(1), start, stop))
                 per = np.split(found.x[:, 1:].astype(np.float32), np.flatnonzero(np.diff(found.text)) + 1)
-                keep = pa.array([x[:SAMPLE_LINES].tobytes() for x in per], pa.binary())
+                names = b.column(0).slice(start, stop - start).to_pylist()
+                keep = pa.array([sampled(x, name, sample_lines).tobytes() for x, name in zip(per, names, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), b.column(2).slice(start, stop - start), keep], names=["doc_id", "quality", "x"])
 
     got = rows.mapInArrow(run, "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(sample_docs).toArrow().to_pylist()

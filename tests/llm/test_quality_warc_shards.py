@@ -150,3 +150,16 @@ def test_shards_of_small_and_odd_tables(spark):
     clash = spark.createDataFrame([(k, "t", 9, "s") for k in range(20)], SCHEMA + ", size long, shard string")
     got = shards(clash, 4)
     assert Counter(r["shard"] for r in got) == dict.fromkeys(range(4), 5) and {r["size"] for r in got} == {2}
+
+
+def test_training_reads_long_texts_to_their_end(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_crf, "train", lambda x, quality, text: seen.append((x, quality, text)))
+    rows = [(1, "a b c d\n" * 300 + "\n".join(["1 2 3 4"] * 700)), (2, "a b c d\ne f g h")]
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    for most in (256, 48, 5000):
+        quality_crf.fit(spark.createDataFrame(rows, SCHEMA), labels, sample_lines=most)
+        x, quality, text = seen.pop()
+        own = x[text == 0]
+        assert len(own) == 1000 if most == 5000 else len(own) <= most
+        assert (own[:, 4] == 1).any() and (text == 1).sum() == 2
