@@ -1,5 +1,6 @@
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import grids
@@ -7,28 +8,55 @@ from gridloom.operators import cluster, overlap, splits
 from gridloom.schemas import TASK
 
 BASE = {
-    "train": [{"input": [[1, 2, 0], [3, 1, 0]], "output": [[2, 2], [1, 3]]}, {"input": [[4, 4], [9, 0]], "output": [[0, 9]]}],
-    "test": [{"input": [[1, 7, 2]], "output": [[7]]}],
+    "train": [{"input": [[8, 8, 5], [6, 0, 0]], "output": [[5, 6, 6]]}, {"input": [[3], [0], [3]], "output": [[0, 3], [3, 8]]}, {"input": [[5, 6]], "output": [[6, 5]]}],
+    "test": [{"input": [[5, 0, 3, 6]], "output": [[3], [6]]}],
 }
-COLORS = {1: 7, 7: 1, 2: 4, 4: 2, 3: 9, 9: 3}
+SHIFT = {c: (c + 4) % 10 for c in range(10)}
 
 
-def image(task, turn="rotate_90", order=(1, 0)):
-    change = lambda g: [[COLORS.get(c, c) for c in r] for r in cluster._turn(g, turn)]
+def image(task, turn, order=(2, 0, 1), colors=SHIFT):
+    change = lambda g: [[colors[c] for c in r] for r in cluster._turn(g, turn)]
     return {"train": [{k: change(g) for k, g in task["train"][i].items()} for i in order], "test": [{k: change(g) for k, g in p.items()} for p in task["test"]]}
 
 
-def test_search_finds_the_witness_and_its_bounds():
-    found = cluster.find_isomorphism(BASE, image(BASE))
-    assert (found["status"], found["d4"], found["train_permutation"]) == ("matched", "rotate_90", [1, 0])
-    capped = cluster.find_isomorphism(BASE, image(BASE), max_states=1)
-    assert capped["status"] == "inconclusive" and capped["explored"] == 1
-    other = image(BASE)
-    other["train"][0] = {k: [[{0: 5}.get(c, c) for c in r] for r in g] for k, g in other["train"][0].items()}
-    assert cluster.find_isomorphism(BASE, other)["status"] == "not-isomorphic"
-    mixed = image(BASE)
-    mixed["train"][0] = image(BASE, "flip_vertical")["train"][0]
-    assert cluster.find_isomorphism(BASE, mixed)["status"] == "not-isomorphic"
+def replay(left, right, found):
+    """Whether the witness turns every example of left into its partner in right."""
+    change = lambda g: [[found["color"][c] for c in r] for r in cluster._turn(g, found["d4"])]
+    return all({k: change(g) for k, g in p.items()} == right[s][j] for s in ("train", "test") for p, j in zip(left[s], found[f"{s}_permutation"], strict=True))
+
+
+@pytest.mark.parametrize("turn", list(grids.D4))
+def test_every_image_is_found_with_a_witness(turn):
+    for order in itertools.permutations(range(3)):
+        other = image(BASE, turn, order)
+        found = cluster.find_isomorphism(BASE, other)
+        assert found["status"] == "matched" and replay(BASE, other, found)
+
+
+def test_what_is_no_single_image_is_not_matched():
+    whole = image(BASE, "transpose", (0, 1, 2))
+    swapped = {c: {SHIFT[8]: SHIFT[6], SHIFT[6]: SHIFT[8]}.get(c, c) for c in range(10)}
+    for k in range(3):  # one example in other colours, or turned otherwise
+        recolored = image({"train": [], "test": [whole["train"][k]]}, "identity", (), swapped)["test"][0]
+        for example in (recolored, image(BASE, "rotate_180", (0, 1, 2))["train"][k]):
+            other = {"train": [example if i == k else p for i, p in enumerate(whole["train"])], "test": whole["test"]}
+            expected = "matched" if example == whole["train"][k] else "not-isomorphic"
+            assert cluster.find_isomorphism(BASE, other)["status"] == expected
+    assert cluster.find_isomorphism(BASE, {"train": whole["train"][:2], "test": whole["test"]})["status"] == "not-isomorphic"
+    merged = {c: 0 if c == 1 else c for c in range(10)}  # two colours become one: no bijection
+    two = {"train": [{"input": [[0, 1]], "output": [[1]]}], "test": [{"input": [[1]], "output": [[0]]}]}
+    assert cluster.find_isomorphism(two, image(two, "identity", (0,), merged))["status"] == "not-isomorphic"
+
+
+def test_bound_of_states():
+    other = image(BASE, "identity")
+    need = cluster.find_isomorphism(BASE, other)["explored"]
+    assert cluster.find_isomorphism(BASE, other, max_states=need)["status"] == "matched"
+    for bound in range(1, need):
+        found = cluster.find_isomorphism(BASE, other, max_states=bound)
+        assert (found["status"], found["explored"], found["d4"]) == ("inconclusive", bound, None)
+    many = {"train": [{"input": [[1]], "output": [[2]]}] * 9, "test": [{"input": [[1]], "output": [[2]]}]}
+    assert cluster.find_isomorphism(many, many)["explored"] < 2000  # equal examples: one state for each set of partners
 
 
 def rows(tasks):
@@ -37,20 +65,21 @@ def rows(tasks):
 
 
 def test_witness_replays(spark):
-    found = cluster.find_isomorphism(BASE, image(BASE))
-    tampered = found["color"] | {0: 8}
-    pairs = rows({"a": BASE, "b": image(BASE)})
-    df = spark.createDataFrame(
-        [(pairs[0][1], pairs[1][1], (found["d4"], c, found["train_permutation"], found["test_permutation"])) for c in (found["color"], tampered)],
-        f"l {TASK}, r {TASK}, w struct<d4:string,color:map<int,int>,train_permutation:array<int>,test_permutation:array<int>>",
-    )
-    assert [r[0] for r in df.select(cluster.witness_holds(F.col("l"), F.col("r"), F.col("w"))).collect()] == [True, False]
+    other = image(BASE, "rotate_270")
+    found = cluster.find_isomorphism(BASE, other)
+    good = (found["d4"], found["color"], found["train_permutation"], found["test_permutation"])
+    colors = found["color"]
+    bad = [("flip_vertical", *good[1:]), (good[0], colors | {5: colors[6]}, *good[2:]), (good[0], {c: d for c, d in colors.items() if c != 3}, *good[2:]), (*good[:2], [0, 1, 2], good[3]), (*good[:2], good[2], [])]
+    pairs = rows({"a": BASE, "b": other})
+    df = spark.createDataFrame([(k, pairs[0][1], pairs[1][1], w) for k, w in enumerate([good, *bad])], f"k int, l {TASK}, r {TASK}, w struct<d4:string,color:map<int,int>,train_permutation:array<int>,test_permutation:array<int>>")
+    held = {r["k"]: r["ok"] for r in df.select("k", cluster.witness_holds(F.col("l"), F.col("r"), F.col("w")).alias("ok")).collect()}
+    assert held == {k: k == 0 for k in range(len(bad) + 1)}
 
 
 def test_clusters_of_a_toy_set(spark):
     other = {"train": [{"input": [[5]], "output": [[6, 6]]}], "test": [{"input": [[5, 5]], "output": [[6]]}]}
     copy = {"train": BASE["train"][::-1], "test": BASE["test"]}
-    records = spark.createDataFrame(rows({"r1": BASE, "r2": image(BASE), "r3": other, "r4": copy}), f"record_id string, task {TASK}")
+    records = spark.createDataFrame(rows({"r1": BASE, "r2": image(BASE, "anti_transpose"), "r3": other, "r4": copy}), f"record_id string, task {TASK}")
     clusters, edges = cluster.cluster_tasks(records)
     assert {r["record_id"]: r["cluster_id"] for r in clusters.collect()} == {"r1": "r1", "r2": "r1", "r3": "r3", "r4": "r1"}
     assert sorted(r["relation"] for r in edges.collect()) == ["exact-normalized-content", "global-d4-color-isomorphism"]
