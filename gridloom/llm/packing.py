@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, spread
+from .common import materialise, slices, spread, texts
 from .tokens import encoder, with_end
 
 SMALL = 0.25
@@ -215,7 +215,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int | N
         encode = encoder(vocabulary_path)
         for b in batches:
             for first, stop in slices(b.column(1), 1 << 20):
-                ids, lengths = with_end(*encode([x or "" for x in b.column(1).slice(first, stop - first).to_pylist()]), end_id)
+                ids, lengths = with_end(*encode(texts(b.column(1), first, stop)), end_id)
                 ids = ids.astype("<u4")
                 ends = np.cumsum(lengths)
                 n = -(-lengths // capacity)

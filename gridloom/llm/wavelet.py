@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, slices
+from .common import materialise, shared_dir, slices, texts
 from .tokens import encoder, with_end
 
 MAGIC = b"GLWM0001"
@@ -221,7 +221,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary_path: str, end_id: int |
         for b in batches:
             doc_ids.append(b.column(0).to_numpy())
             for first, stop in slices(b.column(1), 1 << 20):
-                found, n = with_end(*encode(b.column(1).slice(first, stop - first).to_pylist()), end_id)
+                found, n = with_end(*encode(texts(b.column(1), first, stop)), end_id)
                 ids.append(found.astype(np.uint16) if not len(found) or found.max() < 1 << 16 else found)
                 lengths.append(n)
         if not lengths:
