@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shared
+
 
 def domain_hash(*parts: Column | str | int) -> Column:
     """Hex SHA-256 of the parts joined by NUL."""
@@ -94,24 +96,94 @@ def stratum_key(demo: Column, test: Column, area: Column, color: Column, change:
     return F.concat_ws("|", demo_bin(demo), test_bin(test), area_bin(area), color_bin(color), F.initcap(change.cast("string")))
 
 
+def capped_quotas(strata: DataFrame, quota: int, domain: str, seed: int, benchmark: str, stratum: str = "stratum") -> DataFrame:
+    """strata (stratum, population) plus `quota` by largest remainder, ties by a domain hash and then the key.
+
+    Fails while it runs where the population is smaller than the quota, or a
+    stratum's quota is larger than its population.
+    """
+    if quota < 1:
+        raise ValueError("the quota must be positive")
+    tie = [domain_hash(domain, seed, "quota", benchmark, F.col(stratum)), F.col(stratum)]
+    whole = Window.partitionBy(F.lit(0))  # strata are few
+    shared = largest_remainder(strata.withColumn("__all", F.sum("population").over(whole)), F.lit(quota).cast("long"), "population", tie)
+    fits = (F.col("__all") >= quota) & (F.col("quota") <= F.col("population"))
+    message = F.lit(f"quota of {benchmark} exceeds its population")
+    return shared.withColumn("quota", F.when(fits, F.col("quota")).otherwise(F.raise_error(message).cast("long"))).drop("__all")
+
+
 def stratified_quota(items: DataFrame, id_col: str, stratum: str, quota: int, domain: str, seed: int, benchmark: str) -> DataFrame:
     """All items plus population, quota, rank_sha256, stratum_rank, selected.
 
-    Quotas by largest remainder over strata, ties by a domain hash and then the key;
-    within a stratum the least hash ranks are taken.
+    Within a stratum the least hash ranks are taken. No stratum gives more than
+    `quota` items, so only so many of each are ranked, in two steps (a task's own
+    least, then theirs); the others' stratum_rank is null.
     """
     strata = items.groupBy(stratum).agg(F.count("*").alias("population"))
-    tie = [domain_hash(domain, seed, "quota", benchmark, F.col(stratum)), F.col(stratum)]
-    shared = largest_remainder(strata, F.lit(quota).cast("long"), "population", tie)
-    rows = items.withColumn("rank_sha256", domain_hash(domain, seed, "rank", benchmark, F.col(id_col))).join(F.broadcast(shared), stratum)
+    shared = capped_quotas(strata, quota, domain, seed, benchmark, stratum)
+    rows = items.withColumn("rank_sha256", domain_hash(domain, seed, "rank", benchmark, F.col(id_col)))
     place = F.row_number().over(Window.partitionBy(stratum).orderBy("rank_sha256", id_col))
-    return rows.withColumn("stratum_rank", place).withColumn("selected", F.col("stratum_rank") <= F.col("quota"))
+    first = rows.select(stratum, id_col, "rank_sha256", place.alias("stratum_rank")).where(F.col("stratum_rank") <= quota)
+    ranked = rows.join(first, [stratum, id_col, "rank_sha256"], "left").join(F.broadcast(shared), stratum)
+    return ranked.withColumn("selected", F.coalesce(F.col("stratum_rank") <= F.col("quota"), F.lit(False)))
 
 
 def decision_reason(excluded: Column, selected: Column) -> Column:
     return F.when(excluded, "excluded-selected-elsewhere").when(selected, "selected").otherwise("not-selected")
 
 
+def select_benchmark(candidates: DataFrame, id_col: str, stratum: str, quota: int, domain: str, seed: int, benchmark: str, excluded: DataFrame | None = None) -> DataFrame:
+    """Every candidate plus population, quota, rank_sha256, eligible, selected and decision_reason.
+
+    excluded (id_col): ids that another benchmark has selected; they take no part
+    in populations and quotas, and have nulls there.
+    """
+    if excluded is None:
+        left, out = candidates, None
+    else:
+        ids = excluded.select(id_col).distinct()
+        left, out = candidates.join(ids, id_col, "left_anti"), candidates.join(ids, id_col, "left_semi")
+    chosen = stratified_quota(left, id_col, stratum, quota, domain, seed, benchmark).withColumn("eligible", F.lit(True))
+    names = [*candidates.columns, "population", "quota", "rank_sha256", "eligible", "selected"]
+    rows = chosen.select(*names)
+    if out is not None:
+        null, rank = F.lit(None).cast("long"), domain_hash(domain, seed, "rank", benchmark, F.col(id_col))
+        rows = rows.union(out.select(*candidates.columns, null, null, rank, F.lit(False), F.lit(False)))
+    return rows.withColumn("decision_reason", decision_reason(~F.col("eligible"), F.col("selected")))
+
+
+def select_in_turn(benchmarks: list[tuple[str, DataFrame, int]], id_col: str, stratum: str, domain: str, seed: int) -> DataFrame:
+    """select_benchmark for each (name, candidates, quota) in turn; ids selected before are excluded from the later ones."""
+    rows = taken = None
+    for name, candidates, quota in benchmarks:
+        chosen = select_benchmark(candidates, id_col, stratum, quota, domain, seed, name, taken).select(F.lit(name).alias("benchmark"), "*")
+        own = shared.written(chosen.where("selected").select(id_col))  # the later benchmarks read it
+        taken = own if taken is None else taken.union(own)
+        rows = chosen if rows is None else rows.union(chosen)
+    return rows
+
+
+def order_index(rows: DataFrame, key: str) -> DataFrame:
+    """rows plus `order_index` (from 0) in the order of `key`.
+
+    Rows are dealt by ranges of the key and written; a range's rows are then
+    numbered alone, after the rows of the ranges before it.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shared.written(rows.repartitionByRange(n, key).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("n"))
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn("order_index", F.col("__before") + F.col("__own") - 1).drop("__range", "__own", "__before")
+
+
+def preview(ids: DataFrame, id_col: str, n: int = 5) -> DataFrame:
+    """One row: how many distinct ids there are, and the first n of them in order."""
+    distinct = ids.select(id_col).distinct()
+    first = distinct.orderBy(id_col).limit(n).agg(F.array_sort(F.collect_list(id_col)).alias("first"))
+    return distinct.agg(F.count("*").alias("n")).crossJoin(first)  # one row each
+
+
 def contamination(assigned: DataFrame, flagged: DataFrame) -> DataFrame:
     """Per split: clusters and records, and those that a ledger of record ids flags (a cluster by any member)."""
     rows = assigned.join(flagged.select("record_id").distinct().withColumn("flag", F.lit(True)), "record_id", "left").withColumn("flag", F.coalesce("flag", F.lit(False)))

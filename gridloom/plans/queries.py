@@ -6,9 +6,6 @@ where SQL can say the same, it stands beside it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +13,9 @@ from ..functions import grids, validation
 from ..operators import baseline, cluster, evidence, ledgers, manifests, overlap, resources, runs, scoring, splits, stats, variants
 from . import development
 from .projections import GRID_SQL, flat_cells, order_grids, order_tasks, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def _long(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("long") for n in names})
+from .registry import QUERIES, SQL, Query, query  # noqa: F401  the driver's contract reads them here
+from .registry import long as _long
+from .task_sql import CANDIDATE_SQL, SCORE_SQL, TASK_SQL
 
 
 # ---- scoring
@@ -97,23 +79,36 @@ def candidate_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _long(ranked.select("user_id", "event_type", "rank"), "rank")
 
 
-@query("baseline_predictions")
+@query("baseline_predictions", f"WITH {CANDIDATE_SQL}, n AS (SELECT *, unnest(range(1, len(best) + 1)) AS k FROM cd) SELECT CAST(t AS VARCHAR) AS task_id, 0 AS output_index, CAST(k AS INTEGER) AS rank, best[k].s AS solver, CAST(to_json(best[k].g) AS VARCHAR) AS grid FROM n")
 def baseline_predictions(spark: SparkSession, sf: str) -> DataFrame:
     ranked = baseline.rank_candidates(order_tasks(spark, sf), 2)
     return ranked.select("task_id", "output_index", "rank", "solver", F.to_json("grid").alias("grid"))
 
 
-@query("baseline_score")
+METRICS_SQL = f"""{SCORE_SQL}, m AS (SELECT count(*) AS n, count(*) FILTER (WHERE exact) AS hits, CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(matches) AS BIGINT) AS matches FROM so)"""
+
+
+@query(
+    "baseline_score",
+    f"""WITH {METRICS_SQL} SELECT 2 AS top_k, n AS tasks_total, n AS tasks_predicted, hits AS tasks_exact, CAST(hits AS DOUBLE) / n AS task_exact_accuracy, n AS outputs_total, hits AS outputs_exact,
+    CAST(hits AS DOUBLE) / n AS output_exact_accuracy, cells AS cells_total, matches AS cells_correct, CAST(matches AS DOUBLE) / cells AS cell_accuracy FROM m""",
+)
 def baseline_score(spark: SparkSession, sf: str) -> DataFrame:
     return baseline.run(order_tasks(spark, sf), 2)[2]
 
 
-@query("baseline_solver_counts")
+@query("baseline_solver_counts", f"WITH {CANDIDATE_SQL} SELECT solver, count(*) AS attempts FROM (SELECT unnest(list_transform(best, lambda e: e.s)) AS solver FROM cd) GROUP BY 1")
 def baseline_solver_counts(spark: SparkSession, sf: str) -> DataFrame:
     return baseline.solver_counts(baseline.rank_candidates(order_tasks(spark, sf), 2))
 
 
-@query("score_cross_check")
+@query("reference_score", f"WITH {METRICS_SQL} SELECT n AS tasks_total, n AS tasks_predicted, hits AS tasks_exact, n AS outputs_total, hits AS outputs_exact FROM m")
+def reference_score(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = order_tasks(spark, sf)
+    return scoring.reference_score(tasks, baseline.predictions(baseline.rank_candidates(tasks, 2)), 2)
+
+
+@query("score_cross_check", "SELECT CAST(0 AS BIGINT) AS tasks_total, CAST(0 AS BIGINT) AS tasks_predicted, CAST(0 AS BIGINT) AS tasks_exact, CAST(0 AS BIGINT) AS outputs_total, CAST(0 AS BIGINT) AS outputs_exact")
 def score_cross_check(spark: SparkSession, sf: str) -> DataFrame:
     """Both scorers over the same predictions: one row of differences, all zero."""
     tasks = order_tasks(spark, sf)
@@ -238,7 +233,11 @@ def content_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("representative")).where("n > 1")
 
 
-@query("task_overlap_summary")
+@query(
+    "task_overlap_summary",
+    f"""WITH {TASK_SQL} SELECT count(*) AS left_task_count, count(*) AS right_task_count, count(*) AS id_overlap_count, count(*) FILTER (WHERE list_reverse(train) = train) AS raw_without_name_exact_count, count(*) AS semantic_labeled_exact_count,
+    count(*) AS challenge_semantic_exact_count, count(*) AS ordered_test_io_exact_count, count(*) AS test_io_exact_count, count(*) AS ordered_test_inputs_exact_count, count(*) AS test_inputs_exact_count FROM tk""",
+)
 def task_overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Customers' tasks against the same tasks with their examples in reverse order."""
     tasks = order_tasks(spark, sf)
@@ -285,7 +284,18 @@ def components_min_label(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.min_label_components(groups.select(F.col("record_id").alias("node")), edges)
 
 
-@query("isomorphism_clusters")
+@query(
+    "components_of_paths",
+    """WITH b AS (SELECT o_orderkey AS node, o_custkey % 50 <> 0 AND o_orderkey % 40 <> 0 AS joined FROM orders) SELECT node, max(CASE WHEN NOT joined THEN node END) OVER (ORDER BY node) AS label FROM b""",
+)
+def components_of_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as nodes, each linked to the one before it unless its customer or number begins a new path."""
+    o = table(spark, sf, "orders")
+    linked = o.where("o_custkey % 50 <> 0 and o_orderkey % 40 <> 0").select(F.col("o_orderkey").alias("u"), (F.col("o_orderkey") - 1).alias("v"))
+    return cluster.min_label_components(o.select(F.col("o_orderkey").alias("node")), linked)
+
+
+@query("isomorphism_clusters", f"WITH {TASK_SQL} SELECT side || ':' || t AS record_id, 'base:' || t AS cluster_id FROM tk, (VALUES ('base'), ('copy')) AS v(side)")
 def isomorphism_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """All tasks and their turned, recoloured copies: each pair is one cluster."""
     tasks = order_tasks(spark, sf)
@@ -447,7 +457,12 @@ def stratum_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy(key.alias("stratum_key")).agg(F.count("*").alias("n"))
 
 
-@query("task_features")
+@query(
+    "task_features",
+    f"""WITH {TASK_SQL}, f AS (SELECT t, train, list_concat(list_transform(train, lambda p: p.i), [x]) AS gs FROM tk)
+    SELECT CAST(t AS VARCHAR) AS task_id, CAST(len(train) AS INTEGER) AS demonstration_count, 1 AS test_input_count, CAST(list_max(list_transform(gs, lambda g: len(g) * len(g[1]))) AS INTEGER) AS max_input_area,
+    CAST(len(list_distinct(flatten(flatten(gs)))) AS INTEGER) AS input_color_count, list_bool_or(list_transform(train, lambda p: len(p.i) <> len(p.o) OR len(p.i[1]) <> len(p.o[1]))) AS demonstration_shape_change FROM f""",
+)
 def task_features(spark: SparkSession, sf: str) -> DataFrame:
     return order_tasks(spark, sf).select("task_id", *[c.alias(n) for n, c in splits.features(F.col("task")).items() if n != "input_colors"])
 
@@ -578,12 +593,18 @@ def split_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").rollup("lang").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("total")).alias("split"), "n")
 
 
+SOURCES = [f"src{k}" for k in range(20)]
+
+
 @query(
     "source_pivot",
-    """SELECT lang, count(*) FILTER (WHERE source = 'src0') AS src0, count(*) FILTER (WHERE source = 'src1') AS src1, count(*) FILTER (WHERE source = 'src2') AS src2 FROM documents GROUP BY 1""",
+    "SELECT lang, " + ", ".join(f"count(*) FILTER (WHERE source = '{x}') AS {x}" for x in SOURCES) + ", count(*) FILTER (WHERE source IS NULL OR source NOT IN (" + ", ".join(f"'{x}'" for x in SOURCES) + ")) AS other FROM documents GROUP BY 1",
 )
 def source_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("lang").pivot("source", ["src0", "src1", "src2"]).agg(F.count(F.lit(1))).na.fill(0)
+    """Documents by language and source; sources beyond the declared ones are counted together."""
+    declared = F.when(F.col("source").isin(SOURCES), F.col("source")).otherwise("other")
+    docs = table(spark, sf, "documents").select("lang", declared.alias("declared"))
+    return docs.groupBy("lang").pivot("declared", [*SOURCES, "other"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 # ---- validation
@@ -656,14 +677,14 @@ def paired_discordance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "paired_exact_p",
-    """WITH t AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 1) % 12 AS a, count(*) FILTER (WHERE quality = 0 AND toxic = 0) % 12 AS b FROM labels JOIN documents USING (doc_id) GROUP BY 1),
-    k AS (SELECT lang, a, b, i, factorial(CAST(a + b AS INTEGER)) / (factorial(CAST(i AS INTEGER)) * factorial(CAST(a + b - i AS INTEGER))) AS c FROM t, range(12) AS r(i) WHERE i <= least(a, b))
-    SELECT lang, a AS first_only, b AS second_only, round(CASE WHEN a + b = 0 THEN 1.0 ELSE least(1.0, 2 * sum(CAST(c AS DOUBLE)) / pow(2, a + b)) END, 9) AS p_value FROM k GROUP BY lang, a, b""",
+    """WITH t AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS a, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS b FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+    k AS (SELECT lang, a, b, a + b AS d, unnest(range(least(a, b) + 1)) AS i FROM t)
+    SELECT lang, a AS first_only, b AS second_only, round(CASE WHEN a + b = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(d + 1) - lgamma(i + 1) - lgamma(d - i + 1) - d * ln(2)))) END, 7) AS p_value FROM k GROUP BY lang, a, b""",
 )
 def paired_exact_p(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    both = rows.groupBy("lang").agg(F.pmod(F.count_if(F.expr("quality = 1 and toxic = 1")), F.lit(12)).alias("first_only"), F.pmod(F.count_if(F.expr("quality = 0 and toxic = 0")), F.lit(12)).alias("second_only"))
-    return _long(stats.paired_exact(both).withColumn("p_value", F.round("p_value", 9)), "first_only", "second_only")
+    both = rows.groupBy("lang").agg(F.count_if(F.expr("quality = 1 and toxic = 1")).alias("first_only"), F.count_if(F.expr("quality = 0 and toxic = 0")).alias("second_only"))
+    return stats.paired_exact(both).withColumn("p_value", F.round("p_value", 7))
 
 
 def _user_effects(spark: SparkSession, sf: str) -> DataFrame:
@@ -675,14 +696,14 @@ def _user_effects(spark: SparkSession, sf: str) -> DataFrame:
 @query("randomization_test")
 def randomization_test(spark: SparkSession, sf: str) -> DataFrame:
     names = ("method", "clusters", "nonzero", "statistic", "p_value", "resamples")
-    f = lambda d: dict(zip(names, stats.sign_flip(d["effect"].tolist(), 20260806, 2000), strict=True))
+    f = lambda d: dict(zip(names, stats.sign_flip(d["effect"].tolist(), 20260806, 10_000), strict=True))
     return stats.by_group(_user_effects(spark, sf), "grp", "method string, clusters int, nonzero int, statistic double, p_value double, resamples int", f)
 
 
 @query("bootstrap_interval")
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
     names = ("clusters", "resamples", "estimate", "lower", "upper")
-    f = lambda d: dict(zip(names, stats.bootstrap_mean(d["effect"].tolist(), 20260806, 1000), strict=True))
+    f = lambda d: dict(zip(names, stats.bootstrap_mean(d["effect"].tolist(), 20260806, 10_000), strict=True))
     return stats.by_group(_user_effects(spark, sf), "grp", "clusters int, resamples int, estimate double, lower double, upper double", f)
 
 
@@ -690,20 +711,66 @@ def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
 def robust_logistic(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of labelled documents against toxicity and length, by source as cluster, for each language."""
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
-    rows = rows.select("lang", "doc_id", "source", F.col("quality").cast("double").alias("y"), F.col("toxic").cast("double").alias("x1"), F.log1p("n_chars").alias("x2"))
+    rows = rows.select("lang", "source", "quality", F.lit(1.0).alias("one"), "toxic", F.log1p("n_chars").alias("length"))
+    return _fits(spark, stats.grouped_logistic(rows, "lang", "quality", ["one", "toxic", "length"], "source"), "lang string", [1, 2])
+
+
+def _fits(spark: SparkSession, reports: dict[object, dict], group: str, picked: list[int]) -> DataFrame:
+    """One row for each group: status, sizes, and the joint test of the picked coefficients."""
+    rows = []
+    for name, r in sorted(reports.items()):
+        wald = stats.wald_block(r["coefficients"], r["covariance"], picked) if r["status"] == "ok" else (None, None, None)
+        rows.append((name, r["status"], r["iterations"], r["observations"], r["clusters"], wald[0], wald[2]))
+    return spark.createDataFrame(rows, f"{group}, status string, iterations int, observations long, clusters long, statistic double, p_value double")
+
+
+@query(
+    "logistic_two_groups",
+    """WITH r AS (SELECT CAST(l_linenumber AS BIGINT) AS line, l_suppkey AS c, CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END AS y, l_discount > 0.05 AS x FROM lineitem),
+    g AS (SELECT line, count(*) AS n, count(DISTINCT c) AS k, count(*) FILTER (WHERE NOT x) AS n0, count(*) FILTER (WHERE x) AS n1, avg(y) FILTER (WHERE NOT x) AS p0, avg(y) FILTER (WHERE x) AS p1 FROM r GROUP BY 1),
+    u AS (SELECT line, c, sum(CASE WHEN x THEN 0 ELSE y - p0 END) / any_value(n0 * p0 * (1 - p0)) AS u0, sum(CASE WHEN x THEN y - p1 ELSE 0 END) / any_value(n1 * p1 * (1 - p1)) AS u1 FROM r JOIN g USING (line) GROUP BY 1, 2),
+    v AS (SELECT line, sum(u0 * u0) AS v00, sum(u1 * u1) AS v11, sum(u0 * u1) AS v01 FROM u GROUP BY 1),
+    f AS (SELECT line, n, k, ln(p0 / (1 - p0)) AS b0, ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)) AS b1, v00 + v11 - 2 * v01 AS var1, CAST(k AS DOUBLE) / (k - 1) * (n - 1) / (n - 2) AS scale FROM g JOIN v USING (line))
+    SELECT line, n AS observations, k AS clusters, round(b0, 6) AS intercept, round(b1, 6) AS effect, round(sqrt(var1 * scale), 6) AS standard_error FROM f""",
+)
+def logistic_two_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Large quantities against a high discount, by supplier as cluster, for each line number: a design whose fit has a closed form."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("long").alias("line"), "l_suppkey", (F.col("l_quantity") > 25).cast("int").alias("y"), F.lit(1).alias("one"), (F.col("l_discount") > 0.05).cast("int").alias("x"))
+    found = stats.grouped_logistic(rows, "line", "y", ["one", "x"], "l_suppkey")
+    out = [(g, r["observations"], r["clusters"], *(round(b, 6) for b in r["coefficients"]), round(r["covariance"][3] ** 0.5, 6)) for g, r in found.items()]
+    return spark.createDataFrame(out, "line long, observations long, clusters long, intercept double, effect double, standard_error double")
+
+
+@query(
+    "sign_flip_exact",
+    """WITH e AS (SELECT event_type AS grp, user_id % 11 AS c, floor(avg(value)) - 50 AS effect FROM events GROUP BY 1, 2), v AS (SELECT grp, count(*) AS clusters, list(effect ORDER BY c) FILTER (WHERE effect <> 0) AS live FROM e GROUP BY 1),
+    m AS (SELECT grp, clusters, live, unnest(range(CAST(pow(2, len(live)) AS BIGINT))) AS mask FROM v),
+    s AS (SELECT grp, clusters, live, list_sum(list_transform(range(1, len(live) + 1), lambda q: CASE WHEN (mask >> (q - 1)) & 1 = 1 THEN live[q] ELSE -live[q] END)) AS total FROM m)
+    SELECT grp, 'exact-enumeration' AS method, CAST(clusters AS INTEGER) AS clusters, CAST(len(live) AS INTEGER) AS nonzero, abs(list_sum(live)) AS statistic, count(*) FILTER (WHERE abs(total) >= abs(list_sum(live)) - 1e-9) / CAST(count(*) AS DOUBLE) AS p_value, CAST(count(*) AS INTEGER) AS resamples
+    FROM s GROUP BY grp, clusters, live""",
+)
+def sign_flip_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole-number effects of eleven groups of users on each type of event, over all signs."""
+    effects = table(spark, sf, "events").groupBy(F.col("event_type").alias("grp"), F.pmod("user_id", F.lit(11)).alias("cluster")).agg((F.floor(F.avg("value")) - 50).cast("double").alias("effect"))
+    names = ("method", "clusters", "nonzero", "statistic", "p_value", "resamples")
+    f = lambda d: dict(zip(names, stats.sign_flip(d["effect"].tolist(), 1, 10_000), strict=True))
+    return stats.by_group(effects, "grp", "method string, clusters int, nonzero int, statistic double, p_value double, resamples int", f)
 
-    def f(d: pd.DataFrame) -> dict:
-        x = d[["x1", "x2"]].to_numpy()
-        got = stats.logistic_gee(pd.concat([pd.Series(1.0, index=d.index), d[["x1", "x2"]]], axis=1).to_numpy(), d["y"].to_numpy(), d["source"].to_numpy())
-        wald = stats.wald_block(got["coefficients"], got["covariance"], [1, 2]) if got["coefficients"] else (None, None, None)
-        return {"status": got["status"], "iterations": got["iterations"], "observations": len(x), "clusters": got["clusters"], "statistic": wald[0], "p_value": wald[2]}
 
-    return stats.by_group(rows, "lang", "status string, iterations int, observations int, clusters int, statistic double, p_value double", f)
+EFFECTS = [0.025, 0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.25]
 
 
 @query("power_grid")
 def power_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.minimum_effects(stats.power_grid(spark, [64, 120], [0.05, 0.1, 0.2], 0.5, 0.3, 200, 0.05, 20260806), 0.8)
+    """Nine effects by three numbers of tasks, 2,000 simulations each."""
+    return stats.minimum_effects(stats.power_grid(spark, [32, 64, 120], EFFECTS, 0.5, 0.3, 2_000, 0.05, 20260806), 0.8)
+
+
+@query("minimum_effects", "SELECT l_linenumber AS task_count, min(l_discount) FILTER (WHERE l_tax >= 0.06) AS minimum_effect FROM lineitem GROUP BY 1")
+def minimum_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule for the least sufficient effect, over line items as cells of a grid."""
+    grid = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("task_count"), F.col("l_discount").alias("effect"), F.col("l_tax").alias("power"))
+    return stats.minimum_effects(grid, 0.06)
 
 
 @query(
@@ -751,13 +818,20 @@ def variant_categories(spark: SparkSession, sf: str) -> DataFrame:
     return variants.categories(variants.design(tasks, splits.color_maps("gridloom", [1, 2, 3, 4])))
 
 
-@query("variant_latin_balance")
+@query(
+    "variant_latin_balance",
+    f"""WITH {TASK_SQL}, c(slot, d4) AS (VALUES (0, 'rotate_90'), (1, 'rotate_180'), (2, 'flip_horizontal'), (3, 'transpose'))
+    SELECT d4, CAST((t % 97 % 4 + slot) % 4 AS INTEGER) AS color_index, count(*) AS n FROM tk, c GROUP BY 1, 2""",
+)
 def variant_latin_balance(spark: SparkSession, sf: str) -> DataFrame:
     tasks = order_tasks(spark, sf).withColumn("idx", F.col("task_id").cast("long") % 97)
     return variants.latin_balance(variants.design(tasks, splits.color_maps("gridloom", [1, 2, 3, 4])))
 
 
-@query("label_mutation_audit")
+@query(
+    "label_mutation_audit",
+    f"""WITH {SCORE_SQL} SELECT CAST(0 AS BIGINT) AS differing, count(*) FILTER (WHERE exact) AS original, CAST(sum(matches) AS BIGINT) AS original_cells, count(*) FILTER (WHERE shifted_exact) AS mutated, CAST(sum(shifted_matches) AS BIGINT) AS mutated_cells FROM so""",
+)
 def label_mutation_audit(spark: SparkSession, sf: str) -> DataFrame:
     return variants.mutation_audit(order_tasks(spark, sf))
 
@@ -805,24 +879,53 @@ def input_verification(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EVENT_SCHEMA = {
-    "type": "object", "required": ["k"], "additionalProperties": True,
-    "properties": {"k": {"type": ["integer", "string", "null"]}},
+    "type": "object", "required": ["k", "kind"], "additionalProperties": False,
+    "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 89}},
 }
 
 
-@query("json_schema_issues")
+@query(
+    "json_schema_issues",
+    """WITH e AS (SELECT TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, list_filter(json_keys(props), lambda n: n <> 'k') AS others FROM events),
+    i AS (SELECT '$.kind: required' AS issue FROM e WHERE NOT list_contains(others, 'kind') UNION ALL SELECT '$.k: range' FROM e WHERE k NOT BETWEEN 10 AND 89 UNION ALL SELECT '$.k: required' FROM e WHERE k IS NULL
+          UNION ALL SELECT '$.' || n || ': unknown' FROM (SELECT unnest(others) AS n FROM e))
+    SELECT issue, count(*) AS n FROM i GROUP BY 1""",
+)
 def json_schema_issues(spark: SparkSession, sf: str) -> DataFrame:
-    """Issues of every event's properties under a small schema."""
+    """Issues of every event's properties under a small schema that many break."""
     rows = table(spark, sf, "events").select(runs.document_issues(EVENT_SCHEMA)("props").alias("issues"))
-    return rows.select(F.explode_outer("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    return rows.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query("json_pointer_assertions")
+def _assertions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two assertions on every event's properties as evidence for its type's gate: its key is its id modulo 100; another place, that is not there, is null."""
+    e = table(spark, sf, "events")
+    docs = e.select(F.col("event_id").cast("string").alias("path"), F.col("props").alias("text"))
+    asked = e.select(F.col("event_type").alias("gate_id"), F.col("event_id").cast("string").alias("path"), F.explode(F.array(F.struct(F.lit("/k").alias("p"), F.pmod("event_id", F.lit(100)).cast("string").alias("v")), F.struct(F.lit("/none/0").alias("p"), F.lit("null").alias("v")))).alias("a"))
+    return evidence.evaluate_assertions(asked.select("gate_id", "path", F.col("a.p").alias("pointer"), F.col("a.v").alias("equals")), docs)
+
+
+ASSERTION_SQL = """pa AS (SELECT event_type AS gate_id, CAST(event_id AS VARCHAR) AS path, '/k' AS pointer, coalesce(json_extract_string(props, '$.k') = CAST(event_id % 100 AS VARCHAR), false) AS passed FROM events
+    UNION ALL SELECT event_type, CAST(event_id AS VARCHAR), '/none/0', false FROM events)"""
+
+
+@query("json_pointer_assertions", f"WITH {ASSERTION_SQL} SELECT gate_id, pointer, passed, count(*) AS n FROM pa GROUP BY 1, 2, 3")
 def json_pointer_assertions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event's properties as evidence: its first key must exist and equal itself."""
-    docs = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.col("props").alias("text"), F.get(F.json_object_keys("props"), F.lit(0)).alias("key"))
-    asked = docs.select(F.lit("gate").alias("gate_id"), "path", F.concat(F.lit("/"), "key").alias("pointer"), F.lit("null").alias("equals"))
-    return evidence.evaluate_assertions(asked, docs).groupBy("gate_id", "passed").agg(F.count("*").alias("n"))
+    return _assertions(spark, sf).groupBy("gate_id", "pointer", "passed").agg(F.count("*").alias("n"))
+
+
+@query(
+    "gate_readiness",
+    f"""WITH {ASSERTION_SQL}, g AS (SELECT DISTINCT event_type AS id, CASE WHEN event_type IN ('click', 'view') THEN 'passed' ELSE 'pending' END AS status, event_type <> 'error' AS required FROM events UNION ALL SELECT 'none', 'passed', true),
+    r AS (SELECT gate_id, bool_and(passed) AS ok, count(*) AS n FROM pa GROUP BY 1)
+    SELECT g.id, g.status, g.required, coalesce(r.n, 0) AS assertions, concat_ws(',', CASE WHEN g.status = 'passed' AND r.n IS NULL THEN 'no-assertion' END, CASE WHEN NOT r.ok THEN 'assertion-failed' END) AS errors, g.required AND g.status <> 'passed' AS unmet
+    FROM g LEFT JOIN r ON r.gate_id = g.id""",
+)
+def gate_readiness(spark: SparkSession, sf: str) -> DataFrame:
+    """A gate for each type of event, and one without any assertion."""
+    gates = table(spark, sf, "events").select(F.col("event_type").alias("id")).distinct().select("id", F.when(F.col("id").isin("click", "view"), "passed").otherwise("pending").alias("status"), (F.col("id") != "error").alias("required"))
+    gates = gates.union(spark.createDataFrame([("none", "passed", True)], "id string, status string, required boolean"))
+    return evidence.gate_readiness(gates, _assertions(spark, sf)).withColumn("errors", F.array_join("errors", ","))
 
 
 @query(
@@ -851,7 +954,15 @@ def forbidden_fields(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if(F.size("paths") > 0).alias("forbidden"))
 
 
-@query("development_build")
+@query(
+    "development_build",
+    f"""WITH {TASK_SQL}, cl AS (SELECT 's:' || t AS cluster_id FROM tk), rk AS (SELECT cluster_id, row_number() OVER (ORDER BY sha256('20260806' || chr(0) || cluster_id), cluster_id) AS rank FROM cl),
+    w(position, split, weight) AS (VALUES (0, 'train', 70), (1, 'validation', 15), (2, 'audit', 15)), q0 AS (SELECT position, split, total * weight // 100 AS base, total * weight % 100 AS rest, total FROM w, (SELECT count(*) AS total FROM cl)),
+    q1 AS (SELECT *, total - sum(base) OVER () AS spare, row_number() OVER (ORDER BY rest DESC, split) AS place FROM q0), q2 AS (SELECT position, split, base + CASE WHEN place <= spare THEN 1 ELSE 0 END AS quota FROM q1),
+    q AS (SELECT split, quota, sum(quota) OVER (ORDER BY position) AS high FROM q2), sp AS (SELECT rk.cluster_id, q.split FROM rk JOIN q ON rk.rank > q.high - q.quota AND rk.rank <= q.high),
+    fl AS (SELECT 's:' || c_custkey AS id FROM customer WHERE c_acctbal < 0)
+    SELECT split, count(*) AS clusters, count(*) FILTER (WHERE cluster_id IN (SELECT id FROM fl)) AS flagged_clusters, count(*) AS records, count(*) FILTER (WHERE cluster_id IN (SELECT id FROM fl)) AS flagged_records FROM sp GROUP BY 1""",
+)
 def development_build(spark: SparkSession, sf: str) -> DataFrame:
     """Records, clusters and flagged counts by split of the whole build over all customers' tasks."""
     tasks = order_tasks(spark, sf)
@@ -860,11 +971,21 @@ def development_build(spark: SparkSession, sf: str) -> DataFrame:
     return development.build(records, "20260806", WEIGHTS, flagged).contamination
 
 
-@query("runtime_checks")
+@query("runtime_checks", f"WITH {TASK_SQL} SELECT CAST(0 AS BIGINT) AS changed_inputs, count(*) AS oracle, count(*) AS oracle_total, CAST(0 AS BIGINT) AS mutated, count(*) AS mutated_total FROM tk")
 def runtime_checks(spark: SparkSession, sf: str) -> DataFrame:
     return development.runtime_checks(order_tasks(spark, sf))
 
 
-@query("metric_contract")
+@query(
+    "metric_contract",
+    f"""WITH {METRICS_SQL} SELECT 'output_exact_pass_at_k' AS metric, 2 AS top_k, hits AS numerator, n AS denominator, CAST(hits AS DOUBLE) / n AS value, 'all_declared_test_outputs' AS policy FROM m
+    UNION ALL SELECT 'strict_task_exact_pass_at_k', 2, hits, n, CAST(hits AS DOUBLE) / n, 'all_declared_tasks' FROM m UNION ALL SELECT 'micro_cell_accuracy', 2, matches, cells, CAST(matches AS DOUBLE) / cells, 'diagnostic_only' FROM m""",
+)
 def metric_contract(spark: SparkSession, sf: str) -> DataFrame:
-    return ledgers.metric_contract(baseline.run(order_tasks(spark, sf), 2)[2])
+    """The metrics of the baseline's score, a row for each."""
+    contract = ledgers.metric_contract(baseline.run(order_tasks(spark, sf), 2)[2])
+    rows = contract.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), f"{m}.*") for m in contract.columns])).alias("m"))
+    return rows.select("m.*")
+
+
+from . import audits  # noqa: E402,F401  its queries register themselves

@@ -26,8 +26,6 @@ def relative(rows: DataFrame, root: str) -> DataFrame:
     return rows.withColumn("path", F.regexp_replace("path", pattern, ""))
 
 
-
-
 def tree_digest(rows: DataFrame) -> DataFrame:
     """One row: SHA-256 over the canonical JSON list of (bytes, path, sha256), in path order."""
     item = F.struct("bytes", "path", "sha256")
@@ -105,3 +103,12 @@ def submodules(text: DataFrame, column: str = "text") -> DataFrame:
     """(name, path, url) of a .gitmodules text."""
     block = text.select(F.explode(F.regexp_extract_all(column, F.lit(r'(?s)\[submodule "[^"]+"\][^\[]*'), F.lit(0))).alias("b"))
     return block.select(F.regexp_extract("b", r'\[submodule "([^"]+)"\]', 1).alias("name"), *[F.regexp_extract("b", rf"(?m)^\s*{k}\s*=\s*(\S+)", 1).alias(k) for k in ("path", "url")])
+
+
+def yaml_scalar(text: Column, key: str) -> Column:
+    """The scalar of a top-level key of a YAML text, without quotes or a comment; null where there is none."""
+    line = rf"(?m)^{re.escape(key)}:[ \t]*"
+    quoted = F.regexp_extract(text, line + r"(?:\"([^\"]*)\"|'([^']*)')[ \t]*(?:#.*)?$", 0)
+    inside = F.regexp_extract(quoted, r"(?s):[ \t]*[\"'](.*)[\"'][^\"']*\z", 1)
+    plain = F.regexp_extract(text, line + r"([^\s#\"'][^#\n]*?)[ \t]*(?:#.*)?$", 1)
+    return F.when(quoted != "", inside).when(plain != "", plain)

@@ -38,9 +38,7 @@ def enumerate_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Files of a dataset: those directly in the folder, or else those of its split folders."""
     try:
         return json_files(spark, path)
-    except (DatasetError, Exception) as error:  # noqa: BLE001  an empty folder makes the text reader fail
-        if not isinstance(error, DatasetError) and "PATH_NOT_FOUND" in str(error):
-            raise
+    except DatasetError:  # no file directly in the folder
         return json_files(spark, f"{path.rstrip('/')}/*/")
 
 
@@ -57,6 +55,11 @@ def load_tasks(spark: SparkSession, path: str, require_test_outputs: bool = True
     return parse_tasks(json_files(spark, path, recursive), require_test_outputs).select("split", "task_id", "path", "task", "errors")
 
 
+def load_split(spark: SparkSession, path: str) -> DataFrame:
+    """(task_id, path, task) of a split without its checks: whatever of the schema a text holds; null where it is no strict JSON."""
+    return json_files(spark, path).select("task_id", "path", F.from_json("text", TASK, {"mode": "PERMISSIVE"}).alias("task"), F.try_parse_json("text").isNotNull().alias("strict")).select("task_id", "path", F.when(F.col("strict"), F.col("task")).alias("task"))
+
+
 def batch_validate(tasks: DataFrame) -> DataFrame:
     """One row: files (each path once), and those with errors."""
     return tasks.dropDuplicates(["path"]).agg(F.count("*").alias("files"), F.count_if(F.size("errors") > 0).alias("invalid"))
