@@ -167,3 +167,28 @@ def last_per_group(rows: DataFrame, group: list[str], order: list[Column]) -> Da
     """As latest(), by a window: keeps columns that have no order, such as maps."""
     w = Window.partitionBy(*group).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def macro_micro(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """One row: macro (the mean of the groups' means), micro (the mean over all rows) and the number of groups; nulls of value are left out."""
+    per = rows.where(F.col(value).isNotNull()).groupBy(group).agg(F.sum(F.col(value).cast("double")).alias("__sum"), F.count("*").alias("__n"))
+    return per.agg(F.avg(F.col("__sum") / F.col("__n")).alias("macro"), F.try_divide(F.sum("__sum"), F.sum("__n")).alias("micro"), F.count("*").alias("groups"))
+
+
+def cost_audit(rows: DataFrame, group: list[str], cost: str, stored: str, key: list[str]) -> DataFrame:
+    """Per group: total, positive and all costs, their true mean, the stored mean, what the total was divided by for it, and distinct keys.
+
+    A missing cost is nothing in the total and is not counted in the mean.
+    """
+    c = F.col(cost)
+    sums = rows.groupBy(*group).agg(
+        F.sum(F.coalesce(c, F.lit(0.0))).alias("total"), F.count_if(c > 0).alias("positive"), F.count("*").alias("n"), F.avg(c).alias("mean"), F.max(stored).alias("stored_mean"),
+        F.count_distinct(F.struct(*key)).alias("keys"),
+    )
+    return sums.withColumn("divisor", F.try_divide("total", "stored_mean"))
+
+
+def totals(rows: DataFrame, column: str, total: str = "total") -> DataFrame:
+    """(column, n) of every value, and of all rows under the name `total`."""
+    counts = rows.rollup(column).agg(F.count("*").alias("n"), F.grouping(column).alias("__all"))
+    return counts.select(F.when(F.col("__all") == 1, total).otherwise(F.col(column)).alias(column), "n")

@@ -110,6 +110,25 @@ def passed_evidence_errors(records: DataFrame) -> DataFrame:
     return records.select("path", codes(errors).alias("errors"), codes(warnings).alias("warnings"))
 
 
+def prediction_run_errors(records: DataFrame, files: DataFrame, strict: bool = False) -> DataFrame:
+    """(path, errors) of prediction runs (path, text) against an inventory of files (path, sha256).
+
+    A run must not have seen test labels, must score after inference, and must
+    name its predictions with the digest that the file has. A strict run also
+    shows that mutated labels change nothing, and that it had no network.
+    """
+    field = lambda name: F.get_json_object("text", f"$.{name}")
+    named = records.select("path", "text", field("results.predictions_path").alias("__file"), field("results.predictions_sha256").alias("__sha"))
+    both = named.join(files.select(F.col("path").alias("__file"), F.col("sha256").alias("__found")), "__file", "left")
+    checks = {
+        "top_k": field("attempt_budget.top_k").try_cast("long") >= 1, "labels-seen": field("challenge_firewall.inference_received_test_labels") == "false",
+        "scored-before": field("challenge_firewall.scoring_after_inference") == "true", "predictions-missing": F.col("__found").isNotNull(), "predictions-digest": F.col("__found").isNull() | (F.col("__found") == F.col("__sha")),
+    }
+    if strict:
+        checks |= {"mutation-check": field("challenge_firewall.label_mutation_check") == "passed", "network": field("challenge_firewall.network_policy") == "denied"}
+    return both.select("path", codes(checks).alias("errors"))
+
+
 def run_inventory(files: DataFrame, rules: Sequence[dict[str, str]]) -> DataFrame:
     """(path, sha256, bytes, tier, rule, kind, status, method_id, run_id, runner, scope) of run records and results (path, text).
 

@@ -163,6 +163,16 @@ def select_in_turn(benchmarks: list[tuple[str, DataFrame, int]], id_col: str, st
     return rows
 
 
+def feature_distribution(items: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, value, n): how often each value of each feature occurs, in one pass over the items."""
+    return items.unpivot([], features, "feature", "value").groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+
+def latin_rows(items: DataFrame, key: str, rows: int = 4) -> DataFrame:
+    """items plus `idx`, its place in the order of `key`, and `latin_row`, that modulo the number of rows."""
+    return order_index(items, key).withColumnRenamed("order_index", "idx").withColumn("latin_row", F.pmod("idx", F.lit(rows)))
+
+
 def order_index(rows: DataFrame, key: str) -> DataFrame:
     """rows plus `order_index` (from 0) in the order of `key`.
 

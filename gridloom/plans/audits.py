@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grids, validation
-from ..operators import baseline, cluster, evidence, ledgers, manifests, overlap, protocol, resources, scoring, shared, splits
+from ..operators import baseline, cluster, evidence, ledgers, manifests, overlap, protocol, resources, scoring, shared, splits, variants
 from ..sources import inventory, sinks, tasks
 from . import development
 from .projections import order_tasks, table
@@ -197,6 +197,31 @@ def selection_in_turn(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("benchmark", "doc_id", "stratum", "population", "quota", "selected", "decision_reason")
 
 
+TASK_STRATUM_SQL = f"""{TASK_SQL}, tf AS (SELECT t, len(train) AS demos, list_max(list_transform(list_concat(list_transform(train, lambda p: p.i), [x]), lambda g: len(g) * 4)) AS area, len(list_distinct(flatten(flatten(list_concat(list_transform(train, lambda p: p.i), [x]))))) AS colors FROM tk),
+it AS (SELECT t AS doc_id, CASE WHEN demos <= 4 THEN CAST(demos AS VARCHAR) ELSE '5+' END || '|1|' || CASE WHEN area <= 100 THEN '1-100' WHEN area <= 400 THEN '101-400' ELSE '401-900' END || '|' || CASE WHEN colors <= 3 THEN '1-3' WHEN colors <= 6 THEN '4-6' ELSE '7-10' END || '|False' AS stratum, demos FROM tf)"""
+
+
+@query(
+    "fixed_design",
+    f"""WITH {TASK_STRATUM_SQL}, {_selection_sql("second", "doc_id % 2 = 0", 32)}, {_selection_sql("first", "doc_id NOT IN (SELECT doc_id FROM second_k WHERE place <= quota)", 32)},
+    s AS (SELECT 'second' AS benchmark, doc_id FROM second_k WHERE place <= quota UNION ALL SELECT 'first', doc_id FROM first_k WHERE place <= quota), d AS (SELECT benchmark, it.demos FROM s JOIN it USING (doc_id))
+    SELECT benchmark, category, n, true AS round_trips FROM (
+      SELECT benchmark, 'd4_only' AS category, count(*) * 8 AS n FROM d GROUP BY 1 UNION ALL SELECT benchmark, 'color_only', count(*) * 4 FROM d GROUP BY 1 UNION ALL SELECT benchmark, 'd4_plus_color', count(*) * 4 FROM d GROUP BY 1
+      UNION ALL SELECT benchmark, 'demonstration_order', count(*) * 2 FROM d WHERE demos >= 3 GROUP BY 1)""",
+)
+def fixed_design(spark: SparkSession, sf: str) -> DataFrame:
+    """Two benchmarks of 32 tasks each by visible features, the second's tasks left out of the first, and all variants of these 64."""
+    base = shared.written(order_tasks(spark, sf).withColumn("doc_id", F.col("task_id").cast("long")))
+    f = splits.features(F.col("task"))
+    stratum = splits.stratum_key(f["demonstration_count"], f["test_input_count"], f["max_input_area"], f["input_color_count"], f["demonstration_shape_change"])
+    candidates = base.select("doc_id", stratum.alias("stratum"))
+    chosen = splits.select_in_turn([("second", candidates.where("doc_id % 2 = 0"), 32), ("first", candidates, 32)], "doc_id", "stratum", "gridloom", 7).where("selected")
+    place = F.row_number().over(Window.partitionBy("benchmark").orderBy("rank_sha256", "doc_id")) - 1  # 32 rows of each
+    picked = chosen.select("benchmark", "doc_id", place.alias("idx")).join(base, "doc_id")
+    made = variants.design(picked.select("task_id", "task", "idx"), splits.color_maps("gridloom", [1, 2, 3, 4])).join(picked.select("task_id", "benchmark"), "task_id")
+    return made.groupBy("benchmark", "category").agg(F.count("*").alias("n"), F.bool_and("round_trip").alias("round_trips"))
+
+
 @query(
     "color_map_rows",
     """WITH s(seed) AS (VALUES (1), (2), (3), (4)), c AS (SELECT seed, unnest(range(1, 10)) AS c FROM s)
@@ -415,6 +440,26 @@ def passed_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("path", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
 
 
+@query(
+    "prediction_run_errors",
+    """SELECT CAST(event_id AS VARCHAR) AS path, concat_ws(',', CASE WHEN event_id % 13 = 0 THEN 'top_k' END, CASE WHEN event_type = 'error' THEN 'labels-seen' END, CASE WHEN user_id % 6 = 0 THEN 'scored-before' END, CASE WHEN event_id % 100 >= 90 THEN 'predictions-missing' END,
+    CASE WHEN event_id % 100 < 90 AND event_id % 7 = 0 THEN 'predictions-digest' END, CASE WHEN value < 2 THEN 'mutation-check' END, CASE WHEN user_id % 8 = 1 THEN 'network' END) AS errors FROM events""",
+)
+def prediction_run_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as strict prediction runs over ninety files."""
+    k, sha = F.col("event_id"), lambda c: F.sha2(c.cast("string"), 256)
+    place = F.pmod("event_id", F.lit(100))
+    flags = F.struct(
+        F.when(F.col("event_type") == "error", "true").otherwise("false").alias("inference_received_test_labels"), (F.col("user_id") % 6 != 0).alias("scoring_after_inference"),
+        F.when(F.col("value") < 2, "not_run").otherwise("passed").alias("label_mutation_check"), F.when(F.col("user_id") % 8 == 1, "open").otherwise("denied").alias("network_policy"),
+    )
+    results = F.struct(place.cast("string").alias("predictions_path"), F.when(k % 7 == 0, "other").otherwise(sha(place)).alias("predictions_sha256"))
+    record = F.to_json(F.struct(F.struct(F.when(k % 13 == 0, 0).otherwise(2).alias("top_k")).alias("attempt_budget"), flags.alias("challenge_firewall"), results.alias("results")))
+    files = spark.range(90).select(F.col("id").cast("string").alias("path"), sha(F.col("id")).alias("sha256"))
+    found = protocol.prediction_run_errors(table(spark, sf, "events").select(k.cast("string").alias("path"), record.alias("text")), files, strict=True)
+    return found.select("path", F.array_join("errors", ",").alias("errors"))
+
+
 def _run_files(spark: SparkSession, sf: str) -> DataFrame:
     """(path, text): events as run records and results; older ones with the older field names."""
     e = table(spark, sf, "events")
@@ -644,6 +689,26 @@ def ledger_file(spark: SparkSession, sf: str) -> DataFrame:
     return ledgers.load_ledger(spark, f"{folder}/ledger.json", hashlib.sha256(text.encode()).hexdigest())
 
 
+@query("locked_manifest", "SELECT n_name AS name, n_regionkey AS region FROM nation")
+def locked_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest of the nations with its own digest: written, hashed, read and checked."""
+    import hashlib
+
+    body = {"nations": [[r["n_name"], r["n_regionkey"]] for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]}  # a fixed dimension of 25
+    own = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    text = json.dumps(body | {"manifest_sha256": own}, indent=1)
+    folder = shared.folder(spark)
+    _put(folder, "manifest.json", text)
+    document = ledgers.load_locked_manifest(spark, f"{folder}/manifest.json", hashlib.sha256(text.encode()).hexdigest())
+    return spark.createDataFrame([tuple(x) for x in document["nations"]], "name string, region int")
+
+
+@query("code_inventory", f"WITH {NATION_SQL} SELECT split || '/' || task_id || '.json' AS path FROM nf WHERE split = 'training' OR k < 10")
+def code_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of two globs that overlap."""
+    return inventory.code_inventory(spark, _nation_files(spark, sf), ["training/*.json", "*/0000000[0-9].json"]).where("bytes > 0").select("path")
+
+
 @query("challenge_tree", f"""WITH {TASK_SQL} SELECT CAST(t AS VARCHAR) AS task_id, CAST(len(train) AS INTEGER) AS demonstrations, 0 AS hidden, 'equal' AS digest FROM tk""")
 def challenge_tree(spark: SparkSession, sf: str) -> DataFrame:
     """The label-free tree of all tasks, written and read back, against its manifest."""
@@ -668,12 +733,12 @@ def split_trees(spark: SparkSession, sf: str) -> DataFrame:
     "challenge_view",
     """WITH m AS (SELECT page_id AS k, sha256(html) AS sha FROM pages WHERE page_id % 10 <> 4), f AS (SELECT page_id AS k, CASE WHEN page_id % 7 = 0 THEN sha256(url) ELSE sha256(html) END AS sha FROM pages WHERE page_id % 10 <> 5),
     j AS (SELECT coalesce(m.k, f.k) AS k, m.sha AS declared, f.sha FROM m FULL JOIN f ON m.k = f.k)
-    SELECT CAST(k AS VARCHAR) AS path, CASE WHEN sha IS NULL THEN 'missing' WHEN declared IS NULL THEN 'undeclared' ELSE 'mismatch' END AS error FROM j WHERE sha IS DISTINCT FROM declared""",
+    SELECT CAST(k AS VARCHAR) AS path, CASE WHEN sha IS NULL THEN 'missing' WHEN declared IS NULL THEN 'undeclared' ELSE 'mismatch' END AS error FROM j WHERE sha IS DISTINCT FROM declared UNION ALL SELECT '*', 'task-count'""",
 )
 def challenge_view(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as the files of a view against its manifest; no task of it shows a label."""
+    """Pages as the files of a view against its manifest; no task of it shows a label, but there are more than declared."""
     p, k = table(spark, sf, "pages"), F.col("page_id")
     manifest = p.where("page_id % 10 <> 4").select(k.cast("string").alias("path"), F.sha2("html", 256).alias("sha256"))
     files = p.where("page_id % 10 <> 5").select(k.cast("string").alias("path"), F.when(k % 7 == 0, F.sha2("url", 256)).otherwise(F.sha2("html", 256)).alias("sha256"))
     seen = order_tasks(spark, sf).select(F.col("task_id").alias("path"), grids.challenge_only(F.col("task")).alias("task"))
-    return inventory.challenge_view_errors(manifest, files, seen)
+    return inventory.challenge_view_errors(manifest, files, seen, expected_tasks=0)

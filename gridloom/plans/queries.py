@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grids, validation
-from ..operators import baseline, cluster, evidence, ledgers, manifests, overlap, resources, runs, scoring, splits, stats, variants
+from ..operators import baseline, cluster, evidence, ledgers, manifests, overlap, resources, runs, scoring, shared, splits, stats, variants
 from . import development
 from .projections import GRID_SQL, flat_cells, order_grids, order_tasks, table
 from .registry import QUERIES, SQL, Query, query  # noqa: F401  the driver's contract reads them here
@@ -94,7 +94,7 @@ METRICS_SQL = f"""{SCORE_SQL}, m AS (SELECT count(*) AS n, count(*) FILTER (WHER
     CAST(hits AS DOUBLE) / n AS output_exact_accuracy, cells AS cells_total, matches AS cells_correct, CAST(matches AS DOUBLE) / cells AS cell_accuracy FROM m""",
 )
 def baseline_score(spark: SparkSession, sf: str) -> DataFrame:
-    return baseline.run(order_tasks(spark, sf), 2)[2]
+    return baseline.run(shared.written(order_tasks(spark, sf)), 2)[2]  # the tasks are read for candidates and for answers
 
 
 @query("baseline_solver_counts", f"WITH {CANDIDATE_SQL} SELECT solver, count(*) AS attempts FROM (SELECT unnest(list_transform(best, lambda e: e.s)) AS solver FROM cd) GROUP BY 1")
@@ -111,8 +111,8 @@ def reference_score(spark: SparkSession, sf: str) -> DataFrame:
 @query("score_cross_check", "SELECT CAST(0 AS BIGINT) AS tasks_total, CAST(0 AS BIGINT) AS tasks_predicted, CAST(0 AS BIGINT) AS tasks_exact, CAST(0 AS BIGINT) AS outputs_total, CAST(0 AS BIGINT) AS outputs_exact")
 def score_cross_check(spark: SparkSession, sf: str) -> DataFrame:
     """Both scorers over the same predictions: one row of differences, all zero."""
-    tasks = order_tasks(spark, sf)
-    ranked = baseline.rank_candidates(tasks, 2)
+    tasks = shared.written(order_tasks(spark, sf))
+    ranked = shared.written(baseline.rank_candidates(tasks, 2))
     attempts = ranked.select("task_id", "output_index", F.col("rank").alias("attempt_no"), "grid")
     a, b = scoring.score(scoring.explode_answers(tasks), attempts, 2), scoring.reference_score(tasks, baseline.predictions(ranked), 2)
     both = a.crossJoin(b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns]))  # one row each
@@ -144,16 +144,16 @@ def grid_color_perm(spark: SparkSession, sf: str) -> DataFrame:
     return flat_cells(order_grids(spark, sf).select("k", grids.recolor(mapping)(F.col("g")).alias("g")))
 
 
-@query("grid_round_trip", f"WITH {GRID_SQL} SELECT k, true AS same FROM cells GROUP BY k")
+@query("grid_round_trip", f"WITH {GRID_SQL} SELECT k, i, j, cell FROM cells")
 def grid_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Every D4 transform with a recolouring, then both inverses."""
-    g, mapping = F.col("g"), grids.literal_map(PERMUTATION)
-    same = F.lit(True)
+    """All cells after every D4 transform with a recolouring, each followed by both inverses."""
+    out, mapping = F.col("g"), grids.literal_map(PERMUTATION)
+    rows = order_grids(spark, sf)
     for name, turn in grids.D4.items():
         there = grids.compose(turn, grids.recolor(mapping))
         back = grids.compose(grids.recolor(grids.inverse_map(mapping)), grids.D4[grids.INVERSE_D4[name]])
-        same = same & (back(there(g)) == g)
-    return order_grids(spark, sf).select("k", same.alias("same"))
+        rows = rows.select("k", back(there(out)).alias("g"))
+    return flat_cells(rows)
 
 
 @query(
@@ -324,8 +324,8 @@ q AS (SELECT split, quota, sum(quota) OVER (ORDER BY position) AS high FROM q2),
 sp AS (SELECT rk.cluster_id, CAST(rk.rank AS BIGINT) AS rank, q.split FROM rk JOIN q ON rk.rank > q.high - q.quota AND rk.rank <= q.high)"""
 
 
-def _assigned(spark: SparkSession, sf: str) -> DataFrame:
-    clusters = _clusters(spark, sf)
+def _assigned(spark: SparkSession, sf: str, clusters: DataFrame | None = None) -> DataFrame:
+    clusters = _clusters(spark, sf) if clusters is None else clusters
     items = clusters.select("cluster_id").distinct()
     return splits.assign_splits(items, "cluster_id", "20260806", WEIGHTS).select("cluster_id", "rank", "split")
 
@@ -340,7 +340,8 @@ ra AS (SELECT rc.*, sp.split FROM rc JOIN sp ON rc.cluster_id = sp.cluster_id),
 
 
 def _records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = _clusters(spark, sf).join(_assigned(spark, sf), "cluster_id")
+    clusters = shared.written(_clusters(spark, sf))  # the texts are hashed and joined once
+    rows = shared.written(clusters.join(_assigned(spark, sf, clusters), "cluster_id"))
     return rows, table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("record_id"))
 
 
@@ -349,9 +350,10 @@ def split_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_manifest(_records(spark, sf)[0])
 
 
-@query("split_crossing", f"WITH {RECORD_SQL} SELECT cluster_id, count(DISTINCT split) AS splits FROM ra GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query("split_crossing", f"WITH {RECORD_SQL} SELECT cluster_id, count(DISTINCT source) AS splits FROM ra GROUP BY 1 HAVING count(DISTINCT source) > 1")
 def split_crossing(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.crossing(_records(spark, sf)[0])
+    """Clusters whose records would be in several splits if the sources were the splits."""
+    return splits.crossing(_records(spark, sf)[0].select("cluster_id", F.col("source").alias("split")))
 
 
 @query(
@@ -422,9 +424,9 @@ def task_order(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) % 4 AS BIGINT) AS latin_row, CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS idx FROM benchmark""",
 )
 def latin_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Index and Latin row of each benchmark item (the items are the design's base tasks: a short list)."""
-    idx = F.row_number().over(Window.orderBy("item_id")) - 1
-    return _long(table(spark, sf, "benchmark").select("item_id", idx.alias("idx"), F.pmod(idx, F.lit(4)).alias("latin_row")), "idx", "latin_row")
+    """Index and Latin row of each benchmark item."""
+    return _long(splits.latin_rows(table(spark, sf, "benchmark").select("item_id"), "item_id"), "idx", "latin_row")
+
 
 
 FEATURE_SQL = """f AS (SELECT doc_id, lang, CASE WHEN n_chars <= 100 THEN '1-100' WHEN n_chars <= 400 THEN '101-400' ELSE '401-900' END AS size_bin, CASE WHEN doc_id % 7 <= 4 THEN CAST(doc_id % 7 AS VARCHAR) ELSE '5+' END AS demo_bin,
@@ -445,9 +447,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     SELECT feature, value, count(*) AS n FROM u GROUP BY 1, 2""",
 )
 def feature_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["demo_bin", "test_bin", "size_bin", "color_bin", "change"]
-    rows = _features(spark, sf).unpivot([], names, "feature", "value")
-    return rows.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    return splits.feature_distribution(_features(spark, sf), ["demo_bin", "test_bin", "size_bin", "color_bin", "change"])
 
 
 @query("stratum_keys", f"WITH {FEATURE_SQL} SELECT demo_bin || '|' || test_bin || '|' || size_bin || '|' || color_bin || '|' || change AS stratum_key, count(*) AS n FROM f GROUP BY 1")
@@ -543,19 +543,19 @@ def set_operations(spark: SparkSession, sf: str) -> DataFrame:
 )
 def macro_micro_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    per = rows.groupBy("source").agg(F.avg(F.col("quality").cast("double")).alias("acc"), F.count("*").alias("n"), F.sum("quality").alias("good"))
-    return per.agg(F.round(F.avg("acc"), 9).alias("macro"), F.round(F.try_divide(F.sum("good").cast("double"), F.sum("n")), 9).alias("micro"), F.count("*").alias("sources"))
+    out = evidence.macro_micro(rows, "source", "quality")
+    return out.select(F.round("macro", 9).alias("macro"), F.round("micro", 9).alias("micro"), F.col("groups").alias("sources"))
 
 
 @query(
     "cost_audit",
-    """SELECT event_type, round(sum(coalesce(value, 0)), 4) AS total, count(*) FILTER (WHERE value > 0) AS positive, count(*) AS n, round(avg(value), 6) AS mean, count(DISTINCT user_id) AS users FROM events GROUP BY 1""",
+    """SELECT event_type, round(sum(coalesce(value, 0)), 4) AS total, count(*) FILTER (WHERE value > 0) AS positive, count(*) AS n, round(avg(value), 6) AS mean, max(event_id % 50 + 1.0) AS stored_mean, count(DISTINCT (user_id, event_type, event_id % 3)) AS keys,
+    round(sum(coalesce(value, 0)) / max(event_id % 50 + 1.0), 4) AS divisor FROM events GROUP BY 1""",
 )
 def cost_audit(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf, "events").groupBy("event_type").agg(
-        F.round(F.sum(F.coalesce(v, F.lit(0.0))), 4).alias("total"), F.count_if(v > 0).alias("positive"), F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.count_distinct("user_id").alias("users")
-    )
+    rows = table(spark, sf, "events").withColumns({"stored": (F.pmod("event_id", F.lit(50)) + 1).cast("double"), "third": F.pmod("event_id", F.lit(3))})
+    out = evidence.cost_audit(rows, ["event_type"], "value", "stored", ["user_id", "event_type", "third"])
+    return out.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6), "divisor": F.round("divisor", 4)})
 
 
 @query(
@@ -590,7 +590,8 @@ def rollup_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("split_counts", "SELECT coalesce(lang, 'total') AS split, count(*) AS n FROM documents GROUP BY ROLLUP (lang)")
 def split_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").rollup("lang").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("total")).alias("split"), "n")
+    return evidence.totals(table(spark, sf, "documents").select(F.col("lang").alias("split")), "split")
+
 
 
 SOURCES = [f"src{k}" for k in range(20)]
@@ -620,9 +621,18 @@ def schema_errors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(validation.codes(checks), ",").alias("errors"))
 
 
-@query("attempt_contiguity", "SELECT conv_id, count(*) AS n, (min(turn) = 0 AND max(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*)) AS contiguous FROM conversations GROUP BY 1")
+@query(
+    "attempt_contiguity",
+    """WITH c AS (SELECT conv_id, turn % 3 <> 2 OR conv_id % 2 = 0 AS there, turn FROM conversations), n AS (SELECT conv_id, count(DISTINCT turn) FILTER (WHERE there) AS n, max(turn) FILTER (WHERE there) AS top FROM c GROUP BY 1)
+    SELECT conv_id, CASE WHEN n = 0 THEN 'no_attempt,attempt_gap' WHEN top + 1 <> n THEN 'attempt_gap' ELSE '' END AS errors FROM n""",
+)
 def attempt_contiguity(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), ((F.min("turn") == 0) & (F.max("turn") + 1 == F.count("*")) & (F.count_distinct("turn") == F.count("*"))).alias("contiguous"))
+    """Turns of a conversation as the attempts at one output; every other conversation lacks each third."""
+    there = F.expr("turn % 3 <> 2 or conv_id % 2 = 0")
+    names = F.collect_set(F.when(there, F.concat(F.lit("attempt_"), (F.col("turn") + 1).cast("string"))))
+    made = table(spark, sf, "conversations").groupBy("conv_id").agg(names.alias("names"))
+    attempts = F.map_from_entries(F.transform("names", lambda n: F.struct(n, grids.grid_from_cells([[1]]))))
+    return made.select("conv_id", F.array_join(validation.attempt_errors(F.array(attempts)), ",").alias("errors"))
 
 
 def _re2(pattern: str) -> str:
@@ -647,11 +657,15 @@ def path_safety(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "metric_consistency",
-    """SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE abs(l_discount - l_discount * l_quantity / l_quantity) <= greatest(1e-12 * greatest(abs(l_discount), abs(l_discount * l_quantity / l_quantity)), 1e-12)) AS close FROM lineitem GROUP BY 1""",
+    """WITH m AS (SELECT l_orderkey, CAST(l_linenumber AS DOUBLE) AS num, floor(l_quantity / 8) AS den, CASE WHEN l_partkey % 3 = 0 THEN round(l_linenumber / floor(l_quantity / 8), 3) ELSE l_linenumber / floor(l_quantity / 8) END AS v FROM lineitem)
+    SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE NOT num <= den) AS over_denominator, count(*) FILTER (WHERE NOT coalesce(den <> 0 AND abs(v - num / den) <= greatest(1e-12 * greatest(abs(v), abs(num / den)), 1e-12), false)) AS unlike FROM m GROUP BY 1""",
 )
 def metric_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    ok = validation.is_close(F.col("l_discount"), F.try_divide(F.col("l_discount") * F.col("l_quantity"), F.col("l_quantity")))
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(ok).alias("close"))
+    """Line numbers over a part of the quantity as metrics; some values are rounded, some denominators zero."""
+    num, den = F.col("l_linenumber").cast("double"), F.floor(F.col("l_quantity") / 8).cast("double")
+    value = F.when(F.col("l_partkey") % 3 == 0, F.round(F.try_divide(num, den), 3)).otherwise(F.try_divide(num, den))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", validation.metric_errors(F.struct(num.alias("numerator"), den.alias("denominator"), value.alias("value"))).alias("e"))
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.array_contains("e", "numerator")).alias("over_denominator"), F.count_if(F.array_contains("e", "value")).alias("unlike"))
 
 
 # ---- statistics (T01-T08) and resources
@@ -798,8 +812,8 @@ def calibration_median(spark: SparkSession, sf: str) -> DataFrame:
     """WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type, n, CAST(sum(n) OVER (ORDER BY event_type) AS BIGINT) AS upto FROM c""",
 )
 def cumulative_share(spark: SparkSession, sf: str) -> DataFrame:
-    counts = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return counts.withColumn("upto", F.sum("n").over(Window.orderBy("event_type").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return stats.cumulative(table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "n")
+
 
 
 # ---- variants, manifests, documents
@@ -833,7 +847,7 @@ def variant_latin_balance(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {SCORE_SQL} SELECT CAST(0 AS BIGINT) AS differing, count(*) FILTER (WHERE exact) AS original, CAST(sum(matches) AS BIGINT) AS original_cells, count(*) FILTER (WHERE shifted_exact) AS mutated, CAST(sum(shifted_matches) AS BIGINT) AS mutated_cells FROM so""",
 )
 def label_mutation_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return variants.mutation_audit(order_tasks(spark, sf))
+    return variants.mutation_audit(shared.written(order_tasks(spark, sf)))
 
 
 @query("json_keys", "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,25 @@ def inventory(spark: SparkSession, *paths: str, glob: str | None = None, recursi
     return rows.distinct()
 
 
+def code_inventory(spark: SparkSession, root: str, globs: Sequence[str]) -> DataFrame:
+    """(path, sha256, bytes) of the files below a root that any of the globs names, each once, with paths below the root.
+
+    Raises for symbolic links among them (on a local root; stores have none) and
+    for a glob without files.
+    """
+    local = root.removeprefix("file://")
+    if "://" not in local:
+        links = sorted(str(p) for g in globs for p in Path(local).glob(g) if p.is_symlink())
+        if links:
+            raise ValueError(f"symbolic links: {', '.join(links[:5])}")
+    reader = spark.read.format("binaryFile")
+    rows = [reader.load(f"{root.rstrip('/')}/{g}").select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")) for g in globs]
+    for g, part in zip(globs, rows, strict=True):
+        if part.isEmpty():
+            raise ValueError(f"{g}: no files")
+    return relative(reduce(DataFrame.union, rows).distinct(), local if "://" not in local else root.partition("://")[2])
+
+
 def relative(rows: DataFrame, root: str) -> DataFrame:
     """Paths below root."""
     pattern = "^(?:file:/*)?/*" + "/".join(re.escape(p) for p in root.strip("/").split("/")) + "/"
@@ -37,12 +59,15 @@ def leaves(rows: DataFrame, excluded: DataFrame) -> DataFrame:
     return rows.join(excluded.select("path"), "path", "left_anti")
 
 
-def challenge_view_errors(manifest: DataFrame, observed: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(path, error) of an inference view: manifest (path, sha256) against files, and any hidden test output."""
+def challenge_view_errors(manifest: DataFrame, observed: DataFrame, tasks: DataFrame, expected_tasks: int | None = None) -> DataFrame:
+    """(path, error) of an inference view: manifest (path, sha256) against files, any hidden test output, and another number of tasks than expected."""
     both = manifest.select("path", F.col("sha256").alias("declared")).join(observed.select("path", "sha256"), "path", "full")
     files = both.select("path", F.when(F.col("sha256").isNull(), "missing").when(F.col("declared").isNull(), "undeclared").when(F.col("sha256") != F.col("declared"), "mismatch").alias("error"))
     labelled = tasks.select("path", F.when(F.exists("task.test", lambda p: p["output"].isNotNull()), "hidden-output").alias("error"))
-    return files.union(labelled).where("error is not null")
+    found = files.union(labelled)
+    if expected_tasks is not None:
+        found = found.union(tasks.agg(F.lit("*").alias("path"), F.when(F.count("*") != expected_tasks, "task-count").alias("error")))
+    return found.where("error is not null")
 
 
 def git_tree(payload: DataFrame, column: str = "payload") -> DataFrame:

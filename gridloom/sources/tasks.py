@@ -74,9 +74,9 @@ def load_training_source(spark: SparkSession, name: str, path: str, expected: in
     parts = path.rstrip("/").split("/")
     if parts[-1] != "training" or "evaluation" in parts:
         raise DatasetError(f"{path}: only a training folder can be a source")
-    rows = parse_tasks(json_files(spark, path)).select(
-        F.concat_ws(":", F.lit(name), "task_id").alias("record_id"), F.lit(name).alias("source"), "task_id", "task", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"), "errors"
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+    text = files.select("path", F.regexp_extract("path", r"([^/]+)\.json\z", 1).alias("task_id"), F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("sha256"))
+    rows = parse_tasks(text).select(F.concat_ws(":", F.lit(name), "task_id").alias("record_id"), F.lit(name).alias("source"), "task_id", "task", "sha256", "errors")
     found = rows.agg(F.count("*").alias("n"), F.count_distinct("task_id").alias("ids"), F.count_if(F.size("errors") > 0).alias("bad")).first()
     if (found["n"], found["ids"], found["bad"]) != (expected, expected, 0):
         raise DatasetError(f"{path}: expected {expected} valid tasks of distinct ids, found {found['n']} files, {found['ids']} ids, {found['bad']} invalid")
