@@ -5,7 +5,8 @@ it is 0 modulo MEAN, so insertions and deletions only move the boundaries near
 them and a run of lines that several texts share is cut alike in each. Chunks
 of two or more lines are counted over the corpus by a 128-bit hash. All but
 the first occurrence (least id, then earliest in the text) are removed, after
-their bytes have been compared with the first one's.
+the bytes of all chunks of one hash have been compared; should two differ, all
+is decided by the bytes themselves.
 
 Boundaries only meet from the third line of a shared run on, so chunks alone
 miss most short runs. With runs=True every two worded lines that follow each
@@ -15,14 +16,14 @@ is found wherever it begins, and a run is removed to both of its ends.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, texts
+from .common import expanded, materialise, slices, squeezed, texts, tidy
 
 WINDOW = 3
 MEAN = 4
@@ -74,33 +75,27 @@ def pieces(lines: list[bytes], runs: bool) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """docs with `text_col` rid of repeated chunks, and n_lines, n_removed_lines, n_removed_chunks.
+Digest = Callable[[bytes], bytes]
 
-    With `runs` all repeated runs of two or more worded lines go, and
-    n_removed_chunks counts the stretches of removed lines. A pair that overlaps
-    its own first occurrence stays; each removed line is still there at an
-    earlier place. Without it only whole chunks go.
 
-    Chunks of one line, or with fewer than two lines that hold a word, are never
-    removed, nor is any text's first occurrence. Null and empty texts stay as
-    they are. Rows that repeat an id and its text are one document and keep the
-    same lines. Null ids come before all others. Clashing columns are replaced.
-
-    A chunk's rows are counted with partial sums; the first one's bytes are
-    joined to the other occurrences by a skew join, so a run of lines that a
-    third of all texts share is dealt over tasks.
-    """
+def _digest(body: bytes) -> bytes:
     from xxhash import xxh3_128_digest
 
-    docs = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
-    text = F.col(f"`{text_col}`")
-    docs_key = F.struct(F.col(f"`{id_col}`").isNotNull().alias("named"), F.col(f"`{id_col}`").alias("id"), F.md5(text.cast("binary")).alias("text"))
-    columns = docs.columns
-    docs = docs.withColumn("__key", docs_key)
+    return xxh3_128_digest(body)
+
+
+def _itself(body: bytes) -> bytes:
+    return body
+
+
+def _planned(docs: DataFrame, text_col: str, runs: bool, digest: Digest) -> DataFrame:
+    """docs (with __key; texts packed) and two lists of numbers of pieces: __gone, repeats of an earlier piece, and __firsts, which others repeat.
+
+    Both are null where a text shares no piece.
+    """
     kind = docs.schema["__key"].dataType.simpleString()
-    key = F.col("__key")
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, stop in slices(b.column(1)):
@@ -111,54 +106,85 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         for number, (first, n) in enumerate(pieces(lines, runs)):
                             at.append(k)
                             numbers.append(number)
-                            hashes.append(xxh3_128_digest(b"\n".join(lines[first : first + n])))
+                            hashes.append(digest(b"\n".join(lines[first : first + n])))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary())], names=["id", "number", "hash"])
 
-    found = materialise(docs.select(key, text).mapInArrow(cut, f"id {kind}, number int, hash binary"))
+    found = materialise(docs.select("__key", F.col(f"`{text_col}`")).mapInArrow(cut, f"id {kind}, number int, hash binary"))
+    again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    shared = materialise(found.join(again, "hash").select("id", "number", "hash"))
     place = F.struct("id", "number")
-    firsts = found.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
-    marked = found.join(firsts, "hash").select("id", "number", "hash", (F.col("first") == place).alias("first"))
-    plan = marked.groupBy("id").agg(F.array_distinct(F.collect_list(F.struct("number", "hash", "first"))).alias("__plan"))
-    joined = materialise(docs.join(plan.withColumnRenamed("id", "__id"), key == F.col("__id"), "left").drop("__id"))
+    firsts = shared.groupBy("hash").agg(F.min(place).alias("first"))
+    marked = shared.join(firsts, "hash").select("id", "number", (F.col("first") == place).alias("first"))
+    numbers = lambda keep: F.collect_set(F.when(keep, F.col("number")))
+    plan = marked.groupBy("id").agg(numbers(~F.col("first")).alias("__gone"), numbers(F.col("first")).alias("__firsts"))
+    return materialise(squeezed(docs, text_col).join(plan.withColumnRenamed("id", "__id"), F.col("__key") == F.col("__id"), "left").drop("__id"))
+
 
+def _unlike(planned: DataFrame, text_col: str, runs: bool, digest: Digest) -> bool:
+    """Whether two shared pieces have one digest and different bytes."""
+
+    @tidy
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, stop in slices(b.column(1)):
-                at, out = [], []
-                for k, (t, plan) in enumerate(zip(texts(b.column(1), start, stop), b.column(2).slice(start, stop - start).to_pylist(), strict=True), start):
+            for start, _, found in expanded(b.column(0)):
+                out: set[bytes] = set()  # equal pieces of a slice are one
+                for k, t in enumerate(found, start):
                     lines = t.split(b"\n")
                     cuts = pieces(lines, runs)
-                    for p in plan:
-                        first, n = cuts[p["number"]]
-                        at.append(k)
-                        out.append((p["number"], p["hash"], p["first"], b"\n".join(lines[first : first + n])))
-                number, digest, first, body = zip(*out, strict=True) if out else ((),) * 4
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(digest, pa.binary()), pa.array(first, pa.bool_()), pa.array(body, pa.binary())], names=["id", "number", "hash", "first", "body"])
-
-    occurrences = joined.where("__plan is not null").select(key, text, "__plan").mapInArrow(bodies, f"id {kind}, number int, hash binary, first boolean, body binary")
-    occurrences = materialise(occurrences)
-    kept = occurrences.where("first").groupBy("hash").agg(F.min("body").alias("kept"))
-    unlike = occurrences.where("not first").join(kept, "hash").where("body <> kept").groupBy("id").agg(F.collect_set("number").alias("__unlike"))
-    unlike = materialise(unlike.withColumnRenamed("id", "__id"))  # 128-bit collisions: hardly ever a row, so the join below is a broadcast by size
-    ready = joined.join(unlike, key == F.col("__id"), "left").drop("__id")
-    numbers: Column = F.transform(F.filter("__plan", lambda p: ~p["first"]), lambda p: p["number"])
-    ready = ready.withColumn("__gone", F.array_except(numbers, F.coalesce("__unlike", F.array().cast("array<int>"))))
-    ready = ready.withColumn("__firsts", F.transform(F.filter("__plan", lambda p: p["first"]), lambda p: p["number"])).drop("__plan", "__unlike")
-    names = columns
+                    for number in (*b.column(1)[k].as_py(), *b.column(2)[k].as_py()):
+                        first, n = cuts[number]
+                        out.add(b"\n".join(lines[first : first + n]))
+                body = list(out)
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in body], pa.binary()), pa.array(body, pa.binary())], names=["hash", "body"])
+
+    found = planned.where("__gone is not null").select(F.col(f"`{text_col}`"), "__gone", "__firsts").mapInArrow(bodies, "hash binary, body binary")
+    return not found.groupBy("hash").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").isEmpty()
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False, digest: Digest = _digest) -> DataFrame:
+    """docs with `text_col` rid of repeated chunks, and n_lines, n_removed_lines, n_removed_chunks.
+
+    With `runs` all repeated runs of two or more worded lines go, and
+    n_removed_chunks counts the stretches of removed lines. A pair that overlaps
+    its own first occurrence stays; each removed line is still there at an
+    earlier place. Without it only whole chunks go.
+
+    Chunks of one line, or with fewer than two lines that hold a word, are never
+    removed, nor is any text's first occurrence. Null and empty texts stay as
+    they are; an empty table gives an empty one. A text may be of any length: it
+    is one row in each step. Rows are told apart by id and text, so ids may
+    repeat or be null; rows that repeat an id and its text are one document and
+    keep the same lines. Null ids come before all others. The three added
+    columns replace columns of docs of those names; columns whose names begin
+    with two underscores must not be `__key`, `__id`, `__gone` or `__firsts`.
+
+    A chunk's rows are counted with partial sums and then marked by skew joins,
+    so a run of lines that a third of all texts share is dealt over tasks. Should
+    two unlike chunks have one 128-bit digest, all is done anew with the chunks'
+    bytes in its place.
+    """
+    docs = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
+    names = docs.columns
+    text, own = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    keyed = docs.withColumn("__key", F.struct(own.isNotNull().alias("named"), own.alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("text")))
+    ready = _planned(keyed, text_col, runs, digest)
+    if _unlike(ready, text_col, runs, digest):
+        ready = _planned(keyed, text_col, runs, _itself)
     at_text = names.index(text_col)
 
+    @tidy
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, stop in slices(b.column(at_text)):
+            for start, stop, found in expanded(b.column(at_text)):
                 n = stop - start
-                out: list[str | None] = []
+                out: list[bytes | None] = []
                 counts = np.zeros((3, n), np.int64)
-                for k in range(n):
-                    t, gone = b.column(at_text)[start + k].as_py(), b.column(len(names))[start + k].as_py()
+                for k, t in enumerate(found):
+                    gone = b.column(len(names))[start + k].as_py()
                     if t is not None:
-                        counts[0, k] = t.count("\n") + 1
+                        counts[0, k] = t.count(b"\n") + 1
                         if gone:
-                            lines = t.encode().split(b"\n")
+                            lines = t.split(b"\n")
                             cuts = pieces(lines, runs)
                             body = lambda p: b"\n".join(lines[p[0] : p[0] + p[1]])  # noqa: B023, E731
                             until = {body(cuts[g]): sum(cuts[g]) for g in b.column(len(names) + 1)[start + k].as_py()}
@@ -167,11 +193,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                 if cuts[g][0] >= until.get(body(cuts[g]), 0):
                                     keep[cuts[g][0] : sum(cuts[g])] = False
                             counts[1, k] = (~keep).sum()
-                            counts[2, k] = (keep[1:] & ~keep[:-1]).sum() if runs else len(set(gone))
-                            t = b"\n".join(line for line, kept in zip(lines, keep, strict=False) if kept).decode()
+                            counts[2, k] = (keep[1:] & ~keep[:-1]).sum() if runs else len(gone)
+                            t = b"\n".join(line for line, kept in zip(lines, keep, strict=False) if kept)
                     out.append(t)
-                columns = [pa.array(out, pa.string()) if c == at_text else b.column(c).slice(start, n) for c in range(len(names))]
+                columns = [pa.array(out, pa.binary()).cast(pa.string()) if c == at_text else b.column(c).slice(start, n) for c in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(c) for c in counts], names=[*names, "n_lines", "n_removed_lines", "n_removed_chunks"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "__key")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return ready.select(*[F.col(f"`{c}`") for c in names], "__gone", "__firsts").mapInArrow(drop, f"{kinds}, n_lines long, n_removed_lines long, n_removed_chunks long")
