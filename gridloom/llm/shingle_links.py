@@ -1,13 +1,22 @@
 """Links between texts whose word shingles have a Jaccard similarity of a threshold or more.
 
-Minima of the shingle hashes under PLACES hash functions are cut into BANDS
-keys; texts that share a key are candidates, and each candidate pair's shingle
-sets are then compared. A pair at similarity s has no common key with
+Minima of the shingle hashes under BANDS * DEPTH hash functions are cut into
+BANDS keys; texts that share a key are candidates, and each candidate pair's
+shingle sets are then compared. A pair at similarity s has no common key with
 probability (1 - s^DEPTH)^BANDS: 0.00007 at 0.8.
 
-In a key of up to SMALL texts all pairs are compared. In a larger one all are
-compared with one leader, chosen by a hash of key and text; those unlike the
-leader go into the next round, until none are left.
+In a key of up to SMALL texts all pairs are compared. A larger one has a leader,
+the text that shares the most keys with the others, and all are compared with
+it. Texts like the leader are joined through it. Every other one may still be
+like some text of the leader's: both are described by how they differ from the
+leader (shingles they lack, and shingles they have more). With a text's
+difference weighed as g = (1 - c) * lacking + c * more, c = t / (1 + t) at the
+threshold t, two of them are alike only if their differences share at least
+g1 + g2 - (1 - 2c) * |leader| shingles, and g exceeds the last term for each text unlike
+the leader. So each must show that many differences that others show too, and both
+have one of their rarer differences in common (a prefix in the order of how many
+texts of the leader show a difference); only such pairs are compared. Nothing is
+lost by that, and copies with edits of their own, however many, give no pairs.
 """
 
 from __future__ import annotations
@@ -20,91 +29,183 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, texts
+from .common import materialise, slices, spread, squeezed, texts, tidy
+from .repeats import mix, words_of
 from .simhash_trie import LOWER, fingerprint
 
 WIDTH = 5
 BANDS, DEPTH = 24, 5
-SMALL = 16
-STEP = 512  # shingles that meet all hash functions at once
+SMALL = 8
+HELD = 1 << 18  # differences that a task holds before it hands them on
 _rng = np.random.default_rng(5)
-_ODD = _rng.integers(0, 1 << 63, BANDS * DEPTH, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-_MIX = _rng.integers(0, 1 << 63, BANDS * DEPTH, np.uint64)[:, None]
+_ODD = _rng.integers(0, 1 << 31, BANDS * DEPTH, np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(0, 1 << 32, BANDS * DEPTH, np.uint32)
+_PLACE = _rng.integers(0, 1 << 63, max(WIDTH, DEPTH) + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: bytes) -> set[bytes]:
-    """Runs of WIDTH words, A-Z lower-cased; all words of a shorter text; none of a text without words."""
-    words = text.translate(LOWER).split()
-    return {b" ".join(words[k : k + WIDTH]) for k in range(max(1, len(words) - WIDTH + 1))} if words else set()
+def shingles(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all shingles, number of each text) of texts.
 
+    A shingle is a run of WIDTH words, A-Z lower-cased; all words of a shorter
+    text; a text without words has none.
+    """
+    words, per = words_of([t.translate(LOWER) for t in batch])
+    left = np.repeat(np.cumsum(per), per) - np.arange(len(words))  # words of the same text from here on
+    h = np.minimum(left, WIDTH).astype(np.uint64)
+    for k in range(WIDTH):
+        h[: len(words) - k] += np.where(left[: len(words) - k] > k, words[k:] * _PLACE[k], np.uint64(0)) if k < len(words) else np.uint64(0)
+    n = np.where(per > 0, np.maximum(per - WIDTH + 1, 1), 0)
+    starts = np.cumsum(per) - per
+    return mix(h[np.repeat(starts, n) + spread(n)]), n
+
+
+def band_keys(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the texts that have words, their keys: a row of BANDS for each)."""
+    h, n = shingles(batch)
+    own = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[own]
+    if not len(own):
+        return own, np.zeros((0, BANDS), np.int64)
+    low, work = h.astype(np.uint32), np.empty(len(h), np.uint32)
+    least = np.empty((BANDS * DEPTH, len(own)), np.uint32)
+    for f in range(BANDS * DEPTH):
+        np.multiply(low, _ODD[f], out=work)
+        np.add(work, _ADD[f], out=work)
+        np.minimum.reduceat(work, starts, out=least[f])
+    rows = least.reshape(BANDS, DEPTH, len(own)).astype(np.uint64)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)[:, None] * _PLACE[-1]
+    for k in range(DEPTH):
+        keys = mix(keys ^ rows[:, k] * _PLACE[k])
+    return own, keys.T.copy().view(np.int64)
 
-def band_keys(text: bytes) -> np.ndarray:
-    """BANDS keys of a text, none if it has no words."""
-    from xxhash import xxh64_intdigest
 
-    found = shingles(text)
-    if not found:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
-    least = np.full((BANDS * DEPTH, 1), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), STEP):
-        mixed = (h[at : at + STEP] ^ _MIX) * _ODD
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _ODD
-        least = np.minimum(least, mixed.min(axis=1, keepdims=True))
-    rows = least.reshape(BANDS, DEPTH)
-    return np.array([xxh64_intdigest(rows[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+@lru_cache(maxsize=4)
+def _set(text: bytes) -> np.ndarray:
+    return np.unique(shingles([text])[0])
 
 
 @lru_cache(maxsize=4)
-def _known(text: bytes) -> tuple[set[bytes], int]:
-    """Shingles and fingerprint as a signed integer."""
-    return shingles(text), int(np.array([fingerprint(text)], np.uint64).view(np.int64)[0])
+def _print(text: bytes) -> int:
+    """SimHash fingerprint as a signed integer."""
+    return int(np.array([fingerprint(text)], np.uint64).view(np.int64)[0])
+
+
+def compared(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """(shingles of x that y lacks, of y that x lacks, how many both have)."""
+    a, b = _set(x), _set(y)
+
+    def within(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u if len(u) and len(v) else np.zeros(len(u), bool)
+
+    in_b = within(a, b)
+    return a[~in_b], b[~within(b, a)], int(in_b.sum())
 
 
 def shingle_links(docs: DataFrame, text_col: str = "text", percent: int = 80) -> DataFrame:
     """(u, v): SimHash fingerprints of texts whose similarity is `percent` hundredths or more.
 
-    Equal texts are one; texts without words have no links.
+    Equal texts are one; texts that are null or without words have no links, and
+    an empty table has none. Ids and other columns are not read. What is returned
+    joins all linked texts of a key, many of them through their leader; it is
+    not the list of all pairs.
     """
     source = docs.select(F.unhex(F.md5(F.col(f"`{text_col}`").cast("binary"))).alias("node"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
 
+    @tidy
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, stop in slices(b.column(1)):
-                each = list(map(band_keys, texts(b.column(1), start, stop)))
-                at = np.repeat(np.arange(start, stop), [len(e) for e in each])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), b.column(0).take(pa.array(at))], names=["key", "node"])
+                own, found = band_keys(texts(b.column(1), start, stop))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), b.column(0).take(pa.array(np.repeat(own + start, BANDS)))], names=["key", "node"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes, bytes]]:
+        import zstandard
+
+        expand = lru_cache(maxsize=4)(zstandard.ZstdDecompressor().decompress)
         for b in batches:
-            for start, stop in slices(b.column(2)):
-                out, at = [], []
-                for k, pair in enumerate(zip(texts(b.column(2), start, stop), texts(b.column(3), start, stop), strict=True), start):
-                    (x, u), (y, v) = map(_known, pair)
-                    both = len(x & y)
-                    if both and 100 * both >= percent * (len(x) + len(y) - both):
-                        at.append(k)
-                        out.append((u, v))
-                u, v = zip(*out, strict=True) if out else ((), ())
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b", "u", "v"])
+            for k in range(b.num_rows):
+                yield b, k, expand(b.column(2)[k].as_py()), expand(b.column(3)[k].as_py())
+
+    def alike(more: np.ndarray, less: np.ndarray, both: int) -> bool:
+        return both > 0 and 100 * both >= percent * (len(more) + len(less) + both)
+
+    link = "u long, v long"
+
+    @tidy
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of pairs (a, b, x, y)."""
+        out: list[tuple[int, int]] = []
+        for _, _, x, y in pairs_of(batches):
+            if alike(*compared(x, y)):
+                out.append((_print(x), _print(y)))
+        u, v = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    @tidy
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of pairs (leader, node), and each node's differences: shingles that it lacks, and that it has more."""
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        rows, held = [], 0
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "b", "u", "v", "like", "size", "lacking", "more"])
+
+        for b, k, x, y in pairs_of(batches):
+            lacking, more, both = compared(x, y)
+            like = alike(lacking, more, both)
+            u, v = (_print(x), _print(y)) if like else (None, None)
+            rows.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), u, v, like, len(lacking) + both, lacking.view(np.int64), more.view(np.int64)))
+            held += len(lacking) + len(more)
+            if held > HELD:
+                yield told()
+                rows, held = [], 0
+        yield told()
 
     found = materialise(source.mapInArrow(keys, "key long, node binary"))
-    shared = found.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    own = F.xxhash64("node")
+    shared = found.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high").select("key")
     rest = materialise(found.join(shared, "key").distinct())
-    nodes = materialise(rest.select("node").distinct())  # so that its size decides on the join
-    bodies = materialise(source.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    links = None
-    while links is None or not rest.isEmpty():
-        order = F.struct(F.xxhash64("key", "node").alias("order"), "node")
-        sized = rest.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["node"].alias("lead")).where("n > 1")
-        placed = materialise(rest.join(sized, "key"))
-        small, large = placed.where(F.col("n") <= SMALL), placed.where((F.col("n") > SMALL) & (F.col("node") != F.col("lead")))
-        inner = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-        pairs = inner.union(large.select(F.col("lead").alias("a"), F.col("node").alias("b"))).distinct()
-        pairs = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        like = materialise(pairs.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary, u long, v long"))
-        links = like if links is None else links.union(like)
-        rest = materialise(large.join(like.select(F.col("a").alias("lead"), F.col("b").alias("node")), ["lead", "node"], "left_anti").select("key", "node"))
-    return links.where("u <> v").select("u", "v").distinct()
+    nodes = materialise(rest.select("node").distinct()).hint("merge")  # they grow with the corpus: not to be broadcast
+    bodies = materialise(squeezed(source, "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    a_text, b_text = (bodies.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+    texts_of = lambda pairs: pairs.join(b_text, "b").join(a_text, "a").select("a", "b", "x", "y")
+
+    sized = rest.groupBy("key").agg(F.count("*").alias("n"))
+    placed = materialise(rest.join(sized, "key"))
+    small, large = placed.where((F.col("n") > 1) & (F.col("n") <= SMALL)), placed.where(F.col("n") > SMALL)
+    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    links = texts_of(pairs).mapInArrow(compare, link)
+
+    support = large.groupBy("node").agg(F.sum("n").alias("support"))
+    leaders = large.join(support, "node").groupBy("key").agg(F.max(F.struct("support", "node"))["node"].alias("lead"))
+    led = large.join(leaders, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    told = materialise(texts_of(led).mapInArrow(lead, "a binary, b binary, u long, v long, like boolean, size int, lacking array<long>, more array<long>"))
+    links = links.union(told.where("like").select("u", "v"))
+    # a leader whose texts are all like it is done; the differences of the others' are weighed
+    open_ = materialise(told.where("not like").select("a").distinct())
+    rows = told.join(open_, "a").withColumns({"weight": (100 * F.size("lacking") + percent * F.size("more")) / (100 + percent), "slack": F.col("size") * (100 - percent) / (100 + percent)})
+    marks = F.concat(F.transform("lacking", lambda h: F.struct(h.alias("h"), F.lit(True).alias("l"))), F.transform("more", lambda h: F.struct(h.alias("h"), F.lit(False).alias("l"))))
+    token = rows.select("a", "b", "like", "weight", "slack", (F.size("lacking") + F.size("more")).alias("size"), F.explode(marks).alias("mark"))
+    counts = token.groupBy("a", "mark").agg(F.count("*").alias("n")).where("n > 1")  # a difference of one text meets no other
+    met = token.join(counts, ["a", "mark"])
+    # differences that no other text shows come first in the order, so a prefix ends that much earlier among the rest
+    ranked = met.groupBy("a", "b", "like", "weight", "slack", "size").agg(F.array_sort(F.collect_list(F.struct("n", "mark"))).alias("marks"))
+    alone = F.col("size") - F.size("marks")
+    # two texts share at most as many differences as either shows with others (`spare` is that number beyond its own weight)
+    spare = F.size("marks") - F.col("weight")
+    prefix = lambda least: F.greatest(F.lit(0), (F.col("size") - F.ceil(least - F.lit(1e-6)) + 1 - alone).cast("int"))
+    ranked = materialise(ranked.select("a", "b", "like", "marks", "weight", "slack", spare.alias("spare"), prefix(F.col("weight")).alias("short"), prefix(F.greatest(F.lit(1.0), F.col("weight") - F.col("slack"))).alias("long")))
+    cut = lambda n: F.posexplode(F.slice("marks", F.lit(1), F.col(n))).alias("at", "m")
+
+    def side(rows: DataFrame, name: str, length: str) -> DataFrame:
+        """Prefix differences of texts, each with how many of the text's differences stand from there on."""
+        own = rows.select("a", F.col("b").alias(name), F.col("weight").alias(f"{name}_weight"), "slack", F.size("marks").alias("n"), cut(length))
+        return own.select("a", name, f"{name}_weight", "slack", F.col("m.mark").alias("mark"), (F.col("n") - F.col("at")).alias(f"{name}_left"))
+
+    left, right = side(ranked.where("not like"), "one", "long"), side(ranked.where("spare > -1e-6"), "two", "short").drop("slack")
+    # all that two alike texts share stands from their first common difference on, in both
+    room = "one <> two and least(one_left, two_left) >= one_weight + two_weight - slack - 1e-6"
+    near = left.join(right, ["a", "mark"]).where(room).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    links = links.union(texts_of(near).mapInArrow(compare, link))
+    return materialise(links.where("u <> v").distinct())
