@@ -22,41 +22,57 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line CRF accept."""
+    """Documents that the base rules and the line CRF accept; null and empty texts go. Columns may have any names."""
     chain = quality_crf.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    judged = quality_crf.quality(docs.withColumn("__body", F.col("text")), chain, keep_columns=docs.columns, text_col="__body")
-    return judged.where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__document"), F.col("text").alias("__body"))
+    judged = quality_crf.quality(rows, chain, keep_columns=["__document"], text_col="__body")
+    return judged.where("kept").select("__document.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated runs of lines; those that lose every word go."""
-    out = line_dedup(docs, runs=True)
-    text = F.when(F.col("n_removed_lines") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")
-    return out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(HAS_WORD)).withColumn("n_chars", text).select(*docs.columns)
+    """Documents without repeated runs of lines; those that lose every word go.
+
+    Null and empty texts stay. Rows are told apart by id and text, so ids may
+    repeat or be null. All columns keep their names and, but for the text and its
+    length, their values.
+    """
+    names = docs.columns
+    others = F.struct(*[c for c in names if c != "text"])
+    out = line_dedup(docs.select(others.alias("__document"), "doc_id", "text"), runs=True)
+    shorter = F.col("n_removed_lines") > 0
+    kept = out.where(~shorter | F.col("text").rlike(HAS_WORD))
+    fresh = {"text": F.col("text"), "n_chars": F.when(shorter, F.char_length("text")).otherwise(F.col("__document.n_chars")).cast("long")}
+    return kept.select(*[fresh.get(c, F.col(f"__document.`{c}`")).alias(c) for c in names])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one whose id and text name the class.
 
     Links are op9's (four-word fingerprints within 4 bits) and all pairs whose
-    five-word shingles have a verified Jaccard similarity of 0.8 or more.
+    five-word shingles have a verified Jaccard similarity of 0.8 or more. Rows
+    are told apart by id and text, so unlike texts of one id, or of no id, are
+    documents of their own; of rows that repeat both, one stays. Null texts and
+    texts without words are one class.
     """
-    keyed = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text")))
-    chosen = simhash_groups(keyed, "__row", links=shingle_links(docs)).where(F.col("__row") == F.col("component_id"))
-    chosen = chosen.groupBy(F.col("__row").alias("__id")).agg(F.count("*").alias("__rows"))
-    kept = keyed.join(chosen, F.col("__row") == F.col("__id"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text"))
+    keyed = docs.withColumn("__row", row)
+    classes = materialise(simhash_groups(keyed, "__row", links=shingle_links(docs)).select("__row", (F.col("__row") == F.col("component_id")).alias("__first")))
+    # what goes, and rows that are there twice, are few: the texts stay where they are, by the tables' sizes
+    gone = materialise(classes.where("not __first").select(F.col("__row").alias("__gone")).distinct())
+    twice = materialise(classes.where("__first").groupBy(F.col("__row").alias("__twice")).agg(F.count("*").alias("n")).where("n > 1").select("__twice"))
+    kept = keyed.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
     order = Window.partitionBy("__row").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    again = kept.where("__rows > 1").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
-    return kept.where("__rows = 1").select(*docs.columns).union(again.select(*docs.columns))
+    again = kept.join(twice, F.col("__row") == F.col("__twice"), "left_semi").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
+    return kept.join(twice, F.col("__row") == F.col("__twice"), "left_anti").select(*docs.columns).union(again.select(*docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no passage with the benchmark."""
+    """Documents that share no passage with the benchmark; null and empty texts stay, and ids may repeat or be null."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens; a null or empty text is its end id alone."""
     out = pack(docs, vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
