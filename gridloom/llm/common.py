@@ -109,20 +109,37 @@ def spread(n: np.ndarray) -> np.ndarray:
 
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+Answer = Callable[[pa.Table], pa.Table]
+
+
+def _hand_back() -> None:
+    """Give freed memory back to the system: workers live on, and what they hold adds up over stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def tidy(run: Run) -> Run:
-    """run, which at its task's end hands freed memory back: workers live on, and what they hold adds up over stages."""
+    """run, handing memory back at its task's end."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        _hand_back()
+
+    return tidied
+
+
+def tidy_group(answer: Answer) -> Answer:
+    """answer, handing memory back after each group (a bucket, so some megabytes of text)."""
+
+    def tidied(group: pa.Table) -> pa.Table:
+        out = answer(group)
+        _hand_back()
+        return out
 
     return tidied
 

@@ -17,9 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices
+from .common import shared_dir, slices, tidy, tidy_group
 
 SLICE = 1 << 20
+HELD_BYTES = 96 << 20  # of text in a bucket of the held table
+MOST_BUCKETS = 100_000  # more than Spark allows by default would fail
 NARROW = 6  # bytes of a key where a rare false match does no harm
 MANY = np.uint32(0xFFFFFFFF)
 Keys = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -56,17 +58,21 @@ def range_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.
     return mix((total[last] - total[first]) * back[first])
 
 
-def words_of(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each text) for texts joined in one buffer."""
+def word_places(batch: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts joined by spaces, begin and end of each word there, number of words of each text)."""
     sizes = np.fromiter(map(len, batch), np.int64, len(batch))
-    buf = np.frombuffer(b" ".join(batch) + b" ", np.uint8)
-    inside = np.concatenate([[False], ~SPACE[buf]])
+    whole = b" ".join(batch) + b" "
+    inside = np.concatenate([[False], ~SPACE[np.frombuffer(whole, np.uint8)]])
     edges = np.diff(inside.view(np.int8))
     first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    hashes = range_hashes(_TABLE[buf], first, last)
-    ends = np.cumsum(sizes + 1)
-    per = np.diff(np.concatenate([[0], np.searchsorted(first, ends)]))
-    return hashes, per
+    per = np.diff(np.concatenate([[0], np.searchsorted(first, np.cumsum(sizes + 1))]))
+    return whole, first, last, per
+
+
+def words_of(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each text) for texts joined in one buffer."""
+    whole, first, last, per = word_places(batch)
+    return range_hashes(_TABLE[np.frombuffer(whole, np.uint8)], first, last), per
 
 
 def buckets_for(held: DataFrame, bytes_each: int = 24 << 20) -> int:
@@ -85,27 +91,34 @@ def exact_copies(held: DataFrame) -> DataFrame:
 def held_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row_key, place, digest, size, body): a bucketed table of compressed texts in the shared folder.
 
-    row_key is a hash of id and text, place the id for ordering (null: least),
-    digest a 128-bit hash of the text, size its bytes, body the text packed by
-    zstd. Texts are dealt by row_key once; later joins on row_key leave them
-    where they are.
+    row_key is a number of its own for each row (the scan's task, then the row in
+    it), fixed when the table is written; place is the id for ordering (null:
+    least), digest a 128-bit hash of the text, size its bytes, body the text
+    packed by zstd. Texts are dealt by row_key once; later joins on row_key leave
+    them where they are. The table's entry in the session's catalog is removed at
+    once: the returned frame reads the files.
     """
     import zstandard
-    from xxhash import xxh3_128_digest, xxh64_intdigest
+    from xxhash import xxh3_128_digest
 
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0))).first()[0]
+    n = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // HELD_BYTES)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        number = TaskContext.get().partitionId() << 40
         for b in batches:
             place = b.column(1).fill_null(-(1 << 63))
             for start, stop in slices(b.column(2), 4 * SLICE):
                 texts = [x or b"" for x in b.column(2).slice(start, stop - start).cast(pa.binary()).to_pylist()]
-                own = place.slice(start, stop - start)
-                mixed = np.fromiter(map(xxh64_intdigest, texts), np.uint64, len(texts)) ^ mix(own.to_numpy().astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-                columns = [b.column(0).slice(start, stop - start), pa.array(mix(mixed).view(np.int64)), own, pa.array(map(xxh3_128_digest, texts), pa.binary()), pa.array(map(len, texts), pa.int64()), pa.array(map(squeeze, texts), pa.binary())]
+                keys = np.arange(number, number + len(texts))
+                number += len(texts)
+                columns = [b.column(0).slice(start, stop - start), pa.array(keys, pa.int64()), place.slice(start, stop - start), pa.array(map(xxh3_128_digest, texts), pa.binary()), pa.array(map(len, texts), pa.int64()), pa.array(map(squeeze, texts), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "row_key", "place", "digest", "size", "body"])
 
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{id_col}`").cast("long").alias("__place"), F.col(f"`{text_col}`"))
@@ -113,7 +126,9 @@ def held_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     path = shared_dir(spark)
     name = "gridloom_" + path.rpartition("-")[2]
     packed.repartition(n, "row_key").write.bucketBy(n, "row_key").sortBy("row_key").option("path", path).option("compression", "uncompressed").saveAsTable(name)
-    return spark.table(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files have a path of their own and stay
+    return held
 
 
 def bodies(column: pa.Array) -> list[bytes]:
@@ -178,6 +193,7 @@ def replies(row: np.ndarray, entries: np.ndarray, parts: int) -> list[tuple[int,
 def gathered(answers: DataFrame, name: str, width: int) -> DataFrame:
     """(row_key, name): all entries of each row, of `width` bytes each; one record for each row that has any."""
 
+    @tidy_group
     def merge(group: pa.Table) -> pa.Table:
         row, parts = [], []
         for ids, counts, entries in zip(*(group[c].to_pylist() for c in REPLY[1:]), strict=True):
@@ -207,6 +223,7 @@ def repeated_keys(rows: DataFrame, keys: Keys, buckets: int, across_rows: bool =
     """
     names = ["bucket", *REPLY, "rows", "which", "keys"]
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for columns, texts in body_slices(b):
@@ -250,6 +267,7 @@ def repeated_keys(rows: DataFrame, keys: Keys, buckets: int, across_rows: bool =
                     put(bucket=int(bucket[lo]), rows=ids.tobytes(), which=code.astype(np.uint32 if wide else np.uint16).tobytes(), keys=pack_keys(key[lo:hi], width))
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, (pa.int32(), pa.int32(), *[pa.binary()] * 6), strict=True)], names=names)
 
+    @tidy_group
     def answer(group: pa.Table) -> pa.Table:
         done, sent = group.filter(pc.is_valid(group["part"])), group.filter(pc.is_null(group["part"]))
         keys_, ids_, singles = [], [], []

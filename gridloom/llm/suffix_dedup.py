@@ -25,9 +25,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import spread, tidy, tidy_group
 from .gsaca import suffix_array
-from .repeats import NARROW, REPLY, REPLY_SCHEMA, body_slices, buckets_for, exact_copies, gathered, held_texts, low, mix, repeated_keys, replies, reply_table, unpack
+from .repeats import NARROW, REPLY, REPLY_SCHEMA, body_slices, buckets_for, exact_copies, gathered, held_texts, low, mix, repeated_keys, replies, reply_table, runs_of, unpack
 
 GRAM = 16
 SYMBOL = 12
@@ -87,6 +87,20 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each distinct row of bytes, which of them each row is). Rows are compared byte by byte; a hash only brings equal ones together."""
+    h = _row_hash(rows)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    if not (rows[order[1:][same]] == rows[order[:-1][same]]).all():  # a collision
+        _, first, inverse = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        return first, inverse.ravel()
+    fresh = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
+    inverse = np.empty(len(rows), np.int64)
+    inverse[order] = np.cumsum(fresh) - 1
+    return order[fresh], inverse
+
+
 def _names(rows: np.ndarray, group: np.ndarray | None) -> np.ndarray:
     """Rank of each row of bytes among all of them, within its group if there is one."""
     wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
@@ -112,7 +126,7 @@ def _ranked(strings: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarr
     """
     sets, parts, at, base = [], [], 0, 0
     for group, rows in strings:
-        _, chosen, inverse = np.unique(mix(group) ^ _row_hash(rows), return_index=True, return_inverse=True)
+        chosen, inverse = _distinct(np.concatenate([np.ascontiguousarray(group.astype("<i8")).view(np.uint8).reshape(-1, 8), rows], axis=1))
         own = rows[chosen]
         columns = [own[:, k : k + SYMBOL] for k in range(0, own.shape[1], SYMBOL)]
         later = _names(np.concatenate([np.pad(c, ((0, 0), (0, SYMBOL - c.shape[1]))) for c in columns[1:]]), None).reshape(len(columns) - 1, -1) if len(columns) > 1 else np.zeros((0, len(own)), np.int64)
@@ -144,14 +158,15 @@ def _pairs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.stack([lo, hi], axis=1).astype("<u4")).view(np.uint8).reshape(-1, 8)
 
 
-def covered_ranges(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def covered_ranges(context: np.ndarray, doc: np.ndarray, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each entry (document order `doc`, context number `which`): the covered range, relative to its anchor.
 
-    gram, context: the anchor's hash and the bytes around it of each context.
-    An entry whose strings all are new has an empty range (0, 0).
+    context: the anchor's own bytes and those around it, distinct rows. An entry
+    whose strings all are new has an empty range (0, 0).
     """
     width = length - GRAM + 1
     reach = width - 1
+    _, gram = _distinct(np.ascontiguousarray(context[:, reach : reach + GRAM]))
     least = np.full(len(gram), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
     low = np.full(len(doc), -1, np.int64)  # least and greatest number of bytes before the anchor, of the repeated strings
@@ -159,8 +174,7 @@ def covered_ranges(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, which
     inside = context != PAD
     before, after = inside[:, :reach].sum(axis=1), inside[:, reach + GRAM :].sum(axis=1)
     # contexts that are alone with their gram need no order: only their own copies repeat them
-    _, group, members = np.unique(gram, return_inverse=True, return_counts=True)
-    busy = np.flatnonzero(members[group.ravel()] > 1)
+    busy = np.flatnonzero(np.bincount(gram)[gram] > 1) if len(gram) else gram
     best = np.repeat(least[:, None], width, axis=1)
     if len(busy):
         rows, own = context[busy], gram[busy]
@@ -185,8 +199,11 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     A byte goes when a string of `length` bytes over it also starts in a row with
-    a smaller id. Rows of one id don't repeat each other; null ids are smaller
-    than any other; null texts are empty. `length` is at least GRAM + 1.
+    a smaller id. Rows of one id, repeated rows among them, don't repeat each
+    other; null ids are smaller than any other; null and empty texts have no
+    bytes; an empty table gives no rows. A text of any length is read whole and
+    its contexts are dealt over all buckets. Other columns of docs are not read,
+    whatever their names. `length` is at least GRAM + 1.
 
     Exact copies are grouped first: later copies go whole, the first stands for
     all. Cut characters make `kept` invalid UTF-8, so it is binary.
@@ -206,8 +223,9 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     flagged = gathered(repeated_keys(held, grams, buckets, across_rows=True, width=NARROW), "grams", NARROW)
     copies = exact_copies(held).join(held.select("row_key", "place").distinct(), "row_key").where("place > first").select("row_key", F.lit(True).alias("copy"))
     planned = held.join(flagged, "row_key", "left").join(copies, "row_key", "left").where("copy is null and grams is not null")
-    names = ["bucket", *REPLY, "grams", "contexts", "rows", "places", "asks"]
+    names = ["bucket", *REPLY, "contexts", "rows", "places", "asks"]
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts of a slice's anchors by bucket; of equal contexts only the slice's first document asks."""
         import zstandard
@@ -230,8 +248,7 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 view = sliding_window_view(buf, 2 * reach + GRAM)
                 context = view[at + begin[doc] - reach]
                 h = _row_hash(context[:, reach : reach + GRAM])
-                _, first, inverse = np.unique(_row_hash(context), return_index=True, return_inverse=True)
-                inverse = inverse.ravel()
+                first, inverse = _distinct(context)
                 least = np.full(len(first), np.iinfo(np.int64).max)
                 np.minimum.at(least, inverse, place[doc])
                 asks = place[doc] == least[inverse]
@@ -250,20 +267,21 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 order = np.argsort(bucket[first], kind="stable")
                 number = np.empty(len(first), np.int64)
                 number[order] = np.arange(len(first))
-                edges = np.searchsorted(bucket[first][order], np.arange(context_buckets + 1))
+                edges = runs_of(bucket[first][order])  # only buckets that a slice has something for
                 entry = np.flatnonzero(asks)
                 entry = entry[np.argsort(bucket[entry], kind="stable")]
-                splits = np.searchsorted(bucket[entry], np.arange(context_buckets + 1))
-                for k in range(context_buckets):
-                    chosen = first[order[edges[k] : edges[k + 1]]]
-                    if len(chosen):
-                        own = entry[splits[k] : splits[k + 1]]
-                        used, code = np.unique(doc[own], return_inverse=True)
-                        triple = np.stack([number[inverse[own]] - edges[k], code.ravel(), at[own]], axis=1)
-                        put(bucket=k, grams=h[chosen].tobytes(), contexts=squeeze(context[chosen].tobytes()), rows=keys[used].tobytes(), places=place[used].tobytes(), asks=triple.astype("<u4").tobytes())
-                kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 8)
+                own_buckets = bucket[entry]
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    chosen = first[order[lo:hi]]
+                    k = int(bucket[chosen[0]])
+                    own = entry[np.searchsorted(own_buckets, k) : np.searchsorted(own_buckets, k, "right")]
+                    used, code = np.unique(doc[own], return_inverse=True)
+                    triple = np.stack([number[inverse[own]] - lo, code.ravel(), at[own]], axis=1)
+                    put(bucket=k, contexts=squeeze(context[chosen].tobytes()), rows=keys[used].tobytes(), places=place[used].tobytes(), asks=triple.astype("<u4").tobytes())
+                kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 7)
                 yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in zip(names, kinds, strict=True)], names=names)
 
+    @tidy_group
     def answer(group: pa.Table) -> pa.Table:
         done, sent = group.filter(pc.is_valid(group["part"])), group.filter(pc.is_null(group["part"]))
         out = [tuple(r.values()) for r in done.select(REPLY).to_pylist()]
@@ -271,28 +289,28 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             import zstandard
 
             expand = zstandard.ZstdDecompressor().decompress
-            gram, context, row, place, which, at, shift = [], [], [], [], [], [], 0
-            for g, c, r, p, e in zip(*(sent[x].to_pylist() for x in names[5:]), strict=True):
+            context, row, place, which, at, shift = [], [], [], [], [], 0
+            for c, r, p, e in zip(*(sent[x].to_pylist() for x in names[5:]), strict=True):
                 e = np.frombuffer(e, "<u4").reshape(-1, 3).astype(np.int64)
-                gram.append(np.frombuffer(g, np.uint64))
-                context.append(np.frombuffer(expand(c), np.uint8).reshape(len(gram[-1]), -1))
+                context.append(np.frombuffer(expand(c), np.uint8).reshape(-1, 2 * reach + GRAM))
                 which.append(e[:, 0] + shift)
                 row.append(np.frombuffer(r, np.int64)[e[:, 1]])
                 place.append(np.frombuffer(p, np.int64)[e[:, 1]])
                 at.append(e[:, 2])
-                shift += len(gram[-1])
-            gram, context, row, place, which, at = (np.concatenate(x) for x in (gram, context, row, place, which, at))
+                shift += len(context[-1])
+            context, row, place, which, at = (np.concatenate(x) for x in (context, row, place, which, at))
             # equal contexts of several slices are one
-            _, first, inverse = np.unique(_row_hash(context), return_index=True, return_inverse=True)
-            low, high = covered_ranges(gram[first], context[first], place, inverse.ravel()[which], length)
+            first, inverse = _distinct(context)
+            low, high = covered_ranges(context[first], place, inverse[which], length)
             some = high > low
             out += replies(row[some], _pairs((at + low)[some], (at + high)[some]), context_buckets)
         return reply_table(out)
 
-    sent = planned.select("row_key", "place", "size", "body", "grams").mapInArrow(send, "bucket int, " + REPLY_SCHEMA + ", grams binary, contexts binary, rows binary, places binary, asks binary")
+    sent = planned.select("row_key", "place", "size", "body", "grams").mapInArrow(send, "bucket int, " + REPLY_SCHEMA + ", contexts binary, rows binary, places binary, asks binary")
     ranges = gathered(sent.groupBy("bucket").applyInArrow(answer, REPLY_SCHEMA), "ranges", 8)
     ready = held.join(ranges, "row_key", "left").join(copies, "row_key", "left").select("id", "size", "body", "ranges", F.coalesce("copy", F.lit(False)).alias("copy"))
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for columns, batch in body_slices(b):
