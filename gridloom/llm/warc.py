@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, shared_uri
 
 BLOCK_LINES = 512
 MAGIC = b"GLCX0001"
@@ -107,15 +107,20 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, date: s
 
     Payloads of at least `least_bytes` that are equal are stored once, with the
     largest page_id; rows that repeat that page_id are responses too. A null
-    html is an empty payload, a null page_id is smaller than any other. Equal
+    html is an empty payload, a null page_id is smaller than any other; an empty
+    table gives no files. Other columns are not read, whatever their names. A
+    payload is one record, however long. Payloads are equal when their SHA-1,
+    their length and a second hash are. Equal
     payloads are found by a count of digests with partial sums; only digests
     that occur twice join back, so a page that a third of all rows share is
     dealt over tasks by the skew join.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest"))
-    shared = rows.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("refers_to")).where("copies > 1").select("digest", "refers_to", F.lit(True).alias("shared"))
-    marked = rows.join(materialise(shared), "digest", "left").select("page_id", "url", "payload", "digest", "refers_to", (F.coalesce("shared", F.lit(False)) & (F.col("n") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).alias("again"))
+    rows = rows.select("*", F.octet_length("payload").alias("n"), F.sha1("payload").alias("digest"), F.xxhash64("payload").alias("second"))
+    alike = ["digest", "n", "second"]
+    shared = rows.where(F.col("n") >= least_bytes).groupBy(*alike).agg(F.count("*").alias("copies"), F.max("page_id").alias("refers_to")).where("copies > 1").select(*alike, "refers_to", F.lit(True).alias("shared"))
+    marked = rows.join(materialise(shared), alike, "left").select("page_id", "url", "payload", "digest", "refers_to", (F.coalesce("shared", F.lit(False)) & (F.col("n") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).alias("again"))
+    marked = marked.sortWithinPartitions("page_id", "url", "digest")  # a task that runs again writes the same bytes at the same places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base, name, temporary = _names(path, "archive")
@@ -278,9 +283,13 @@ def read_records(places: DataFrame, path: str) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """Write archives and their index into the shared folder, look every page up and read its record."""
-    path = shared_dir(pages.sparkSession)
-    path = path if re.match(r"\w+:", path) else f"file://{path}"
+    """Write archives and their index into the shared folder, look every page up and read its record.
+
+    Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to:
+    a row for each record, so repeated rows come again and an empty table gives
+    none. write_archives says what nulls, ties and very long payloads give.
+    """
+    path = shared_uri(pages.sparkSession)
     captures = write_archives(pages, path, least_bytes)
     index = write_index(captures, path)
 
