@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, texts, tidy
+from .repeats import words_of
 
 SAMPLE_DOCS = 3000
 SHARE = 0.5
 CHAIN = 24  # lines of a training chain; longer texts give several chains
 SAMPLE_LINES = 256  # lines of a longer text that the training uses, in chains from the whole text
-FEATURES = 9
+FEATURES = 10
 
 
 def _lut(chars: bytes) -> np.ndarray:
@@ -105,6 +106,9 @@ def lines_of(batch: list[bytes]) -> Lines:
     gap = SPACE[buf]
     begins = np.cumsum((gap == 0) & (np.concatenate([[1], gap[:-1]]) == 1), dtype=np.int32)
     words = begins[ends] - np.where(starts > 0, begins[np.maximum(starts, 1) - 1], 0)
+    hashes, _ = words_of(batch)
+    of_line = np.repeat(np.arange(len(words)), words)
+    stammer = np.bincount(of_line[1:][(hashes[1:] == hashes[:-1]) & (of_line[1:] == of_line[:-1])], minlength=len(words))
     dup = np.zeros(len(starts), bool)
     at = 0
     for t in batch:
@@ -124,7 +128,7 @@ def lines_of(batch: list[bytes]) -> Lines:
     x = np.stack(
         [
             np.ones(len(n)), np.minimum(symbol / per_word, 3) / 3, np.minimum(loud / per_word, 2) / 2, upper / np.maximum(upper + lower, 1), digit / some,
-            np.minimum(bar / per_word, 1), dup.astype(float), np.minimum(np.log1p(words) / 5, 1), np.minimum((head - space) / per_word / 20, 1),
+            np.minimum(bar / per_word, 1), dup.astype(float), np.minimum(np.log1p(words) / 5, 1), np.minimum((head - space) / per_word / 20, 1), stammer / per_word,
         ],
         axis=1,
     )
@@ -169,16 +173,22 @@ class Chain:
         return label
 
 
-def _chains(x: np.ndarray, y: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chains(x: np.ndarray, y: np.ndarray, text: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of each chain, their labels, which places hold a line, and each chain's weight."""
     place = np.arange(len(text)) - np.searchsorted(text, text)
     chain = np.unique(text.astype(np.int64) << 32 | place // CHAIN, return_inverse=True)[1].ravel()
     xs, ys, mask = np.zeros((chain.max() + 1, CHAIN, x.shape[1])), np.zeros((chain.max() + 1, CHAIN), np.int64), np.zeros((chain.max() + 1, CHAIN), bool)
     xs[chain, place % CHAIN], ys[chain, place % CHAIN], mask[chain, place % CHAIN] = x, y, True
-    return xs, ys, mask
+    own = np.zeros(len(xs))
+    own[chain] = weight  # a chain's lines are of one document
+    return xs, ys, mask, own
 
 
-def train(x: np.ndarray, quality: np.ndarray, text: np.ndarray, steps: int = 120, rate: float = 0.2, decay: float = 1e-3) -> Chain:
-    """Fit the field by gradient ascent; quality is the label of each line's document."""
+def train(x: np.ndarray, quality: np.ndarray, text: np.ndarray, steps: int = 160, rate: float = 0.5, decay: float = 1e-3) -> Chain:
+    """Fit the field by gradient ascent; quality is the label of each line's document.
+
+    Good and poor documents weigh alike in sum, however many of each there are.
+    """
     y = quality.astype(np.int64)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w = np.zeros(x.shape[1])
@@ -186,12 +196,12 @@ def train(x: np.ndarray, quality: np.ndarray, text: np.ndarray, steps: int = 120
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w += 5.0 * (x.T @ (weight * (y - p)) - decay * w)
     y = np.where((y == 0) & (x @ w > 0), 1, y)
-    xs, ys, mask = _chains(x, y, text)
+    xs, ys, mask, own = _chains(x, y, text, weight)
     emit, move = np.stack([-w / 2, w / 2]), np.zeros((2, 2))
-    total = mask.sum()
+    total = mask.sum(axis=1) @ own
     hot = np.eye(2)[ys] * mask[:, :, None]
-    seen_emit = np.einsum("ntl,ntd->ld", hot, xs)
-    seen_move = np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:])
+    seen_emit = np.einsum("ntl,ntd,n->ld", hot, xs, own, optimize=True)
+    seen_move = np.einsum("nta,ntb,n->ab", hot[:, :-1], hot[:, 1:], own, optimize=True)
     for _ in range(steps):
         score = xs @ emit.T
         forward, backward = np.zeros_like(score), np.zeros_like(score)
@@ -205,6 +215,7 @@ def train(x: np.ndarray, quality: np.ndarray, text: np.ndarray, steps: int = 120
             backward[:, t] = np.where(mask[:, t + 1, None], step, 0)
         node = np.exp(forward + backward - log_z[:, None, None]) * mask[:, :, None]
         edge = np.exp(forward[:, :-1, :, None] + move + (score[:, 1:] + backward[:, 1:])[:, :, None, :] - log_z[:, None, None, None]) * mask[:, 1:, None, None]
+        node, edge = node * own[:, None, None], edge * own[:, None, None, None]
         emit = emit + rate * ((seen_emit - np.einsum("ntl,ntd->ld", node, xs)) / total * 10 - decay * emit)
         move = move + rate * ((seen_move - edge.sum(axis=(0, 1))) / total * 10 - decay * move)
     return Chain(emit, move)
@@ -230,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     chosen = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, stop in slices(b.column(1)):
@@ -256,11 +268,15 @@ def quality(docs: DataFrame, chain: Chain | None, share: float = SHARE, keep_col
     """Measures and verdict for every row of docs, beside `keep_columns` (default: the id).
 
     A null or empty text has no words and fails the base rules. Whole texts are
-    read; repeated rows get equal verdicts. One narrow pass, no shuffle.
+    read, of any length; repeated rows get equal verdicts, whatever their ids; an
+    empty table gives an empty one. A kept column that has a measure's name gives
+    way to the measure. One narrow pass, no shuffle.
     """
-    columns = keep_columns or [id_col]
+    measures = {m.split()[0] for m in MEASURES.split(", ")}
+    columns = [c for c in keep_columns or [id_col] if c not in measures]
     source = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").alias("__text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, stop in slices(b.column(len(columns))):
