@@ -16,13 +16,14 @@ links only, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, texts
+from .common import materialise, slices, texts, tidy
 from .components import components
 
 BLOCK = 1 << 15  # fingerprints in a block on average, at most
@@ -54,6 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): fp is the fingerprint as a signed 64-bit integer."""
     kind = docs.schema[id_col].dataType
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, stop in slices(b.column(1)):
@@ -140,9 +142,8 @@ def trie_self_join(fps: DataFrame, budget: int = 4) -> DataFrame:
     """
     distinct = materialise(fps.where("fp is not null").select("fp").distinct())
     count = distinct.count()
-    depth = min(16, max(3, -(-count // BLOCK)).bit_length())
-
-    masks = np.array([m for m in range(1 << depth) if bin(m).count("1") <= budget], np.int64)
+    depth = max(3, -(-count // BLOCK)).bit_length()
+    masks = np.array([sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(depth), k)], np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +178,9 @@ def trie_self_join(fps: DataFrame, budget: int = 4) -> DataFrame:
         everything = (a if same else np.concatenate([a, b])).view(np.int64)
         return pa.table({"u": everything[child], "v": everything[root[child]]})
 
-    return distinct.mapInArrow(deal, "pair long, side boolean, fps binary").groupBy("pair").applyInArrow(walk, "u long, v long")
+    # the walk is long for its few bytes, so the number of tasks does not follow from their size
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), count >> 16)
+    return distinct.mapInArrow(deal, "pair long, side boolean, fps binary").repartition(parts, "pair").groupBy("pair").applyInArrow(walk, "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4, links: DataFrame | None = None) -> DataFrame:
@@ -186,8 +189,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Documents link when their fingerprints differ in at most `budget` bits, or
     are a pair (u, v) of `links`.
     Texts that are null, empty or without words have fingerprint zero and link
-    like any other. Rows with a null id keep a null id and count for their
-    class only if no other id is there.
+    like any other; a text of any length gives one fingerprint. Rows with a null
+    id keep a null id and count for their class only if no other id is there.
+    Rows that repeat an id, with the same text or another, are rows of their own;
+    an empty table gives no rows. Other columns are not read, whatever their
+    names; the id may not be called fp, least, root, fingerprint or component_id.
     """
     rows = materialise(fingerprints(docs, id_col, text_col))
     least = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
