@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, texts
+from .common import materialise, slices, spread, texts
 
 WINDOW, LEAST = 13, 11
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 4, 6, 9, 10))
 BLOCK_BYTES = 8 << 20
+HITS = 1 << 20  # seed hits of a text that are held at once
+SHIFT_BITS = 40  # of a diagonal's number; the item's is above
 _FACTOR = 0x9E3779B97F4A7C15
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -59,11 +61,11 @@ class Block:
     ids: np.ndarray
     begin: np.ndarray
     masks: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    item_ids: list[int]
+    item_ids: list[int | None]
     n_items: list[int]
 
     @classmethod
-    def of(cls, items: list[tuple[int, int, str]]) -> "Block":
+    def of(cls, items: list[tuple[int | None, int, str]]) -> "Block":
         words: dict[bytes, int] = {}
         each = []
         for _, _, text in items:
@@ -101,13 +103,21 @@ class Block:
                 h ^= h >> np.uint64(29)
             lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
             n = hi - lo
-            if n.any():
-                k = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                hits.append(np.stack([item[k], np.repeat(at, n) - offset[k]], axis=1))
+            upto = np.concatenate([[0], np.cumsum(n)])
+            start = 0
+            while start < len(n) and upto[start] < upto[-1]:
+                # a seed that an item and a text repeat has the product of both as hits: they become diagonals part by part
+                stop = max(start + 1, int(np.searchsorted(upto, upto[start] + HITS, "right")) - 1)
+                part = n[start:stop]
+                k = np.repeat(lo[start:stop], part) + spread(part)
+                hits.append(np.unique((item[k] << SHIFT_BITS) + np.repeat(at[start:stop], part) - offset[k] + (1 << (SHIFT_BITS - 1))))
+                start = stop
         if not hits:
             return []
         best: dict[int, tuple[int, int, int]] = {}
-        for item_no, shift in np.unique(np.concatenate(hits), axis=0).tolist():
+        diagonals = np.unique(np.concatenate(hits))
+        shifts = (diagonals & ((1 << SHIFT_BITS) - 1)) - (1 << (SHIFT_BITS - 1))
+        for item_no, shift in zip((diagonals >> SHIFT_BITS).tolist(), shifts.tolist(), strict=True):
             own = self.ids[self.begin[item_no] : self.begin[item_no + 1]]
             window, least = allowed(len(own))
             lo, hi = max(0, -shift), min(len(own), len(ids) - shift)
@@ -126,10 +136,12 @@ class Block:
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, item_id, n_items, first_word, end_word, n_equal) for each text and benchmark text that share a passage.
 
-    Equal benchmark texts are one item, with the least id and their number.
-    Null or empty texts on either side share nothing; an empty benchmark gives
-    no rows; a text row that is repeated gives its rows again. Words are
-    compared with A-Z lower-cased.
+    Equal benchmark texts are one item, with the least id (null only where none
+    has an id) and their number. Null or empty texts on either side share
+    nothing; an empty benchmark or an empty table gives no rows; a text row that
+    is repeated gives its rows again. A text of any length is searched whole; of
+    passages that tie the first found is told. Words are compared with A-Z
+    lower-cased. Other columns are not read, whatever their names.
 
     The benchmark is the query set: it goes to all tasks in blocks of about
     `block_bytes` (its size is counted first), and each block meets all texts,
@@ -144,7 +156,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = spark.createDataFrame([], schema)
     for number in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == number).collect()
-        block = spark.sparkContext.broadcast(Block.of(sorted((r["item"] if r["item"] is not None else -1, r["n"], r["t"]) for r in rows)))
+        block = spark.sparkContext.broadcast(Block.of(sorted(((r["item"], r["n"], r["t"]) for r in rows), key=lambda i: (i[0] is not None, i[0] or 0, i[2]))))
 
         def run(batches: Iterator[pa.RecordBatch], block: "object" = block) -> Iterator[pa.RecordBatch]:
             held = block.value
@@ -165,7 +177,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that share no passage with the benchmark."""
+    """The rows of docs that share no passage with the benchmark.
+
+    Rows are told apart by id and text, so ids may repeat or be null; null and
+    empty texts stay, and an empty benchmark or table takes nothing. docs may
+    have any other columns but `__row` and `__hit`.
+    """
     keyed = docs.withColumn("__row", F.struct(F.col(f"`{id_col}`").alias("id"), F.md5(F.col(f"`{text_col}`").cast("binary")).alias("text")))
     hit = materialise(find_passages(keyed, benchmark, "__row", text_col).select(F.col("__row").alias("__hit")).distinct())  # so that its size decides on the join
     return keyed.join(hit, F.col("__row") == F.col("__hit"), "left_anti").drop("__row")
