@@ -9,6 +9,8 @@ the tolerance. The driver only ever sees BINS sums for each open splitter.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,21 @@ BINS = 256
 TIE_BITS, ROW_BITS = 20, 42
 
 
+def _decimals(values: list[int]) -> Column:
+    return F.array(*[F.lit(str(v)).cast("decimal(38,0)") for v in values])
+
+
+def _at_or_below(values: list[int], x: Column) -> Column:
+    """How many of the sorted values are at most x: first the block is searched, then its values, so a row meets some 2 sqrt(n) of them."""
+    if not values:
+        return F.lit(0)
+    block = max(1, math.isqrt(len(values)))
+    cut = [values[k : k + block] for k in range(0, len(values), block)]
+    before = F.size(F.filter(_decimals([c[0] for c in cut]), lambda v: v <= x))
+    inside = F.size(F.filter(F.get(F.array(*map(_decimals, cut)), before - 1), lambda v: v <= x))
+    return F.when(before == 0, 0).otherwise((before - 1) * block + inside)
+
+
 def _cut(rows: DataFrame, targets: dict[int, int]) -> dict[int, int]:
     """For each target number of bytes a boundary with that many bytes below it, within its tolerance.
 
@@ -33,16 +50,13 @@ def _cut(rows: DataFrame, targets: dict[int, int]) -> dict[int, int]:
     spans = {t: (low, high, 0) for t in targets}
     while spans:
         distinct = sorted({(a, b) for a, b, _ in spans.values()})
-        bin_of: Column = F.lit(None).cast("int")
-        for k, (a, b) in enumerate(distinct):
-            step = -(-(b - a) // BINS)
-            inside = (F.col("key") >= F.lit(str(a)).cast("decimal(38,0)")) & (F.col("key") < F.lit(str(b)).cast("decimal(38,0)"))
-            offset = F.expr(f"(key - cast('{a}' as decimal(38,0))) div cast('{step}' as decimal(38,0))")
-            bin_of = F.when(inside, offset.cast("int") + k * BINS).otherwise(bin_of)
-        sums = {
-            r["bin"]: r["bytes"]
-            for r in rows.select(bin_of.alias("bin"), "size").where("bin is not null").groupBy("bin").agg(F.sum("size").alias("bytes")).collect()
-        }
+        steps = [-(-(b - a) // BINS) for a, b in distinct]
+        span = _at_or_below([a for a, _ in distinct], F.col("key")) - 1
+        found_in = rows.select("key", "size", span.alias("span")).select(
+            "key", "size", "span", F.get(_decimals([a for a, _ in distinct]), F.col("span")).alias("a"), F.get(_decimals([b for _, b in distinct]), F.col("span")).alias("b"), F.get(_decimals(steps), F.col("span")).alias("step"),
+        )
+        binned = found_in.where("key < b").select((F.expr("(key - a) div step").cast("int") + F.col("span") * BINS).alias("bin"), "size")
+        sums = {r["bin"]: r["bytes"] for r in binned.groupBy("bin").agg(F.sum("size").alias("bytes")).collect()}
         index = {span: k for k, span in enumerate(distinct)}
         following = {}
         for t, (a, b, below) in spans.items():
@@ -77,8 +91,10 @@ def histogram_shards(df: DataFrame, key: str, size: Column, shards: int = 8, tol
     range is exchanged once, ordered, and its slots begin where the exact row
     counts of the ranges before it end.
 
-    Null texts count by the size expression, an empty table gives no rows, and
-    columns of df whose names clash with the three new ones are replaced.
+    Null texts count by the size expression, texts of any length are one row
+    each, an empty table gives no rows, and columns of df whose names clash with
+    the three new ones are replaced. A key of another type than an integer is
+    cast, so text that is no number counts as null.
     """
     spark = df.sparkSession
     df = df.drop("size", "shard", "slot")
@@ -98,9 +114,7 @@ def histogram_shards(df: DataFrame, key: str, size: Column, shards: int = 8, tol
     loose, strict = total // (4 * shards * fine), min(int(tolerance * total / shards), total // (4 * shards * fine))
     found = _cut(rows, {t: loose for t in wanted} | {t: strict for t in wanted[fine - 1 :: fine]})
     bounds = sorted(found[t] for t in wanted)
-    edges = F.array(*[F.lit(str(b)).cast("decimal(38,0)") for b in bounds]) if bounds else None
-    bucket = F.size(F.filter(edges, lambda e: e <= F.col("__key"))) if bounds else F.lit(0)
-    dealt = ordered.withColumn("__range", bucket)
+    dealt = ordered.withColumn("__range", _at_or_below(bounds, F.col("__key")))
     counts = dealt.groupBy("__range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     shard_of = F.least(F.floor(F.col("__range") / fine), F.lit(shards - 1)).cast("int")
     starts = counts.withColumn("shard", shard_of).withColumn(
