@@ -67,7 +67,7 @@ def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, read back from the wavelet-matrix shards."""
     out = token_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
-    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+    return out.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,28 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spaced_seeds, op2_suffix_array, op3_recompression, op4_best_fit_packing, op5_warc_index, op6_line_crf, op7_wavelet_tokens, op8_line_chunks, op9_simhash_trie, op10_histogram_shards)}
 #: What SQL can express whole. The texts' own bytes, words and payloads are counted there by other means.
 SQL: dict[str, str] = {
+    "op2_suffix_array": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        b AS (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS i FROM d),
+        s AS (SELECT doc_id, i, substring(x, 2 * i + 1, 2) AS byte, substring(x, 2 * i + 1, 100) AS str FROM b),
+        f AS (SELECT str, min(doc_id) AS least FROM s WHERE len(str) = 100 GROUP BY 1),
+        m AS (SELECT s.doc_id, s.i, s.byte, coalesce(f.least < s.doc_id, false) AS hit FROM s LEFT JOIN f ON s.str = f.str),
+        g AS (SELECT doc_id, i, byte, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+        o AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+              sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256 FROM e GROUP BY 1)
+        SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+        FROM d LEFT JOIN o USING (doc_id)""",
+    "op3_recompression": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+        t AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM d),
+        n AS (SELECT word, row_number() OVER () AS id FROM (SELECT DISTINCT word FROM t)),
+        s AS (SELECT r, k, word, list(id) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS win FROM t JOIN n USING (word)),
+        c AS (SELECT win FROM s WHERE len(win) = 35 GROUP BY 1 HAVING count(*) > 1),
+        m AS (SELECT s.r, s.k, s.word, len(s.win) = 35 AND c.win IS NOT NULL AS hit FROM s LEFT JOIN c ON s.win = c.win),
+        g AS (SELECT r, k, word, bool_or(hit) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM m),
+        o AS (SELECT r, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM g GROUP BY 1)
+        SELECT d.doc_id, coalesce(o.n_words, 0) AS n_words, coalesce(o.n_removed, 0) AS n_removed, coalesce(o.kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN o USING (r)""",
     "op5_warc_index": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),

@@ -27,13 +27,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, slices, texts
+from .common import materialise, shared_uri, slices, texts, tidy
 from .tokens import encoder, with_end
 
 MAGIC = b"GLWM0001"
 BLOCK = 1 << 16
 RANK_BITS = 512
 STEP = 1 << 16
+SHARD_BYTES = 32 << 20  # of text: a task holds a shard's ids whole
 
 
 def split_by(seq: np.ndarray, one: np.ndarray, zeros: int) -> np.ndarray:
@@ -76,14 +77,16 @@ class WaveletMatrix:
         self._ranks: dict[int, np.ndarray] = {}
 
     @staticmethod
-    def encode(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
-        """Bytes of a shard: ids uint32, and the id (int64) and length of each document."""
+    def encode(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, unnamed: int = 0) -> bytes:
+        """Bytes of a shard: ids uint32, and the id (int64) and length of each document; the first `unnamed` documents have no id."""
+        if len(ids) >= 1 << 32:
+            raise ValueError("a shard's rank tables count to 2^32")
         top = int(ids.max()) if len(ids) else 0
         bits = max(1, top.bit_length())
         seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         parts: list[bytes] = []
         at = 0
-        head: dict[str, Any] = {"n": len(ids), "bits": bits, "zeros": [], "planes": [], "ranks": []}
+        head: dict[str, Any] = {"n": len(ids), "bits": bits, "unnamed": unnamed, "zeros": [], "planes": [], "ranks": []}
 
         def put(blob: bytes) -> list[int]:
             nonlocal at
@@ -200,16 +203,24 @@ def write_shards(docs: DataFrame, path: str, vocabulary_path: str, end_id: int |
 
     Returns the manifest (shard, file, n_docs, n_tokens). A file is written under
     a temporary name and then renamed, and its content only depends on its
-    rows, so a repeated task replaces it by the same bytes. Null texts count as
-    empty (the end id only), rows of one id follow in text order, null ids come
-    first and are written as the least 64-bit integer. No rows, no files.
+    rows, so a repeated task replaces it by the same bytes. A shard holds about
+    SHARD_BYTES of text, or one longer text. Null texts count as empty (the end
+    id only). Rows of one id follow each other by their first 64 characters and
+    then by a hash, so that an id, or no id, that many rows share is cut
+    anywhere. Null ids come first; they are written as the least 64-bit integer
+    and counted, so no id is taken for them. No rows, no files. Other columns
+    are not read, whatever their names.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-
+    text, own = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(-(1 << 63))).alias("id"), text.alias("text"), own.isNotNull().alias("named"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    rows = rows.withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    place = ["named", "id", F.substring("text", 1, 64), F.xxhash64("text"), "tie"]
+    dealt = rows.repartitionByRange(n, *place).sortWithinPartitions(*place).select("id", "text", "named")
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -218,8 +229,10 @@ def write_shards(docs: DataFrame, path: str, vocabulary_path: str, end_id: int |
         ids: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         doc_ids: list[np.ndarray] = []
+        unnamed = 0
         for b in batches:
             doc_ids.append(b.column(0).to_numpy())
+            unnamed += len(b.column(2)) - b.column(2).true_count
             for first, stop in slices(b.column(1), 1 << 20):
                 found, n = with_end(*encode(texts(b.column(1), first, stop)), end_id)
                 ids.append(found.astype(np.uint16) if not len(found) or found.max() < 1 << 16 else found)
@@ -229,7 +242,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary_path: str, end_id: int |
         whole = np.concatenate(ids)
         ids.clear()
         counts = np.concatenate(lengths)
-        blob = WaveletMatrix.encode(whole, np.concatenate(doc_ids), counts)
+        blob = WaveletMatrix.encode(whole, np.concatenate(doc_ids), counts, unnamed)
         fs, base = pafs.FileSystem.from_uri(path)
         fs.create_dir(base, recursive=True)
         name = f"shard-{shard:06d}.wvm"
@@ -243,11 +256,12 @@ def write_shards(docs: DataFrame, path: str, vocabulary_path: str, end_id: int |
 
 
 def read_shards(manifest: DataFrame, path: str) -> DataFrame:
-    """Per document, from the files: (doc_id, start, n_tokens, ids_crc32, shard, place)."""
+    """Per document, from the files: (doc_id, start, n_tokens, ids_crc32, shard, place, named); unnamed documents have the least 64-bit integer as doc_id."""
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).select("shard", "file", "base")
     n = max(1, manifest.count())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
@@ -260,16 +274,14 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * (e - m) : 4 * e]) for e, m in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids), pa.array(row["base"] + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(np.full(len(ends), row["shard"], np.int32)), pa.array(np.arange(len(ends)))],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "place"],
+                    [pa.array(doc_ids), pa.array(row["base"] + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(np.full(len(ends), row["shard"], np.int32)), pa.array(np.arange(len(ends))), pa.array(np.arange(len(ends)) >= shard.head["unnamed"])],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32", "shard", "place", "named"],
                 )
 
-    return offsets.repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, place long")
+    return offsets.repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, place long, named boolean")
 
 
 def token_shards(docs: DataFrame, vocabulary_path: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards into the shared folder and read the documents back from the files."""
-    path = shared_dir(docs.sparkSession)
-    if "://" not in path and not path.startswith("file:"):
-        path = f"file://{path}"
+    path = shared_uri(docs.sparkSession)
     return read_shards(write_shards(docs, path, vocabulary_path, end_id, id_col, text_col), path)
