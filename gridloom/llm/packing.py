@@ -3,9 +3,9 @@
 All decisions are made on the histogram of piece lengths, which has at most
 `capacity` rows whatever the size of the corpus:
 
-1. lengths above capacity * SMALL are large. Ordered by length they are cut
-   into groups of equal cardinality, and each is rounded up to the largest of
-   its group, which leaves few sizes;
+1. lengths above a share of the capacity are large. Ordered by length they are
+   cut into groups of equal cardinality, and each is rounded up to the largest
+   of its group, which leaves few sizes;
 2. the configurations (multisets of sizes that fit) are optimised as a
    cutting-stock programme by column generation: a simplex basis over
    configurations, priced by a knapsack over the sizes;
@@ -13,8 +13,10 @@ All decisions are made on the histogram of piece lengths, which has at most
    groups;
 4. small lengths go, largest first, into the sequence with the least room that
    still holds them; new sequences are opened when none does;
-5. sequences that the rounding has left loose are dissolved and their lengths
-   best-fitted, where that takes fewer sequences.
+5. this is done for each share of SHARES, the scheme's own parameter: a lower
+   one leaves more to the configurations, a higher one more to the fit. The plan
+   with the fewest sequences is taken, the first that reaches the bound (all
+   lengths over the capacity) at once.
 
 The plan is a list of segments: the k-th to l-th pieces of a length go to a run
 of sequences at an offset. Pieces find their segment by their rank among the
@@ -32,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, spread, texts
+from .common import materialise, slices, spread, texts, tidy
 from .tokens import encoder, with_end
 
-SMALL = 0.25
+SHARES = (0.25, 0.35, 0.5)
 GROUPS = 72
-LOOSE = 512  # sequences with more than this part of the capacity open are fitted anew
 BUCKET_ROWS = 50_000
 
 
@@ -149,11 +150,10 @@ def best_fit(counts: dict[int, int], bins: Bins, capacity: int) -> None:
             put(capacity - left % per * s, [s] * (left % per), 1)
 
 
-def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Sequences as (lengths in order, how many such sequences) for a histogram length -> count."""
-    whole = [([capacity], counts[capacity])] if counts.get(capacity) else []
-    large = {x: n for x, n in counts.items() if capacity * SMALL < x < capacity and n}
-    small = {x: n for x, n in counts.items() if 0 < x <= capacity * SMALL and n}
+def grouped_plan(counts: dict[int, int], capacity: int, share: float) -> list[tuple[list[int], int]]:
+    """Sequences as (lengths in order, how many such sequences): lengths above the share by linear grouping, the others by best fit."""
+    large = {x: n for x, n in counts.items() if capacity * share < x < capacity and n}
+    small = {x: n for x, n in counts.items() if 0 < x <= capacity * share and n}
     bins: Bins = {}
     if large:
         merged: dict[int, list[list[int]]] = {}
@@ -177,20 +177,21 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[list[int
                 bins.setdefault(capacity - sum(items), []).append((items, chunk))
                 times -= chunk
     best_fit(small, bins, capacity)
-    # what rounding up has left open: such sequences are dissolved and their lengths fitted anew, if that takes fewer
-    kept: Bins = {room: found for room, found in bins.items() if room <= capacity // LOOSE}
-    loose = [x for room, found in bins.items() if room > capacity // LOOSE for x in found]
-    pool: dict[int, int] = {}
-    for items, n in loose:
-        for x in items:
-            pool[x] = pool.get(x, 0) + n
-    again: Bins = {}
-    best_fit(pool, again, capacity)
-    if sum(n for found in again.values() for _, n in found) < sum(n for _, n in loose):
-        bins = kept
-        for room, found in again.items():
-            bins.setdefault(room, []).extend(found)
-    return whole + [x for room in sorted(bins) for x in bins[room]]
+    return [x for room in sorted(bins) for x in bins[room]]
+
+
+def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Sequences as (lengths in order, how many such sequences) for a histogram length -> count."""
+    whole = [([capacity], counts[capacity])] if counts.get(capacity) else []
+    bound = -(-sum(x * n for x, n in counts.items() if x < capacity) // capacity)
+    best: list[tuple[list[int], int]] | None = None
+    for share in SHARES:
+        plan = grouped_plan(counts, capacity, share)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+        if sum(n for _, n in best) <= bound:
+            break
+    return whole + (best or [])
 
 
 def segments(plan: list[tuple[list[int], int]]) -> np.ndarray:
@@ -211,6 +212,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int, end_id: int | N
     """(id, piece, start, length, ids_crc32[, ids]): ids of the whole text, the end id, cut at capacity."""
     kind = docs.schema[id_col].dataType
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary_path)
         for b in batches:
@@ -239,8 +241,14 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, end_id: in
 
     Returns id, piece, start, length, ids_crc32[, ids], sequence_id, offset. Null
     and empty texts are the end id alone (no piece without an end id). Repeated
-    rows are packed as often as they occur. Other columns of docs are left out.
+    rows are packed as often as they occur; which of equal pieces goes where is
+    decided by id, piece and ids. A text of any length is encoded whole and cut.
+    An empty table gives no rows. Other columns of docs are left out. An id whose
+    name is one of those returned comes back with `_id` after its name.
     """
+    if id_col in ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset", "rank", "__bucket", "__base", "__row"):
+        out = pack(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text")), vocabulary_path, capacity, end_id, "__id", "__text", with_ids)
+        return out.toDF(f"{id_col}_id" if id_col in out.columns else id_col, *out.columns[1:])
     held = materialise(pieces(docs, vocabulary_path, capacity, end_id, id_col, text_col, with_ids))
     counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = segments(plan_sequences(counts, capacity))
