@@ -23,6 +23,14 @@ def duck():
     return connection
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """On tables this small, generating code takes longer than all else."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+
+
 def plain(value):
     return round(float(value), 9) if isinstance(value, float | decimal.Decimal) else value
 
