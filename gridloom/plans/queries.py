@@ -144,16 +144,16 @@ def grid_color_perm(spark: SparkSession, sf: str) -> DataFrame:
     return flat_cells(order_grids(spark, sf).select("k", grids.recolor(mapping)(F.col("g")).alias("g")))
 
 
-@query("grid_round_trip", f"WITH {GRID_SQL} SELECT k, i, j, cell FROM cells")
+@query("grid_round_trip", f"WITH {GRID_SQL} SELECT k, t.name, CAST(to_json(list(cell ORDER BY i, j)) AS VARCHAR) AS cells FROM cells, (VALUES " + ", ".join(f"('{n}')" for n in PLACES) + ") AS t(name) GROUP BY k, t.name")
 def grid_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """All cells after every D4 transform with a recolouring, each followed by both inverses."""
-    out, mapping = F.col("g"), grids.literal_map(PERMUTATION)
-    rows = order_grids(spark, sf)
+    """All cells after each D4 transform with a recolouring and then both inverses: a row for each grid and transform."""
+    out, mapping, g = None, grids.literal_map(PERMUTATION), F.col("g")
     for name, turn in grids.D4.items():
         there = grids.compose(turn, grids.recolor(mapping))
         back = grids.compose(grids.recolor(grids.inverse_map(mapping)), grids.D4[grids.INVERSE_D4[name]])
-        rows = rows.select("k", back(there(out)).alias("g"))
-    return flat_cells(rows)
+        rows = order_grids(spark, sf).select("k", F.lit(name).alias("name"), F.to_json(F.flatten(back(there(g)))).alias("cells"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 @query(
