@@ -549,8 +549,8 @@ def macro_micro_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cost_audit",
-    """SELECT event_type, round(sum(coalesce(value, 0)), 4) AS total, count(*) FILTER (WHERE value > 0) AS positive, count(*) AS n, round(avg(value), 6) AS mean, max(event_id % 50 + 1.0) AS stored_mean, count(DISTINCT (user_id, event_type, event_id % 3)) AS keys,
-    round(sum(coalesce(value, 0)) / max(event_id % 50 + 1.0), 4) AS divisor FROM events GROUP BY 1""",
+    """SELECT event_type, round(sum(coalesce(value, 0)), 4) AS total, count(*) FILTER (WHERE value > 0) AS positive, count(*) AS n, round(avg(value), 6) AS mean, CAST(max(event_id % 50 + 1) AS DOUBLE) AS stored_mean, count(DISTINCT (user_id, event_type, event_id % 3)) AS keys,
+    round(sum(coalesce(value, 0)) / CAST(max(event_id % 50 + 1) AS DOUBLE), 4) AS divisor FROM events GROUP BY 1""",
 )
 def cost_audit(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").withColumns({"stored": (F.pmod("event_id", F.lit(50)) + 1).cast("double"), "third": F.pmod("event_id", F.lit(3))})
