@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .hard_negatives import hard_negatives
 from .histogram_shards import histogram_shards
 from .line_chunks import line_dedup
 from .packing import pack
@@ -17,8 +18,10 @@ from .simhash_trie import simhash_groups
 from .spaced_seeds import find_passages
 from .suffix_dedup import repeated_bytes
 from .tokens import vocabulary
+from .topk_search import top_k
 from .warc import archive_round_trip
 from .wavelet import token_shards
+from .whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,7 +84,23 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spaced_seeds, op2_suffix_array, op3_recompression, op4_best_fit_packing, op5_warc_index, op6_line_crf, op7_wavelet_tokens, op8_line_chunks, op9_simhash_trie, op10_histogram_shards)}
+def op11_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other rows of every fiftieth embedding."""
+    return top_k(table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
+
+
+def op12_pca_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding; where vec_id is divisible by 7, the label is the next one."""
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", changed), "id % 50 = 0", positives=5, negatives=3)
+
+
+def op13_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding, whitened on the four leading components."""
+    return whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_spaced_seeds, op2_suffix_array, op3_recompression, op4_best_fit_packing, op5_warc_index, op6_line_crf, op7_wavelet_tokens, op8_line_chunks, op9_simhash_trie, op10_histogram_shards, op11_columnar_topk, op12_pca_negatives, op13_lobpcg_whitening)}
 #: What SQL can express whole. The texts' own bytes, words and payloads are counted there by other means.
 SQL: dict[str, str] = {
     "op2_suffix_array": """
@@ -114,4 +133,24 @@ SQL: dict[str, str] = {
                CASE WHEN long AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN long AND page_id <> top THEN top END AS refers_to
         FROM g""",
+    "op11_columnar_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+                   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x))
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
+    "op12_pca_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+                   WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.x) = len(c.x)),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+               s.vec_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+        QUALIFY rank <= 3""",
 }
