@@ -1,17 +1,22 @@
-"""Removal of globally repeated runs of lines, cut by content-defined boundaries.
-
-A rolling hash over the hashes of the last WINDOW lines ends a chunk wherever
-it is 0 modulo MEAN, so insertions and deletions only move the boundaries near
-them and a run of lines that several texts share is cut alike in each. Chunks
-of two or more lines are counted over the corpus by a 128-bit hash. All but
-the first occurrence (least id, then earliest in the text) are removed, after
-the bytes of all chunks of one hash have been compared; should two differ, all
-is decided by the bytes themselves.
-
-Boundaries only meet from the third line of a shared run on, so chunks alone
-miss most short runs. With runs=True every two worded lines that follow each
-other are a piece of their own and are counted and compared likewise: a repeat
-is found wherever it begins, and a run is removed to both of its ends.
+"""Removal of globally repeated runs of lines, found by content-defined chunks.
+
+A text's lines are cut into chunks several times over. A rolling hash over the
+hashes of the WINDOW lines before a gap and another over those after it, both
+under the cutting's own seed, decide whether a chunk ends there, so insertions
+and deletions only move the ends near them and a run of lines that several texts
+share is cut alike in each. An end needs only one of its two sides: the run's own
+lines can decide both its first and its last end, whatever stands around it.
+Chunks have two lines or more.
+
+Chunks are counted over the corpus by a 128-bit hash. Each occurrence but the
+first (least id, then earliest in the text) is a hit. From each hit both texts are
+compared on, line by line and both ways, as far as they agree, and that whole
+run is removed from the later one. Lines are compared by 128-bit digests, and the
+bytes of all lines of one digest have been compared before anything goes; should
+two differ, all is decided by the bytes themselves.
+
+One cutting alone misses most short runs in unlike texts; see README for how many
+of all repeated runs the CUTTINGS together find.
 """
 
 from __future__ import annotations
@@ -25,54 +30,73 @@ from pyspark.sql import functions as F
 
 from .common import expanded, materialise, slices, squeezed, texts, tidy
 
-WINDOW = 3
-MEAN = 4
+WINDOW = 1
+CUTTINGS = 8
+SHARE = (7, 10)  # of the gaps, each side ends a chunk at so many
 LEAST_LINES = 2
+_WORD = (1 << 64) - 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def chunk_ends(lines: list[bytes]) -> list[int]:
-    """End line (exclusive) of each chunk of a text."""
-    from xxhash import xxh64_intdigest
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another 64-bit hash of each hash, by seed."""
+    h = (h ^ (h >> np.uint64(31))) * _ODD[0] + np.uint64(seed * int(_ODD[1]) & _WORD)
+    h = (h ^ (h >> np.uint64(29))) * _ODD[2]
+    return h ^ (h >> np.uint64(32))
+
 
-    h = np.fromiter(map(xxh64_intdigest, lines), np.uint64, len(lines))
-    rolling = np.zeros(len(h), np.uint64)
-    for back in range(WINDOW):
-        rolling[back:] += h[: len(h) - back] * _ODD[back]
-    cut = (rolling >> np.uint64(33)) % np.uint64(MEAN) == 0
-    cut[-1] = True
-    return (np.flatnonzero(cut) + 1).tolist()
-
-
-def chunks(text: bytes) -> list[tuple[int, int, bytes]]:
-    """(first line, number of lines, bytes) of each chunk; the lines are joined by newlines."""
-    lines = text.split(b"\n")
-    out, start = [], 0
-    for end in chunk_ends(lines):
-        out.append((start, end - start, b"\n".join(lines[start:end])))
-        start = end
+def _rolling(h: np.ndarray, position: np.ndarray, length: np.ndarray, ahead: bool) -> np.ndarray:
+    """Hash of the WINDOW lines up to each line, or from it on, within its own text."""
+    out = np.zeros(len(h), np.uint64)
+    for k in range(WINDOW):
+        weight = np.uint64(pow(int(_ODD[k % 3]), k // 3 + 1, 1 << 64))
+        moved = np.roll(h, -k if ahead else k)
+        inside = position + k < length if ahead else position >= k
+        out += np.where(inside, moved * weight, np.uint64(0))
     return out
 
 
-def pieces(lines: list[bytes], runs: bool) -> list[tuple[int, int]]:
-    """(first line, number of lines) of what is counted, in order of the first line.
+def chunk_ends(texts_lines: list[list[bytes]], seed: int) -> list[list[int]]:
+    """End line (exclusive) of each chunk of each text under one seed.
 
-    Chunks of two or more worded lines; with `runs` all pairs of worded lines,
-    with the wordless ones between, and those chunks that reach beyond their
-    pairs (they begin or end with a wordless line).
+    A chunk of fewer than LEAST_LINES lines goes on; only a text's last may be shorter.
     """
-    worded = [k for k, line in enumerate(lines) if line.strip()]
-    if len(worded) < LEAST_LINES:
-        return []
-    out = [(a, b + 1 - a) for a, b in zip(worded, worded[1:], strict=False)] if runs else []
-    if runs and len(worded) == len(lines):
-        return out
-    has, start = set(worded), 0
-    for end in chunk_ends(lines):
-        if sum(k in has for k in range(start, end)) >= LEAST_LINES and not (runs and start in has and end - 1 in has):
-            out.append((start, end - start))
-        start = end
-    return sorted(out)
+    from xxhash import xxh64_intdigest
+
+    lengths = np.fromiter(map(len, texts_lines), np.int64, len(texts_lines))
+    total = int(lengths.sum())
+    h = np.fromiter((xxh64_intdigest(line) for lines in texts_lines for line in lines), np.uint64, total)
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    position, length = np.arange(total) - first, np.repeat(lengths, lengths)
+    part, of = np.uint64(SHARE[0]), np.uint64(SHARE[1])
+    says = [(_mixed(_rolling(h, position, length, ahead), 2 * seed + ahead) >> np.uint64(8)) % of < part for ahead in (False, True)]
+    # line k ends a chunk if the lines up to it say so, or those from the next one on
+    cut = says[0] | np.append(says[1][1:], True) if total else says[0]
+    cut[position + 1 == length] = True
+    out: list[list[int]] = []
+    start = 0
+    for n in lengths.tolist():
+        ends, last = [], 0
+        for at in (np.flatnonzero(cut[start : start + n]) + 1).tolist():
+            if at - last >= LEAST_LINES or at == n:
+                ends.append(at)
+                last = at
+        out.append(ends)
+        start += n
+    return out
+
+
+def pieces(texts_lines: list[list[bytes]]) -> list[list[tuple[int, int]]]:
+    """For each text (first line, end line) of its chunks of all cuttings, each once, that hold two or more worded lines."""
+    found: list[set[tuple[int, int]]] = [set() for _ in texts_lines]
+    for seed in range(CUTTINGS):
+        for own, ends in zip(found, chunk_ends(texts_lines, seed), strict=True):
+            own.update(zip([0, *ends], ends, strict=False))
+    out = []
+    for lines, own in zip(texts_lines, found, strict=True):
+        before = np.cumsum([0, *(bool(line.strip()) for line in lines)])
+        out.append(sorted((a, e) for a, e in own if e - a >= LEAST_LINES and before[e] - before[a] >= LEAST_LINES))
+    return out
 
 
 Digest = Callable[[bytes], bytes]
@@ -88,88 +112,154 @@ def _itself(body: bytes) -> bytes:
     return body
 
 
-def _planned(docs: DataFrame, text_col: str, runs: bool, digest: Digest) -> DataFrame:
-    """docs (with __key; texts packed) and two lists of numbers of pieces: __gone, repeats of an earlier piece, and __firsts, which others repeat.
+def line_mark(line: bytes, digest: Digest) -> bytes:
+    """A line's digest, with a first byte that tells whether it holds a word."""
+    return (b"\1" if line.strip() else b"\0") + digest(line)
+
+
+def grown(later: list[bytes], earlier: list[bytes], hits: list[tuple[int, int, int]], same: bool) -> list[tuple[int, int, int]]:
+    """(first line, end line, shift) of the whole runs around hits (shift, first line, end line); lines are marks.
+
+    Line k of later stands against line k - shift of earlier. A run begins and ends
+    with a worded line, unless its hit does not. In one text (same) a hit that
+    overlaps its first occurrence is none, and a run stops before it would. A hit
+    whose lines don't agree is returned as (-1, -1, shift).
+    """
+    out: list[tuple[int, int, int]] = []
+    for shift, first, end in sorted(hits):
+        if same and end - first > shift:
+            continue
+        if out and out[-1][2] == shift and out[-1][0] <= first and end <= out[-1][1]:
+            continue
+        if later[first:end] != earlier[first - shift : end - shift]:
+            out.append((-1, -1, shift))
+            continue
+        a, e = first, end
+        fits = lambda: not same or e - a < shift  # noqa: B023, E731
+        while a > 0 and a > shift and fits() and later[a - 1] == earlier[a - 1 - shift]:
+            a -= 1
+        while e < len(later) and e - shift < len(earlier) and fits() and later[e] == earlier[e - shift]:
+            e += 1
+        while a < first and later[a][:1] == b"\0":
+            a += 1
+        while e > end and later[e - 1][:1] == b"\0":
+            e -= 1
+        out.append((a, e, shift))
+    return out
+
+
+def _planned(docs: DataFrame, text_col: str, digest: Digest) -> DataFrame:
+    """docs (with __key; texts packed) and two lists of runs of lines: __gone, to be removed, and __firsts, what they repeat.
 
-    Both are null where a text shares no piece.
+    Both are null where a text shares no chunk.
     """
     kind = docs.schema["__key"].dataType.simpleString()
+    bodies = docs.select("__key", F.col(f"`{text_col}`"))
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, stop in slices(b.column(1)):
-                at, numbers, hashes = [], [], []
-                for k, t in enumerate(texts(b.column(1), start, stop), start):
-                    if b"\n" in t:
-                        lines = t.split(b"\n")
-                        for number, (first, n) in enumerate(pieces(lines, runs)):
-                            at.append(k)
-                            numbers.append(number)
-                            hashes.append(digest(b"\n".join(lines[first : first + n])))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary())], names=["id", "number", "hash"])
-
-    found = materialise(docs.select("__key", F.col(f"`{text_col}`")).mapInArrow(cut, f"id {kind}, number int, hash binary"))
+                several = [(k, t.split(b"\n")) for k, t in enumerate(texts(b.column(1), start, stop), start) if b"\n" in t]
+                at, firsts, ends, hashes = [], [], [], []
+                for (k, lines), own in zip(several, pieces([lines for _, lines in several]), strict=True):
+                    at += [k] * len(own)
+                    for first, end in own:
+                        firsts.append(first)
+                        ends.append(end)
+                        hashes.append(digest(b"\n".join(lines[first:end])))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(firsts, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes, pa.binary())], names=["id", "line", "until", "hash"])
+
+    @tidy
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, stop in slices(b.column(1)):
+                found = [[line_mark(x, digest) for x in t.split(b"\n")] if b"\n" in t else None for t in texts(b.column(1), start, stop)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), pa.array(found, pa.list_(pa.binary()))], names=["name", "marks"])
+
+    found = materialise(bodies.mapInArrow(cut, f"id {kind}, line int, until int, hash binary"))
     again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    shared = materialise(found.join(again, "hash").select("id", "number", "hash"))
-    place = F.struct("id", "number")
-    firsts = shared.groupBy("hash").agg(F.min(place).alias("first"))
-    marked = shared.join(firsts, "hash").select("id", "number", (F.col("first") == place).alias("first"))
-    numbers = lambda keep: F.collect_set(F.when(keep, F.col("number")))
-    plan = marked.groupBy("id").agg(numbers(~F.col("first")).alias("__gone"), numbers(F.col("first")).alias("__firsts"))
-    return materialise(squeezed(docs, text_col).join(plan.withColumnRenamed("id", "__id"), F.col("__key") == F.col("__id"), "left").drop("__id"))
+    shared = materialise(found.join(again, "hash"))
+    firsts = shared.groupBy("hash").agg(F.min(F.struct("id", "line")).alias("first"))
+    hits = shared.join(firsts, "hash").where(F.struct("id", "line") != F.col("first"))
+    shift = F.col("line") - F.col("first.line")
+    pairs = materialise(hits.groupBy("id", F.col("first.id").alias("fid")).agg(F.collect_set(F.struct(shift.alias("shift"), "line", "until")).alias("hits")))
+    named = pairs.select("id").union(pairs.select("fid")).distinct()
+    lines = bodies.mapInArrow(marks, f"name {kind}, marks array<binary>").where("marks is not null").join(named, F.col("name") == F.col("id"), "left_semi")
+    lines = materialise(lines.groupBy("name").agg(F.first("marks").alias("marks")))  # rows that repeat an id and its text have the same marks
+    sides = pairs.join(lines.select(F.col("name").alias("id"), F.col("marks").alias("later")), "id").join(lines.select(F.col("name").alias("fid"), F.col("marks").alias("earlier")), "fid")
+
+    @tidy
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                later, earlier, own = (b.column(c)[k].as_py() for c in (2, 3, 4))
+                runs = grown(later, earlier, [(h["shift"], h["line"], h["until"]) for h in own], b.column(0)[k] == b.column(1)[k])
+                places = [(a, e) for a, e, _ in runs] + [(a - s, e - s) for a, e, s in runs if a >= 0]
+                ids = pa.concat_arrays([b.column(0).take(pa.array([k] * len(runs), pa.int64())), b.column(1).take(pa.array([k] * (len(places) - len(runs)), pa.int64()))])
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([a for a, _ in places], pa.int32()), pa.array([e for _, e in places], pa.int32()), pa.array([i < len(runs) for i in range(len(places))])],
+                    names=["id", "line", "until", "gone"],
+                )
+
+    runs = sides.select("id", "fid", "later", "earlier", "hits").mapInArrow(grow, f"id {kind}, line int, until int, gone boolean")
+    listed = lambda keep: F.collect_set(F.when(keep, F.struct("line", "until")))
+    plan = runs.groupBy(F.col("id").alias("__id")).agg(listed(F.col("gone")).alias("__gone"), listed(~F.col("gone")).alias("__firsts"))
+    return materialise(squeezed(docs, text_col).join(plan, F.col("__key") == F.col("__id"), "left").drop("__id"))
 
 
-def _unlike(planned: DataFrame, text_col: str, runs: bool, digest: Digest) -> bool:
-    """Whether two shared pieces have one digest and different bytes."""
+def _unlike(planned: DataFrame, text_col: str, digest: Digest) -> bool:
+    """Whether two chunks or two lines have one digest and different bytes."""
 
     @tidy
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, _, found in expanded(b.column(0)):
-                out: set[bytes] = set()  # equal pieces of a slice are one
+                out: set[bytes] = set()  # equal lines of a slice are one
                 for k, t in enumerate(found, start):
                     lines = t.split(b"\n")
-                    cuts = pieces(lines, runs)
-                    for number in (*b.column(1)[k].as_py(), *b.column(2)[k].as_py()):
-                        first, n = cuts[number]
-                        out.add(b"\n".join(lines[first : first + n]))
+                    for run in (*b.column(1)[k].as_py(), *b.column(2)[k].as_py()):
+                        if run["line"] >= 0:
+                            out.update(lines[run["line"] : run["until"]])
                 body = list(out)
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in body], pa.binary()), pa.array(body, pa.binary())], names=["hash", "body"])
 
-    found = planned.where("__gone is not null").select(F.col(f"`{text_col}`"), "__gone", "__firsts").mapInArrow(bodies, "hash binary, body binary")
+    at_fault = planned.where(F.exists("__gone", lambda r: r["line"] < 0)).limit(1)
+    if not at_fault.isEmpty():
+        return True
+    found = planned.where("__gone is not null").select(F.col(f"`{text_col}`"), "__gone", "__firsts").mapInArrow(marked, "hash binary, body binary")
     return not found.groupBy("hash").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").isEmpty()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False, digest: Digest = _digest) -> DataFrame:
-    """docs with `text_col` rid of repeated chunks, and n_lines, n_removed_lines, n_removed_chunks.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Digest = _digest) -> DataFrame:
+    """docs with `text_col` rid of repeated runs of lines, and n_lines, n_removed_lines, n_removed_chunks.
 
-    With `runs` all repeated runs of two or more worded lines go, and
-    n_removed_chunks counts the stretches of removed lines. A pair that overlaps
-    its own first occurrence stays; each removed line is still there at an
-    earlier place. Without it only whole chunks go.
+    n_removed_chunks counts the stretches of removed lines. Each removed line is
+    still there at an earlier place. Runs with fewer than two lines that hold a
+    word are never removed, nor is any run's first occurrence, nor one that
+    overlaps it.
 
-    Chunks of one line, or with fewer than two lines that hold a word, are never
-    removed, nor is any text's first occurrence. Null and empty texts stay as
-    they are; an empty table gives an empty one. A text may be of any length: it
-    is one row in each step. Rows are told apart by id and text, so ids may
-    repeat or be null; rows that repeat an id and its text are one document and
-    keep the same lines. Null ids come before all others. The three added
-    columns replace columns of docs of those names; columns whose names begin
-    with two underscores must not be `__key`, `__id`, `__gone` or `__firsts`.
+    Null and empty texts stay as they are; an empty table gives an empty one. A
+    text may be of any length: it is one row in each step. Rows are told apart by id
+    and text, so ids may repeat or be null; rows that repeat an id and its text
+    are one document and keep the same lines. Null ids come before all others. The
+    three added columns replace columns of docs of those names; columns whose
+    names begin with two underscores must not be `__key`, `__id`, `__gone` or
+    `__firsts`.
 
-    A chunk's rows are counted with partial sums and then marked by skew joins,
-    so a run of lines that a third of all texts share is dealt over tasks. Should
-    two unlike chunks have one 128-bit digest, all is done anew with the chunks'
+    A chunk's rows are counted with partial sums and then marked by skew joins, so
+    a run of lines that a third of all texts share is dealt over tasks. A pair of
+    texts is compared once, each later text with the first of a chunk only.
+    Should two unlike lines have one 128-bit digest, all is done anew with the
     bytes in its place.
     """
     docs = docs.drop("n_lines", "n_removed_lines", "n_removed_chunks")
     names = docs.columns
     text, own = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     keyed = docs.withColumn("__key", F.struct(own.isNotNull().alias("named"), own.alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("text")))
-    ready = _planned(keyed, text_col, runs, digest)
-    if _unlike(ready, text_col, runs, digest):
-        ready = _planned(keyed, text_col, runs, _itself)
+    ready = _planned(keyed, text_col, digest)
+    if _unlike(ready, text_col, digest):
+        ready = _planned(keyed, text_col, _itself)
     at_text = names.index(text_col)
 
     @tidy
@@ -185,19 +275,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         counts[0, k] = t.count(b"\n") + 1
                         if gone:
                             lines = t.split(b"\n")
-                            cuts = pieces(lines, runs)
-                            body = lambda p: b"\n".join(lines[p[0] : p[0] + p[1]])  # noqa: B023, E731
-                            until = {body(cuts[g]): sum(cuts[g]) for g in b.column(len(names) + 1)[start + k].as_py()}
                             keep = np.ones(len(lines) + 1, bool)
-                            for g in gone:
-                                if cuts[g][0] >= until.get(body(cuts[g]), 0):
-                                    keep[cuts[g][0] : sum(cuts[g])] = False
+                            for run in gone:
+                                keep[run["line"] : run["until"]] = False
                             counts[1, k] = (~keep).sum()
-                            counts[2, k] = (keep[1:] & ~keep[:-1]).sum() if runs else len(gone)
+                            counts[2, k] = (keep[1:] & ~keep[:-1]).sum()
                             t = b"\n".join(line for line, kept in zip(lines, keep, strict=False) if kept)
                     out.append(t)
                 columns = [pa.array(out, pa.binary()).cast(pa.string()) if c == at_text else b.column(c).slice(start, n) for c in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(c) for c in counts], names=[*names, "n_lines", "n_removed_lines", "n_removed_chunks"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return ready.select(*[F.col(f"`{c}`") for c in names], "__gone", "__firsts").mapInArrow(drop, f"{kinds}, n_lines long, n_removed_lines long, n_removed_chunks long")
+    return ready.select(*[F.col(f"`{c}`") for c in names], "__gone").mapInArrow(drop, f"{kinds}, n_lines long, n_removed_lines long, n_removed_chunks long")

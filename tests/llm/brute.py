@@ -51,3 +51,65 @@ def least_reachable(n, near):
                 if label[j] < label[i] and near(i, j):
                     label[i], changed = label[j], True
     return label
+
+
+def line_cuts(lines, seed):
+    """(first line, end line) of each chunk of a text's lines under one seed, counted with plain numbers."""
+    from xxhash import xxh64_intdigest
+
+    word = (1 << 64) - 1
+    odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+    def says(line, number):
+        h = xxh64_intdigest(line) * odd[0] & word
+        h = ((h ^ h >> 31) * odd[0] + number * odd[1]) & word
+        h = (h ^ h >> 29) * odd[2] & word
+        return ((h ^ h >> 32) >> 8) % 10 < 7
+
+    out, start = [], 0
+    for k in range(1, len(lines) + 1):
+        if k == len(lines) or k - start >= 2 and (says(lines[k - 1], 2 * seed) or says(lines[k], 2 * seed + 1)):
+            out.append((start, k))
+            start = k
+    return out
+
+
+def line_runs(rows, cuttings=8):
+    """(id, text, lines removed, stretches removed) by the rule of line chunks; a row's place is (id, text)."""
+    place = lambda d, t: (d is not None, d if d is not None else 0, hashlib.md5(t).digest())
+    held, firsts, chunks = {}, {}, {}
+    for d, t in rows:
+        body = (t or "").encode()
+        held[place(d, body)] = body.split(b"\n")
+    worded = lambda part: sum(bool(x.strip()) for x in part) > 1
+    for p, lines in held.items():
+        chunks[p] = {c for seed in range(cuttings) for c in line_cuts(lines, seed) if c[1] - c[0] > 1 and worded(lines[c[0] : c[1]])}
+        for a, e in chunks[p]:
+            key = tuple(lines[a:e])
+            firsts[key] = min((p, a), firsts.get(key, (p, a)))
+    gone = {}
+    for p, lines in held.items():
+        keep = [True] * len(lines)
+        for a, e in chunks[p]:
+            q, b = firsts[tuple(lines[a:e])]
+            if (q, b) == (p, a) or (q == p and b + e - a > a):
+                continue
+            other, shift, i, j = held[q], a - b, a, e
+            room = lambda: q != p or j - i < shift  # noqa: B023, E731
+            while min(i, i - shift) > 0 and room() and lines[i - 1] == other[i - 1 - shift]:
+                i -= 1
+            while j < len(lines) and j - shift < len(other) and room() and lines[j] == other[j - shift]:
+                j += 1
+            while i < a and not lines[i].strip():
+                i += 1
+            while j > e and not lines[j - 1].strip():
+                j -= 1
+            keep[i:j] = [False] * (j - i)
+        gone[p] = keep
+    out = []
+    for d, t in rows:
+        body = (t or "").encode()
+        keep = gone[place(d, body)]
+        text = b"\n".join(x for x, k in zip(held[place(d, body)], keep, strict=True) if k).decode()
+        out.append((d, t if t is None else text, keep.count(False), sum(not k and (i == 0 or keep[i - 1]) for i, k in enumerate(keep))))
+    return out

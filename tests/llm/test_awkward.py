@@ -44,7 +44,7 @@ OPERATORS = {
     "op4": lambda d: packing.pack(d, tokens.vocabulary("word_bpe_49k.json"), capacity=64).drop("sequence_id", "offset"),
     "op6": lambda d: quality_crf.quality(d, None),
     "op7": lambda d: wavelet.token_shards(d, tokens.vocabulary("byte_bpe_50k.json"), 2).drop("shard", "place"),
-    "op8": lambda d: line_chunks.line_dedup(d, runs=True).select("doc_id", "text", "n_removed_lines", "n_removed_chunks"),
+    "op8": lambda d: line_chunks.line_dedup(d).select("doc_id", "text", "n_removed_lines", "n_removed_chunks"),
     "op9": simhash_trie.simhash_groups,
     "links": shingle_links.shingle_links,
 }
@@ -103,7 +103,7 @@ def test_texts_of_many_megabytes(spark):
     lengths = {r["doc_id"]: r["n_tokens"] for r in wavelet.token_shards(docs, tokens.vocabulary("byte_bpe_50k.json")).collect()}
     assert all(r["top"] <= 2048 for r in pieces) and lengths[1] > 1_600_000 and lengths[3] == 1
     assert {r["doc_id"]: r["kept"] for r in quality_crf.quality(docs, None).collect()} == {1: True, 2: True, 3: False}
-    kept = {r["doc_id"]: r["n_removed_lines"] for r in line_chunks.line_dedup(docs.unionByName(docs.select((F.col("doc_id") + 10).alias("doc_id"), "text")), runs=True).collect()}
+    kept = {r["doc_id"]: r["n_removed_lines"] for r in line_chunks.line_dedup(docs.unionByName(docs.select((F.col("doc_id") + 10).alias("doc_id"), "text"))).collect()}
     assert kept == {1: 0, 2: 0, 3: 0, 11: 2, 12: 2, 13: 0}
     classes = {r["doc_id"]: r["component_id"] for r in simhash_trie.simhash_groups(docs).collect()}
     assert classes[1] == 1 and classes[3] == 3
@@ -156,8 +156,8 @@ def test_a_gram_that_many_texts_share_with_unlike_surroundings(spark):
 def test_line_pieces_are_compared_by_bytes_where_digests_collide(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     key = lambda r: repr(tuple(r))
-    plain = sorted(map(key, line_chunks.line_dedup(docs, runs=True).collect()))
-    weak = line_chunks.line_dedup(docs, runs=True, digest=lambda body: bytes([len(body) % 3]))
+    plain = sorted(map(key, line_chunks.line_dedup(docs).collect()))
+    weak = line_chunks.line_dedup(docs, digest=lambda body: bytes([len(body) % 3]))
     assert sorted(map(key, weak.collect())) == plain
 
 

@@ -1,3 +1,5 @@
+import hashlib
+import os
 import random
 
 import numpy as np
@@ -5,8 +7,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from gridloom.llm import line_chunks
 from gridloom.llm.gsaca import suffix_array
-from gridloom.llm.line_chunks import chunks, line_dedup
+from gridloom.llm.line_chunks import CUTTINGS, chunk_ends, line_dedup, pieces
+from gridloom.llm.queries import QUERIES
 from gridloom.llm.recompression import repeated_windows
 from gridloom.llm.suffix_dedup import repeated_bytes
 
@@ -63,35 +67,55 @@ def test_dedup_of_empty_tables_and_clashing_columns(spark):
     assert line_dedup(clash).columns == ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"]
 
 
+def by_rule(rows):
+    return sorted(brute.line_runs(rows), key=repr)
+
+
+def removed(found):
+    return sorted(((r["doc_id"], r["text"], r["n_removed_lines"], r["n_removed_chunks"]) for r in found.collect()), key=repr)
+
+
 def test_line_chunks(spark):
     rng = random.Random(4)
     line = lambda: " ".join(rng.choice("abcdefgh") * 4 for _ in range(6))
     shared = [line() for _ in range(30)]
     rows = [(d, "\n".join([line() for _ in range(d % 7)] + shared[d % 5 :] + [line() for _ in range(3)])) for d in range(40)]
     rows += [(None, rows[3][1]), (70, None), (71, ""), (72, "\n\n\n"), (73, "one line"), (73, "one line"), (74, "\n\n\n")]
-    got = line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    seen = {}
-    ordered = sorted(((d, t) for d, t in rows if t), key=lambda r: (r[0] is not None, r[0] or 0))
-    for d, t in ordered:
-        for number, (_, n, body) in enumerate(chunks(t.encode())):
-            if n > 1 and sum(bool(x.strip()) for x in body.split(b"\n")) > 1:
-                seen.setdefault(body, (d, number))
-    expected = []
-    for d, t in rows:
-        if not t:
-            expected.append((d, t))
-            continue
-        kept = [b for number, (_, _, b) in enumerate(chunks(t.encode())) if seen.get(b, (d, number)) == (d, number)]
-        expected.append((d, b"\n".join(kept).decode()))
-    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
-    assert sorted(((r["doc_id"], r["text"]) for r in got), key=key) == sorted(expected, key=key)
-    assert sum(r["n_removed_lines"] for r in got) > 300
-
-
-def test_a_copied_text_loses_all_its_repeated_chunks(spark):
+    got = removed(line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)))
+    assert got == by_rule(rows)
+    assert sum(r[2] for r in got) > 900
+
+
+def test_a_copied_text_loses_all_its_lines(spark):
     text = "\n".join(f"line {k} of a longer text" for k in range(40))
     got = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame([(1, text), (2, text)], SCHEMA)).collect()}
-    assert got[1]["text"] == text and got[2]["n_removed_lines"] >= 30
+    assert got[1]["text"] == text and got[2]["n_removed_lines"] == 40
+
+
+def test_chunks_are_cut_by_the_lines_alone():
+    """The operator's cutting is the plain one, and lines put before or after a text move no far ends."""
+    rng = random.Random(11)
+    texts = [[bytes(rng.choices(b"abc ", k=rng.randrange(9))) for _ in range(rng.randrange(1, 60))] for _ in range(40)]
+    for seed in range(CUTTINGS):
+        for lines, ends in zip(texts, chunk_ends(texts, seed), strict=True):
+            assert [e for _, e in brute.line_cuts(lines, seed)] == ends
+    assert any(len(own) > 8 for own in pieces(texts))
+    long = [b"line %d" % k for k in range(200)]
+    for seed in range(CUTTINGS):
+        before, after = chunk_ends([long, [b"x", *long, b"y"]], seed)
+        assert {e + 1 for e in before if 60 < e < 190} == {e for e in after if 61 < e < 191}
+
+
+def test_chunks_decide(monkeypatch):
+    """Texts whose lines all hold words are cut by chunk_ends, once for each cutting, and by nothing else."""
+    seen = []
+
+    def whole(texts_lines, seed):
+        seen.append(seed)
+        return [[len(lines)] for lines in texts_lines]
+
+    monkeypatch.setattr(line_chunks, "chunk_ends", whole)
+    assert line_chunks.pieces([[b"a b", b"c d", b"e f"]]) == [[(0, 3)]] and len(seen) == CUTTINGS
 
 
 def plain_runs(rows):
@@ -109,18 +133,30 @@ def plain_runs(rows):
     return out
 
 
-def test_short_runs_in_unlike_texts_are_removed_whole(spark):
+def test_short_runs_in_unlike_texts(spark):
     rng = random.Random(9)
     line = lambda: " ".join(rng.choice("abcdefgh") * 4 for _ in range(6))
     shared = [[line() for _ in range(n)] for n in (2, 3, 4, 5, 8)]
     rows = [(d, "\n".join([line() for _ in range(1 + d % 3)] + shared[d % 5] + [line() for _ in range(2)])) for d in range(40)]
     rows += [(50, "x y\n" * 5 + "z"), (51, "p q\nx y\nx y\nr s"), (52, None), (53, ""), (54, "one line")]
-    got = line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), runs=True).collect()
-    assert sorted(((r["doc_id"], r["text"]) for r in got), key=lambda r: r[0]) == plain_runs(rows)
-    assert sum(r["n_removed_lines"] for r in got if r["doc_id"] < 40) == 7 * 22
-    assert all(r["n_removed_chunks"] == (r["doc_id"] >= 5) for r in got if r["doc_id"] < 40)
-    chunked = line_dedup(spark.createDataFrame(rows, SCHEMA)).agg({"n_removed_lines": "sum"}).first()[0]
-    assert chunked < 7 * 22
+    got = removed(line_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)))
+    assert got == by_rule(rows)
+    whole = {d: t for d, t in plain_runs(rows)}
+    gone = sum(n for d, _, n, _ in got if d < 40)
+    assert gone >= 0.9 * 7 * 22 and all(len(t or "") >= len(whole[d] or "") for d, t, _, _ in got if d < 40)
     blank = [(1, "\n\na b\nc d\n\n"), (2, "e f\n\na b\nc d\n\ng h"), (3, "\n\na b\nc d\n\n")]
-    short = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(blank, SCHEMA), runs=True).collect()}
-    assert all("a b" not in short[d] and "c d" not in short[d] for d in (2, 3)) and short[1] == blank[0][1]
+    assert removed(line_dedup(spark.createDataFrame(blank, SCHEMA))) == by_rule(blank)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test tables are not here")
+def test_the_query_against_the_rule_and_all_repeated_runs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted(map(tuple, docs.collect()))
+    expected = {d: ((t or "").count("\n") + 1 if t is not None else 0, n, parts, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, n, parts in brute.line_runs(rows)}
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed_lines"], r["n_removed_chunks"], r["kept_sha256"]) for r in QUERIES["op8_line_chunks"](spark, "/root/testdata/sf0.01").collect()}
+    assert {d: g[1:] for d, g in got.items()} == {d: e[1:] for d, e in expected.items()}
+    source = {d: t for d, t in rows}
+    assert all(g[0] == (source[d].count("\n") + 1 if source[d] is not None else 0) for d, g in got.items())
+    lines = lambda t: (t or "").count("\n") + 1 if t else 0
+    brute_gone = sum(lines(source[d]) - lines(t) for d, t in plain_runs(rows))
+    assert sum(g[1] for g in got.values()) >= 0.9 * brute_gone
