@@ -38,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     names = docs.columns
     others = F.struct(*[c for c in names if c != "text"])
-    out = line_dedup(docs.select(others.alias("__document"), "doc_id", "text"), runs=True)
+    out = line_dedup(docs.select(others.alias("__document"), "doc_id", "text"))
     shorter = F.col("n_removed_lines") > 0
     kept = out.where(~shorter | F.col("text").rlike(HAS_WORD))
     fresh = {"text": F.col("text"), "n_chars": F.when(shorter, F.char_length("text")).otherwise(F.col("__document.n_chars")).cast("long")}
