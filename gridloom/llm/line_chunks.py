@@ -198,7 +198,7 @@ def _planned(docs: DataFrame, text_col: str, digest: Digest) -> DataFrame:
                 places = [(a, e) for a, e, _ in runs] + [(a - s, e - s) for a, e, s in runs if a >= 0]
                 ids = pa.concat_arrays([b.column(0).take(pa.array([k] * len(runs), pa.int64())), b.column(1).take(pa.array([k] * (len(places) - len(runs)), pa.int64()))])
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([a for a, _ in places], pa.int32()), pa.array([e for _, e in places], pa.int32()), pa.array([i < len(runs) for i in range(len(places))])],
+                    [ids, pa.array([a for a, _ in places], pa.int32()), pa.array([e for _, e in places], pa.int32()), pa.array([i < len(runs) for i in range(len(places))], pa.bool_())],
                     names=["id", "line", "until", "gone"],
                 )
 
