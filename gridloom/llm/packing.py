@@ -3,20 +3,18 @@
 All decisions are made on the histogram of piece lengths, which has at most
 `capacity` rows whatever the size of the corpus:
 
-1. lengths above a share of the capacity are large. Ordered by length they are
+1. lengths above a third of the capacity are large. Ordered by length they are
    cut into groups of equal cardinality, and each is rounded up to the largest
    of its group, which leaves few sizes;
-2. the configurations (multisets of sizes that fit) are optimised as a
-   cutting-stock programme by column generation: a simplex basis over
-   configurations, priced by a knapsack over the sizes;
+2. the configurations (multisets of sizes that fit) are optimised by column
+   generation: a simplex basis over configurations, priced by a knapsack over the
+   sizes. A configuration costs its sequence and what will be lost of the room it
+   leaves: as much of it as small lengths that exceed the room have of all
+   small tokens. So room is left for small lengths to fill, or none;
 3. each configuration's rounded items are replaced by actual lengths of their
    groups;
 4. small lengths go, largest first, into the sequence with the least room that
-   still holds them; new sequences are opened when none does;
-5. this is done for each share of SHARES, the scheme's own parameter: a lower
-   one leaves more to the configurations, a higher one more to the fit. The plan
-   with the fewest sequences is taken, the first that reaches the bound (all
-   lengths over the capacity) at once.
+   still holds them; new sequences are opened when none does.
 
 The plan is a list of segments: the k-th to l-th pieces of a length go to a run
 of sequences at an offset. Pieces find their segment by their rank among the
@@ -37,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, spread, texts, tidy
 from .tokens import encoder, with_end
 
-SHARES = (0.25, 0.35, 0.5)
-GROUPS = 72
+SHARE = 1 / 3
+GROUPS = 480
+SEQUENCE_COST = 0.2  # of a configuration beside the share of its sequence that is lost
 BUCKET_ROWS = 50_000
 
 
@@ -61,50 +60,62 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
     return out
 
 
-def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Multiset of sizes of the greatest worth that fits."""
-    best = np.zeros(capacity + 1)
+def _best_configuration(sizes: np.ndarray, worth: np.ndarray, cost: np.ndarray) -> tuple[float, np.ndarray]:
+    """Multiset of sizes with the most worth beyond its cost, which depends on the room that it leaves."""
+    capacity = len(cost) - 1
+    best = np.full(capacity + 1, -np.inf)  # by exact sum of the sizes
+    best[0] = 0
     taken = []
     for _ in range(capacity // int(sizes.min())):
-        options = np.full((len(sizes), capacity + 1), -1.0)
-        for g, s in enumerate(sizes):
-            options[g, s:] = best[: capacity + 1 - s] + worth[g]
-        choice = options.argmax(axis=0)
-        value = options[choice, np.arange(capacity + 1)]
-        better = value > best + 1e-12
-        choice[~better] = -1
+        value, choice = best.copy(), np.full(capacity + 1, -1)
+        for g, s in enumerate(sizes.tolist()):
+            option = best[: capacity + 1 - s] + worth[g]
+            better = option > value[s:] + 1e-12
+            value[s:][better] = option[better]
+            choice[s:][better] = g
         taken.append(choice)
-        if not better.any():
+        if (choice < 0).all():
             break
-        best = np.where(better, value, best)
-    config, room = np.zeros(len(sizes), np.int64), capacity
+        best = value
+    gain = best[1:] - cost[capacity - np.arange(1, capacity + 1)]
+    used = int(gain.argmax()) + 1
+    top, config = float(gain[used - 1]), np.zeros(len(sizes), np.int64)
     for choice in reversed(taken):
-        if choice[room] >= 0:
-            config[choice[room]] += 1
-            room -= int(sizes[choice[room]])
-    return float(worth @ config), config
+        if choice[used] >= 0:
+            config[choice[used]] += 1
+            used -= int(sizes[choice[used]])
+    return top, config
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how often each is used; together they hold the demand of every size."""
-    k = len(sizes)
+def configurations(sizes: np.ndarray, demand: np.ndarray, cost: np.ndarray, rounds: int = 5000) -> list[tuple[np.ndarray, int]]:
+    """Configurations and how often each is used; together they hold the demand of every size.
+
+    cost: of a configuration, by the room that it leaves, from none to the whole capacity.
+    """
+    capacity, k = len(cost) - 1, len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
-    for _ in range(rounds):
-        worth = np.linalg.solve(basis.T, np.ones(k))
-        value, column = _best_configuration(sizes, worth, capacity)
-        if value <= 1 + 1e-9:
+    price = cost[capacity - sizes * (capacity // sizes)]
+    inverse = np.linalg.inv(basis)
+    for turn in range(1, rounds):
+        gain, column = _best_configuration(sizes, price @ inverse, cost)
+        if gain <= 1e-9:
             break
-        amount, step = np.linalg.solve(basis, demand.astype(float)), np.linalg.solve(basis, column.astype(float))
+        amount, step = inverse @ demand, inverse @ column
         ratio = np.where(step > 1e-9, np.maximum(amount, 0) / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
+        out = int(ratio.argmin())
+        basis[:, out], price[out] = column, cost[capacity - int(column @ sizes)]
+        row = inverse[out] / step[out]
+        inverse = np.linalg.inv(basis) if turn % 64 == 0 else inverse - np.outer(step, row)
+        if turn % 64:
+            inverse[out] = row
     amount = np.floor(np.maximum(np.linalg.solve(basis, demand.astype(float)), 0) + 1e-6).astype(np.int64)
-    out, left = [], demand.astype(np.int64).copy()
+    found, left = [], demand.astype(np.int64).copy()
     for j in np.argsort(-amount, kind="stable"):
         config = np.rint(basis[:, j]).astype(np.int64)
         uses = config > 0
         n = min(int(amount[j]), int((left[uses] // config[uses]).min()))
         if n:
-            out.append((config, n))
+            found.append((config, n))
             left -= n * config
     while left.any():  # a few items: what the rounding down has left
         config, room = np.zeros(k, np.int64), capacity
@@ -112,9 +123,9 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
             config[g] = min(int(left[g]), room // int(sizes[g]))
             room -= int(config[g] * sizes[g])
         n = int((left[config > 0] // config[config > 0]).min())
-        out.append((config, n))
+        found.append((config, n))
         left -= n * config
-    return out
+    return found
 
 
 Bins = dict[int, list[tuple[list[int], int]]]
@@ -150,48 +161,52 @@ def best_fit(counts: dict[int, int], bins: Bins, capacity: int) -> None:
             put(capacity - left % per * s, [s] * (left % per), 1)
 
 
-def grouped_plan(counts: dict[int, int], capacity: int, share: float) -> list[tuple[list[int], int]]:
-    """Sequences as (lengths in order, how many such sequences): lengths above the share by linear grouping, the others by best fit."""
-    large = {x: n for x, n in counts.items() if capacity * share < x < capacity and n}
-    small = {x: n for x, n in counts.items() if 0 < x <= capacity * share and n}
-    bins: Bins = {}
-    if large:
-        merged: dict[int, list[list[int]]] = {}
-        for group in linear_groups(large, GROUPS):
-            merged.setdefault(group[0][0], []).extend(group)
-        kinds = np.array(sorted(merged), np.int64)
-        demand = np.array([sum(n for _, n in merged[int(k)]) for k in kinds], np.int64)
-        for config, times in configurations(kinds, demand, capacity):
-            slots = [int(k) for k in np.repeat(kinds, config)[::-1]]
-            uses = {k: slots.count(k) for k in slots}
-            while times:
-                # each slot reads on in its group's runs; a chunk ends with the first run that ends
-                chunk = min([times, *(max(1, merged[k][0][1] // m) for k, m in uses.items())])
-                items = []
-                for k in slots:
-                    run = merged[k][0]
-                    items.append(run[0])
-                    run[1] -= chunk
-                    if not run[1]:
-                        merged[k].pop(0)
-                bins.setdefault(capacity - sum(items), []).append((items, chunk))
-                times -= chunk
-    best_fit(small, bins, capacity)
-    return [x for room in sorted(bins) for x in bins[room]]
+def room_cost(small: dict[int, int], capacity: int) -> np.ndarray:
+    """Cost of a configuration by the room that it leaves: its sequence, and the share of the room that small lengths are too long for."""
+    mass = np.zeros(capacity + 1)
+    for x, n in small.items():
+        mass[x] = x * n
+    longer = 1 - np.cumsum(mass) / mass.sum() if small else np.ones(capacity + 1)
+    return SEQUENCE_COST + np.arange(capacity + 1) * np.maximum(longer, 0) / capacity
+
+
+def grouped(large: dict[int, int], cost: np.ndarray, groups: int = GROUPS) -> list[tuple[list[int], int]]:
+    """Sequences of large lengths as (lengths in order, how many such sequences): rounded up in groups, optimised, and put back to actual lengths."""
+    merged: dict[int, list[list[int]]] = {}
+    for group in linear_groups(large, groups):
+        merged.setdefault(group[0][0], []).extend(group)
+    kinds = np.array(sorted(merged), np.int64)
+    demand = np.array([sum(n for _, n in merged[int(k)]) for k in kinds], np.int64)
+    out = []
+    for config, times in configurations(kinds, demand, cost):
+        slots = [int(k) for k in np.repeat(kinds, config)[::-1]]
+        uses = {k: slots.count(k) for k in slots}
+        while times:
+            # each slot reads on in its group's runs; a chunk ends with the first run that ends
+            chunk = min([times, *(max(1, merged[k][0][1] // m) for k, m in uses.items())])
+            items = []
+            for k in slots:
+                run = merged[k][0]
+                items.append(run[0])
+                run[1] -= chunk
+                if not run[1]:
+                    merged[k].pop(0)
+            out.append((items, chunk))
+            times -= chunk
+    return out
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Sequences as (lengths in order, how many such sequences) for a histogram length -> count."""
     whole = [([capacity], counts[capacity])] if counts.get(capacity) else []
-    bound = -(-sum(x * n for x, n in counts.items() if x < capacity) // capacity)
-    best: list[tuple[list[int], int]] | None = None
-    for share in SHARES:
-        plan = grouped_plan(counts, capacity, share)
-        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
-            best = plan
-        if sum(n for _, n in best) <= bound:
-            break
-    return whole + (best or [])
+    large = {x: n for x, n in counts.items() if capacity * SHARE < x < capacity and n}
+    small = {x: n for x, n in counts.items() if 0 < x <= capacity * SHARE and n}
+    bins: Bins = {}
+    if large:
+        for items, n in grouped(large, room_cost(small, capacity)):
+            bins.setdefault(capacity - sum(items), []).append((items, n))
+    best_fit(small, bins, capacity)
+    return whole + [x for room in sorted(bins) for x in bins[room]]
 
 
 def segments(plan: list[tuple[list[int], int]]) -> np.ndarray:

@@ -85,9 +85,31 @@ def test_plan_holds_every_piece():
 
 def test_configurations_beat_rounding_waste():
     sizes, demand = np.array([30, 40, 60]), np.array([50, 70, 60])
-    found = packing.configurations(sizes, demand, 100)
+    found = packing.configurations(sizes, demand, np.ones(101))
     assert all(int(c @ sizes) <= 100 for c, _ in found)
     assert sum(c * n for c, n in found).tolist() == demand.tolist()
+    assert sum(n for _, n in found) <= 50 * 30 / 100 + 70 * 40 / 100 + 60 * 60 / 100 + 3
+    # room of ten to twenty is lost: 60 and 40, 60 and 30 is what a plain count would not tell apart
+    cost = np.where((np.arange(101) >= 10) & (np.arange(101) <= 20), 1.5, 1.0)
+    priced = packing.configurations(sizes, np.array([0, 60, 60]), cost)
+    assert sum(n for c, n in priced if int(c @ sizes) == 100) == 60
+
+
+def test_large_lengths_share_sequences():
+    """The configurations decide: most large lengths stand in sequences of several, and the plan is not best fit's."""
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 2047) for _ in range(4000)] + [rng.randint(1, 400) for _ in range(6000)]
+    counts = Counter(lengths)
+    large = {x: n for x, n in counts.items() if x > 2048 / 3}
+    found = packing.grouped(large, packing.room_cost({x: n for x, n in counts.items() if x <= 2048 / 3}, 2048), groups=100)
+    assert sum((Counter({x: items.count(x) * n for x in set(items)}) for items, n in found), Counter()) == large
+    assert all(sum(items) <= 2048 for items, _ in found)
+    fitting = sum(n for x, n in large.items() if x < 2048 - 2048 / 3)
+    assert sum(len(items) * n for items, n in found if len(items) > 1) > 0.8 * fitting
+    plan, alone = packing.plan_sequences(counts, 2048), {}
+    packing.best_fit(dict(counts), alone, 2048)
+    assert Counter({tuple(sorted(i)): n for i, n in plan}) != Counter({tuple(sorted(i)): n for b in alone.values() for i, n in b})
+    assert sum(n for _, n in plan) <= -(-sum(lengths) // 2048) + 2
 
 
 def test_pack(spark):
