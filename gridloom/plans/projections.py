@@ -49,3 +49,29 @@ GRID_SQL = """ln AS (
 cells AS (
   SELECT k, h, i, CAST(0 AS BIGINT) AS j, c0 AS cell FROM ln UNION ALL SELECT k, h, i, CAST(1 AS BIGINT), c1 FROM ln
   UNION ALL SELECT k, h, i, CAST(2 AS BIGINT), c2 FROM ln UNION ALL SELECT k, h, i, CAST(3 AS BIGINT), c3 FROM ln)"""
+
+
+def pattern_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(part, m, u, colors, task): for each part a task of m demonstrations, of which the first u mirror their input.
+
+    All tasks of one m have like signatures; they are isomorphic just where they
+    have the same u.
+    """
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    t = F.pmod(F.col("p_partkey") * 7 + F.col("p_size"), F.lit(720)).cast("int")
+    a = F.floor(t / 72).cast("int")
+    b = F.pmod(a + 1 + F.pmod(F.floor(t / 8), F.lit(9)), F.lit(10)).cast("int")
+    rest = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda c: (c != F.col("a")) & (c != F.col("b")))
+    rows = part.select("p_partkey", F.element_at(F.array(*map(F.lit, (1, 2, 3, 7))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int")).alias("m"), (3 * F.pmod("p_size", F.lit(3))).cast("int").alias("third"), t.alias("t"), a.alias("a"), b.alias("b"))
+    rows = rows.select("p_partkey", "m", F.least("m", "third").alias("u"), "a", "b", F.element_at(rest, F.pmod("t", F.lit(8)) + 1).alias("c"))
+    line = F.array("a", "b", "b", "c", "c", "c")
+    pair = lambda out: F.struct(F.array(line).alias("input"), F.array(out).alias("output"))
+    train = F.transform(F.sequence(F.lit(1), F.col("m")), lambda i: pair(F.when(i <= F.col("u"), F.reverse(line)).otherwise(line)))
+    task = F.struct(F.lit(None).cast("string").alias("name"), train.alias("train"), F.array(pair(line)).alias("test"))
+    return rows.select(F.col("p_partkey").alias("part"), "m", "u", F.array("a", "b", "c").alias("colors"), task.alias("task"))
+
+
+#: part, m, u and the three colours of pattern_tasks; most states of its search against an image: 2 * (2^u + 2^(m-u)).
+PATTERN_SQL = """pt AS (SELECT p_partkey AS part, [1, 2, 3, 7][p_partkey % 4 + 1] AS m, 3 * (p_size % 3) AS third, CAST((p_partkey * 7 + p_size) % 720 AS BIGINT) AS t FROM part),
+pc AS (SELECT part, m, least(m, third) AS u, t, t // 72 AS a, (t // 72 + 1 + (t // 8) % 9) % 10 AS b FROM pt),
+pa AS (SELECT part, m, u, a, b, list_filter(range(0, 10), lambda c: c <> a AND c <> b)[t % 8 + 1] AS c FROM pc)"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import grids, validation
 from ..operators import baseline, cluster, evidence, ledgers, manifests, overlap, resources, runs, scoring, shared, splits, stats, variants
 from . import development
-from .projections import GRID_SQL, flat_cells, order_grids, order_tasks, table
+from .projections import GRID_SQL, PATTERN_SQL, flat_cells, order_grids, order_tasks, pattern_tasks, table
 from .registry import QUERIES, SQL, Query, query  # noqa: F401  the driver's contract reads them here
 from .registry import long as _long
 from .task_sql import CANDIDATE_SQL, SCORE_SQL, TASK_SQL
@@ -295,16 +295,54 @@ def components_of_paths(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.min_label_components(o.select(F.col("o_orderkey").alias("node")), linked)
 
 
-@query("isomorphism_clusters", f"WITH {TASK_SQL} SELECT side || ':' || t AS record_id, 'base:' || t AS cluster_id FROM tk, (VALUES ('base'), ('copy')) AS v(side)")
+STATES = 200  # the bound of both queries: part tasks with seven plain demonstrations have 258 states
+
+
+@query(
+    "isomorphism_clusters",
+    f"""WITH {TASK_SQL}, {PATTERN_SQL},
+    k AS (SELECT 'part:' || part AS record_id, m, u, CASE WHEN 2 * (2 ** u + 2 ** (m - u)) > {STATES} THEN 100 * a + 10 * b + c END AS own FROM pa)
+    SELECT side || ':' || t AS record_id, 'base:' || t AS cluster_id FROM tk, (VALUES ('base'), ('copy')) AS v(side)
+    UNION ALL SELECT record_id, min(record_id) OVER (PARTITION BY m, u, own) FROM k""",
+)
 def isomorphism_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """All tasks and their turned, recoloured copies: each pair is one cluster."""
+    """All tasks and their turned, recoloured copies, each pair one cluster; and the parts' tasks.
+
+    The parts' tasks have like signatures, differ in how many demonstrations are
+    mirrored, and are beyond the bound of states where seven are alike: those stay
+    apart but for equal content.
+    """
     tasks = order_tasks(spark, sf)
     turned = tasks.select(F.concat(F.lit("copy:"), "task_id").alias("record_id"), grids.transform_task(F.col("task"), grids.compose(grids.rotate_90, grids.recolor(grids.literal_map(PERMUTATION)))).alias("task"))
-    records = tasks.select(F.concat(F.lit("base:"), "task_id").alias("record_id"), "task").union(turned)
-    clusters, _ = cluster.cluster_tasks(records)
+    patterns = pattern_tasks(spark, sf).select(F.concat(F.lit("part:"), F.col("part").cast("string")).alias("record_id"), "task")
+    records = tasks.select(F.concat(F.lit("base:"), "task_id").alias("record_id"), "task").union(turned).union(patterns)
+    clusters, _ = cluster.cluster_tasks(records, STATES)
     return clusters
 
 
+def _states_sql() -> str:
+    """States of one transform for u of m mirrored demonstrations against w of m, those with fewer partners joined first."""
+    f = lambda n: f"factorial(CAST({n} AS INTEGER))"
+    choose = lambda n, k: f"({f(n)} // ({f(k)} * {f(f'{n} - {k}')}))"
+    upto = lambda n, c: f"coalesce(list_sum(list_transform(range(1, least({n}, {c}) + 1), lambda l: {choose(c, 'l')})), 0)"
+    both = lambda n1, c1, n2, c2: f"2 + {upto(n1, c1)} + CASE WHEN {n1} <= {c1} THEN {choose(c1, f'least({n1}, {c1})')} * {upto(n2, c2)} ELSE 0 END"
+    return f"""CASE WHEN (u > 0 AND w = 0) OR (u < m AND w = m) THEN 0 WHEN u = 0 THEN 2 + {upto("m", "(m - w)")} WHEN u = m THEN 2 + {upto("m", "w")}
+        WHEN w < m - w THEN {both("u", "w", "(m - u)", "(m - w)")} ELSE {both("(m - u)", "(m - w)", "u", "w")} END"""
+
+
+@query(
+    "isomorphism_search",
+    f"""WITH {PATTERN_SQL}, p AS (SELECT l.part AS left_id, r.part AS right_id, l.m, l.u, r.u AS w FROM pa l JOIN pa r ON r.part = l.part + 4),
+    e AS (SELECT left_id, right_id, u = w AS same, CAST(2 * ({_states_sql()}) AS BIGINT) AS states FROM p)
+    SELECT left_id, right_id, CASE WHEN states > {STATES} THEN 'inconclusive' WHEN same THEN 'matched' ELSE 'not-isomorphic' END AS status, least(states, {STATES}) AS explored FROM e""",
+)
+def isomorphism_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part's task against that of four parts on: what the search finds, and the exact number of its states."""
+    tasks = shared.written(pattern_tasks(spark, sf).select(F.col("part").alias("record_id"), "task"))
+    pairs = tasks.select(F.col("record_id").alias("left_id"), (F.col("record_id") + 4).alias("right_id"))
+    return _long(cluster.verify_pairs(pairs, tasks, STATES), "explored").select("left_id", "right_id", "status", "explored")
+
+
 @query("cluster_descriptor", "SELECT sha256(text) AS content, min(doc_id) AS representative, count(*) AS members, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
 def cluster_descriptor(spark: SparkSession, sf: str) -> DataFrame:
     rows = _clusters(spark, sf)

@@ -1,12 +1,24 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import grids
-from gridloom.operators import cluster, overlap, splits
+from gridloom.operators import cluster, isomorphism, overlap, splits
 from gridloom.schemas import TASK
 
+from . import plain_isomorphism as plain
+
+
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """On tables this small, generating code takes longer than all else."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+
+
 BASE = {
     "train": [{"input": [[8, 8, 5], [6, 0, 0]], "output": [[5, 6, 6]]}, {"input": [[3], [0], [3]], "output": [[0, 3], [3, 8]]}, {"input": [[5, 6]], "output": [[6, 5]]}],
     "test": [{"input": [[5, 0, 3, 6]], "output": [[3], [6]]}],
@@ -15,48 +27,113 @@ SHIFT = {c: (c + 4) % 10 for c in range(10)}
 
 
 def image(task, turn, order=(2, 0, 1), colors=SHIFT):
-    change = lambda g: [[colors[c] for c in r] for r in cluster._turn(g, turn)]
+    change = lambda g: [[colors[c] for c in r] for r in plain.turned(g, turn)]
     return {"train": [{k: change(g) for k, g in task["train"][i].items()} for i in order], "test": [{k: change(g) for k, g in p.items()} for p in task["test"]]}
 
 
 def replay(left, right, found):
     """Whether the witness turns every example of left into its partner in right."""
-    change = lambda g: [[found["color"][c] for c in r] for r in cluster._turn(g, found["d4"])]
+    change = lambda g: [[found["color"][c] for c in r] for r in plain.turned(g, found["d4"])]
     return all({k: change(g) for k, g in p.items()} == right[s][j] for s in ("train", "test") for p, j in zip(left[s], found[f"{s}_permutation"], strict=True))
 
 
-@pytest.mark.parametrize("turn", list(grids.D4))
-def test_every_image_is_found_with_a_witness(turn):
-    for order in itertools.permutations(range(3)):
-        other = image(BASE, turn, order)
-        found = cluster.find_isomorphism(BASE, other)
-        assert found["status"] == "matched" and replay(BASE, other, found)
+def searched(spark, left, others, **bound):
+    """name -> what the joins find for left against each of the others."""
+    records = spark.createDataFrame(rows({"left": left} | others), f"record_id string, task {TASK}")
+    pairs = spark.createDataFrame([("left", name) for name in others], "left_id string, right_id string")
+    return {r["right_id"]: r.asDict() for r in isomorphism.verify_pairs(pairs, records, **bound).collect()}
+
+
+def test_every_image_is_found_with_a_witness(spark):
+    others = {f"{turn}{order}": image(BASE, turn, order) for turn in grids.D4 for order in itertools.permutations(range(3))}
+    found = searched(spark, BASE, others)
+    assert len(found) == 48
+    for name, other in others.items():
+        assert found[name]["status"] == "matched" and replay(BASE, other, found[name])
+        assert plain.find_isomorphism(BASE, other)["status"] == "matched"
 
 
-def test_what_is_no_single_image_is_not_matched():
+def test_what_is_no_single_image_is_not_matched(spark):
     whole = image(BASE, "transpose", (0, 1, 2))
     swapped = {c: {SHIFT[8]: SHIFT[6], SHIFT[6]: SHIFT[8]}.get(c, c) for c in range(10)}
+    others, expected = {}, {}
     for k in range(3):  # one example in other colours, or turned otherwise
         recolored = image({"train": [], "test": [whole["train"][k]]}, "identity", (), swapped)["test"][0]
-        for example in (recolored, image(BASE, "rotate_180", (0, 1, 2))["train"][k]):
-            other = {"train": [example if i == k else p for i, p in enumerate(whole["train"])], "test": whole["test"]}
-            expected = "matched" if example == whole["train"][k] else "not-isomorphic"
-            assert cluster.find_isomorphism(BASE, other)["status"] == expected
-    assert cluster.find_isomorphism(BASE, {"train": whole["train"][:2], "test": whole["test"]})["status"] == "not-isomorphic"
+        for name, example in (("recolored", recolored), ("turned", image(BASE, "rotate_180", (0, 1, 2))["train"][k])):
+            others[f"{name}{k}"] = {"train": [example if i == k else p for i, p in enumerate(whole["train"])], "test": whole["test"]}
+            expected[f"{name}{k}"] = "matched" if example == whole["train"][k] else "not-isomorphic"
+    others["fewer"], expected["fewer"] = {"train": whole["train"][:2], "test": whole["test"]}, "not-isomorphic"
+    found = searched(spark, BASE, others)
+    assert {n: r["status"] for n, r in found.items()} == expected == {n: plain.find_isomorphism(BASE, t)["status"] for n, t in others.items()}
+    assert all(r["d4"] is None and r["color"] is None for r in found.values() if r["status"] != "matched")
     merged = {c: 0 if c == 1 else c for c in range(10)}  # two colours become one: no bijection
     two = {"train": [{"input": [[0, 1]], "output": [[1]]}], "test": [{"input": [[1]], "output": [[0]]}]}
-    assert cluster.find_isomorphism(two, image(two, "identity", (0,), merged))["status"] == "not-isomorphic"
+    assert searched(spark, two, {"m": image(two, "identity", (0,), merged)})["m"]["status"] == "not-isomorphic"
 
 
-def test_bound_of_states():
-    other = image(BASE, "identity")
-    need = cluster.find_isomorphism(BASE, other)["explored"]
-    assert cluster.find_isomorphism(BASE, other, max_states=need)["status"] == "matched"
-    for bound in range(1, need):
-        found = cluster.find_isomorphism(BASE, other, max_states=bound)
-        assert (found["status"], found["explored"], found["d4"]) == ("inconclusive", bound, None)
+def test_bound_of_states(spark):
+    other = {"o": image(BASE, "identity")}
+    need = searched(spark, BASE, other)["o"]["explored"]
+    assert searched(spark, BASE, other, max_states=need)["o"]["status"] == "matched"
+    found = searched(spark, BASE, other, max_states=need - 1)["o"]
+    assert (found["status"], found["explored"], found["d4"]) == ("inconclusive", need - 1, None)
     many = {"train": [{"input": [[1]], "output": [[2]]}] * 9, "test": [{"input": [[1]], "output": [[2]]}]}
-    assert cluster.find_isomorphism(many, many)["explored"] < 2000  # equal examples: one state for each set of partners
+    # equal examples: one state for each set of partners, 2^9 and the test's and the empty one's, for eight transforms
+    assert searched(spark, many, {"o": many})["o"]["explored"] == 8 * (1 + 1 + 2**9 - 1)
+
+
+def test_random_tasks_against_the_plain_search(spark):
+    rng = random.Random(5)
+    grid = lambda: [[rng.randrange(3) for _ in range(2)] for _ in range(2)]
+    for _ in range(1):
+        base = {"train": [{"input": grid(), "output": grid()} for _ in range(3)], "test": [{"input": grid()}]}
+        base["train"].append(base["train"][0])
+        others = {}
+        for k in range(12):
+            other = image(base, rng.choice(list(grids.D4)), tuple(rng.sample(range(4), 4)))
+            if k % 2:
+                other["train"][k % 4]["output"][0][0] = rng.randrange(10)
+            others[str(k)] = other
+        found = searched(spark, base, others)
+        for name, other in others.items():
+            assert found[name]["status"] == plain.find_isomorphism(base, other)["status"]
+            assert found[name]["status"] != "matched" or replay(base, other, found[name])
+
+
+def all_pairs_clusters(tasks, max_states):
+    """name -> least name of its cluster: every pair of tasks compared."""
+    label = {n: n for n in tasks}
+    for a, b in itertools.combinations(sorted(tasks), 2):
+        if plain.find_isomorphism(tasks[a], tasks[b], max_states)["status"] == "matched" and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {n: low if x == high else x for n, x in label.items()}
+    return label
+
+
+def test_leaders_place_what_all_pairs_place(spark, monkeypatch):
+    """Like signatures, several classes, some of them beyond the bound: clusters as by all pairs, with few comparisons."""
+    demo = lambda mirrored, a, b: {"input": [[a, b, b]], "output": [[b, b, a] if mirrored else [a, b, b]]}
+    colors = list(itertools.permutations(range(4), 2))
+    tasks, classes = {}, 4
+    for k, (a, b) in enumerate(colors[:6]):
+        for mirrored in range(classes):
+            tasks[f"{mirrored}{k}"] = {"train": [demo(i < mirrored, a, b) for i in range(classes - 1)], "test": [demo(False, a, b)]}
+    # beyond the bound: nine like examples
+    tasks |= {f"x{k}": {"train": [demo(False, a, b)] * 9, "test": [demo(False, a, b)]} for k, (a, b) in enumerate(colors[:5])}
+    asked = []
+    inner = isomorphism.verify_pairs
+
+    def counted(pairs, records, max_states):
+        asked.append(pairs.count())
+        return inner(pairs, records, max_states)
+
+    monkeypatch.setattr(cluster, "verify_pairs", counted)
+    records = spark.createDataFrame(rows(tasks), f"record_id string, task {TASK}")
+    clusters, edges = cluster.cluster_tasks(records, max_states=400)
+    got = {r["record_id"]: r["cluster_id"] for r in clusters.collect()}
+    assert got == all_pairs_clusters(tasks, 400) and len(set(got.values())) == classes + 5
+    assert {r["status"] for r in edges.where("left_id like 'x%'").collect()} == {"inconclusive"}
+    assert sum(asked) <= 6 * classes * classes + 2 * 5
 
 
 def rows(tasks):
@@ -66,7 +143,7 @@ def rows(tasks):
 
 def test_witness_replays(spark):
     other = image(BASE, "rotate_270")
-    found = cluster.find_isomorphism(BASE, other)
+    found = plain.find_isomorphism(BASE, other)
     good = (found["d4"], found["color"], found["train_permutation"], found["test_permutation"])
     colors = found["color"]
     bad = [("flip_vertical", *good[1:]), (good[0], colors | {5: colors[6]}, *good[2:]), (good[0], {c: d for c, d in colors.items() if c != 3}, *good[2:]), (*good[:2], [0, 1, 2], good[3]), (*good[:2], good[2], [])]
