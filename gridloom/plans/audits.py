@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grids, validation
-from ..operators import baseline, cluster, evidence, ledgers, manifests, overlap, protocol, resources, scoring, shared, splits, variants
-from ..sources import inventory, sinks, tasks
+from ..operators import baseline, cluster, evidence, firewall, ledgers, manifests, overlap, protocol, resources, scoring, shared, splits, variants
+from ..sources import inventory, sinks, task_tree, tasks
 from . import development
 from .projections import order_tasks, table
 from .queries import PERMUTATION, RULES, STRATUM_SQL, _strata
@@ -709,15 +709,49 @@ def code_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.code_inventory(spark, _nation_files(spark, sf), ["training/*.json", "*/0000000[0-9].json"]).where("bytes > 0").select("path")
 
 
-@query("challenge_tree", f"""WITH {TASK_SQL} SELECT CAST(t AS VARCHAR) AS task_id, CAST(len(train) AS INTEGER) AS demonstrations, 0 AS hidden, 'equal' AS digest FROM tk""")
+#: A task's file as the sink writes it: two spaces a level, keys in order.
+_PRETTY_ROW = "'        [\n' || list_aggregate(list_transform(r, lambda c: '          ' || c), 'string_agg', ',\n') || '\n        ]'"
+_PRETTY_GRID = "'[\n' || list_aggregate(list_transform({g}, lambda r: " + _PRETTY_ROW + "), 'string_agg', ',\n') || '\n      ]'"
+_FILE_SQL = (
+    "'{\n  \"test\": [\n    {\n      \"input\": ' || " + _PRETTY_GRID.format(g="x") + " || '\n    }\n  ],\n  \"train\": [\n' || list_aggregate(list_transform(train, lambda p: '    {\n      \"input\": ' || "
+    + _PRETTY_GRID.format(g="p.i") + " || ',\n      \"output\": ' || " + _PRETTY_GRID.format(g="p.o") + " || '\n    }'), 'string_agg', ',\n') || '\n  ]\n}\n'"
+)
+
+
+@query("challenge_tree", f"""WITH {TASK_SQL} SELECT CAST(t AS VARCHAR) AS task_id, CAST(len(train) AS INTEGER) AS demonstrations, 0 AS hidden, sha256({_FILE_SQL}) AS sha256, 'equal' AS digest FROM tk""")
 def challenge_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """The label-free tree of all tasks, written and read back, against its manifest."""
+    """The label-free tree of all tasks, written as files and read back, against its manifest."""
     folder = shared.folder(spark)
     sinks.write_challenge(order_tasks(spark, sf), folder)
-    files, manifest = spark.read.parquet(f"{folder}/tasks"), spark.read.parquet(f"{folder}/manifest")
-    both = files.select("task_id", "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("own")).join(manifest, "task_id")
+    files = tasks.json_files(spark, folder).select("task_id", "text", F.concat("task_id", F.lit(".json")).alias("path"), F.sha2(F.encode("text", "UTF-8"), 256).alias("own"))
+    both = files.join(task_tree.read_manifest(spark, folder), "path", "full")
     parsed = F.from_json("text", "struct<train:array<struct<input:string,output:string>>,test:array<struct<input:string,output:string>>>")
-    return both.select("task_id", F.size(parsed["train"]).alias("demonstrations"), F.size(F.filter(parsed["test"], lambda p: p["output"].isNotNull())).alias("hidden"), F.when(F.col("own") == F.col("sha256"), "equal").otherwise("unlike").alias("digest"))
+    return both.select("task_id", F.size(parsed["train"]).alias("demonstrations"), F.size(F.filter(parsed["test"], lambda p: p["output"].isNotNull())).alias("hidden"), "sha256", F.when(F.col("own") == F.col("sha256"), "equal").otherwise("unlike").alias("digest"))
+
+
+@query(
+    "firewall_run",
+    f"""WITH {SCORE_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE exact) AS hits, count(*) FILTER (WHERE shifted_exact) AS shifted FROM so)
+    SELECT 'baseline' AS solver, n AS tasks, n AS equal_inputs, n AS changed_labels, n AS equal_predictions, hits AS exact_a, shifted AS exact_b, 'passed' AS verdict FROM n
+    UNION ALL SELECT 'told', n, n, n, CAST(0 AS BIGINT), n, n, 'failed' FROM n""",
+)
+def firewall_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Two views that differ in their hidden labels, each solved from its files alone: the baseline passes, a solver that is handed the labels fails."""
+    given = shared.written(order_tasks(spark, sf))
+    other = given.select("task_id", grids.mutate_labels(F.col("task")).alias("task"))
+
+    def told(inputs: DataFrame, view: firewall.View) -> DataFrame:
+        labels = firewall.read_labels(spark, view).select("task_id", F.transform("outputs", lambda g: grids.attempts(F.array(g, g))).alias("outputs"))
+        return inputs.select("task_id").join(labels, "task_id")
+
+    def honest(inputs: DataFrame, _: firewall.View) -> DataFrame:
+        return baseline.predictions(baseline.rank_candidates(inputs, 2))
+
+    rows = None
+    for name, solver in (("baseline", honest), ("told", told)):
+        proof = firewall.ab_run(given, other, shared.folder(spark), solver, 2).select(F.lit(name).alias("solver"), "*")
+        rows = proof if rows is None else rows.union(proof)
+    return rows
 
 
 @query("split_trees", f"""WITH {TASK_SQL} SELECT 'solutions' AS tree, CAST(t AS VARCHAR) AS task_id, CAST(to_json([y]) AS VARCHAR) AS labels FROM tk UNION ALL SELECT 'inference', CAST(t AS VARCHAR), NULL FROM tk""")

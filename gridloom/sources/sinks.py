@@ -1,4 +1,4 @@
-"""Sinks: challenge trees, canonical and pretty JSON, atomic and no-clobber documents, split outputs."""
+"""Sinks: challenge trees (task_tree), canonical and pretty JSON, atomic and no-clobber documents, split outputs."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grids
+from . import task_tree
 
 
 def canonical_bytes(value: Any) -> bytes:
@@ -43,18 +44,9 @@ def write_document(path: str, value: Any, clobber: bool = True) -> None:
             os.unlink(name)
 
 
-def write_challenge(tasks: DataFrame, destination: str, source: str = "") -> None:
-    """Label-free tasks (task_id, text) and their manifest; never below the source or over anything."""
-    inside = lambda a, b: b and (a.rstrip("/") + "/").startswith(b.rstrip("/") + "/")
-    if inside(destination, source):
-        raise ValueError("the destination lies inside the source")
-    text = F.to_json(grids.challenge_only(F.col("task")))
-    rows = tasks.select("task_id", text.alias("text")).withColumn("sha256", F.sha2(F.encode("text", "UTF-8"), 256))
-    rows.write.mode("errorifexists").parquet(f"{destination}/tasks")
-    written = tasks.sparkSession.read.parquet(f"{destination}/tasks")
-    if written.where(F.col("text").contains('"output"') & (F.size(F.from_json(F.get_json_object("text", "$.test"), "array<struct<output:string>>")) > 0) & F.exists(F.from_json(F.get_json_object("text", "$.test"), "array<struct<output:string>>"), lambda p: p["output"].isNotNull())).limit(1).count():
-        raise ValueError("a written task holds a hidden output")
-    written.select("task_id", "sha256").write.mode("errorifexists").parquet(f"{destination}/manifest")
+def write_challenge(tasks: DataFrame, destination: str, source: str = "", source_id: str = "redacted") -> None:
+    """Label-free task files (task_id, task) and their manifest, whole or not at all; never below the source or over anything."""
+    task_tree.write_tree(tasks, destination, source, source_id)
 
 
 def write_split_trees(tasks: DataFrame, destination: str) -> None:

@@ -18,11 +18,11 @@ def json_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
 
     A path without files is an error. Parts of the path sort as parts, not as text.
     """
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
+    reader = spark.read.option("pathGlobFilter", "*.json")
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     name = F.col("_metadata.file_path")
-    rows = reader.text(path).select(
+    rows = reader.text(path, wholetext=True).select(
         name.alias("path"), F.regexp_extract(name, r"([^/]+)/[^/]+\z", 1).alias("split"), F.regexp_extract(name, r"([^/]+)\.json\z", 1).alias("task_id"), F.col("value").alias("text")
     )
     if rows.select("path").limit(1).count() == 0:
@@ -85,7 +85,7 @@ def load_training_source(spark: SparkSession, name: str, path: str, expected: in
 
 def load_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(task_id, outputs, errors) of a prediction file; a file that is no strict JSON object is one row with an error."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
     strict = F.try_parse_json("text").isNotNull()
     rows = files.select(strict.alias("strict"), F.when(strict, F.from_json("text", PREDICTIONS)).alias("m"))
     entries = rows.select("strict", F.explode_outer("m").alias("task_id", "outputs"))

@@ -78,7 +78,7 @@ def test_command_line(spark, dataset, capsys):
     assert cli.main(["baseline", folder, "--score", "--output", str(dataset / "out.json")], spark) == 0
     assert set(json.loads((dataset / "out.json").read_text())) == {"multi"}
     assert cli.main(["challenge", folder, str(dataset / "challenge")], spark) == 0
-    assert "output" not in json.loads(spark.read.parquet(str(dataset / "challenge" / "tasks")).first()["text"])["test"][0]
+    assert "output" not in json.loads((dataset / "challenge" / "multi.json").read_text())["test"][0]
     assert cli.main(["challenge", folder, folder + "/inside"], spark) == 2
     (dataset / "bad").mkdir()
     (dataset / "bad" / "x.json").write_text("{}")
