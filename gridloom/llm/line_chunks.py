@@ -148,6 +148,15 @@ def grown(later: list[bytes], earlier: list[bytes], hits: list[tuple[int, int, i
     return out
 
 
+def extent(lines: list[bytes], run: dict) -> slice:
+    """The lines of a run; one of a whole text's copy goes on to the text's first and last worded line."""
+    if not run["whole"]:
+        return slice(run["line"], run["until"])
+    first = next(k for k, line in enumerate(lines) if line.strip())
+    last = next(k for k in range(len(lines), 0, -1) if lines[k - 1].strip())
+    return slice(min(first, run["line"]), max(last, run["until"]))
+
+
 def _planned(docs: DataFrame, text_col: str, digest: Digest) -> DataFrame:
     """docs (with __key; texts packed) and two lists of runs of lines: __gone, to be removed, and __firsts, what they repeat.
 
@@ -183,7 +192,12 @@ def _planned(docs: DataFrame, text_col: str, digest: Digest) -> DataFrame:
     firsts = shared.groupBy("hash").agg(F.min(F.struct("id", "line")).alias("first"))
     hits = shared.join(firsts, "hash").where(F.struct("id", "line") != F.col("first"))
     shift = F.col("line") - F.col("first.line")
-    pairs = materialise(hits.groupBy("id", F.col("first.id").alias("fid")).agg(F.collect_set(F.struct(shift.alias("shift"), "line", "until")).alias("hits")))
+    placed = hits.select("id", F.col("first.id").alias("fid"), shift.alias("shift"), "line", "until")
+    # a copy of the whole text agrees with it to both ends: no lines need comparing
+    copied = F.col("id.text") == F.col("fid.text")
+    bounds = placed.where(copied & (F.col("id") != F.col("fid"))).groupBy("id", "fid").agg(F.min("line").alias("line"), F.max("until").alias("until"))
+    copies = bounds.select(F.explode(F.array("id", "fid")).alias("id"), "line", "until", F.lit(True).alias("whole"), "fid").select("id", "line", "until", (F.col("id") != F.col("fid")).alias("gone"), "whole")
+    pairs = materialise(placed.where(~copied | (F.col("id") == F.col("fid"))).groupBy("id", "fid").agg(F.collect_set(F.struct("shift", "line", "until")).alias("hits")))
     named = pairs.select("id").union(pairs.select("fid")).distinct()
     lines = bodies.mapInArrow(marks, f"name {kind}, marks array<binary>").where("marks is not null").join(named, F.col("name") == F.col("id"), "left_semi")
     lines = materialise(lines.groupBy("name").agg(F.first("marks").alias("marks")))  # rows that repeat an id and its text have the same marks
@@ -203,7 +217,8 @@ def _planned(docs: DataFrame, text_col: str, digest: Digest) -> DataFrame:
                 )
 
     runs = sides.select("id", "fid", "later", "earlier", "hits").mapInArrow(grow, f"id {kind}, line int, until int, gone boolean")
-    listed = lambda keep: F.collect_set(F.when(keep, F.struct("line", "until")))
+    runs = runs.withColumn("whole", F.lit(False)).union(copies)
+    listed = lambda keep: F.collect_set(F.when(keep, F.struct("line", "until", "whole")))
     plan = runs.groupBy(F.col("id").alias("__id")).agg(listed(F.col("gone")).alias("__gone"), listed(~F.col("gone")).alias("__firsts"))
     return materialise(squeezed(docs, text_col).join(plan, F.col("__key") == F.col("__id"), "left").drop("__id"))
 
@@ -220,7 +235,7 @@ def _unlike(planned: DataFrame, text_col: str, digest: Digest) -> bool:
                     lines = t.split(b"\n")
                     for run in (*b.column(1)[k].as_py(), *b.column(2)[k].as_py()):
                         if run["line"] >= 0:
-                            out.update(lines[run["line"] : run["until"]])
+                            out.update(lines[extent(lines, run)])
                 body = list(out)
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in body], pa.binary()), pa.array(body, pa.binary())], names=["hash", "body"])
 
@@ -277,7 +292,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             lines = t.split(b"\n")
                             keep = np.ones(len(lines) + 1, bool)
                             for run in gone:
-                                keep[run["line"] : run["until"]] = False
+                                keep[extent(lines, run)] = False
                             counts[1, k] = (~keep).sum()
                             counts[2, k] = (keep[1:] & ~keep[:-1]).sum()
                             t = b"\n".join(line for line, kept in zip(lines, keep, strict=False) if kept)
