@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import digests
+
 
 def glob_regex(glob: str) -> str:
     """A glob whose * also crosses slashes, as a Java pattern for the whole path."""
@@ -158,9 +160,8 @@ def roster_agreement(tables: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def ordered_digest(rows: DataFrame, group: list[str], order: Column, text: Column) -> DataFrame:
-    """(group, n, digest): SHA-256 over the JSON list of a group's texts, in order."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda s: s["t"])
-    return rows.groupBy(*group).agg(F.count("*").alias("n"), F.sha2(F.to_json(listed), 256).alias("digest"))
+    """(group, n, digest): SHA-256 over the JSON list of a group's texts, in order; see digests."""
+    return digests.json_list(rows, group, [order, text], text)
 
 
 def last_per_group(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:

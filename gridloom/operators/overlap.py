@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import digests
+
 VARIANTS = ("raw_without_name_exact", "semantic_labeled_exact", "challenge_semantic_exact", "ordered_test_io_exact", "test_io_exact", "ordered_test_inputs_exact", "test_inputs_exact")
 
 
@@ -54,15 +56,19 @@ def split_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("task_id", *[(F.col(f"l_{n}") == F.col(f"r_{n}")).alias(n) for n in VARIANTS])
 
 
+def overlap_ids(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(variant, task_id): the ids on both sides under `id_overlap`, and under each variant those that agree in it."""
+    named = [F.when(F.col(n), F.lit(n)) for n in VARIANTS]
+    return split_overlap(left, right).select(F.explode(F.array_compact(F.array(F.lit("id_overlap"), *named))).alias("variant"), "task_id")
+
+
+def overlap_digests(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(variant, n, digest): how many ids each variant has, and the digest of their sorted JSON list; variants without any are left out."""
+    return digests.json_list(overlap_ids(left, right), ["variant"], [F.col("task_id")], F.col("task_id"))
+
+
 def overlap_summary(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: the sizes of both sides, counts and sorted ids of each variant, and the digest of all common ids."""
-    rows = split_overlap(left, right)
-    ids = F.array_sort(F.collect_list("task_id"))
-    found = rows.agg(
-        F.count("*").alias("id_overlap_count"),
-        ids.alias("id_overlap"),
-        *[F.count_if(n).alias(f"{n}_count") for n in VARIANTS],
-        *[F.array_sort(F.collect_list(F.when(F.col(n), F.col("task_id")))).alias(n) for n in VARIANTS],
-    ).withColumn("overlap_digest", fingerprint(F.to_json("id_overlap")))
+    """One row: the sizes of both sides and the counts of each variant."""
+    found = split_overlap(left, right).agg(F.count("*").alias("id_overlap_count"), *[F.count_if(n).alias(f"{n}_count") for n in VARIANTS])
     sizes = left.agg(F.count("*").alias("left_task_count")).crossJoin(right.agg(F.count("*").alias("right_task_count")))  # one row each
     return sizes.crossJoin(found)

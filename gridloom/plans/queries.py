@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grids, validation
-from ..operators import baseline, cluster, evidence, ledgers, manifests, overlap, resources, runs, scoring, shared, splits, stats, variants
+from ..operators import baseline, cluster, digests, evidence, ledgers, manifests, overlap, resources, runs, scoring, shared, splits, stats, variants
+from ..sources import inventory
 from . import development
 from .projections import GRID_SQL, PATTERN_SQL, flat_cells, order_grids, order_tasks, pattern_tasks, table
 from .registry import QUERIES, SQL, Query, query  # noqa: F401  the driver's contract reads them here
@@ -233,31 +234,97 @@ def content_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("representative")).where("n > 1")
 
 
+#: How the other side's tasks differ, by customer: not at all, train examples reversed, test output changed, test input changed.
+OVERLAP_SQL = f"""{TASK_SQL}, ov AS (SELECT t, t % 4 AS kind, list_reverse(train) = train AS same_reversed FROM tk),
+oi AS (SELECT t, unnest(['id_overlap'] || CASE WHEN kind = 0 OR kind = 1 AND same_reversed THEN ['raw_without_name_exact'] ELSE [] END || CASE WHEN kind <= 1 THEN ['semantic_labeled_exact', 'ordered_test_io_exact', 'test_io_exact'] ELSE [] END
+       || CASE WHEN kind <= 2 THEN ['challenge_semantic_exact', 'ordered_test_inputs_exact', 'test_inputs_exact'] ELSE [] END) AS variant FROM ov)"""
+
+
+def _two_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Customers' tasks, and the same tasks with what OVERLAP_SQL says changed."""
+    tasks = order_tasks(spark, sf)
+    t, kind = F.col("task"), F.col("task_id").cast("long") % 4
+    input_changed = F.transform(t["test"], lambda p: F.struct(grids.mutate(p["input"]).alias("input"), p["output"].alias("output")))
+    mutated = grids.mutate_labels(t)
+    train = F.when(kind == 1, F.reverse(t["train"])).otherwise(t["train"])
+    test = F.when(kind == 2, mutated["test"]).when(kind == 3, input_changed).otherwise(t["test"])
+    return tasks, tasks.select("task_id", F.struct(t["name"].alias("name"), train.alias("train"), test.alias("test")).alias("task"))
+
+
 @query(
     "task_overlap_summary",
-    f"""WITH {TASK_SQL} SELECT count(*) AS left_task_count, count(*) AS right_task_count, count(*) AS id_overlap_count, count(*) FILTER (WHERE list_reverse(train) = train) AS raw_without_name_exact_count, count(*) AS semantic_labeled_exact_count,
-    count(*) AS challenge_semantic_exact_count, count(*) AS ordered_test_io_exact_count, count(*) AS test_io_exact_count, count(*) AS ordered_test_inputs_exact_count, count(*) AS test_inputs_exact_count FROM tk""",
+    f"""WITH {OVERLAP_SQL} SELECT (SELECT count(*) FROM tk) AS left_task_count, (SELECT count(*) FROM tk) AS right_task_count, {", ".join(f"count(*) FILTER (WHERE variant = '{v}') AS {v}_count" for v in ("id_overlap", *overlap.VARIANTS))} FROM oi""",
 )
 def task_overlap_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers' tasks against the same tasks with their examples in reverse order."""
-    tasks = order_tasks(spark, sf)
-    t = F.col("task")
-    other = tasks.select("task_id", F.struct(t["name"].alias("name"), F.reverse(t["train"]).alias("train"), t["test"].alias("test")).alias("task"))
-    out = overlap.overlap_summary(tasks, other)
-    return out.select("left_task_count", "right_task_count", "id_overlap_count", *[f"{v}_count" for v in overlap.VARIANTS])
+    return overlap.overlap_summary(*_two_sides(spark, sf))
+
+
+@query("task_overlap_ids", f"WITH {OVERLAP_SQL} SELECT variant, CAST(t AS VARCHAR) AS task_id FROM oi")
+def task_overlap_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlap_ids(*_two_sides(spark, sf))
+
+
+@query("task_overlap_digests", f"""WITH {OVERLAP_SQL} SELECT variant, count(*) AS n, sha256('[' || string_agg('"' || t || '"', ',' ORDER BY CAST(t AS VARCHAR)) || ']') AS digest FROM oi GROUP BY 1""")
+def task_overlap_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest of each variant's sorted list of ids."""
+    return overlap.overlap_digests(*_two_sides(spark, sf))
 
 
 @query(
     "inventory_digest",
-    """WITH b AS (SELECT source, doc_id // 256 AS block, count(*) AS n, sha256('[' || string_agg('"' || CAST(doc_id AS VARCHAR) || ':' || sha256(text) || '"', ',' ORDER BY doc_id) || ']') AS d FROM documents GROUP BY 1, 2)
-    SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256('[' || string_agg('"' || d || '"', ',' ORDER BY block) || ']') AS digest FROM b GROUP BY 1""",
+    """SELECT source, count(*) AS n, sha256('[' || string_agg('"' || CAST(doc_id AS VARCHAR) || ':' || sha256(text) || '"', ',' ORDER BY doc_id) || ']') AS digest FROM documents GROUP BY 1""",
 )
 def inventory_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """Digest of each source's ordered (id, digest) list, in two levels: blocks of 256 ids, then the blocks' digests."""
-    docs = table(spark, sf, "documents").select("source", "doc_id", F.expr("doc_id div 256").alias("block"), F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("t"))
-    blocks = evidence.ordered_digest(docs, ["source", "block"], F.col("doc_id"), F.col("t"))
-    sizes = blocks.groupBy("source").agg(F.sum("n").alias("total"))
-    return evidence.ordered_digest(blocks, ["source"], F.col("block"), F.col("digest")).drop("n").join(sizes, "source").select("source", F.col("total").alias("n"), "digest")
+    """Digest of each source's whole ordered list of (id, digest), streamed."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("t"))
+    return evidence.ordered_digest(docs, ["source"], F.col("doc_id"), F.col("t"))
+
+
+@query("inventory_tree_digest", """SELECT count(*) AS files, CAST(sum(strlen(html)) AS BIGINT) AS bytes, sha256('[' || string_agg('{"bytes":' || strlen(html) || ',"path":"p/' || page_id || '.html","sha256":"' || sha256(html) || '"}', ',' ORDER BY 'p/' || page_id || '.html') || ']') AS digest FROM pages WHERE html IS NOT NULL""")
+def inventory_tree_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as the files of a tree: its size, and the digest of its whole listing in path order."""
+    pages = table(spark, sf, "pages").where("html is not null")
+    listing = pages.select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("sha256"))
+    return inventory.tree_digest(listing)
+
+
+#: Pages as files of a repository for each of seven: nested folders, and names whose order depends on the slash that ends a folder's.
+TREE_SQL = """SELECT 'r' || page_id % 7 AS repository, page_id, html, CASE page_id % 5 WHEN 0 THEN 'a/b/' WHEN 1 THEN 'a/' WHEN 2 THEN 'a.d/c/e/' WHEN 3 THEN 'a-b/' ELSE '' END || 'a' || page_id || '.html' AS path FROM pages WHERE html IS NOT NULL"""
+
+
+def _page_files(spark: SparkSession, sf: str) -> DataFrame:
+    folder = F.element_at(F.array(*map(F.lit, ("a/b/", "a/", "a.d/c/e/", "a-b/", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    named = F.concat(folder, F.lit("a"), F.col("page_id").cast("string"), F.lit(".html"))
+    return table(spark, sf, "pages").where("html is not null").select(F.concat(F.lit("r"), (F.col("page_id") % 7).cast("string")).alias("repository"), named.alias("path"), F.encode("html", "UTF-8").alias("content"))
+
+
+def _level(depth: int, source: str) -> str:
+    """Folders of a depth, as entries of the folders above them."""
+    return f"""l{depth} AS (SELECT repository, regexp_extract(folder, '^(?:(.*)/)?[^/]+$', 1) AS folder, regexp_extract(folder, '([^/]+)$', 1) || '/' AS key, hex(encode('40000 ' || regexp_extract(folder, '([^/]+)$', 1))) || '00' || sha1(unhex(hex(encode('tree ' || CAST(sum(len(line)) // 2 AS BIGINT))) || '00' || string_agg(line, '' ORDER BY encode(key)))) AS line
+    FROM ({source}) WHERE folder <> '' AND len(folder) - len(replace(folder, '/', '')) = {depth - 1} GROUP BY repository, folder)"""
+
+
+@query(
+    "tree_oids",
+    f"""WITH p AS ({TREE_SQL}), f AS (SELECT repository, regexp_extract(path, '^(?:(.*)/)?[^/]+$', 1) AS folder, regexp_extract(path, '([^/]+)$', 1) AS key,
+      hex(encode('100644 ' || regexp_extract(path, '([^/]+)$', 1))) || '00' || sha1('blob ' || strlen(html) || chr(0) || html) AS line FROM p),
+    {_level(3, "SELECT * FROM f")}, {_level(2, "SELECT * FROM f UNION ALL SELECT * FROM l3")}, {_level(1, "SELECT * FROM f UNION ALL SELECT * FROM l2")}
+    SELECT repository, sha1(unhex(hex(encode('tree ' || CAST(sum(len(line)) // 2 AS BIGINT))) || '00' || string_agg(line, '' ORDER BY encode(key)))) AS oid
+    FROM (SELECT * FROM f UNION ALL SELECT * FROM l1) WHERE folder = '' GROUP BY 1""",
+)
+def tree_oids(spark: SparkSession, sf: str) -> DataFrame:
+    """git's object id of each repository's root tree, folded up from its deepest folders."""
+    files = _page_files(spark, sf).select("repository", "path", F.lit("100644").alias("mode"), inventory.blob_oid("content").alias("oid"))
+    return digests.tree_oids(files)
+
+
+@query(
+    "prefixed_digests",
+    f"""WITH p AS ({TREE_SQL}) SELECT repository, count(*) AS n, sha256(unhex(string_agg(lpad(to_hex(strlen(path)), 16, '0') || hex(encode(path)) || lpad(to_hex(strlen(html)), 16, '0') || hex(encode(html)), '' ORDER BY string_split(path, '/')))) AS digest FROM p GROUP BY 1""",
+)
+def prefixed_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of each repository's paths and contents, each with its length before it."""
+    return digests.length_prefixed(_page_files(spark, sf), ["repository"])
 
 
 # ---- clusters, splits, selection

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import digests
+
 
 def inventory(spark: SparkSession, *paths: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """(path, sha256, bytes) of the files at the given places; a file that several of them name is one row.
@@ -49,10 +51,9 @@ def relative(rows: DataFrame, root: str) -> DataFrame:
 
 
 def tree_digest(rows: DataFrame) -> DataFrame:
-    """One row: SHA-256 over the canonical JSON list of (bytes, path, sha256), in path order."""
-    item = F.struct("bytes", "path", "sha256")
-    listed = F.array_sort(F.collect_list(item), lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
-    return rows.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.to_json(listed), 256).alias("digest"))
+    """One row: SHA-256 over the canonical JSON list of (bytes, path, sha256), in path order; streamed, see digests."""
+    sums = rows.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    return sums.crossJoin(digests.json_list(rows, [], [F.col("path")], F.struct("bytes", "path", "sha256")).select("digest"))  # one row each
 
 
 def leaves(rows: DataFrame, excluded: DataFrame) -> DataFrame:
