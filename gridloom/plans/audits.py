@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grids, validation
-from ..operators import baseline, cluster, evidence, firewall, ledgers, manifests, overlap, protocol, resources, scoring, shared, splits, variants
+from ..operators import adapters, baseline, cluster, evidence, firewall, ledgers, manifests, overlap, protocol, resources, scoring, shared, split_manifest, splits, variants
 from ..sources import inventory, sinks, task_tree, tasks
 from . import development
 from .projections import order_tasks, table
@@ -776,3 +777,98 @@ def challenge_view(spark: SparkSession, sf: str) -> DataFrame:
     files = p.where("page_id % 10 <> 5").select(k.cast("string").alias("path"), F.when(k % 7 == 0, F.sha2("url", 256)).otherwise(F.sha2("html", 256)).alias("sha256"))
     seen = order_tasks(spark, sf).select(F.col("task_id").alias("path"), grids.challenge_only(F.col("task")).alias("task"))
     return inventory.challenge_view_errors(manifest, files, seen, expected_tasks=0)
+
+
+# ---- split manifests, one row a rule
+
+#: Customers as records, three to a cluster, and one fault for each rule at rows of its own.
+_MANIFEST_SQL = """b AS (SELECT c_custkey AS k, c_nationkey AS source, (c_custkey - 1) // 3 * 3 + 1 AS c FROM customer),
+r AS (SELECT k AS record_id, source FROM b WHERE k % 71 <> 5 UNION ALL SELECT k, source FROM b WHERE k % 97 = 0 AND k % 71 <> 5),
+m AS (SELECT c AS cluster_id, k AS record_id FROM b WHERE k % 89 <> 0 UNION ALL SELECT c + 3, k FROM b WHERE k % 83 = 0),
+a AS (SELECT CASE WHEN c % 10 < 7 THEN 'train' WHEN c % 10 < 9 THEN 'validation' ELSE 'audit' END AS split, c AS cluster_id FROM (SELECT DISTINCT c FROM b) WHERE c % 79 <> 0
+      UNION ALL SELECT 'audit', c FROM (SELECT DISTINCT c FROM b) WHERE c % 73 = 0 AND c % 79 <> 0 UNION ALL SELECT 'test', c FROM (SELECT DISTINCT c FROM b) WHERE c % 67 = 0 UNION ALL SELECT 'train', -c FROM (SELECT DISTINCT c FROM b) WHERE c % 61 = 0),
+fl AS (SELECT CASE WHEN k % 130 = 26 THEN -k ELSE k END AS record_id FROM b WHERE k % 13 = 0),
+fc AS (SELECT DISTINCT c AS cluster_id FROM b WHERE k % 13 = 0 AND k % 11 <> 0)"""
+
+
+def _customer_manifest(spark: SparkSession, sf: str) -> split_manifest.Manifest:
+    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("source"), F.expr("(c_custkey - 1) div 3 * 3 + 1").alias("c"))
+    c = b.select("c").distinct()
+    records = b.where("k % 71 <> 5").select(F.col("k").alias("record_id"), "source")
+    records = records.union(records.where("record_id % 97 = 0"))
+    members = b.where("k % 89 <> 0").select(F.col("c").alias("cluster_id"), F.col("k").alias("record_id")).union(b.where("k % 83 = 0").select(F.col("c") + 3, "k"))
+    split = F.when(F.col("c") % 10 < 7, "train").when(F.col("c") % 10 < 9, "validation").otherwise("audit")
+    allocation = c.where("c % 79 <> 0").select(split.alias("split"), F.col("c").alias("cluster_id")).union(c.where("c % 73 = 0 and c % 79 <> 0").select(F.lit("audit"), "c"))
+    allocation = allocation.union(c.where("c % 67 = 0").select(F.lit("test"), "c")).union(c.where("c % 61 = 0").select(F.lit("train"), -F.col("c")))
+    flagged = b.where("k % 13 = 0").select(F.when(F.col("k") % 130 == 26, -F.col("k")).otherwise(F.col("k")).alias("record_id"))
+    clusters = b.where("k % 13 = 0 and k % 11 <> 0").select(F.col("c").alias("cluster_id")).distinct()
+    none = spark.createDataFrame([], "name string, value string")
+    return split_manifest.Manifest(records, members, allocation, flagged, clusters, none)
+
+
+@query(
+    "manifest_rules",
+    f"""WITH {_MANIFEST_SQL}, rc AS (SELECT record_id, count(*) AS n FROM r GROUP BY 1), mc AS (SELECT record_id, count(DISTINCT cluster_id) AS n FROM m GROUP BY 1),
+    cl AS (SELECT cluster_id, min(record_id) AS least, bool_or(record_id IN (SELECT record_id FROM fl)) AS hit FROM m GROUP BY 1), al AS (SELECT cluster_id, count(DISTINCT split) AS n, count(*) FILTER (WHERE split = 'test') AS strange FROM a GROUP BY 1)
+    SELECT 'duplicate-record' AS rule, count(*) AS offenders FROM rc WHERE n > 1
+    UNION ALL SELECT 'unknown-member', count(*) FROM mc WHERE record_id NOT IN (SELECT record_id FROM r) UNION ALL SELECT 'uncovered-record', count(*) FROM rc WHERE record_id NOT IN (SELECT record_id FROM m)
+    UNION ALL SELECT 'record-in-two-clusters', count(*) FROM mc WHERE n > 1 UNION ALL SELECT 'unknown-flagged', count(DISTINCT record_id) FROM fl WHERE record_id NOT IN (SELECT record_id FROM r)
+    UNION ALL SELECT 'cluster-name', count(*) FROM cl WHERE cluster_id <> least UNION ALL SELECT 'unknown-cluster', count(*) FROM al WHERE cluster_id NOT IN (SELECT cluster_id FROM m)
+    UNION ALL SELECT 'unassigned-cluster', count(*) FROM cl WHERE cluster_id NOT IN (SELECT cluster_id FROM a) UNION ALL SELECT 'cluster-crosses-splits', count(*) FROM al WHERE n > 1
+    UNION ALL SELECT 'unexpected-split', count(*) FROM al WHERE strange > 0
+    UNION ALL SELECT 'flagged-clusters', (SELECT count(*) FROM cl WHERE hit AND cluster_id NOT IN (SELECT cluster_id FROM fc)) + (SELECT count(*) FROM fc WHERE cluster_id NOT IN (SELECT cluster_id FROM cl WHERE hit))
+    UNION ALL SELECT 'declared-count', CAST(3 AS BIGINT) UNION ALL SELECT 'declared-digest', CAST(1 AS BIGINT)""",
+)
+def manifest_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest of all customers with a fault for each rule; of its declared values two counts and a digest are wrong and one count is missing."""
+    manifest = split_manifest.with_declared(_customer_manifest(spark, sf))
+    wrong = F.col("name").isin("records", "clusters of audit", "digest of members")
+    declared = manifest.declared.where("name <> 'flagged-records'").select("name", F.when(wrong, F.concat("value", F.lit("0"))).otherwise(F.col("value")).alias("value"))
+    return split_manifest.rule_offenders(replace(manifest, declared=shared.written(declared)), ["train", "validation", "audit"])
+
+
+@query(
+    "manifest_values",
+    f"""WITH {_MANIFEST_SQL}, h AS (SELECT split, count(DISTINCT a.cluster_id) AS clusters, count(m.record_id) AS records FROM a LEFT JOIN m USING (cluster_id) GROUP BY 1)
+    SELECT 'records' AS name, CAST(count(*) AS VARCHAR) AS value FROM r UNION ALL SELECT 'clusters', CAST(count(DISTINCT cluster_id) AS VARCHAR) FROM m UNION ALL SELECT 'flagged-records', CAST(count(DISTINCT record_id) AS VARCHAR) FROM fl
+    UNION ALL SELECT 'flagged-clusters', CAST(count(*) AS VARCHAR) FROM fc UNION ALL SELECT 'clusters of ' || split, CAST(clusters AS VARCHAR) FROM h UNION ALL SELECT 'records of ' || split, CAST(records AS VARCHAR) FROM h
+    UNION ALL SELECT 'digest of records', sha256('[' || string_agg('{{"record_id":' || record_id || ',"source":' || source || '}}', ',' ORDER BY record_id) || ']') FROM r
+    UNION ALL SELECT 'digest of members', sha256('[' || string_agg('{{"cluster_id":' || cluster_id || ',"record_id":' || record_id || '}}', ',' ORDER BY cluster_id, record_id) || ']') FROM m
+    UNION ALL SELECT 'digest of allocation', sha256('[' || string_agg('{{"cluster_id":' || cluster_id || ',"split":"' || split || '"}}', ',' ORDER BY split, cluster_id) || ']') FROM a""",
+)
+def manifest_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and digests of the customers' manifest."""
+    return split_manifest.observed(_customer_manifest(spark, sf))
+
+
+# ---- outside solvers
+
+
+def _mirror(task: dict) -> list:
+    return [[[r[::-1] for r in p["input"]], p["input"]] for p in task["test"]]
+
+
+def _fragile(task: dict) -> list:
+    rows = len(task["train"][0]["input"])
+    if rows == 1:
+        raise ValueError("too small")
+    return [] if rows == 2 else [[[[10]]] if rows == 3 else [p["input"]] for p in task["test"]]
+
+
+@query(
+    "adapter_run",
+    f"""WITH {TASK_SQL}, e AS (SELECT *, list_transform(x, lambda r: list_reverse(r)) AS mirrored, len(train[1].i) AS rows FROM tk),
+    f AS (SELECT *, CASE rows WHEN 1 THEN 'ValueError' WHEN 2 THEN 'contract:output_count' WHEN 3 THEN 'contract:grid' END AS error FROM e)
+    SELECT 'mirror' AS solver, count(*) AS tasks, count(*) FILTER (WHERE y = mirrored OR y = x) AS exact, 2 * count(*) AS attempts, '' AS errors FROM e
+    UNION ALL SELECT 'fragile', count(*), count(*) FILTER (WHERE error IS NULL AND y = x), count(*) FILTER (WHERE error IS NULL),
+    (SELECT coalesce(string_agg(error || '=' || n, ',' ORDER BY error || '=' || n), '') FROM (SELECT error, count(*) AS n FROM f WHERE error IS NOT NULL GROUP BY 1)) FROM f""",
+)
+def adapter_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Two outside solvers over all tasks; one of them fails on small ones, in three ways."""
+    base = shared.written(order_tasks(spark, sf))
+    rows = None
+    for name, solver in (("mirror", _mirror), ("fragile", _fragile)):
+        returned = shared.written(adapters.run_solver(base, solver))
+        report = adapters.solver_report(base, returned).select(F.lit(name).alias("solver"), "tasks", "exact", "attempts", "errors")
+        rows = report if rows is None else rows.union(report)
+    return rows
