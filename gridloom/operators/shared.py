@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_folders: dict[str, list[str]] = {}
+
+
 def folder(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir.
 
@@ -19,11 +22,24 @@ def folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="gridloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(made)
+    return made
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all folders that this application has made, and tell how many; tables that were read from them are gone with them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    found = _folders.pop(spark.sparkContext.applicationId, [])
+    for path in found:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(found)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -212,20 +212,22 @@ def example_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "color_map_learn",
-    """WITH p AS (SELECT l_suppkey, l_returnflag, count(DISTINCT l_linestatus) AS t, min(l_linestatus) AS l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2),
-    g AS (SELECT l_suppkey FROM p GROUP BY 1 HAVING max(t) = 1) SELECT l_suppkey, l_returnflag, l_linestatus, n FROM p WHERE l_suppkey IN (SELECT l_suppkey FROM g)""",
+    """WITH p AS (SELECT l_orderkey, l_returnflag, count(DISTINCT l_linestatus) AS t, min(l_linestatus) AS l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    g AS (SELECT l_orderkey FROM p GROUP BY 1 HAVING max(t) = 1) SELECT l_orderkey, l_returnflag, l_linestatus, n FROM p WHERE l_orderkey IN (SELECT l_orderkey FROM g)""",
 )
 def color_map_learn(spark: SparkSession, sf: str) -> DataFrame:
-    return baseline.learn_functional_dependency(table(spark, sf, "lineitem"), ["l_suppkey"], "l_returnflag", "l_linestatus")
+    return baseline.learn_functional_dependency(table(spark, sf, "lineitem"), ["l_orderkey"], "l_returnflag", "l_linestatus")
 
 
 # ---- overlap, digests, inventories
 
 
-@query("overlap_exact", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON d.text = b.text")
+@query("overlap_exact", "SELECT d.doc_id, b.item_id FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -item_id, text FROM benchmark WHERE item_id % 2 = 1) d JOIN benchmark b ON d.text = b.text")
 def overlap_exact(spark: SparkSession, sf: str) -> DataFrame:
-    left = table(spark, sf, "documents").select("doc_id", overlap.fingerprint(F.col("text")).alias("f"))
-    return left.join(table(spark, sf, "benchmark").select("item_id", overlap.fingerprint(F.col("text")).alias("f")), "f").select("doc_id", "item_id")
+    """Documents, and odd benchmark items among them under negative ids, against the benchmark."""
+    items = table(spark, sf, "benchmark")
+    docs = table(spark, sf, "documents").select("doc_id", "text").union(items.where("item_id % 2 = 1").select(-F.col("item_id"), "text"))
+    return docs.select("doc_id", overlap.fingerprint(F.col("text")).alias("f")).join(items.select("item_id", overlap.fingerprint(F.col("text")).alias("f")), "f").select("doc_id", "item_id")
 
 
 @query("content_fingerprint", "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS representative FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -744,9 +746,13 @@ def _re2(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-@query("secret_scan", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '{_re2(p)}')" for p in validation.SECRET_VALUES))
+#: Some documents with an access key of the documented form put in.
+_PLANTED = "CASE WHEN doc_id % 9 = 4 THEN concat(text, ' key AKIA', 'ABCDEFGH', 'IJKLMNOP') ELSE text END"
+
+
+@query("secret_scan", f"SELECT doc_id FROM (SELECT doc_id, {_PLANTED} AS text FROM documents) WHERE " + " OR ".join(f"regexp_matches(text, '{_re2(p)}')" for p in validation.SECRET_VALUES))
 def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where(validation.looks_secret(F.col("text"))).select("doc_id")
+    return table(spark, sf, "documents").select("doc_id", F.expr(_PLANTED).alias("text")).where(validation.looks_secret(F.col("text"))).select("doc_id")
 
 
 @query(
@@ -1067,10 +1073,14 @@ def challenge_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ledgers.challenge_summary(order_tasks(spark, sf))
 
 
-@query("forbidden_fields", "SELECT count(*) AS n, count(*) FILTER (WHERE len(list_filter(json_keys(props), lambda k: k IN ('password', 'secret', 'api_key'))) > 0) AS forbidden FROM events")
+#: Events' properties below other keys, some of which no record may have.
+_NESTED = """concat('{"list":[{"', CASE WHEN event_id % 11 = 3 THEN 'API-Key' WHEN event_id % 7 = 2 THEN 'password' WHEN event_id % 5 = 1 THEN 'password_hint' ELSE 'note' END, '":"say \\"secret\\": no"}],"props":', coalesce(props, 'null'), '}')"""
+
+
+@query("forbidden_fields", "SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 11 = 3 OR event_id % 7 = 2) AS forbidden, count(*) FILTER (WHERE event_id % 11 = 3) AS api_keys FROM events")
 def forbidden_fields(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").select(ledgers.forbidden_paths("props").alias("paths"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(F.size("paths") > 0).alias("forbidden"))
+    rows = table(spark, sf, "events").select(ledgers.forbidden_names(F.expr(_NESTED.replace("\\", "\\\\"))).alias("names"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.size("names") > 0).alias("forbidden"), F.count_if(F.array_contains("names", "api_key")).alias("api_keys"))
 
 
 @query(
