@@ -133,7 +133,7 @@ class Block:
         return [(k, a, b, n) for k, (n, a, b) in best.items()]
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, least_words: int = 1) -> DataFrame:
     """(id, item_id, n_items, first_word, end_word, n_equal) for each text and benchmark text that share a passage.
 
     Equal benchmark texts are one item, with the least id (null only where none
@@ -141,14 +141,17 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     nothing; an empty benchmark or an empty table gives no rows; a text row that
     is repeated gives its rows again. A text of any length is searched whole; of
     passages that tie the first found is told. Words are compared with A-Z
-    lower-cased. Other columns are not read, whatever their names.
+    lower-cased. Other columns are not read, whatever their names. Items of fewer
+    than `least_words` words are left out: one of a word or two is in texts that
+    have nothing to do with it.
 
     The benchmark is the query set: it goes to all tasks in blocks of about
     `block_bytes` (its size is counted first), and each block meets all texts,
     so no block grows with either table.
     """
     spark = docs.sparkSession
-    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("t")).agg(F.min(item_col).cast("long").alias("item"), F.count("*").alias("n"))
+    long_enough = F.regexp_count(F.col(item_text), F.lit(r"[^\x20\x09-\x0D]+")) >= least_words  # null is not
+    items = benchmark.where(long_enough).groupBy(F.col(item_text).alias("t")).agg(F.min(item_col).cast("long").alias("item"), F.count("*").alias("n"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -176,13 +179,13 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that share no passage with the benchmark.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1) -> DataFrame:
+    """The rows of docs that share no passage with the benchmark's items of `least_words` words or more.
 
     Rows are told apart by id and text, so ids may repeat or be null; null and
     empty texts stay, and an empty benchmark or table takes nothing. docs may
     have any other columns but `__row` and `__hit`.
     """
     keyed = docs.withColumn("__row", F.struct(F.col(f"`{id_col}`").alias("id"), F.md5(F.col(f"`{text_col}`").cast("binary")).alias("text")))
-    hit = materialise(find_passages(keyed, benchmark, "__row", text_col).select(F.col("__row").alias("__hit")).distinct())  # so that its size decides on the join
+    hit = materialise(find_passages(keyed, benchmark, "__row", text_col, least_words=least_words).select(F.col("__row").alias("__hit")).distinct())  # so that its size decides on the join
     return keyed.join(hit, F.col("__row") == F.col("__hit"), "left_anti").drop("__row")

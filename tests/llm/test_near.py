@@ -141,3 +141,27 @@ def test_near_copies_at_shingle_similarity_are_dropped(spark):
     label = brute.least_reachable(len(rows), lambda i, j: (i, j) not in far or (i, j) in alike)
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert kept == {rows[c][0] for c in label}
+
+
+def test_short_items_have_a_floor(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat today"), (2, "a cat"), (3, "no more")], SCHEMA)
+    bench = spark.createDataFrame([(1, "the"), (2, " A  cat "), (3, "cat sat on the mat"), (4, None), (5, " ")], "item_id long, text string")
+    hits = lambda least: {(r["doc_id"], r["item_id"]) for r in spaced_seeds.find_passages(docs, bench, least_words=least).collect()}
+    assert hits(1) == {(1, 1), (1, 3), (2, 2)} and hits(2) == {(1, 3), (2, 2)} and hits(5) == {(1, 3)} and hits(6) == set()
+    assert {r["doc_id"] for r in spaced_seeds.decontaminate(docs, bench, least_words=5).collect()} == {2, 3}
+
+
+def test_the_query_against_brute_force(spark):
+    import os
+
+    from gridloom.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("the test tables are not here")
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    short = {d: t for d, t in docs if len((t or "").split()) < 300}  # the plain version takes minutes for the long ones
+    found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op1_spaced_seeds"](spark, sf).collect() if r["doc_id"] in short}
+    words = {k: set(b.lower().split()) for k, b in items}
+    assert found == {(d, k) for d, t in short.items() for k, b in items if len(words[k] & set((t or "").lower().split())) > 8 and plain_hit(t, b)} and found
