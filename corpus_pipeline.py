@@ -68,7 +68,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark; null and empty texts stay, and ids may repeat or be null."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), least_words=5)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
