@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import shared
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return shared.written(df)
 
 
+def materialise_sparing(df: DataFrame) -> DataFrame:
+    """materialise, with Arrow batches of at most BATCH_BYTES while it is written.
+
+    A batch is in memory three times, twice beside the JVM's heap: for steps that
+    follow each other in long-lived executors.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(BATCH_CONF)
+    conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:
+        return shared.written(df)
+    finally:
+        conf.set(BATCH_CONF, before)
+
+
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column of at most `limit` bytes each (a longer row is alone)."""
     n = len(column)

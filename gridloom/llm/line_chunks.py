@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expanded, materialise, slices, squeezed, texts, tidy
+from .common import expanded, materialise_sparing, slices, squeezed, texts, tidy
 
 WINDOW = 1
 CUTTINGS = 8
@@ -186,9 +186,9 @@ def _planned(docs: DataFrame, text_col: str, digest: Digest) -> DataFrame:
                 found = [[line_mark(x, digest) for x in t.split(b"\n")] if b"\n" in t else None for t in texts(b.column(1), start, stop)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), pa.array(found, pa.list_(pa.binary()))], names=["name", "marks"])
 
-    found = materialise(bodies.mapInArrow(cut, f"id {kind}, line int, until int, hash binary"))
+    found = materialise_sparing(bodies.mapInArrow(cut, f"id {kind}, line int, until int, hash binary"))
     again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    shared = materialise(found.join(again, "hash"))
+    shared = materialise_sparing(found.join(again, "hash"))
     firsts = shared.groupBy("hash").agg(F.min(F.struct("id", "line")).alias("first"))
     hits = shared.join(firsts, "hash").where(F.struct("id", "line") != F.col("first"))
     shift = F.col("line") - F.col("first.line")
@@ -197,10 +197,10 @@ def _planned(docs: DataFrame, text_col: str, digest: Digest) -> DataFrame:
     copied = F.col("id.text") == F.col("fid.text")
     bounds = placed.where(copied & (F.col("id") != F.col("fid"))).groupBy("id", "fid").agg(F.min("line").alias("line"), F.max("until").alias("until"))
     copies = bounds.select(F.explode(F.array("id", "fid")).alias("id"), "line", "until", F.lit(True).alias("whole"), "fid").select("id", "line", "until", (F.col("id") != F.col("fid")).alias("gone"), "whole")
-    pairs = materialise(placed.where(~copied | (F.col("id") == F.col("fid"))).groupBy("id", "fid").agg(F.collect_set(F.struct("shift", "line", "until")).alias("hits")))
+    pairs = materialise_sparing(placed.where(~copied | (F.col("id") == F.col("fid"))).groupBy("id", "fid").agg(F.collect_set(F.struct("shift", "line", "until")).alias("hits")))
     named = pairs.select("id").union(pairs.select("fid")).distinct()
     lines = bodies.mapInArrow(marks, f"name {kind}, marks array<binary>").where("marks is not null").join(named, F.col("name") == F.col("id"), "left_semi")
-    lines = materialise(lines.groupBy("name").agg(F.first("marks").alias("marks")))  # rows that repeat an id and its text have the same marks
+    lines = materialise_sparing(lines.groupBy("name").agg(F.first("marks").alias("marks")))  # rows that repeat an id and its text have the same marks
     sides = pairs.join(lines.select(F.col("name").alias("id"), F.col("marks").alias("later")), "id").join(lines.select(F.col("name").alias("fid"), F.col("marks").alias("earlier")), "fid")
 
     @tidy
@@ -220,7 +220,7 @@ def _planned(docs: DataFrame, text_col: str, digest: Digest) -> DataFrame:
     runs = runs.withColumn("whole", F.lit(False)).union(copies)
     listed = lambda keep: F.collect_set(F.when(keep, F.struct("line", "until", "whole")))
     plan = runs.groupBy(F.col("id").alias("__id")).agg(listed(F.col("gone")).alias("__gone"), listed(~F.col("gone")).alias("__firsts"))
-    return materialise(squeezed(docs, text_col).join(plan, F.col("__key") == F.col("__id"), "left").drop("__id"))
+    return materialise_sparing(squeezed(docs, text_col).join(plan, F.col("__key") == F.col("__id"), "left").drop("__id"))
 
 
 def _unlike(planned: DataFrame, text_col: str, digest: Digest) -> bool:

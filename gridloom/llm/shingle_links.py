@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, spread, squeezed, texts, tidy
+from .common import materialise_sparing, slices, spread, squeezed, texts, tidy
 from .repeats import mix, words_of
 from .simhash_trie import LOWER, fingerprint
 
@@ -162,17 +162,17 @@ def shingle_links(docs: DataFrame, text_col: str = "text", percent: int = 80) ->
                 rows, held = [], 0
         yield told()
 
-    found = materialise(source.mapInArrow(keys, "key long, node binary"))
+    found = materialise_sparing(source.mapInArrow(keys, "key long, node binary"))
     own = F.xxhash64("node")
     shared = found.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high").select("key")
-    rest = materialise(found.join(shared, "key").distinct())
-    nodes = materialise(rest.select("node").distinct()).hint("merge")  # they grow with the corpus: not to be broadcast
-    bodies = materialise(squeezed(source, "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    rest = materialise_sparing(found.join(shared, "key").distinct())
+    nodes = materialise_sparing(rest.select("node").distinct()).hint("merge")  # they grow with the corpus: not to be broadcast
+    bodies = materialise_sparing(squeezed(source, "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     a_text, b_text = (bodies.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "x"), ("b", "y")))
     texts_of = lambda pairs: pairs.join(b_text, "b").join(a_text, "a").select("a", "b", "x", "y")
 
     sized = rest.groupBy("key").agg(F.count("*").alias("n"))
-    placed = materialise(rest.join(sized, "key"))
+    placed = materialise_sparing(rest.join(sized, "key"))
     small, large = placed.where((F.col("n") > 1) & (F.col("n") <= SMALL)), placed.where(F.col("n") > SMALL)
     pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     links = texts_of(pairs).mapInArrow(compare, link)
@@ -180,10 +180,10 @@ def shingle_links(docs: DataFrame, text_col: str = "text", percent: int = 80) ->
     support = large.groupBy("node").agg(F.sum("n").alias("support"))
     leaders = large.join(support, "node").groupBy("key").agg(F.max(F.struct("support", "node"))["node"].alias("lead"))
     led = large.join(leaders, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    told = materialise(texts_of(led).mapInArrow(lead, "a binary, b binary, u long, v long, like boolean, size int, lacking array<long>, more array<long>"))
+    told = materialise_sparing(texts_of(led).mapInArrow(lead, "a binary, b binary, u long, v long, like boolean, size int, lacking array<long>, more array<long>"))
     links = links.union(told.where("like").select("u", "v"))
     # a leader whose texts are all like it is done; the differences of the others' are weighed
-    open_ = materialise(told.where("not like").select("a").distinct())
+    open_ = materialise_sparing(told.where("not like").select("a").distinct())
     rows = told.join(open_, "a").withColumns({"weight": (100 * F.size("lacking") + percent * F.size("more")) / (100 + percent), "slack": F.col("size") * (100 - percent) / (100 + percent)})
     marks = F.concat(F.transform("lacking", lambda h: F.struct(h.alias("h"), F.lit(True).alias("l"))), F.transform("more", lambda h: F.struct(h.alias("h"), F.lit(False).alias("l"))))
     token = rows.select("a", "b", "like", "weight", "slack", (F.size("lacking") + F.size("more")).alias("size"), F.explode(marks).alias("mark"))
@@ -195,7 +195,7 @@ def shingle_links(docs: DataFrame, text_col: str = "text", percent: int = 80) ->
     # two texts share at most as many differences as either shows with others (`spare` is that number beyond its own weight)
     spare = F.size("marks") - F.col("weight")
     prefix = lambda least: F.greatest(F.lit(0), (F.col("size") - F.ceil(least - F.lit(1e-6)) + 1 - alone).cast("int"))
-    ranked = materialise(ranked.select("a", "b", "like", "marks", "weight", "slack", spare.alias("spare"), prefix(F.col("weight")).alias("short"), prefix(F.greatest(F.lit(1.0), F.col("weight") - F.col("slack"))).alias("long")))
+    ranked = materialise_sparing(ranked.select("a", "b", "like", "marks", "weight", "slack", spare.alias("spare"), prefix(F.col("weight")).alias("short"), prefix(F.greatest(F.lit(1.0), F.col("weight") - F.col("slack"))).alias("long")))
     cut = lambda n: F.posexplode(F.slice("marks", F.lit(1), F.col(n))).alias("at", "m")
 
     def side(rows: DataFrame, name: str, length: str) -> DataFrame:
@@ -208,4 +208,4 @@ def shingle_links(docs: DataFrame, text_col: str = "text", percent: int = 80) ->
     room = "one <> two and least(one_left, two_left) >= one_weight + two_weight - slack - 1e-6"
     near = left.join(right, ["a", "mark"]).where(room).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
     links = links.union(texts_of(near).mapInArrow(compare, link))
-    return materialise(links.where("u <> v").distinct())
+    return materialise_sparing(links.where("u <> v").distinct())
