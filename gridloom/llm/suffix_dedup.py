@@ -34,6 +34,7 @@ SYMBOL = 12
 CONTEXT_BYTES = 6 << 20  # bytes of text for each bucket of contexts: a suffix array in Python lists is large
 BASE = 0x5851F42D4C957F2D
 PAD = 0xFF  # never a byte of UTF-8
+PLACES = 5  # places of a string over its anchor that are looked at together
 
 
 def joined(batch: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,6 +159,23 @@ def _pairs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.stack([lo, hi], axis=1).astype("<u4")).view(np.uint8).reshape(-1, 8)
 
 
+def _meet(context: np.ndarray, reach: int) -> np.ndarray:
+    """Which contexts may share a string with another: they share the bytes that all strings of some neighbouring places have.
+
+    A context that meets no other there has no string in common with any, so it
+    needs no order. Equal hashes bring no error: they only let a context in.
+    """
+    found = np.zeros(len(context), bool)
+    for first in range(0, reach + 1, PLACES):
+        last = min(first + PLACES - 1, reach)  # a string with o bytes before the anchor has reach - o after it
+        h = _row_hash(context[:, reach - first : reach + GRAM + reach - last])
+        order = np.argsort(h, kind="stable")
+        same = h[order[1:]] == h[order[:-1]]
+        found[order[1:][same]] = True
+        found[order[:-1][same]] = True
+    return found
+
+
 def covered_ranges(context: np.ndarray, doc: np.ndarray, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each entry (document order `doc`, context number `which`): the covered range, relative to its anchor.
 
@@ -175,6 +193,7 @@ def covered_ranges(context: np.ndarray, doc: np.ndarray, which: np.ndarray, leng
     before, after = inside[:, :reach].sum(axis=1), inside[:, reach + GRAM :].sum(axis=1)
     # contexts that are alone with their gram need no order: only their own copies repeat them
     busy = np.flatnonzero(np.bincount(gram)[gram] > 1) if len(gram) else gram
+    busy = busy[_meet(context[busy], reach)]
     best = np.repeat(least[:, None], width, axis=1)
     if len(busy):
         rows, own = context[busy], gram[busy]

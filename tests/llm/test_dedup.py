@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import line_chunks
+from gridloom.llm import line_chunks, suffix_dedup
 from gridloom.llm.gsaca import suffix_array
 from gridloom.llm.line_chunks import CUTTINGS, chunk_ends, line_dedup, pieces
 from gridloom.llm.queries import QUERIES
@@ -160,3 +160,19 @@ def test_the_query_against_the_rule_and_all_repeated_runs(spark):
     lines = lambda t: (t or "").count("\n") + 1 if t else 0
     brute_gone = sum(lines(source[d]) - lines(t) for d, t in plain_runs(rows))
     assert sum(g[1] for g in got.values()) >= 0.9 * brute_gone
+
+
+def test_contexts_without_a_common_string_need_no_order(monkeypatch):
+    """Contexts of one gram that share nothing longer are not put into the suffix array; those that do are."""
+    ordered = []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s: ordered.append(len(s)) or suffix_array(s))
+    rng = np.random.default_rng(3)
+    reach, gram = 34, np.frombuffer(b"the common sixteen bytes"[:16], np.uint8)
+    sides = rng.integers(97, 123, (40, 2 * reach), np.uint8)
+    context = np.concatenate([sides[:, :reach], np.repeat(gram[None], 40, axis=0), sides[:, reach:]], axis=1)
+    doc = np.arange(40)
+    low, high = suffix_dedup.covered_ranges(context, doc, doc, 50)
+    assert ordered == [] and not low.any() and not high.any()
+    context[7, 20:] = context[30, 20:]  # 14 bytes before the anchor and all after it
+    low, high = suffix_dedup.covered_ranges(context, doc, doc, 50)
+    assert len(ordered) == 1 and np.flatnonzero(high > low).tolist() == [30] and (low[30], high[30]) == (-14, 50)
