@@ -56,9 +56,9 @@ def read_labels(spark: SparkSession, view: View) -> DataFrame:
     return spark.read.parquet(view.labels).select("task_id", F.from_json("outputs", f"array<{GRID}>").alias("outputs"))
 
 
-def solve(spark: SparkSession, view: View, solver: Solver) -> DataFrame:
+def solve(view: View, inputs: DataFrame, solver: Solver) -> DataFrame:
     """(task_id, outputs) of the solver, written; the labels are read after it."""
-    return shared.written(solver(read_inputs(spark, view), view).select("task_id", "outputs"))
+    return shared.written(solver(inputs, view).select("task_id", "outputs"))
 
 
 def exact_tasks(spark: SparkSession, view: View, predictions: DataFrame, top_k: int) -> DataFrame:
@@ -68,19 +68,29 @@ def exact_tasks(spark: SparkSession, view: View, predictions: DataFrame, top_k:
     return scores.select("task_id", "exact")
 
 
+def prepare(given: DataFrame, other: DataFrame, folder: str) -> list[tuple[View, DataFrame]]:
+    """Both views of the same tasks (task_id, task), written as trees, each with what its files hold: for any number of solvers."""
+    views = [write_view(labelled, f"{folder}/{name}") for name, labelled in (("a", given), ("b", other))]
+    return [(view, shared.written(read_inputs(given.sparkSession, view))) for view in views]
+
+
 def ab_run(given: DataFrame, other: DataFrame, folder: str, solver: Solver, top_k: int = 2) -> DataFrame:
+    """The proof of one solver over two views, given and other, that hold the same tasks (task_id, task) with unlike labels."""
+    return proof(prepare(given, other, folder), solver, top_k)
+
+
+def proof(views: list[tuple[View, DataFrame]], solver: Solver, top_k: int = 2) -> DataFrame:
     """One row: tasks, equal_inputs, changed_labels, equal_predictions, exact_a, exact_b, verdict.
 
-    given and other hold the same tasks (task_id, task) with unlike labels. verdict is
+    verdict is
     passed where every task is in both views with equal files and unlike labels, and
     its predictions are equal; else failed. Tasks that only one side has count as
     unequal. Views without tasks are an error, as any source without files is.
     """
-    spark = given.sparkSession
     sides = []
-    for name, labelled in (("a", given), ("b", other)):
-        view = write_view(labelled, f"{folder}/{name}")
-        made = solve(spark, view, solver)
+    for name, (view, inputs) in zip("ab", views, strict=True):
+        spark = inputs.sparkSession
+        made = solve(view, inputs, solver)
         files = task_tree.read_manifest(spark, view.inputs).select(F.regexp_extract("path", r"([^/]+)\.json\z", 1).alias("task_id"), F.col("sha256").alias(f"file_{name}"))
         labels = spark.read.parquet(view.labels).select("task_id", F.sha2("outputs", 256).alias(f"label_{name}"))
         digests = made.select("task_id", F.sha2(F.to_json("outputs"), 256).alias(f"made_{name}"))

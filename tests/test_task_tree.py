@@ -98,3 +98,22 @@ def test_the_run_over_two_views(spark, tmp_path):
     assert run("less", given, other.where("task_id <> 't3'"), honest)[-1] == "failed"
     with pytest.raises(tasks.DatasetError):
         run("none", given.limit(0), other.limit(0), honest)
+
+
+@pytest.mark.parametrize("value", [[], {}, [[]], {"b": [1, -2, True], "a": {"é": None, "c": [1.5, "x\n", [0]]}}, [[1, 2], [], {}], [True, 1], "s"])
+def test_file_bytes_are_those_of_json(value):
+    assert task_tree.file_bytes(value) == (json.dumps(value, indent=2, sort_keys=True) + "\n").encode()
+
+
+def test_several_solvers_share_the_files(spark, tmp_path, monkeypatch):
+    """Each view is written once and its files are read once, whatever the number of solvers."""
+    calls = []
+    for module, name in ((task_tree, "write_tree"), (tasks, "load_tasks")):
+        inner = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, inner=inner, name=name, **k: calls.append(name) or inner(*a, **k))
+    given = frame(spark, range(5), lambda k: (None, *named(k)[1:]))
+    other = given.select("task_id", grids.mutate_labels(F.col("task")).alias("task"))
+    views = firewall.prepare(given, other, str(tmp_path / "views"))
+    for _ in range(2):
+        assert firewall.proof(views, lambda inputs, _: baseline.predictions(baseline.rank_candidates(inputs, 2))).first()["verdict"] == "passed"
+    assert sorted(calls) == ["load_tasks"] * 2 + ["write_tree"] * 2
