@@ -196,3 +196,43 @@ def test_color_maps_are_distinct():
     maps = splits.color_maps("d", [1, 2, 3, 4])
     assert all(m[0] == 0 and sorted(m) == sorted(m.values()) == list(range(10)) for m in maps)
     assert all(a != b for a, b in itertools.combinations(maps, 2)) and grids.INVERSE_D4["rotate_90"] == "rotate_270"
+
+
+def test_pairs_that_differ_in_colours_only_are_searched_once(spark, monkeypatch):
+    """A thousand copies in other colours cost one search; each pair keeps its own colours."""
+    sizes = []
+    inner = isomorphism.partners
+    monkeypatch.setattr(isomorphism, "partners", lambda pairs, records: sizes.append((pairs.count(), records.count())) or inner(pairs, records))
+    others = {f"o{k}": image(BASE, "rotate_90", (1, 2, 0), {c: (c + k) % 10 for c in range(10)}) for k in range(10)}
+    found = searched(spark, BASE, others)
+    assert sizes == [(1, 2)]
+    assert all(found[name]["status"] == "matched" and replay(BASE, other, found[name]) for name, other in others.items())
+
+
+def test_blocks_are_dealt_in_strips(spark, monkeypatch):
+    """A block of more pairs than a task is to make is dealt over several; every pair is made once."""
+    monkeypatch.setattr(cluster, "PAIRS_A_TASK", 20)
+    records = spark.createDataFrame([(i, "big" if i < 40 else "none" if i == 40 else f"k{i % 7}") for i in range(70)] + [(99, None)], "record_id int, k string")
+    made = cluster.blocked_pairs(records, "k")
+    keys = {r["record_id"]: r["k"] for r in records.collect()}
+    expected = sorted((a, b) for a, b in itertools.combinations(sorted(keys), 2) if keys[a] is not None and keys[a] == keys[b])
+    assert sorted(map(tuple, made.collect())) == expected
+    assert max(r["n"] for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 400
+
+
+def test_components_by_contraction(spark, monkeypatch):
+    """Against a plain union; ends that are no nodes, loops and repeated edges bring nothing, and the tables of later rounds shrink."""
+    rng = random.Random(8)
+    edges = [(i + 1, i) for i in range(300) if i % 60] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(120)] + [(7, 7), (900, 3), (900, 500), (5, 4), (4, 5)]
+    label = list(range(620))
+    for _ in range(620):
+        for u, v in edges:
+            if u != 900:
+                label[u] = label[v] = min(label[u], label[v])
+    sizes = []
+    inner = cluster.shared.written
+    monkeypatch.setattr(cluster.shared, "written", lambda df: (lambda out: sizes.append(out.count()) or out)(inner(df)))
+    nodes = spark.createDataFrame([(i,) for i in range(620)], "node long")
+    got = {r["node"]: r["label"] for r in cluster.min_label_components(nodes, spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict(enumerate(label))
+    assert sum(sizes) < 9 * len(edges)
