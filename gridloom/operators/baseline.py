@@ -27,10 +27,18 @@ def cell_pairs(train: Column) -> Column:
 
 def color_mapping(train: Column) -> Column:
     """source -> target colour where that is a function and all shapes agree; else null. Many may go to one."""
-    pairs = cell_pairs(train)
-    sources = F.transform(pairs, lambda p: p["s"])
-    works = F.forall(train, lambda p: grids.same_shape(p["input"], p["output"])) & (F.size(F.array_distinct(sources)) == F.size(sources))
-    return F.when(works, F.map_from_entries(pairs))
+    # pairs as whole numbers: distinct ones are found by hash, those of structs by comparing each with all
+    code = lambda s, t: F.shiftleft(s.cast("long"), 32) + t.cast("long") + (1 << 31)
+    cells = F.transform(train, lambda p: F.zip_with(F.flatten(p["input"]), F.flatten(p["output"]), code))
+    source = lambda c: F.shiftright(c, 32).cast("int")
+    target = lambda c: (c - F.shiftleft(F.shiftright(c, 32), 32) - (1 << 31)).cast("int")
+
+    def learnt(codes: Column) -> Column:
+        sources = F.transform(codes, source)
+        works = (F.size(F.array_distinct(sources)) == F.size(codes)) & F.forall(codes, lambda c: c.isNotNull())
+        return F.when(works, F.map_from_arrays(sources, F.transform(codes, target)))
+
+    return F.when(F.forall(train, lambda p: grids.same_shape(p["input"], p["output"])), grids.bound(F.sort_array(F.array_distinct(F.flatten(cells))), learnt))
 
 
 def learn_functional_dependency(rows: DataFrame, group: list[str], source: str, target: str) -> DataFrame:
@@ -59,10 +67,12 @@ def candidates(task: Column, grid: Column, mapping: Column, top_k: int) -> Colum
     train = task["train"]
     geometric = F.array_compact(F.array(*[F.when(fits(train, turn), one(name, turn(grid))) for name, turn in grids.D4.items()]))
     mapped = F.array_compact(F.array(F.when(mapping.isNotNull(), one("color_mapping", grids.recolor(mapping)(grid)))))
-    colors = grids.colors_by_frequency(grid)
-    fixed = F.array(one("copy_input", grid), one("dominant_color", grids.constant(grid, F.element_at(colors, 1))))
-    constants = F.transform(F.slice(colors, 1, min(top_k, grids.CELLS)), lambda c: one(F.concat(F.lit("constant_color:"), c.cast("string")), grids.constant(grid, c)))
-    return F.concat(geometric, mapped, fixed, constants)
+
+    def plain(colors: Column) -> Column:
+        fixed = F.array(one("copy_input", grid), one("dominant_color", grids.constant(grid, F.element_at(colors, 1))))
+        return F.concat(fixed, F.transform(F.slice(colors, 1, min(top_k, grids.CELLS)), lambda c: one(F.concat(F.lit("constant_color:"), c.cast("string")), grids.constant(grid, c))))
+
+    return F.concat(geometric, mapped, grids.bound(grids.colors_by_frequency(grid), plain))
 
 
 def first_k_distinct(rows: DataFrame, group: list[str], value: Column, order: Column, k: int) -> DataFrame:
@@ -81,7 +91,7 @@ def rank_candidates(tasks: DataFrame, top_k: int = 2) -> DataFrame:
     seen = seen.withColumn("mapping", color_mapping(F.col("task.train")))
     inputs = seen.select("task_id", "task", "mapping", F.posexplode("task.test").alias("output_index", "pair"))
     made = inputs.select("task_id", "output_index", candidates(F.col("task"), F.col("pair.input"), F.col("mapping"), top_k).alias("c"))
-    made = made.withColumn("t", F.transform("c", lambda x: F.to_json(x["grid"])))
+    made = made.withColumn("t", F.transform("c", lambda x: x["grid"]))
     # an input's candidates are one short array: the first of each grid is kept in place, without a shuffle
     once = F.filter("c", lambda x, i: F.array_position("t", F.get(F.col("t"), i)) == i + 1)
     return made.select("task_id", "output_index", F.posexplode(F.slice(once, 1, top_k)).alias("place", "x")).select("task_id", "output_index", (F.col("place") + 1).alias("rank"), "x.solver", "x.grid")
