@@ -138,7 +138,7 @@ def prediction_shape(spark: SparkSession, sf: str) -> DataFrame:
 @query("score_contract", f"WITH {TASK_SQL} SELECT count(*) AS tasks_total, concat_ws(',', CASE WHEN count(*) <> 1498 THEN 'tasks_total,tasks_predicted' END, 'outputs_total') AS errors FROM tk")
 def score_contract(spark: SparkSession, sf: str) -> DataFrame:
     """The baseline's score against declared denominators, of which the number of outputs is wrong."""
-    score = baseline.run(order_tasks(spark, sf), 2)[2]
+    score = baseline.run(shared.written(order_tasks(spark, sf)), 2)[2]
     return protocol.score_contract_errors(score, 1498, 0, 2).select("tasks_total", F.array_join("errors", ",").alias("errors"))
 
 
