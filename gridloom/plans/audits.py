@@ -162,8 +162,8 @@ def firewall_digests(spark: SparkSession, sf: str) -> DataFrame:
 )
 def robustness(spark: SparkSession, sf: str) -> DataFrame:
     """Two readings of the baseline's results, with two variants of each task."""
-    base = order_tasks(spark, sf)
-    attempts = baseline.rank_candidates(base, 2).select("task_id", "output_index", F.col("rank").alias("attempt_no"), "grid")
+    base = shared.written(order_tasks(spark, sf))
+    attempts = shared.written(baseline.rank_candidates(base, 2).select("task_id", "output_index", F.col("rank").alias("attempt_no"), "grid"))  # both readings score them
     own = scoring.task_scores(scoring.output_scores(scoring.explode_answers(base), attempts, 2))
     moved = scoring.task_scores(scoring.output_scores(scoring.explode_answers(base.select("task_id", grids.mutate_labels(F.col("task")).alias("task"))), attempts, 2))
     rows = own.select("task_id", "exact", (F.col("matches") * 2 > F.col("cells")).alias("most"), (F.col("task_id").cast("long") % 3 == 0).alias("third")).join(moved.select("task_id", F.col("exact").alias("moved")), "task_id")
