@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grids
-from . import baseline, scoring
+from . import baseline, scoring, shared
 
 #: Fixed value: the transforms that are combined with colour maps.
 COMBINED_D4 = ("rotate_90", "rotate_180", "flip_horizontal", "transpose")
@@ -78,7 +78,11 @@ def mutation_audit(tasks: DataFrame, offset: int = 1, top_k: int = 2) -> DataFra
     """
     mutated = tasks.select("task_id", grids.mutate_labels(F.col("task"), offset).alias("task"))
     first, second = (baseline.rank_candidates(t, top_k) for t in (tasks, mutated))
-    differing = first.exceptAll(second).union(second.exceptAll(first)).agg(F.count("*").alias("differing"))
+    # each run is made once, and read for the comparison and for both scores
+    first, second = shared.written(first), shared.written(second)
+    side = lambda rows, weight: rows.withColumn("__weight", F.lit(weight))
+    apart = side(first, 1).union(side(second, -1)).groupBy(*first.columns).agg(F.sum("__weight").alias("more")).where("more <> 0")
+    differing = apart.agg(F.coalesce(F.sum(F.abs("more")), F.lit(0)).alias("differing"))
     attempts = first.select("task_id", "output_index", F.col("rank").alias("attempt_no"), "grid")
     scores = [scoring.score(scoring.explode_answers(t), attempts, top_k).select(F.col("outputs_exact").alias(n), F.col("cells_correct").alias(f"{n}_cells")) for n, t in (("original", tasks), ("mutated", mutated))]
     return differing.crossJoin(scores[0]).crossJoin(scores[1])  # one row each
