@@ -22,37 +22,37 @@ def _orders(n: Column) -> dict[str, Column]:
     return {"cyclic-left": grids.cyclic_left(base), "reverse": F.reverse(base)}
 
 
-def design(tasks: DataFrame, color_maps: list[dict[int, int]], d4: list[str] | None = None) -> DataFrame:
+def design(tasks: DataFrame, color_maps: list[dict[int, int]], d4: list[str] | None = None, only: str | None = None) -> DataFrame:
     """(task_id, variant_id, category, latin_row, color_index, d4, round_trip, variant) for tasks (task_id, task, idx).
 
     idx is the task's place in its benchmark; idx modulo 4 is its row of the
     Latin square that pairs the combined transforms with the four colour maps.
     One row for each variant comes from an array of structs, so a task is read
-    once. round_trip says that the inverse restores the task exactly.
+    once. round_trip says that the inverse restores the task exactly. `only` names
+    a category where the variants of the others are not asked for.
     """
     seen = tasks.select("task_id", "idx", grids.challenge_only(F.col("task")).alias("task"))
     task, row = F.col("task"), F.pmod("idx", F.lit(4)).cast("int")
 
     def variant(name: Column | str, category: str, turn: Column | None, color: Column | None, forward: grids.Transform, inverse: grids.Transform, train: Column | None = None, test: Column | None = None) -> Column:
-        made = grids.transform_task(task, forward, train, test)
-        back = grids.restore_task(made, inverse, train, test)
         null = lambda kind: F.lit(None).cast(kind)
-        return F.struct(
+        return grids.bound(grids.transform_task(task, forward, train, test), lambda made: F.struct(
             (F.lit(name) if isinstance(name, str) else name).alias("variant_id"), F.lit(category).alias("category"), (turn if turn is not None else null("string")).alias("d4"),
-            (color if color is not None else null("int")).alias("color_index"), (F.to_json(back) == F.to_json(task)).alias("round_trip"), made.alias("variant"),
-        )
-
-    options = [variant(f"d4-{n}", "d4_only", F.lit(n), None, grids.D4[n], grids.D4[grids.INVERSE_D4[n]]) for n in d4 or list(grids.D4)]
-    maps = [grids.literal_map(m) for m in color_maps]
-    options += [variant(f"color-{k}", "color_only", None, F.lit(k), grids.recolor(m), grids.recolor(grids.inverse_map(m))) for k, m in enumerate(maps)]
-    table = F.array(*maps)
-    for slot, name in enumerate(COMBINED_D4):
+            (color if color is not None else null("int")).alias("color_index"), grids.restore_task(made, inverse, train, test).eqNullSafe(task).alias("round_trip"), made.alias("variant"),
+        ))
+
+    options = [] if only not in (None, "d4_only") else [variant(f"d4-{n}", "d4_only", F.lit(n), None, grids.D4[n], grids.D4[grids.INVERSE_D4[n]]) for n in d4 or list(grids.D4)]
+    inverse_maps = [{v: k for k, v in m.items()} for m in color_maps]
+    options += [] if only not in (None, "color_only") else [variant(f"color-{k}", "color_only", None, F.lit(k), grids.recolor(m), grids.recolor(back)) for k, (m, back) in enumerate(zip(color_maps, inverse_maps, strict=True))]
+    table, back_table = (F.array(*map(grids.color_table, maps)) for maps in (color_maps, inverse_maps))
+    for slot, name in enumerate(COMBINED_D4 if only in (None, "d4_plus_color") else ()):
         index = F.pmod(row + slot, F.lit(4))
-        chosen = F.get(table, index)
-        forward = grids.compose(grids.D4[name], grids.recolor(chosen))
-        inverse = grids.compose(grids.recolor(grids.inverse_map(chosen)), grids.D4[grids.INVERSE_D4[name]])
+        forward = grids.compose(grids.D4[name], grids.recolor_by(F.get(table, index)))
+        inverse = grids.compose(grids.recolor_by(F.get(back_table, index)), grids.D4[grids.INVERSE_D4[name]])
         options.append(variant(F.concat(F.lit(f"combo-{name}-color-"), index.cast("string")), "d4_plus_color", F.lit(name), index, forward, inverse))
     for split, category, least in (("train", "demonstration_order", {"cyclic-left": 3, "reverse": 3}), ("test", "test_order", {"cyclic-left": 2, "reverse": 3})):
+        if only not in (None, category):
+            continue
         n = F.size(task[split])
         for name, order in _orders(n).items():
             made = variant(f"{'demo' if split == 'train' else 'test'}-order-{name}", category, None, None, grids.identity, grids.identity, **{split: order})

@@ -172,3 +172,14 @@ def test_usage_and_variants(spark):
     assert {r["n"] for r in variants.latin_balance(made).collect()} == {4}
     row = variants.mutation_audit(spark.createDataFrame([(a, t) for a, _, t in many[:3]], f"task_id string, task {TASK}")).first()
     assert row["differing"] == 0
+
+
+def test_one_category_of_variants_is_as_among_all(spark):
+    """Asked for alone, a category's variants are those that all of them hold; the others are not made."""
+    pair = ([[1, 2, 3], [0, 4, 5]], [[1], [2]])
+    many = spark.createDataFrame([(f"t{k}", k, (None, [pair] * (1 + k), [([[1, 2]], [[3]])] * (1 + k))) for k in range(4)], f"task_id string, idx int, task {TASK}")
+    maps = splits.color_maps("d", [1, 2, 3, 4])
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = variants.design(many, maps)
+    for category in ("d4_only", "color_only", "d4_plus_color", "demonstration_order", "test_order"):
+        assert rows(variants.design(many, maps, only=category)) == rows(whole.where(F.col("category") == category))
