@@ -15,8 +15,9 @@ threshold t, two of them are alike only if their differences share at least
 g1 + g2 - (1 - 2c) * |leader| shingles, and g exceeds the last term for each text unlike
 the leader. So each must show that many differences that others show too, and both
 have one of their rarer differences in common (a prefix in the order of how many
-texts of the leader show a difference); only such pairs are compared. Nothing is
-lost by that, and copies with edits of their own, however many, give no pairs.
+texts of the leader show a difference); only such pairs are compared. Texts meet by grades
+of weight, for a partner known to be heavier must share more, so less of the
+order need be looked at. Nothing is lost by that, and copies with edits of their own, however many, give no pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ WIDTH = 5
 BANDS, DEPTH = 24, 5
 SMALL = 8
 HELD = 1 << 18  # differences that a task holds before it hands them on
+STEP, LEAST_GRADE = 1.25, -4  # weights of one grade differ by this factor at most; all below slack * STEP ** (LEAST_GRADE + 1) have the least
 _rng = np.random.default_rng(5)
 _ODD = _rng.integers(0, 1 << 31, BANDS * DEPTH, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, BANDS * DEPTH, np.uint32)
@@ -101,6 +103,60 @@ def compared(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return a[~in_b], b[~within(b, a)], int(in_b.sum())
 
 
+def differences(rows: DataFrame) -> DataFrame:
+    """rows (a, b, like, weight, slack, size, lacking, more) with `marks`: (n, mark) of those differences that n > 1 texts of the leader a show, the rarer first.
+
+    What texts lack is counted by its place in the leader, in a list as long as
+    the leader, which each of its rows then meets; only what they have more is dealt by shingle.
+    """
+    whole = rows.groupBy("a").agg(F.first("size").alias("size")).select("a", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("p"))
+    lost = rows.select("a", F.explode("lacking").alias("p")).union(whole).groupBy("a", "p").agg((F.count("*") - 1).alias("n"))
+    lost = lost.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "n"))), lambda s: s["n"]).alias("lost"))
+    token = rows.select("a", "b", F.explode("more").alias("h"))
+    counts = token.groupBy("a", "h").agg(F.count("*").alias("n")).where("n > 1")  # a difference of one text meets no other
+    mark = lambda h, lacks: F.struct(h.cast("long").alias("h"), F.lit(lacks).alias("l")).alias("mark")
+    met = token.join(counts, ["a", "h"]).groupBy("a", "b").agg(F.collect_list(F.struct("n", mark(F.col("h"), False))).alias("met"))
+    lacked = F.filter(F.transform("lacking", lambda p: F.struct(F.get("lost", p).alias("n"), mark(p, True))), lambda s: s["n"] > 1)
+    marks = F.array_sort(F.concat(lacked, F.coalesce("met", F.array().cast("array<struct<n:bigint,mark:struct<h:bigint,l:boolean>>>"))))
+    return rows.join(lost.hint("merge"), "a").join(met.hint("merge"), ["a", "b"], "left").select("a", "b", "like", "weight", "slack", marks.alias("marks"))
+
+
+def grade_sides(ranked: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix differences of texts for each grade of weight that a partner may have, each with how many of the text's differences stand from there on.
+
+    A partner of weight w or more must share weight + w - slack differences, so the prefix
+    is the shorter the heavier the partner. It shares at most w / c of its own, so grades
+    far off give none. The first side has the lighter of two texts.
+    """
+    base = F.greatest("slack", F.lit(1.0))
+    grade = F.greatest(F.lit(LEAST_GRADE), F.floor(F.log(F.greatest(F.col("weight"), base / 10) / base) / F.log(F.lit(STEP)))).cast("int")
+    graded = ranked.withColumns({"grade": grade, "base": base})
+    there = graded.groupBy("a").agg(F.collect_set("grade").alias("all"), F.collect_set(F.when(~F.col("like"), F.col("grade"))).alias("unlike"))
+    low = F.when(F.col("other") > LEAST_GRADE, F.col("base") * F.pow(F.lit(STEP), F.col("other"))).otherwise(0.0)
+    high = F.col("base") * F.pow(F.lit(STEP), F.col("other") + 1)
+    # texts like the leader are joined through it, so they look for unlike ones only
+    asked = graded.join(there.hint("merge"), "a").withColumn("other", F.explode(F.when(F.col("like"), F.col("unlike")).otherwise(F.col("all"))))
+    asked = asked.where(high * 100 / percent + F.col("slack") >= F.col("weight") - F.lit(1e-6))
+    n = F.size("marks")
+    length = F.least(n, n - F.ceil(F.greatest(F.lit(1.0), F.col("weight") + low - F.col("slack")) - F.lit(1e-6)) + 1).cast("int")
+    cut = asked.withColumn("length", length).where("length > 0")
+
+    def side(rows: DataFrame, name: str, grades: tuple[str, str]) -> DataFrame:
+        own = rows.select("a", F.col("b").alias(name), F.col("like").alias(f"{name}_like"), F.col("weight").alias(f"{name}_weight"), "slack", *[F.col(g).alias(k) for g, k in zip(grades, ("light", "heavy"), strict=True)], n.alias("n"), F.posexplode(F.slice("marks", F.lit(1), F.col("length"))).alias("at", "m"))
+        return own.select("a", "light", "heavy", F.col("m.mark").alias("mark"), name, f"{name}_like", f"{name}_weight", "slack", (F.col("n") - F.col("at")).alias(f"{name}_left"))
+
+    return side(cut.where("grade <= other"), "one", ("grade", "other")), side(cut.where("grade >= other"), "two", ("other", "grade")).drop("slack")
+
+
+def near_pairs(ranked: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of texts of one leader that may be alike by their differences from it; every alike pair that the leader does not join is among them."""
+    left, right = grade_sides(ranked, percent)
+    # all that two alike texts share stands from their first common difference on, in both
+    room = "(light < heavy or one < two) and not (one_like and two_like) and least(one_left, two_left) >= one_weight + two_weight - slack - 1e-6"
+    met = left.join(right, ["a", "mark", "light", "heavy"]).where(room)
+    return met.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+
+
 def shingle_links(docs: DataFrame, text_col: str = "text", percent: int = 80) -> DataFrame:
     """(u, v): SimHash fingerprints of texts whose similarity is `percent` hundredths or more.
 
@@ -143,8 +199,8 @@ def shingle_links(docs: DataFrame, text_col: str = "text", percent: int = 80) ->
 
     @tidy
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of pairs (leader, node), and each node's differences: shingles that it lacks, and that it has more."""
-        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        """Links of pairs (leader, node), and each node's differences: places of the leader's shingles that it lacks, and shingles that it has more."""
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
         rows, held = [], 0
 
         def told() -> pa.RecordBatch:
@@ -155,7 +211,7 @@ def shingle_links(docs: DataFrame, text_col: str = "text", percent: int = 80) ->
             lacking, more, both = compared(x, y)
             like = alike(lacking, more, both)
             u, v = (_print(x), _print(y)) if like else (None, None)
-            rows.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), u, v, like, len(lacking) + both, lacking.view(np.int64), more.view(np.int64)))
+            rows.append((b.column(0)[k].as_py(), b.column(1)[k].as_py(), u, v, like, len(lacking) + both, np.searchsorted(_set(x), lacking).astype(np.int32), more.view(np.int64)))
             held += len(lacking) + len(more)
             if held > HELD:
                 yield told()
@@ -180,32 +236,12 @@ def shingle_links(docs: DataFrame, text_col: str = "text", percent: int = 80) ->
     support = large.groupBy("node").agg(F.sum("n").alias("support"))
     leaders = large.join(support, "node").groupBy("key").agg(F.max(F.struct("support", "node"))["node"].alias("lead"))
     led = large.join(leaders, "key").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    told = materialise_sparing(texts_of(led).mapInArrow(lead, "a binary, b binary, u long, v long, like boolean, size int, lacking array<long>, more array<long>"))
+    told = materialise_sparing(texts_of(led).mapInArrow(lead, "a binary, b binary, u long, v long, like boolean, size int, lacking array<int>, more array<long>"))
     links = links.union(told.where("like").select("u", "v"))
     # a leader whose texts are all like it is done; the differences of the others' are weighed
     open_ = materialise_sparing(told.where("not like").select("a").distinct())
     rows = told.join(open_, "a").withColumns({"weight": (100 * F.size("lacking") + percent * F.size("more")) / (100 + percent), "slack": F.col("size") * (100 - percent) / (100 + percent)})
-    marks = F.concat(F.transform("lacking", lambda h: F.struct(h.alias("h"), F.lit(True).alias("l"))), F.transform("more", lambda h: F.struct(h.alias("h"), F.lit(False).alias("l"))))
-    token = rows.select("a", "b", "like", "weight", "slack", (F.size("lacking") + F.size("more")).alias("size"), F.explode(marks).alias("mark"))
-    counts = token.groupBy("a", "mark").agg(F.count("*").alias("n")).where("n > 1")  # a difference of one text meets no other
-    met = token.join(counts, ["a", "mark"])
-    # differences that no other text shows come first in the order, so a prefix ends that much earlier among the rest
-    ranked = met.groupBy("a", "b", "like", "weight", "slack", "size").agg(F.array_sort(F.collect_list(F.struct("n", "mark"))).alias("marks"))
-    alone = F.col("size") - F.size("marks")
-    # two texts share at most as many differences as either shows with others (`spare` is that number beyond its own weight)
-    spare = F.size("marks") - F.col("weight")
-    prefix = lambda least: F.greatest(F.lit(0), (F.col("size") - F.ceil(least - F.lit(1e-6)) + 1 - alone).cast("int"))
-    ranked = materialise_sparing(ranked.select("a", "b", "like", "marks", "weight", "slack", spare.alias("spare"), prefix(F.col("weight")).alias("short"), prefix(F.greatest(F.lit(1.0), F.col("weight") - F.col("slack"))).alias("long")))
-    cut = lambda n: F.posexplode(F.slice("marks", F.lit(1), F.col(n))).alias("at", "m")
-
-    def side(rows: DataFrame, name: str, length: str) -> DataFrame:
-        """Prefix differences of texts, each with how many of the text's differences stand from there on."""
-        own = rows.select("a", F.col("b").alias(name), F.col("weight").alias(f"{name}_weight"), "slack", F.size("marks").alias("n"), cut(length))
-        return own.select("a", name, f"{name}_weight", "slack", F.col("m.mark").alias("mark"), (F.col("n") - F.col("at")).alias(f"{name}_left"))
-
-    left, right = side(ranked.where("not like"), "one", "long"), side(ranked.where("spare > -1e-6"), "two", "short").drop("slack")
-    # all that two alike texts share stands from their first common difference on, in both
-    room = "one <> two and least(one_left, two_left) >= one_weight + two_weight - slack - 1e-6"
-    near = left.join(right, ["a", "mark"]).where(room).select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+    ranked = materialise_sparing(differences(rows))
+    near = materialise_sparing(near_pairs(ranked, percent))
     links = links.union(texts_of(near).mapInArrow(compare, link))
     return materialise_sparing(links.where("u <> v").distinct())

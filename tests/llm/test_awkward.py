@@ -237,6 +237,29 @@ def test_near_copies_in_a_large_key_lose_no_link(spark):
     assert {frozenset(p for p in prints if root(p) == r) for r in {root(p) for p in prints}} == expected
 
 
+def test_texts_unlike_their_leader_meet_few_others(spark):
+    """Families about as far from one leader: texts that lack the same half of it are not all paired, and no alike pair is missed."""
+    rng = random.Random(47)
+    rows, sets, size = [], {}, 400
+    for family in range(12):
+        core = set(rng.sample(range(size), 120 + 12 * family))
+        for k in range(12):
+            lacking = core ^ set(rng.sample(range(size), 60 if k % 2 else 6))
+            more = {family * 10_000 + x for x in rng.sample(range(50), 45)} | {(family * 12 + k) * 1_000_000 + x for x in range(1, 6)}
+            name = bytes([family, k])
+            sets[name] = {-1 - x for x in range(size) if x not in lacking} | more
+            rows.append((b"lead", name, False, (100 * len(lacking) + 80 * len(more)) / 180, size * 20 / 180, size, sorted(lacking), sorted(more)))
+    frame = spark.createDataFrame(rows, "a binary, b binary, like boolean, weight double, slack double, size int, lacking array<int>, more array<long>")
+    ranked = shingle_links.differences(frame).cache()
+    alike = {(x, y) for x in sets for y in sets if x < y and 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y])}
+    found = {(bytes(r["a"]), bytes(r["b"])) for r in shingle_links.near_pairs(ranked, 80).collect()}
+    assert len(alike) > 100 and alike <= found
+    left, right = shingle_links.grade_sides(ranked, 80)
+    met = left.join(right, ["a", "mark", "light", "heavy"]).where("light < heavy or one < two").count()
+    halves = [set(r["marks"]) for r in ranked.select("marks").collect()]
+    assert met * 10 < sum(len(x & y) for i, x in enumerate(halves) for y in halves[:i])
+
+
 # ---- stages
 
 FULL = "doc_id long, text string, lang string, source string, n_chars long"
