@@ -724,8 +724,7 @@ def challenge_tree(spark: SparkSession, sf: str) -> DataFrame:
     """The label-free tree of all tasks, written as files and read back, against its manifest."""
     folder = shared.folder(spark)
     sinks.write_challenge(order_tasks(spark, sf), folder)
-    files = tasks.json_files(spark, folder).select("task_id", "text", F.concat("task_id", F.lit(".json")).alias("path"), F.sha2(F.encode("text", "UTF-8"), 256).alias("own"))
-    both = files.join(task_tree.read_manifest(spark, folder), "path", "full")
+    both = task_tree.read_tree(spark, folder).withColumn("task_id", F.when(F.col("text").isNotNull(), F.regexp_extract("path", r"([^/]+)\.json\z", 1)))
     parsed = F.from_json("text", "struct<train:array<struct<input:string,output:string>>,test:array<struct<input:string,output:string>>>")
     return both.select("task_id", F.size(parsed["train"]).alias("demonstrations"), F.size(F.filter(parsed["test"], lambda p: p["output"].isNotNull())).alias("hidden"), "sha256", F.when(F.col("own") == F.col("sha256"), "equal").otherwise("unlike").alias("digest"))
 

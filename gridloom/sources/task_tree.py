@@ -25,7 +25,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 from ..functions import grids
+from ..operators import shared
 
+FILES_A_TASK = 2000
 LISTS = ".lists"  # the tasks' own lists, gone before the tree is in place
 FORMAT = "challenge-tree-v1"
 
@@ -185,3 +187,42 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     path = F.regexp_extract("value", r'\A\s*"path": ("(?:[^"\\]|\\.)*")', 1)
     rows = entries.select(path.alias("p"), F.regexp_extract("value", r'"sha256": "([0-9a-f]{64})"', 1).alias("sha256")).where("p <> ''")
     return rows.select(F.from_json(F.concat(F.lit('{"p":'), "p", F.lit("}")), "p string")["p"].alias("path"), "sha256")
+
+
+def read_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text, own, sha256) of a tree's task files and its manifest: own is the file's digest, sha256 the listed one.
+
+    A file that is not listed has no sha256, a listed one that is not there no text. Only
+    names pass one task, as in any flat folder; the files are read by tasks of FILES_A_TASK.
+    """
+    import pyarrow as pa
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSelector, FileSystem, FileType
+
+        for _ in batches:
+            fs, root = FileSystem.from_uri(folder)
+            found = [f.path[len(root.rstrip("/")) + 1 :] for f in fs.get_file_info(FileSelector(root, recursive=True)) if f.type == FileType.File and f.path.endswith(".json")]
+            for at in range(0, len(found), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 10_000], pa.string())], names=["path"])
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(folder)
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part, raw = b.slice(at, 256), []
+                for path, there in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if there:
+                        with fs.open_input_stream(f"{root.rstrip('/')}/{path}") as stream:
+                            raw.append(stream.read())
+                    else:
+                        raw.append(None)
+                own = [x if x is None else hashlib.sha256(x).hexdigest() for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x if x is None else x.decode() for x in raw], pa.string()), pa.array(own, pa.string()), part.column(1)], names=["path", "text", "own", "sha256"])
+
+    there = spark.range(1).coalesce(1).mapInArrow(names, "path string").withColumn("there", F.lit(True))
+    both = shared.written(there.join(read_manifest(spark, folder), "path", "full").select("path", "sha256", F.coalesce("there", F.lit(False)).alias("there")))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-both.count() // FILES_A_TASK))
+    return both.repartition(tasks, "path").mapInArrow(contents, "path string, text string, own string, sha256 string")

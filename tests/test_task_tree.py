@@ -117,3 +117,21 @@ def test_several_solvers_share_the_files(spark, tmp_path, monkeypatch):
     for _ in range(2):
         assert firewall.proof(views, lambda inputs, _: baseline.predictions(baseline.rank_candidates(inputs, 2))).first()["verdict"] == "passed"
     assert sorted(calls) == ["load_tasks"] * 2 + ["write_tree"] * 2
+
+
+def test_read_tree_reads_its_files_in_tasks_and_shows_what_is_unlike(spark, tmp_path, monkeypatch):
+    """Whole files beside their manifest, some in one task's share; no scan of a small file each, and unlisted, changed and missing files show."""
+    pair = "struct<input:array<array<int>>,output:array<array<int>>>"
+    schema = f"task_id string, task struct<name:string,train:array<{pair}>,test:array<{pair}>>"
+    tasks = spark.createDataFrame([(f"t{k}", {"name": None, "train": [([[k]], [[1]])], "test": [([[2]], [[3]])]}) for k in range(9)], schema)
+    folder = str(tmp_path / "tree")
+    task_tree.write_tree(tasks, folder)
+    monkeypatch.setattr(task_tree, "FILES_A_TASK", 2)
+    whole = task_tree.read_tree(spark, folder)
+    assert whole.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, 5)
+    assert {(r["path"], r["text"], r["own"] == r["sha256"]) for r in whole.collect()} == {(f"t{k}.json", (tmp_path / f"tree/t{k}.json").read_text(), True) for k in range(9)}
+    (tmp_path / "tree/t1.json").write_text("{}")
+    (tmp_path / "tree/t2.json").unlink()
+    (tmp_path / "tree/more.json").write_text("{}")
+    odd = {r["path"]: (r["text"], r["own"] is None, r["sha256"] is None) for r in task_tree.read_tree(spark, folder).collect() if r["own"] != r["sha256"]}
+    assert odd == {"t1.json": ("{}", False, False), "t2.json": (None, True, False), "more.json": ("{}", False, True)}
