@@ -111,7 +111,8 @@ def differences(rows: DataFrame) -> DataFrame:
     """
     whole = rows.groupBy("a").agg(F.first("size").alias("size")).select("a", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("p"))
     lost = rows.select("a", F.explode("lacking").alias("p")).union(whole).groupBy("a", "p").agg((F.count("*") - 1).alias("n"))
-    lost = lost.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "n"))), lambda s: s["n"]).alias("lost"))
+    # written, so that a join may split the rows of a leader with very many texts
+    lost = materialise_sparing(lost.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "n"))), lambda s: s["n"]).alias("lost")))
     token = rows.select("a", "b", F.explode("more").alias("h"))
     counts = token.groupBy("a", "h").agg(F.count("*").alias("n")).where("n > 1")  # a difference of one text meets no other
     mark = lambda h, lacks: F.struct(h.cast("long").alias("h"), F.lit(lacks).alias("l")).alias("mark")
@@ -131,7 +132,7 @@ def grade_sides(ranked: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     base = F.greatest("slack", F.lit(1.0))
     grade = F.greatest(F.lit(LEAST_GRADE), F.floor(F.log(F.greatest(F.col("weight"), base / 10) / base) / F.log(F.lit(STEP)))).cast("int")
     graded = ranked.withColumns({"grade": grade, "base": base})
-    there = graded.groupBy("a").agg(F.collect_set("grade").alias("all"), F.collect_set(F.when(~F.col("like"), F.col("grade"))).alias("unlike"))
+    there = materialise_sparing(graded.groupBy("a").agg(F.collect_set("grade").alias("all"), F.collect_set(F.when(~F.col("like"), F.col("grade"))).alias("unlike")))
     low = F.when(F.col("other") > LEAST_GRADE, F.col("base") * F.pow(F.lit(STEP), F.col("other"))).otherwise(0.0)
     high = F.col("base") * F.pow(F.lit(STEP), F.col("other") + 1)
     # texts like the leader are joined through it, so they look for unlike ones only
