@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grids
-from ..operators import baseline, cluster, overlap, scoring, splits
+from ..operators import baseline, cluster, overlap, scoring, shared, splits
 
 
 @dataclass
@@ -27,7 +27,8 @@ class Development:
 
 def build(records: DataFrame, seed: str, weights: list[tuple[str, int]], flagged: DataFrame, max_states: int = cluster.MAX_STATES) -> Development:
     """records: (record_id, source, task_id, task); flagged: (record_id) of a locked ledger."""
-    rows = records.select("record_id", "source", "task_id", "task", overlap.fingerprint(overlap.normalized_text(F.col("task"))).alias("content"))
+    # they are read for clusters, labels and annotations: whatever makes them runs once
+    rows = shared.written(records.select("record_id", "source", "task_id", "task", overlap.fingerprint(overlap.normalized_text(F.col("task"))).alias("content")))
     clusters, edges = cluster.cluster_tasks(rows.select("record_id", "task"), max_states)
     clusters, edges = clusters.persist(), edges.persist()
     items = splits.assign_splits(clusters.select("cluster_id").distinct(), "cluster_id", seed, weights).select("cluster_id", "split")
