@@ -103,17 +103,33 @@ def compared(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return a[~in_b], b[~within(b, a)], int(in_b.sum())
 
 
+def shown_again(rows: DataFrame) -> DataFrame:
+    """(b, again) of rows (a, b, size, lacking, more): what b has more than any of its leaders and another text shows too.
+
+    A text stands under as many leaders as it has keys, but each of its shingles is dealt once; very long
+    texts are gathered in parts of about HELD shingles. What one text alone shows, mostly nearly all, goes no further.
+    """
+    parts = F.ceil((F.col("size") - F.size("lacking") + F.size("more")) / HELD)
+    dealt = rows.select("b", "more", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    own = F.when(F.col("parts") == 1, F.col("more")).otherwise(F.filter("more", lambda h: F.pmod(h, F.col("parts")) == F.col("part")))
+    shown = dealt.groupBy("b", "part").agg(F.array_distinct(F.flatten(F.collect_list(own))).alias("shown"))
+    shown = materialise_sparing(shown.select("b", F.explode("shown").alias("h")))
+    # written, so that a join may split the rows of a shingle that very many texts show
+    twice = materialise_sparing(shown.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    return shown.join(twice, "h").groupBy("b").agg(F.collect_list("h").alias("again"))
+
+
 def differences(rows: DataFrame) -> DataFrame:
     """rows (a, b, like, weight, slack, size, lacking, more) with `marks`: (n, mark) of those differences that n > 1 texts of the leader a show, the rarer first.
 
     What texts lack is counted by its place in the leader, in a list as long as
-    the leader, which each of its rows then meets; only what they have more is dealt by shingle.
+    the leader, which each of its rows then meets; of what they have more, what several texts show is dealt by shingle.
     """
     whole = rows.groupBy("a").agg(F.first("size").alias("size")).select("a", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("p"))
     lost = rows.select("a", F.explode("lacking").alias("p")).union(whole).groupBy("a", "p").agg((F.count("*") - 1).alias("n"))
     # written, so that a join may split the rows of a leader with very many texts
     lost = materialise_sparing(lost.groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "n"))), lambda s: s["n"]).alias("lost")))
-    token = rows.select("a", "b", F.explode("more").alias("h"))
+    token = materialise_sparing(rows.join(shown_again(rows).hint("merge"), "b").select("a", "b", F.explode(F.array_intersect("more", "again")).alias("h")))
     counts = token.groupBy("a", "h").agg(F.count("*").alias("n")).where("n > 1")  # a difference of one text meets no other
     mark = lambda h, lacks: F.struct(h.cast("long").alias("h"), F.lit(lacks).alias("l")).alias("mark")
     met = token.join(counts, ["a", "h"]).groupBy("a", "b").agg(F.collect_list(F.struct("n", mark(F.col("h"), False))).alias("met"))

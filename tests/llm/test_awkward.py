@@ -260,6 +260,46 @@ def test_texts_unlike_their_leader_meet_few_others(spark):
     assert met * 10 < sum(len(x & y) for i, x in enumerate(halves) for y in halves[:i])
 
 
+def exploded(spark, begun):
+    """Rows that explode() made in all jobs from number `begun` on, or, without it, the number of jobs so far."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    if begun is None:
+        return runs.size()
+    made = 0
+    for run in (runs.apply(k) for k in range(begun, runs.size())):
+        nodes, told = store.planGraph(run.executionId()).allNodes(), store.executionMetrics(run.executionId())
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            metrics = node.metrics()
+            if node.name() == "Generate" and (n := told.get(metrics.apply(0).accumulatorId())).isDefined():
+                made += int(n.get().replace(",", ""))
+    return made
+
+
+@pytest.mark.parametrize("held", [shingle_links.HELD, 16])
+def test_what_one_text_alone_shows_is_dealt_once_for_all_its_leaders(spark, monkeypatch, held):
+    """Texts under six leaders each, most of whose shingles no other text shows; very long ones are gathered in parts."""
+    monkeypatch.setattr(shingle_links, "HELD", held)
+    rng = random.Random(53)
+    rows = []
+    for k in range(30):
+        own = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(60)]
+        for leader in range(6):
+            more = [*own, *rng.sample(range(leader * 20, leader * 20 + 40), 8)]  # neighbouring leaders' texts share some
+            rows.append((bytes([leader]), bytes([9, k]), False, 50.0, 5.0, 50, sorted(rng.sample(range(50), 3)), more))
+    frame = spark.createDataFrame(rows, "a binary, b binary, like boolean, weight double, slack double, size int, lacking array<int>, more array<long>").localCheckpoint()
+    begun = exploded(spark, None)
+    got = {(bytes(r["a"]), bytes(r["b"])): [(m["n"], m["mark"]["h"], m["mark"]["l"]) for m in r["marks"]] for r in shingle_links.differences(frame).collect()}
+    made = exploded(spark, begun)
+    expected = {}
+    for a, b, *_, lacking, more in rows:
+        n = lambda x, at: sum(x in r[at] for r in rows if r[0] == a)  # noqa: E731, B023
+        marks = [(n(p, 6), p, True) for p in lacking] + [(n(h, 7), h, False) for h in more]
+        expected[a, b] = sorted(m for m in marks if m[0] > 1)
+    assert got == expected and any(got.values())
+    assert 0 < made < sum(len(r[7]) for r in rows)
+
+
 # ---- stages
 
 FULL = "doc_id long, text string, lang string, source string, n_chars long"
