@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grids, validation
-from ..operators import adapters, baseline, cluster, evidence, firewall, ledgers, manifests, overlap, protocol, resources, scoring, shared, split_manifest, splits, variants
+from ..operators import adapters, baseline, cluster, evidence, firewall, isomorphism, ledgers, manifests, overlap, protocol, resources, scoring, shared, split_manifest, splits, variants
 from ..sources import inventory, sinks, task_tree, tasks
 from . import development
 from .projections import order_tasks, table
@@ -91,15 +91,17 @@ def color_mappings(spark: SparkSession, sf: str) -> DataFrame:
 @query("witness_replay", f"WITH {TASK_SQL} SELECT CAST(t AS VARCHAR) AS task_id, 'matched' AS status, true AS holds FROM tk")
 def witness_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Each task against its turned and recoloured copy in reverse order of examples: the witness found, replayed over every cell."""
-    base = order_tasks(spark, sf)
+    base = shared.written(order_tasks(spark, sf))
     order = F.reverse(F.sequence(F.lit(0), F.size("task.train") - 1))
     copies = base.select("task_id", grids.transform_task(F.col("task"), grids.compose(grids.anti_transpose, grids.recolor(grids.literal_map(PERMUTATION))), order).alias("task"))
-    records = base.select(F.concat(F.lit("a"), "task_id").alias("record_id"), "task").union(copies.select(F.concat(F.lit("b"), "task_id").alias("record_id"), "task"))
+    named = lambda df, side: df.select(F.concat(F.lit(side), "task_id").alias("record_id"), "task")
+    records = shared.written(named(base, "a").union(named(copies, "b")))
     pairs = base.select(F.concat(F.lit("a"), "task_id").alias("left_id"), F.concat(F.lit("b"), "task_id").alias("right_id"))
-    found = shared.written(cluster.verify_pairs(pairs, shared.written(records)))
-    rows = found.join(base.select(F.concat(F.lit("a"), "task_id").alias("left_id"), "task_id", F.col("task").alias("l")), "left_id").join(copies.select(F.concat(F.lit("b"), "task_id").alias("right_id"), F.col("task").alias("r")), "right_id")
+    found = cluster.verify_pairs(pairs, shared.written(isomorphism.forms(records)))
+    side = lambda end, name: records.select(F.col("record_id").alias(end), F.col("task").alias(name)).hint("merge")
+    rows = found.join(side("left_id", "l"), "left_id").join(side("right_id", "r"), "right_id")
     witness = F.struct("d4", "color", "train_permutation", "test_permutation")
-    return rows.select("task_id", "status", cluster.witness_holds(F.col("l"), F.col("r"), witness).alias("holds"))
+    return rows.select(F.substr("left_id", F.lit(2)).alias("task_id"), "status", cluster.witness_holds(F.col("l"), F.col("r"), witness).alias("holds"))
 
 
 def _damaged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -100,6 +100,26 @@ def test_random_tasks_against_the_plain_search(spark):
             assert found[name]["status"] != "matched" or replay(base, other, found[name])
 
 
+def test_searches_within_rows_and_by_joins_agree(spark, monkeypatch):
+    """Few states at once: no join for a level. What the rows hold, what is dealt and what is joined give the same counts and witnesses."""
+    one = {"input": [[1, 2]], "output": [[2, 1]]}
+    alike = {"train": [*BASE["train"], one, {"input": [[3, 4]], "output": [[4, 3]]}, one], "test": [*BASE["test"], {"input": [[7]]}]}
+    others = {turn: {"train": image(alike, turn, (4, 2, 0, 5, 1, 3))["train"], "test": [*image(BASE, turn)["test"], {"input": [[1]]}]} for turn in ("rotate_90", "flip_vertical")}
+    others["other"] = others["rotate_90"] | {"test": [*others["rotate_90"]["test"][:1], {"input": [[2, 2]]}]}
+    inner, joined = isomorphism._by_levels, []
+    monkeypatch.setattr(isomorphism, "_by_levels", lambda *given: joined.append(1) or inner(*given))
+    found = searched(spark, alike, others)
+    assert not joined and [found[n]["status"] for n in others] == ["matched", "matched", "not-isomorphic"]
+    assert all(replay({**alike, "test": alike["test"][:1]}, {**others[n], "test": others[n]["test"][:1]}, found[n] | {"test_permutation": found[n]["test_permutation"][:1]}) for n in ("rotate_90", "flip_vertical"))
+    for bound in ("STATES_IN_ROW", "EXAMPLES_IN_ROW"):
+        with monkeypatch.context() as m:
+            m.setattr(isomorphism, bound, 0)
+            assert searched(spark, alike, others) == found
+    assert len(joined) == 2
+    need = found["rotate_90"]["explored"]
+    assert searched(spark, alike, others, max_states=need - 1)["rotate_90"]["status"] == "inconclusive"
+
+
 def all_pairs_clusters(tasks, max_states):
     """name -> least name of its cluster: every pair of tasks compared."""
     label = {n: n for n in tasks}
