@@ -46,9 +46,18 @@ def write_view(labelled: DataFrame, folder: str) -> View:
 
 
 def read_inputs(spark: SparkSession, view: View) -> DataFrame:
-    """(task_id, task) of the label-free files, read strictly; an invalid one is an error."""
-    rows = tasks.load_tasks(spark, view.inputs, require_test_outputs=False)
-    return rows.select("task_id", F.when(F.size("errors") == 0, F.col("task")).otherwise(F.raise_error(F.concat(F.lit("invalid task file: "), "path"))).alias("task"))
+    """(task_id, task) of the label-free files, read strictly and written; an invalid one is an error, and so is a view without files.
+
+    The files are read by tasks, many in each: a scan would list and open them one by one.
+    """
+    found = task_tree.read_tree(spark, view.inputs).where("text is not null")
+    files = found.select("path", F.regexp_extract("path", r"([^/]+)\.json\z", 1).alias("task_id"), "text")
+    rows = tasks.parse_tasks(files, require_test_outputs=False)
+    sound = F.when(F.size("errors") == 0, F.col("task")).otherwise(F.raise_error(F.concat(F.lit("invalid task file: "), "path")))
+    read = shared.written(rows.select("task_id", sound.alias("task")))
+    if read.isEmpty():
+        raise tasks.DatasetError(f"{view.inputs}: no task files")
+    return read
 
 
 def read_labels(spark: SparkSession, view: View) -> DataFrame:
@@ -71,7 +80,7 @@ def exact_tasks(spark: SparkSession, view: View, predictions: DataFrame, top_k:
 def prepare(given: DataFrame, other: DataFrame, folder: str) -> list[tuple[View, DataFrame]]:
     """Both views of the same tasks (task_id, task), written as trees, each with what its files hold: for any number of solvers."""
     views = [write_view(labelled, f"{folder}/{name}") for name, labelled in (("a", given), ("b", other))]
-    return [(view, shared.written(read_inputs(given.sparkSession, view))) for view in views]
+    return [(view, read_inputs(given.sparkSession, view)) for view in views]
 
 
 def ab_run(given: DataFrame, other: DataFrame, folder: str, solver: Solver, top_k: int = 2) -> DataFrame:

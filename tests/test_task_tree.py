@@ -135,3 +135,18 @@ def test_read_tree_reads_its_files_in_tasks_and_shows_what_is_unlike(spark, tmp_
     (tmp_path / "tree/more.json").write_text("{}")
     odd = {r["path"]: (r["text"], r["own"] is None, r["sha256"] is None) for r in task_tree.read_tree(spark, folder).collect() if r["own"] != r["sha256"]}
     assert odd == {"t1.json": ("{}", False, False), "t2.json": (None, True, False), "more.json": ("{}", False, True)}
+
+
+def test_views_are_read_in_tasks(spark, tmp_path, monkeypatch):
+    """No scan of single files; an invalid file and a view without files are errors."""
+    monkeypatch.setattr(firewall.tasks, "json_files", lambda *_: pytest.fail("files are scanned one by one"))
+    pair = ([[1, 2]], [[2, 1]])
+    given = spark.createDataFrame([(f"t{k}", (None, [pair], [pair])) for k in range(5)], f"task_id string, task {TASK}")
+    view = firewall.write_view(given, str(tmp_path / "v"))
+    seen = {r["task_id"]: r["task"] for r in firewall.read_inputs(spark, view).collect()}
+    assert sorted(seen) == [f"t{k}" for k in range(5)] and all(t["test"][0]["output"] is None and t["train"][0]["output"] == [[2, 1]] for t in seen.values())
+    (tmp_path / "v/inputs/t3.json").write_text('{"train": [], "train": [], "test": []}')
+    with pytest.raises(Exception, match="invalid task file"):
+        firewall.read_inputs(spark, view)
+    with pytest.raises(firewall.tasks.DatasetError):
+        firewall.read_inputs(spark, firewall.write_view(given.limit(0), str(tmp_path / "none")))
